@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .fingerprints import op2_scaled_sketch
 from .sharding import op7_jump_sharding
 
 QUERIES = {
+    "op2_scaled_sketch": op2_scaled_sketch,
     "op7_jump_sharding": op7_jump_sharding,
 }
 
