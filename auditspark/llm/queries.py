@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .fingerprints import op2_scaled_sketch
+from .secrets import op4_markov_secrets
 from .sharding import op7_jump_sharding
 
 QUERIES = {
     "op2_scaled_sketch": op2_scaled_sketch,
+    "op4_markov_secrets": op4_markov_secrets,
     "op7_jump_sharding": op7_jump_sharding,
 }
 
