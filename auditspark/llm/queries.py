@@ -5,10 +5,12 @@ from __future__ import annotations
 from .fingerprints import op2_scaled_sketch
 from .secrets import op4_markov_secrets
 from .sharding import op7_jump_sharding
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op2_scaled_sketch": op2_scaled_sketch,
     "op4_markov_secrets": op4_markov_secrets,
+    "op5_toxicity": op5_toxicity,
     "op7_jump_sharding": op7_jump_sharding,
 }
 
