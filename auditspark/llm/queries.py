@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .fingerprints import op2_scaled_sketch
+from .language import op1_language_id
 from .secrets import op4_markov_secrets
 from .sharding import op7_jump_sharding
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_scaled_sketch": op2_scaled_sketch,
     "op4_markov_secrets": op4_markov_secrets,
     "op5_toxicity": op5_toxicity,
