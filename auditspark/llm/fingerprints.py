@@ -20,6 +20,8 @@ SHINGLE = 5
 SCALE = 8
 FLOOR = 64
 MOST = 2**63 - 1
+#: Blocks up to which their (two numbers each) heads are broadcast; beyond it Spark joins by shuffle.
+MOST_BROADCAST = 200_000
 
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE, floor: int = FLOOR) -> Column:
@@ -91,9 +93,10 @@ def as_text(s: Column) -> Column:
     return F.concat_ws(":", F.lower(F.hex(s["bound"])), F.array_join(F.transform(s["hashes"], lambda x: F.lower(F.hex(x))), "."))
 
 
-def _range_block(df: DataFrame, key: str, rows_per_block: int, quantiles: int = 256) -> tuple[Column, DataFrame]:
+def _range_block(df: DataFrame, key: str, rows_per_block: int, quantiles: int = 256) -> tuple[Column, int]:
     """An order-preserving block number for `key`: approximate quantiles (at most `quantiles`
-    values reach the driver), each interval cut evenly.  Null keys are in the first block."""
+    values reach the driver), each interval cut evenly; and the number of blocks.  Null keys are in
+    the first block."""
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(key), [i / quantiles for i in range(quantiles + 1)], 10 * quantiles).alias("q"), F.min(key).alias("lo")).first()
     cuts = sorted({int(x) for x in stats["q"] or []})
     parts = max(1, -(-stats["n"] // (rows_per_block * max(1, min(quantiles, len(cuts))))))
@@ -111,7 +114,7 @@ def _range_block(df: DataFrame, key: str, rows_per_block: int, quantiles: int =
         mid = (lo + hi) // 2
         return F.when(k < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
 
-    return F.coalesce(tree(0, len(cuts)), F.lit(-1).cast("bigint"))
+    return F.coalesce(tree(0, len(cuts)), F.lit(-1).cast("bigint")), parts * max(1, len(cuts)) + 1
 
 
 def edited_fingerprints(docs: DataFrame, rows_per_block: int = 1024) -> DataFrame:
@@ -123,16 +126,19 @@ def edited_fingerprints(docs: DataFrame, rows_per_block: int = 1024) -> DataFram
     doc_id are ordered by text.  An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    block = _range_block(docs.select("doc_id"), "doc_id", rows_per_block)
+    block, blocks = _range_block(docs.select("doc_id"), "doc_id", rows_per_block)
     docs = docs.withColumn("block", block)
     heads = docs.groupBy("block").agg(F.min("doc_id").alias("doc_id"))
     # one small row per block of rows_per_block documents
     order = Window.orderBy("block")
     heads = heads.select(F.col("block").alias("of"), F.coalesce(F.lag("block").over(order), F.max("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    head_ids = docs.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("m")).select(F.col("block").alias("b"), F.col("m.doc_id").alias("d"))
+    if blocks <= MOST_BROADCAST:
+        head_ids, heads = F.broadcast(head_ids), F.broadcast(heads)
     first = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     firsts = (
         docs.join(
-            docs.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("m")).select(F.col("block").alias("b"), F.col("m.doc_id").alias("d")),
+            head_ids,
             (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d")),
             "left_semi",
         )
