@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op2_scaled_sketch
 from .language import op1_language_id
+from .packing import op9_curve_packing
 from .secrets import op4_markov_secrets
 from .sharding import op7_jump_sharding
 from .toxicity import op5_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_markov_secrets": op4_markov_secrets,
     "op5_toxicity": op5_toxicity,
     "op7_jump_sharding": op7_jump_sharding,
+    "op9_curve_packing": op9_curve_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
