@@ -7,6 +7,7 @@ from .language import op1_language_id
 from .packing import op9_curve_packing
 from .secrets import op4_markov_secrets
 from .sharding import op7_jump_sharding
+from .simhash import op10_simhash_bktree
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_jump_sharding": op7_jump_sharding,
     "op9_curve_packing": op9_curve_packing,
+    "op10_simhash_bktree": op10_simhash_bktree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
