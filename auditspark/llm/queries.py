@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprints import op2_scaled_sketch
 from .language import op1_language_id
 from .packing import op9_curve_packing
+from .phrases import op3_phrase_automata
 from .secrets import op4_markov_secrets
 from .sharding import op7_jump_sharding
 from .simhash import op10_simhash_bktree
@@ -13,6 +14,7 @@ from .toxicity import op5_toxicity
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_scaled_sketch": op2_scaled_sketch,
+    "op3_phrase_automata": op3_phrase_automata,
     "op4_markov_secrets": op4_markov_secrets,
     "op5_toxicity": op5_toxicity,
     "op7_jump_sharding": op7_jump_sharding,
