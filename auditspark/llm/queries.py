@@ -9,6 +9,7 @@ from .phrases import op3_phrase_automata
 from .secrets import op4_markov_secrets
 from .sharding import op7_jump_sharding
 from .simhash import op10_simhash_bktree
+from .suffixes import op8_induced_suffixes
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_markov_secrets": op4_markov_secrets,
     "op5_toxicity": op5_toxicity,
     "op7_jump_sharding": op7_jump_sharding,
+    "op8_induced_suffixes": op8_induced_suffixes,
     "op9_curve_packing": op9_curve_packing,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
