@@ -120,23 +120,48 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) ->
     return np.minimum(n, end - np.maximum(a, b))  # words are padded behind the end
 
 
-def sort_seeds(words: np.ndarray, seeds: np.ndarray, most: int) -> np.ndarray:
-    """Seeds ordered by their first `most` bytes, word by word within ties."""
-    group, order, open_ = np.zeros(len(seeds), np.int64), np.arange(len(seeds)), np.ones(len(seeds), bool)
-    for k in range(0, most + 8, 8):
-        at = np.flatnonzero(open_)
-        if not len(at):
+def dense(key: np.ndarray) -> np.ndarray:
+    """Ranks of keys from 0; equal keys share one."""
+    o = np.argsort(key)
+    rank = np.empty(len(key), np.int64)
+    rank[o] = np.cumsum(np.concatenate([[False], key[o][1:] != key[o][:-1]]))
+    return rank
+
+
+def sort_seeds(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, most: int) -> np.ndarray:
+    """Seeds in the order of their suffixes, exact for the first `most` bytes.
+
+    The stretch from a seed to the next gets a name that ranks it by bytes and, between equal bytes,
+    L-type first.  The string of names is then sorted recursively: each level names pairs of the
+    names of the level before, until names are unique or span `most` bytes (a stretch has at least
+    two)."""
+    if len(seeds) < 2:
+        return seeds
+    n, per = len(t), 6
+    symbol = (t.astype(np.int64) << 1 | s_type) + 1
+    stop = np.append(seeds[1:] + 1, n)  # a stretch takes in the first byte of the next
+    name = np.zeros(len(seeds), np.int64)
+    open_ = np.arange(len(seeds))
+    for k in range(0, most + per, per):
+        key = np.zeros(len(open_), np.int64)
+        for i in range(per):
+            p = seeds[open_] + k + i
+            key = key << 10 | np.where(p < stop[open_], symbol[np.minimum(p, n - 1)], 0)
+        if k == 0:
+            name = dense(key)
+        else:  # the few stretches that are longer: ranks among those that tie
+            sub = np.zeros(len(seeds), np.int64)
+            sub[open_] = dense(key) + 1
+            name = dense(name * (len(seeds) + 1) + sub)
+        open_ = open_[stop[open_] - seeds[open_] > k + per]
+        if not len(open_):
             break
-        p = seeds[order[at]] + k
-        w = np.where(p < len(words), words[np.minimum(p, len(words) - 1)], 0)
-        o = np.lexsort((w, group[at]))
-        order[at], w = order[at][o], w[o]
-        g = group[at]  # unchanged by a sort within groups
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
-        group[at] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        alone = new & np.concatenate([new[1:], [True]])
-        open_[at[alone]] = False
-    return seeds[order]
+    span = 1
+    while name.max() < len(seeds) - 1 and 2 * span < most:
+        behind = np.concatenate([name[span:] + 1, np.zeros(min(span, len(name)), np.int64)])
+        name = dense(name * (len(seeds) + 1) + behind)
+        span *= 2
+    return seeds[np.argsort(name, kind="stable")]
 
 
 def suffix_array(text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +182,7 @@ def suffix_array(text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     left = run_end[which] - np.arange(n) + 1  # length of the run of equal bytes from here
     seeds = np.flatnonzero(s_type & np.concatenate([[False], ~s_type[:-1]]))
     words = words_of(t)
-    seeds = sort_seeds(words, seeds, most)
+    seeds = sort_seeds(t, s_type, seeds, most)
     seed_lcp = np.zeros(len(seeds), np.uint8)
     seed_lcp[1:] = np.minimum(common_prefix(words, seeds[:-1], seeds[1:], most), CAP)
     by_byte = t[seeds]
