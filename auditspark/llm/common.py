@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Only where that setting is absent (tests, a laptop) a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="auditspark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return where or sc.getCheckpointDir()
+
+
+def through_parquet(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Ids up to which without() broadcasts them (8 bytes each); more are joined by shuffle.
+MOST_BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among `ids` (a column doc_id); null ids stay."""
+    ids = cut_lineage(ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, "doc_id", "left_anti")
 
 
 def id_remainder(column: str, modulus: int):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op2_scaled_sketch
+from .decontamination import op6_decontamination
 from .language import op1_language_id
 from .packing import op9_curve_packing
 from .phrases import op3_phrase_automata
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_phrase_automata": op3_phrase_automata,
     "op4_markov_secrets": op4_markov_secrets,
     "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_jump_sharding": op7_jump_sharding,
     "op8_induced_suffixes": op8_induced_suffixes,
     "op9_curve_packing": op9_curve_packing,
