@@ -50,23 +50,23 @@ def jump_shards(key: Column, counts: list[int]) -> list[Column]:
     return [done(end[f"s{i}"]).cast("int") for i in range(len(counts))]
 
 
-def assign_shards(df: DataFrame, key: str, shards: int, buckets: int = 1024) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, shards: int, digits: int = 3) -> DataFrame:
     """Adds shard, slot and grown_shard to rows with the (narrow) columns given.
 
     slot numbers the rows of a shard from 0 without gaps.  A shard is not sorted in one task:
-    rows are numbered within (shard, bucket), and the counts of the at most shards x buckets
-    groups give each group its first slot.  Rows with equal keys keep one shard and share a
+    rows are numbered within (shard, bucket) - a bucket is `digits` further hexadecimal digits of the
+    key's hash - and the counts of the at most shards x 16**digits groups give each its first slot.  Rows with equal keys keep one shard and share a
     bucket; ties are numbered by the remaining columns.  Null keys hash as ''.
     """
     now, grown = jump_shards(F.col(f"`{key}`"), [shards, shards + 1])
     others = [c for c in df.columns if c != key]
-    rows = df.withColumns({"shard": now, "grown_shard": grown, "__bucket": F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(buckets)).cast("int")})
+    rows = df.withColumns({"shard": now, "grown_shard": grown, "__bucket": F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")), 17, digits)})
     sizes = rows.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     inside = Window.partitionBy("shard", "__bucket").orderBy(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in others])
     numbered = rows.withColumn("__row", F.row_number().over(inside))
-    # shards x buckets rows: the side has a fixed bound and is broadcast only below the session's threshold
+    # shards x 16**digits rows at most; Spark broadcasts them only below the session's threshold
     return numbered.join(firsts, ["shard", "__bucket"]).withColumn("slot", (F.col("__first") + F.col("__row") - 1).cast("bigint")).drop("__bucket", "__first", "__row", "__n")
 
 
