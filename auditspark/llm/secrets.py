@@ -37,14 +37,17 @@ CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 
 
 class Markov:
-    """First-order character model with add-half smoothing; code 0 is the start of a run."""
+    """First-order character model, smoothed towards the characters' own frequencies; code 0 is the
+    start of a run."""
 
-    def __init__(self, samples: list[str]):
-        n = np.full((len(ALPHABET) + 1, len(ALPHABET) + 1), 0.5)
+    def __init__(self, samples: list[str], weight: float = 4.0):
+        n = np.zeros((len(ALPHABET) + 1, len(ALPHABET) + 1))
         for s in samples:
             a = [0, *(CODE[c] for c in s if c in CODE)]
             np.add.at(n, (a[:-1], a[1:]), 1)
-        self.log = np.log(n[:, 1:] / n[:, 1:].sum(1, keepdims=True))
+        n = n[:, 1:]
+        alone = (n.sum(0) + 0.2) / (n.sum() + 0.2 * len(ALPHABET))
+        self.log = np.log((n + weight * alone) / (n.sum(1, keepdims=True) + weight))
 
 
 def random_samples(per_kind: int = 600, seed: int = 7) -> list[str]:

@@ -1,0 +1,233 @@
+"""Operators 1, 2, 4, 5, 6, 7, 9 and 10: edge cases, and brute force or held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from auditspark.llm import decontamination, fingerprints, language, packing, secrets, sharding, simhash, toxicity
+
+from .conftest import ROWS, table
+
+
+@pytest.fixture(scope="module")
+def folder(spark, docs, tmp_path_factory):
+    labels = spark.createDataFrame([(0, 1, 1), (3, 1, 0), (99, 0, 1), (4, 1, None), (0, 1, 1)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(0, "jumps over the lazy dog and runs away from it all day"), (1, None), (2, ""), (3, "one")], "item_id bigint, text string")
+    return table(spark, tmp_path_factory.mktemp("t"), documents=docs, labels=labels, benchmark=bench)
+
+
+@pytest.fixture(scope="module")
+def hollow(spark, empty, tmp_path_factory):
+    return table(spark, tmp_path_factory.mktemp("e"), documents=empty, labels=spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id bigint, text string"))
+
+
+QUERIES = [
+    language.op1_language_id, fingerprints.op2_scaled_sketch, secrets.op4_markov_secrets, toxicity.op5_toxicity, decontamination.op6_decontamination, sharding.op7_jump_sharding, packing.op9_curve_packing,
+    simhash.op10_simhash_bktree,
+]
+
+
+@pytest.mark.parametrize("query", QUERIES, ids=lambda q: q.__name__)
+def test_empty_tables(spark, hollow, query):
+    assert query(spark, hollow).count() == 0
+
+
+def jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_sharding(spark, folder):
+    rows = sharding.op7_jump_sharding(spark, folder).collect()
+    assert len(rows) == len(ROWS)
+    texts = {i: t or "" for i, t, _ in ROWS}
+    for r in rows:
+        k = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:16], 16)
+        b = texts[r.doc_id].encode()
+        assert (r.shard, r.grown_shard, r.size, r.text_crc32) == (jump(k, 8), jump(k, 9), len(b) + 1, zlib.crc32(b))
+    for s in range(8):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def sketch_of(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    h = set()
+    for i in range(max(1, len(w) - 4)) if w else ():
+        seed = 42
+        for x in w[i : i + 5]:
+            seed = xxhash.xxh64_intdigest(x.encode(), seed)
+        h.add(seed & (2**63 - 1))
+    return h
+
+
+def test_fingerprints(spark, folder):
+    rows = {r.doc_id: r for r in fingerprints.op2_scaled_sketch(spark, folder).collect()}
+    order = sorted(((i, t or "") for i, t, _ in ROWS), key=lambda r: (r[0] is not None, r[0] or 0))
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + nxt[:q]
+        r = rows[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        own, other = sketch_of(t), sketch_of(edited)
+        assert sorted(int(x, 16) for x in r.fingerprint.split(":")[1].split(".") if x) == sorted(own)[:64] or len(own) > 64
+        if len(own) <= 64 and len(other) <= 64:
+            assert math.isclose(r.near_edited, len(own & other) / len(own | other) if own | other else 1.0)
+    assert rows[0].fingerprint == rows[5].fingerprint and rows[3].fingerprint == rows[12].fingerprint
+
+
+def test_simhash(spark, folder):
+    rows = {r.doc_id: r for r in simhash.op10_simhash_bktree(spark, folder).collect()}
+
+    def slow(t):
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
+        return sum((sum(x >> b & 1 for x in h) * 2 > len(h)) << b for b in range(64))
+
+    fp = {i: slow(t) for i, t, _ in ROWS}
+    assert {i: int(r.fingerprint, 16) for i, r in rows.items()} == fp
+    assert rows[5].component_id == 0 and rows[12].component_id == 3 and {rows[i].component_id for i in (1, 2, 7)} == {1}
+
+
+def test_simhash_links_and_hot_shards(spark):
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, 40)
+    fps = np.unique(np.concatenate([base, *[base ^ (np.int64(1) << int(r.integers(0, 63))) for _ in range(12)]]))
+    near = spark.createDataFrame([(int(x),) for x in fps], "fp bigint")
+    u = simhash.Union(len(fps))
+    for i in range(len(fps)):
+        j = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4)
+        u.join(j, np.full(len(j), i))
+    want = {int(fps[i]): int(fps[u.up[i]]) for i in range(len(fps)) if u.up[i] != i}
+    for rows in (8192, 6):  # the second cuts shards into many trees
+        got = {x.node: x.root for x in simhash.components(simhash.links(near, shard_rows=rows)).collect()}
+        assert got == want
+
+
+def test_secrets(spark, folder):
+    rows = {r.doc_id: r for r in secrets.op4_markov_secrets(spark, folder).collect()}
+    assert (rows[9].n_assign, rows[9].n_access, rows[9].n_hex) == (2, 1, 1) and rows[1].spans == "" == rows[7].spans
+    t = ROWS[9][1]
+    base = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 12]
+    for kind, p, least in ((1, "AKIA[A-Z0-9]+", 18), (2, "[0-9a-f]+", 16)):
+        base += [(m.start(), kind, m.end()) for m in re.finditer(p, t) if m.end() - m.start() >= least]
+    digest = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base))
+    assert rows[9].base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+
+
+def test_markov_ratio():
+    ratio = secrets.log_ratio(["identifier", "documentation", "representation", "international_standards", "organization_of_words", "nationalization"] * 30)
+    assert secrets.score("q9Zx7Lm2Vb4Tn8Rk1Wp6Yc3sD", ratio) > 20 > secrets.score("internationalization_of_words", ratio)
+    assert [k for _, k, _ in secrets.spans("key q9Zx7Lm2Vb4Tn8Rk1Wp6Yc3sD", ratio)] == [3]
+
+
+def test_redact(docs):
+    out = {r.doc_id: r.text for r in secrets.redact(docs.select("doc_id", "text"), secrets.log_ratio(["word"])).collect()}
+    assert out[1] is None and out[2] == "" and "f33e61083" not in out[9] and out[0] == ROWS[0][1]
+
+
+def test_language(spark, folder):
+    m = language.Identifier({"en": ["the cat and the dog were there with them " * 5], "de": ["der hund und die katze waren nicht mehr hier " * 5]})
+    names, score, _ = m.predict(["the dog and the cat", "die katze und der hund", None, "", "12 !", "x" * 5000])
+    assert names[:5] == ["en", "de", "und", "und", "und"] and ((score >= 0) & (score <= 1)).all()
+    rows = {r.doc_id: r for r in language.op1_language_id(spark, folder).collect()}
+    assert rows[1].lang_pred == rows[2].lang_pred == rows[7].lang_pred == "und" and rows[0].lang_pred != "und" and len(rows) == len(ROWS)
+    assert rows[3].held_out == (zlib.crc32(b"3") % 5 == 0)
+
+
+def test_kneser_ney_sums_to_one():
+    classes = language.char_classes()
+    text = language.letters("abracadabra and a bar", classes)
+    codes = np.unique(text, return_inverse=True)[1].astype(np.uint16) + 1
+    m = language.fit([codes], int(codes.max()))
+    rows = np.array([[*codes[2:5], c] for c in range(1, int(codes.max()) + 1)])
+    assert np.exp(m.lookup(rows)).sum() == pytest.approx(1.0, abs=0.05)
+
+
+def test_toxicity(spark, folder):
+    rows = toxicity.op5_toxicity(spark, folder).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_machine_learns_pairs():
+    """Neither of two terms alone counts; both together do."""
+    r = random.Random(4)
+    terms = [sorted({a for a in (11, 22) if r.random() < 0.5} | {r.randrange(100, 140)}) for _ in range(800)]
+    y = np.array([float(11 in t and 22 in t) for t in terms])
+    m = toxicity.fit([np.array(t) for t in terms], y, steps=600)
+    score = m.scores([{m.index[k] for k in t if k in m.index} for t in ([11], [22], [11, 22], [])])
+    assert score[2] > 0.5 > max(score[0], score[1], score[3])
+
+
+def test_decontamination(spark, folder):
+    rows = sorted((r.doc_id, r.item_id, r.score) for r in decontamination.op6_decontamination(spark, folder).collect())
+    assert rows == [(0, 0, 1.0), (5, 0, 1.0), (10, 3, 1.0)]
+
+
+def test_decontamination_finds_edits(spark):
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(r.choices(words, k=30))) for i in range(20)]
+    edited = [(i, " ".join(r.choices(words, k=50) + [x if r.random() > 0.1 else "changed" for x in t.split()] + r.choices(words, k=50))) for i, t in items]
+    clean = [(100 + i, " ".join(r.choices(words, k=200))) for i in range(30)]
+    got = decontamination.matches(spark.createDataFrame(edited + clean, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(i, i) for i in range(20)}
+
+
+def slow_align(a, b):
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+    return max(max(x) for x in h)
+
+
+def test_align():
+    r = np.random.default_rng(0)
+    for _ in range(60):
+        a, b = r.integers(0, 4, r.integers(1, 12)), r.integers(0, 4, r.integers(1, 15))
+        assert decontamination.align(a, b)[0] == slow_align(a.tolist(), b.tolist())
+
+
+def test_packing(spark, folder):
+    rows = packing.op9_curve_packing(spark, folder).collect()
+    tokens = packing.Tokens(packing.vocabulary())
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for i, t, _ in ROWS:
+        ids = np.array([*tokens.whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        pieces = sorted(by_doc[i], key=lambda r: r.start)
+        assert [p.start for p in pieces] == [0, *np.cumsum([p.length for p in pieces])[:-1]] and sum(p.length for p in pieces) == len(ids) == pieces[0].doc_tokens
+        assert all(zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in pieces)
+    for s in by_seq.values():
+        s.sort(key=lambda r: r.offset)
+        assert [p.offset for p in s] == [0, *np.cumsum([p.length for p in s])[:-1]] and sum(p.length for p in s) <= s[0].sequence_tokens <= 1024
+
+
+@pytest.mark.parametrize("text", ["a  b", "a \n b", "x\n\ny", "", " a", "a ", "it's  \n", "a b c", "\n a", "ab\n", "ab\n cd", "\x1c a", "don't 12 34.5 ...", "<|endoftext|> x", "漢字 \U0001f600 ü"])
+def test_tokens(text):
+    t = packing.Tokens(packing.vocabulary())
+    assert np.frombuffer(t(text), np.uint16).tolist() == t.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_hilbert():
+    """Neighbours on the curve are neighbours in space, and every cell is met once."""
+    side = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    key = packing.hilbert(side, depth=3)
+    assert sorted(key) == list(range(512))
+    assert (np.abs(np.diff(side[np.argsort(key)], axis=0)).sum(1) == 1).all()
