@@ -11,7 +11,7 @@ from . import corpus
 from .functions import text as X
 from .operators import chains, definition, encoding, evals, patterns, scripts, structure
 from .plans import compare, engine
-from .registry import BEHAVIORAL, BENIGN_WORDS, CHECKLIST, ENV_FILE, GENERIC_PHRASES, GOTCHAS, OVERCLAIM, POPULAR_NAMES, SENSITIVE, SINKS, WELL_KNOWN_NAMES
+from .registry import BEHAVIORAL, BENIGN_WORDS, CHECKLIST, ENV_FILE, EXAMPLE_HEADING, GENERIC_PHRASES, GOTCHAS, NEGATION, OVERCLAIM, POPULAR_NAMES, SENSITIVE, SINKS, URL_HIDDEN, WELL_KNOWN_NAMES
 
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -108,8 +108,7 @@ def q18_eval_files(spark, sf):
 
 
 def q19_behavioral_counts(spark, sf):
-    f = _files(spark, sf).where(~F.lower("path").endswith(".md"))
-    return patterns.behavioral_matches(f).where("pat_idx <> 11").select("package_id", "path", F.col("pat_idx").cast("bigint").alias("pat_idx"), "rule_id", "n", "line_no", "snippet")
+    return patterns.behavioral_matches(_files(spark, sf)).where("pat_idx <> 11").select("package_id", "path", F.col("pat_idx").cast("bigint").alias("pat_idx"), "rule_id", "n", "line_no", "snippet")
 
 
 def q20_negated_solicitation(spark, sf):
@@ -273,9 +272,38 @@ SELECT package_id, path, CASE WHEN json_type(cases) = 'ARRAY' THEN CAST(json_arr
     OR coalesce(json_type(x, '$.expected'), '') = 'VARCHAR' OR coalesce(json_type(x, '$.rubric'), '') = 'VARCHAR')), false) AS asserted FROM c"""
     o["q18_eval_files"] = _with() + """
 SELECT package_id, count(*) AS n FROM files WHERE (starts_with(path, 'evals/') OR starts_with(path, 'tests/') OR starts_with(path, 'test/')) AND regexp_matches(lower(path), '\\.(md|yaml|yml|txt|jsonl|json)$') GROUP BY 1"""
-    norm = "norm AS MATERIALIZED (SELECT package_id, path, line_no, regexp_replace(regexp_replace(lower(line), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS line FROM lines WHERE NOT ends_with(lower(path), '.md'))"
+    # lines of markdown are masked by a walk from line to line
+    masked = f"""walk AS (
+  SELECT package_id, path, CAST(0 AS BIGINT) AS line_no, '' AS fence, 0 AS section, '' AS line FROM files WHERE {_MD}
+  UNION ALL
+  SELECT package_id, path, line_no, CASE WHEN opens THEN marker WHEN closes THEN '' ELSE fence END, section2, CASE WHEN fence <> '' OR opens OR quote OR section2 > 0 THEN '' ELSE line END
+  FROM (SELECT *, CASE WHEN plain AND section1 = 0 AND regexp_matches(line, {_L(EXAMPLE_HEADING)}) THEN level ELSE section1 END AS section2
+    FROM (SELECT *, CASE WHEN plain AND section > 0 AND level <= section THEN 0 ELSE section END AS section1
+      FROM (SELECT *, fence = '' AND NOT opens AND level > 0 AND NOT quote AS plain
+        FROM (SELECT l.package_id, l.path, l.line_no, l.line, w.fence, w.section, regexp_extract(l.line, '^(\\s*)(```|~~~)', 2) AS marker, w.fence = '' AND regexp_matches(l.line, '^(\\s*)(```|~~~)') AS opens,
+                w.fence <> '' AND regexp_extract(l.line, '^(\\s*)(```|~~~)', 2) = w.fence AS closes, regexp_matches(l.line, '^\\s*>') AS quote, length(regexp_extract(l.line, '^(#{{1,6}})\\s', 1)) AS level
+              FROM lines l JOIN walk w ON l.package_id = w.package_id AND l.path = w.path AND l.line_no = w.line_no + 1)))))"""
+    norm = masked + r""",
+norm AS MATERIALIZED (SELECT package_id, path, line_no, regexp_replace(regexp_replace(lower(line), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS line
+  FROM (SELECT package_id, path, line_no, line FROM walk WHERE line_no > 0 UNION ALL SELECT package_id, path, line_no, line FROM lines WHERE NOT ends_with(lower(path), '.md')))"""
     beh = "\nUNION ALL ".join(f"SELECT package_id, path, CAST({i} AS BIGINT) AS pat_idx, {_L(p.rule)} AS rule_id, CAST(sum(c) AS BIGINT) AS n, min(line_no) AS line_no, min_by(substr(line, 1, 120), line_no) AS snippet FROM (SELECT *, len(regexp_extract_all(line, {_L(p.regex)})) AS c FROM norm) WHERE c > 0 GROUP BY ALL" for i, p in enumerate(BEHAVIORAL) if not p.look_back)
-    o["q19_behavioral_counts"] = _with(norm) + "\n" + beh
+    walking = lambda *more: _with(*more).replace("WITH files", "WITH RECURSIVE files", 1)
+    o["q19_behavioral_counts"] = walking(norm) + "\n" + beh
+    ask = BEHAVIORAL[11].regex
+    before = "right(array_to_string(list_transform(range(1, i + 1), lambda j: parts[j] || CASE WHEN j < i THEN m[j] ELSE '' END), ''), 40)"
+    asked = f"asked AS (SELECT package_id, path, line_no, len(list_filter(range(1, len(m) + 1), lambda i: NOT regexp_matches({before}, {_L(NEGATION)}))) AS c FROM (SELECT *, regexp_extract_all(line, {_L(ask)}) AS m, string_split_regex(line, {_L(ask)}) AS parts FROM norm) WHERE len(m) > 0)"
+    o["q20_negated_solicitation"] = walking(norm, asked) + "\nSELECT package_id, path, CAST(sum(c) AS BIGINT) AS n, min(line_no) AS line_no FROM asked WHERE c > 0 GROUP BY 1, 2"
+    invisible = "[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FEFF}\\x{E0000}-\\x{E007F}]"
+    any_of = lambda rules, x: "(" + " OR ".join(f"regexp_matches({x}, {_L(p.regex)})" for p in rules) + ")"
+    low_line = "regexp_replace(regexp_replace(lower(line), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+    o["q06_hidden_unicode"] = _with(f"inv AS (SELECT package_id, path, line_no, regexp_replace(line, '{invisible}', '', 'g') AS line FROM lines WHERE regexp_matches(line, '{invisible}'))",
+        f"v AS (SELECT package_id, path, line_no, CASE WHEN {any_of(SENSITIVE, 'line')} THEN 'pattern' WHEN {any_of(BEHAVIORAL, low_line)} THEN 'signal' WHEN regexp_matches(line, {_L(URL_HIDDEN)}) THEN 'url' END AS v FROM inv)") + """
+SELECT package_id, path, coalesce(min(line_no) FILTER (WHERE v IS NOT NULL), min(line_no)) AS line_no, coalesce(min_by(v, line_no) FILTER (WHERE v IS NOT NULL), 'plain') AS verdict FROM v GROUP BY 1, 2"""
+    failing = "\nUNION ALL ".join(f"SELECT package_id FROM norm WHERE regexp_matches(line, {_L(p.regex)})" for p in BEHAVIORAL if p.severity in ("critical", "high") and not p.look_back)
+    o["q22_rollups"] = walking(norm, asked, _sensitive_hits(), _entropy("lines")) + f"""
+SELECT DISTINCT package_id, 'VTD-0091' AS rule_id FROM files WHERE package_id NOT IN (SELECT package_id FROM sens WHERE severity IN ('critical', 'high') UNION ALL SELECT package_id FROM keyed JOIN ent USING (id) WHERE round(h, 12) >= 3.5
+  UNION ALL SELECT package_id FROM files WHERE regexp_matches(path, {_L(ENV_FILE)}))
+UNION ALL SELECT DISTINCT package_id, 'VTD-0092' FROM files WHERE package_id NOT IN ({failing} UNION ALL SELECT package_id FROM asked WHERE c > 0)"""
     sink = "(" + " OR ".join(f"regexp_matches(content, {_L(p)})" for p in SINKS) + ")"
     o["q23_exfil_chain"] = _with(_sensitive_hits(), _entropy("lines")) + f""",
  src AS (SELECT package_id, path FROM sens WHERE source UNION SELECT package_id, path FROM keyed JOIN ent USING (id) WHERE round(h, 12) >= 3.5)
