@@ -55,7 +55,7 @@ def base64_verdicts(files: DataFrame) -> DataFrame:
     package_id, path, verdict, rule_id, matched (index of the pattern), line_no."""
     p, markdown = F.col("path"), is_markdown(F.col("path"))
     some = F.col("content").rlike(r"""[A-Za-z0-9+/_-]{32}|["'][A-Za-z0-9+/=_-]{4}|=["'][^"'\r\n]{32}""")
-    rows = files.where(~p.startswith("evals/") & ~p.startswith("references/") & some).select("package_id", "path", F.posexplode(candidates(F.col("content"))).alias("ord", "c"))
+    rows = files.where(~p.startswith("evals/") & ~p.startswith("references/") & some).select("package_id", "path", F.posexplode_outer(candidates(F.col("content"))).alias("ord", "c")).where("c is not null")
     rows = rows.select("package_id", "path", "ord", F.col("c.kind").alias("kind"), F.col("c.line_no").alias("line_no"), X.lenient_base64(F.col("c.b64")).alias("text")).where("text is not null")
     rows = rows.withColumn("matched", first_sensitive(F.col("text"), markdown))
     danger = F.when(F.col("matched").isNotNull(), F.lit("code")).when(has_sink(F.col("text")), F.lit("net")).when(F.col("text").rlike(X.java(URL_IN_B64)), F.lit("url"))

@@ -89,7 +89,8 @@ def sensitive_matches(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -
     """First match per file and pattern: package_id, path, pat_idx, line_no, snippet and the rule's columns."""
     markdown = is_markdown(F.col("path"))
     found = within({"content": F.col("content"), "low": X.folded(F.col("content")), "markdown": markdown}, lambda s: sensitive_on(s["content"], s["low"], s["markdown"], registry))
-    hits = files.select("package_id", "path", "content", F.explode(found).alias("m"))
+    # explode() would have the optimizer evaluate the patterns once more, as a filter
+    hits = files.select("package_id", "path", "content", F.explode_outer(found).alias("m")).where("m is not null")
     i = F.col("m.idx")
     return hits.select(
         "package_id", "path", i.alias("pat_idx"), F.col("m.line_no").alias("line_no"), X.snippet(F.element_at(X.lines(F.col("content")), F.col("m.line_no").cast("int"))).alias("snippet"),
@@ -172,7 +173,7 @@ def behavioral_matches(files: DataFrame, registry: list[Behavioral] = BEHAVIORAL
     near = files.where(X.contains_any(X.folded(F.col("content")), some)) if some else files
     rows = F.transform(F.when(is_markdown(F.col("path")), masked_lines(F.col("content"))).otherwise(X.lines(F.col("content"))), lambda x: X.normalized(x))
     found = within({"rows": F.col("rows"), "low": F.array_join("rows", "\n")}, lambda s: behavioral_on(s["rows"], s["low"], registry))
-    hits = near.select("package_id", "path", rows.alias("rows")).select("package_id", "path", "rows", F.explode(found).alias("m"))
+    hits = near.select("package_id", "path", rows.alias("rows")).select("package_id", "path", "rows", F.explode_outer(found).alias("m")).where("m is not null")
     i = F.col("m.idx")
     return hits.select(
         "package_id", "path", i.alias("pat_idx"), F.col("m.n").alias("n"), F.col("m.line_no").alias("line_no"), F.substring(F.element_at("rows", F.col("m.line_no").cast("int")), 1, 120).alias("snippet"),
