@@ -26,7 +26,7 @@ from .common import read
 
 CAPACITY = 1024
 END = 0
-DIMENSIONS, DEPTH = 4, 10
+DIMENSIONS, DEPTH = 4, 9  # with 24 bits of tie-break the order stays below 2**63
 #: Range bounds come from at most so many documents; every document is then dealt by them.
 BOUND_SAMPLE = 4096
 #: Documents a range holds, about.
