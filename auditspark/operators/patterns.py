@@ -85,15 +85,38 @@ def first_sensitive(value: Column, markdown: Column | None = None, registry: lis
     return within({"value": value, "low": X.folded(value), "markdown": F.lit(False) if markdown is None else markdown}, find)
 
 
+def sensitive_found(path: Column, content: Column, registry: list[Sensitive] = SENSITIVE) -> Column:
+    """array<struct<idx, line_no, snippet>>: the first match of each pattern in a file."""
+
+    def find(s: Column) -> Column:
+        hits = sensitive_on(s["content"], s["low"], s["markdown"], registry)
+        return F.transform(hits, lambda m: F.struct(m["idx"].alias("idx"), m["line_no"].alias("line_no"), X.snippet(F.element_at(X.lines(s["content"]), m["line_no"].cast("int"))).alias("snippet")))
+
+    return within({"content": content, "low": X.folded(content), "markdown": is_markdown(path)}, find)
+
+
+def content_hits(files: DataFrame, sensitive_rules: list[Sensitive] = SENSITIVE, behavioral_rules: list[Behavioral] = BEHAVIORAL) -> DataFrame:
+    """package_id, path and the matches of the three line scans, of the files that have any: one pass
+    over the contents.  The scans below take such a table in place of files."""
+    p, c = F.col("path"), F.col("content")
+    rows = files.select("package_id", "path", sensitive_found(p, c, sensitive_rules).alias("sensitive"), entropy_found(p, c).alias("entropy"), behavioral_found(p, c, behavioral_rules).alias("behavioral"))
+    return rows.where((F.size("sensitive") > 0) | (F.size("entropy") > 0) | (F.size("behavioral") > 0))
+
+
+def _exploded(files: DataFrame, name: str, found: Column) -> DataFrame:
+    """package_id, path, m: a row per match.  (explode() would have the optimizer evaluate the
+    patterns once more, as a filter.)"""
+    column = F.col(name) if name in files.columns else found
+    return files.select("package_id", "path", F.explode_outer(column).alias("m")).where("m is not null")
+
+
 def sensitive_matches(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -> DataFrame:
     """First match per file and pattern: package_id, path, pat_idx, line_no, snippet and the rule's columns."""
     markdown = is_markdown(F.col("path"))
-    found = within({"content": F.col("content"), "low": X.folded(F.col("content")), "markdown": markdown}, lambda s: sensitive_on(s["content"], s["low"], s["markdown"], registry))
-    # explode() would have the optimizer evaluate the patterns once more, as a filter
-    hits = files.select("package_id", "path", "content", F.explode_outer(found).alias("m")).where("m is not null")
+    hits = _exploded(files, "sensitive", sensitive_found(F.col("path"), F.col("content"), registry))
     i = F.col("m.idx")
     return hits.select(
-        "package_id", "path", i.alias("pat_idx"), F.col("m.line_no").alias("line_no"), X.snippet(F.element_at(X.lines(F.col("content")), F.col("m.line_no").cast("int"))).alias("snippet"),
+        "package_id", "path", i.alias("pat_idx"), F.col("m.line_no").alias("line_no"), F.col("m.snippet").alias("snippet"),
         pick([p.rule for p in registry], i).alias("rule_id"), pick([p.label for p in registry], i).alias("label"), pick([p.intent for p in registry], i).alias("intent"),
         F.coalesce(F.when(markdown, pick([p.doc_severity for p in registry], i)), pick([p.severity for p in registry], i)).alias("severity"), pick([p.bucket for p in registry], i).alias("bucket"),
     )
@@ -105,17 +128,24 @@ def sensitive(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -> DataFr
     return finding(m, 150, c("rule_id"), "security", c("severity"), c("label"), detected(c("path"), c("line_no"), c("snippet")), filepath=c("path"), intent=c("intent"), k1=c("path"), k2=c("pat_idx"), line_no=c("line_no"), detected_in=c("path"), bucket=c("bucket"))
 
 
-def entropy_matches(files: DataFrame, least: float = 3.5) -> DataFrame:
-    """Lines outside markdown that assign a quoted value of high entropy to a key that names a secret."""
-    line = F.explode(F.filter(F.transform(X.lines(F.col("content")), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("line"))), lambda s: s["line"].rlike(r"[:=]\s*[\"']")))
+def entropy_found(path: Column, content: Column, least: float = 3.5) -> Column:
+    """array<struct<line_no, snippet, entropy>>: the lines of a file other than markdown that assign a
+    quoted value of high entropy to a key that names a secret; the first such value of a line counts."""
     pattern = F.lit(X.java(ASSIGNMENT_ANCHORED))
-    pairs = F.arrays_zip(F.regexp_extract_all("line", pattern, F.lit(1)).alias("k"), F.regexp_extract_all("line", pattern, F.lit(2)).alias("v"))
-    worst = F.filter(F.transform(F.filter("pairs", lambda p: p["k"].rlike(X.java(SECRET_KEY))), lambda p: X.entropy(p["v"])), lambda h: h >= least)
-    return (
-        files.where(~is_markdown(F.col("path"))).select("package_id", "path", line.alias("s")).select("package_id", "path", "s.*")
-        .where(F.col("line").rlike(X.java(ASSIGNMENT_ANCHORED))).withColumn("pairs", pairs).withColumn("entropies", worst).where(F.size("entropies") > 0)
-        .select("package_id", "path", "line_no", X.snippet(F.col("line")).alias("snippet"), F.get("entropies", F.lit(0)).alias("entropy"))
-    )
+
+    def first(line: Column) -> Column:
+        keys, values = F.regexp_extract_all(line, pattern, F.lit(1)), F.regexp_extract_all(line, pattern, F.lit(2))
+        of_secrets = F.zip_with(keys, values, lambda k, v: F.when(k.rlike(X.java(SECRET_KEY)), X.entropy(v)))
+        return F.get(F.filter(of_secrets, lambda h: h >= least), F.lit(0))
+
+    assigns = lambda x: x.rlike(r"[:=]\s*[\"']") & x.rlike(X.java(ASSIGNMENT_ANCHORED))
+    numbered = F.transform(X.lines(content), lambda x, i: F.when(assigns(x), F.struct((i + 1).cast("bigint").alias("line_no"), X.snippet(x).alias("snippet"), first(x).alias("entropy"))))
+    return F.filter(F.when(is_markdown(path), F.array()).otherwise(numbered), lambda s: s["entropy"].isNotNull())
+
+
+def entropy_matches(files: DataFrame) -> DataFrame:
+    """package_id, path, line_no, snippet, entropy of every such line."""
+    return _exploded(files, "entropy", entropy_found(F.col("path"), F.col("content"))).select("package_id", "path", "m.*")
 
 
 def entropy(files: DataFrame) -> DataFrame:
@@ -166,17 +196,25 @@ def first_behavioral(line: Column, registry: list[Behavioral] = BEHAVIORAL) -> C
     return within({"line": line}, lambda s: F.coalesce(*[F.when(_needle(s["line"], BEHAVIORAL_NEEDLES, i) & s["line"].rlike(X.java(p.regex.replace(FILLER, POSSESSIVE))), F.lit(i)) for i, p in enumerate(registry)]))
 
 
+def behavioral_found(path: Column, content: Column, registry: list[Behavioral] = BEHAVIORAL) -> Column:
+    """array<struct<idx, n, line_no, snippet>>: matches per pattern, with the first one's line."""
+    # a file is masked and normalized only if some needle is in it at all
+    some = X.contains_any(X.folded(content), sorted({w for n in BEHAVIORAL_NEEDLES for w in n})) if registry is BEHAVIORAL else F.lit(True)
+    rows = F.transform(F.when(is_markdown(path), masked_lines(content)).otherwise(X.lines(content)), lambda x: X.normalized(x))
+
+    def find(s: Column) -> Column:
+        hits = within({"rows": s["rows"], "low": F.array_join(s["rows"], "\n")}, lambda t: behavioral_on(t["rows"], t["low"], registry))
+        return F.transform(hits, lambda m: F.struct(m["idx"].alias("idx"), m["n"].alias("n"), m["line_no"].alias("line_no"), F.substring(F.element_at(s["rows"], m["line_no"].cast("int")), 1, 120).alias("snippet")))
+
+    return F.when(some, within({"rows": rows}, find))
+
+
 def behavioral_matches(files: DataFrame, registry: list[Behavioral] = BEHAVIORAL) -> DataFrame:
     """Matches per file and pattern: package_id, path, pat_idx, n, line_no and snippet of the first."""
-    # a file can be masked or matched only if some needle is in it at all
-    some = sorted({w for n in BEHAVIORAL_NEEDLES for w in n}) if registry is BEHAVIORAL else None
-    near = files.where(X.contains_any(X.folded(F.col("content")), some)) if some else files
-    rows = F.transform(F.when(is_markdown(F.col("path")), masked_lines(F.col("content"))).otherwise(X.lines(F.col("content"))), lambda x: X.normalized(x))
-    found = within({"rows": F.col("rows"), "low": F.array_join("rows", "\n")}, lambda s: behavioral_on(s["rows"], s["low"], registry))
-    hits = near.select("package_id", "path", rows.alias("rows")).select("package_id", "path", "rows", F.explode_outer(found).alias("m")).where("m is not null")
+    hits = _exploded(files, "behavioral", behavioral_found(F.col("path"), F.col("content"), registry))
     i = F.col("m.idx")
     return hits.select(
-        "package_id", "path", i.alias("pat_idx"), F.col("m.n").alias("n"), F.col("m.line_no").alias("line_no"), F.substring(F.element_at("rows", F.col("m.line_no").cast("int")), 1, 120).alias("snippet"),
+        "package_id", "path", i.alias("pat_idx"), F.col("m.n").alias("n"), F.col("m.line_no").alias("line_no"), F.col("m.snippet").alias("snippet"),
         pick([p.rule for p in registry], i).alias("rule_id"), pick([p.label for p in registry], i).alias("label"), pick([p.severity for p in registry], i).alias("severity"),
     )
 

@@ -35,9 +35,10 @@ def scan(files: DataFrame, paths: DataFrame, packages: DataFrame | None = None,
         packages = paths.select("package_id").union(files.select("package_id")).distinct()
     flags = structure.flags(packages, files, paths)
     defs = definition.definitions(packages, files, paths)
+    hits = materialized(patterns.content_hits(files, sensitive, behavioral))
     before = _union(
         structure.layout(flags), definition.definition_checks(defs), definition.description_checks(defs), definition.body_checks(defs, flags), scripts.script_checks(files, flags),
-        patterns.sensitive(files, sensitive), patterns.entropy(files), patterns.env_files(files), encoding.base64(files), patterns.behavioral(files, behavioral), encoding.hidden_unicode(files),
+        patterns.sensitive(hits, sensitive), patterns.entropy(hits), patterns.env_files(files), encoding.base64(files), patterns.behavioral(hits, behavioral), encoding.hidden_unicode(files),
         scripts.external_urls(files), evals.eval_checks(files, paths, flags),
     )
     # findings are few beside the files: kept, they spare the roll-ups and chains a new scan each
