@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import DEFAULT_SOURCE
+
 COLUMNS = ["package_id", "phase", "k1", "k2", "rule_id", "category", "severity", "label", "detail", "filepath", "owasp_llm_category", "chain_id", "intent", "source", "line_no", "detail_path", "bucket"]
 
 
@@ -27,7 +29,7 @@ def finding(
         "package_id", F.lit(phase).alias("phase"), (k1 if k1 is not None else F.lit("")).alias("k1"), (k2 if k2 is not None else F.lit(0)).cast("bigint").alias("k2"),
         col(rule).alias("rule_id"), F.lit(category).alias("category"), col(severity).alias("severity"), col(label).alias("label"), detail.alias("detail"),
         (filepath if filepath is not None else null()).alias("filepath"), null().alias("owasp_llm_category"), (chain_id if chain_id is not None else null()).alias("chain_id"),
-        col(intent).cast("string").alias("intent"), F.lit("vettd").alias("source"), (line_no if line_no is not None else null("bigint")).cast("bigint").alias("line_no"),
+        col(intent).cast("string").alias("intent"), F.lit(DEFAULT_SOURCE).alias("source"), (line_no if line_no is not None else null("bigint")).cast("bigint").alias("line_no"),
         (F.split_part(detected_in, F.lit(":"), F.lit(1)) if detected_in is not None else null()).alias("detail_path"), (bucket if bucket is not None else null()).alias("bucket"),
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import DEFAULT_SOURCE
+
 KEYS = ["package_id", "category", "rule_id", "label"]
 #: Fields that must agree; details are compared without where they were detected.
 FIELDS = ["severity", "intent", "chain_id", "source", "detail"]
@@ -17,7 +19,7 @@ def stripped_detail(detail: Column) -> Column:
 
 def side(findings: DataFrame, order: str = "seq") -> DataFrame:
     """This engine's findings (or of no stated source), the last of each key, details stripped."""
-    own = findings.where(F.col("source") == "vettd")
+    own = findings.where(F.col("source") == DEFAULT_SOURCE)
     last = own.groupBy(*KEYS).agg(F.max_by(F.struct("severity", "intent", "chain_id", "source", stripped_detail(F.col("detail")).alias("detail")), order).alias("f"))
     return last.select(*KEYS, "f.*")
 

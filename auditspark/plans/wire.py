@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import FINDING, SCANNER_SCHEMA_VERSION
+from ..schema import DEFAULT_SOURCE, FINDING, SCANNER_SCHEMA_VERSION
 
 #: Names on the wire; filepath and source are left out where they are null or the default.
 WIRE = {"rule_id": "ruleId", "owasp_llm_category": "owaspLlmCategory", "chain_id": "chainId"}
@@ -26,7 +26,7 @@ def finding_json(row: Column | None = None) -> Column:
         if n == "filepath":
             pair = F.when(get(n).isNotNull(), pair)
         if n == "source":
-            pair = F.when(get(n) != "vettd", pair)
+            pair = F.when(get(n) != DEFAULT_SOURCE, pair)
         parts.append(pair)
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
@@ -52,5 +52,5 @@ def from_wire(bodies: DataFrame, key: str = "package_id", body: str = "body") ->
     stated = F.map_contains_key(F.col("z.m"), F.lit("source"))
     return rows.select(
         key, (F.col("pos") + 1).cast("bigint").alias("seq"),
-        *[(F.coalesce(F.col("z.f.ruleId"), F.lit("")) if n == "rule_id" else F.when(stated, F.col("z.f.source")).otherwise("vettd") if n == "source" else F.col(f"z.f.{WIRE.get(n, n)}")).alias(n) for n in FINDING],
+        *[(F.coalesce(F.col("z.f.ruleId"), F.lit("")) if n == "rule_id" else F.when(stated, F.col("z.f.source")).otherwise(DEFAULT_SOURCE) if n == "source" else F.col(f"z.f.{WIRE.get(n, n)}")).alias(n) for n in FINDING],
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCANNER_SCHEMA_VERSION = 9
+# Fixed value: the source of a finding that states none.
+DEFAULT_SOURCE = "vettd"
 
 PACKAGES = T.StructType([T.StructField("package_id", T.StringType(), False)])
 FILES = T.StructType([T.StructField(c, T.StringType(), False) for c in ("package_id", "path", "content")])

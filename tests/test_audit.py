@@ -231,3 +231,17 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert [json.loads(r.response)["fileCount"] for r in spark.read.json(str(tmp_path / "out")).collect()] == [1]
     assert [r.package_id for r in spark.read.json(str(tmp_path / "bad")).collect()] == ["b"]
+
+
+def test_from_wire(spark):
+    body = json.dumps({"findings": [{"ruleId": "R", "category": "security", "severity": "low", "label": "l", "detail": "d"}, {"category": "c", "source": None, "filepath": "f"}, {"ruleId": "S", "source": "else"}]})
+    rows = wire.from_wire(spark.createDataFrame([("p", body)], "package_id string, body string")).orderBy("seq").collect()
+    assert [(r.rule_id, r.source, r.filepath, r.seq) for r in rows] == [("R", "vettd", None, 1), ("", None, "f", 2), ("S", "else", None, 3)]
+
+
+def test_nested_roots(spark):
+    from auditspark.sources.directories import nested
+
+    paths = spark.createDataFrame([("a/SKILL.md",), ("a/b/skill.md",), ("a/b/x.txt",), ("c.txt",)], "path string")
+    roots = spark.createDataFrame([("a",), ("a/b",)], "root string")
+    assert sorted(map(tuple, nested(paths, roots).collect())) == [("a", "SKILL.md"), ("a", "b/skill.md"), ("a", "b/x.txt"), ("a/b", "skill.md"), ("a/b", "x.txt")]
