@@ -79,16 +79,18 @@ def fit(rows: list[np.ndarray], y: np.ndarray, steps: int = 250, rate: float = 0
     n, pos = len(y), float(y.sum())
     if n == 0 or pos in (0, n):  # one class only: its (smoothed) rate
         return Machine({}, float(np.log((pos + 1) / (n - pos + 1))), np.zeros(0), np.zeros((0, FACTORS)))
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    in1 = np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t] or [flat[:0]]), minlength=1 << BITS).astype(float)
-    in0 = np.bincount(flat, minlength=1 << BITS) - in1
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for r, t in zip(rows, y, strict=True):  # a row's terms are distinct
+        counts[int(t > 0), r] += 1
+    often = np.flatnonzero(counts.sum(0) >= LEAST_ROWS)  # the statistics below are of these alone
+    in0, in1 = counts[:, often].astype(float)
     x = np.array([in1, in0, pos - in1, n - pos - in0])
     both, rest = in1 + in0, n - in1 - in0
     expect = np.array([both * pos / n, both * (n - pos) / n, rest * pos / n, rest * (n - pos) / n])
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * np.where(x > 0, x * np.log(x / expect), 0).sum(0)
-    keep = np.flatnonzero((both >= LEAST_ROWS) & (g >= LEAST_G))
-    keep = np.sort(keep[np.argsort(-g[keep], kind="stable")][:MOST_TERMS])
+    keep = np.flatnonzero(g >= LEAST_G)
+    keep = often[np.sort(keep[np.argsort(-g[keep], kind="stable")][:MOST_TERMS])]
     at = np.full(1 << BITS, -1)
     at[keep] = np.arange(len(keep))
     m = np.zeros((n, len(keep)), np.float32)
@@ -99,11 +101,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, steps: int = 250, rate: float = 0
     p = [np.array([np.log(pos / (n - pos))]), np.zeros(len(keep)), rng.normal(0, 0.02, (len(keep), FACTORS))]
     m1, m2 = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for t in range(1, steps + 1):
-        mv = m @ p[2]
-        s = p[0] + m @ p[1] + 0.5 * ((mv**2).sum(1) - m @ (p[2] ** 2).sum(1))
-        d = (1 / (1 + np.exp(-s)) - y) / n
+        w, v = p[1].astype(np.float32), p[2].astype(np.float32)  # of m's type, lest each product copy m
+        mv = m @ v
+        s = p[0] + m @ w + 0.5 * ((mv**2).sum(1) - m @ (v**2).sum(1))
+        d = ((1 / (1 + np.exp(-s)) - y) / n).astype(np.float32)
         gw = m.T @ d
-        grads = [np.array([d.sum()]), gw + decay * p[1] / max(1, len(keep)), m.T @ (d[:, None] * mv) - p[2] * gw[:, None] + decay * p[2]]
+        grads = [np.array([d.sum()], float), gw + decay * p[1] / max(1, len(keep)), m.T @ (d[:, None] * mv) - p[2] * gw[:, None] + decay * p[2]]
         for a, b, c, gr in zip(p, m1, m2, grads, strict=True):
             b += 0.1 * (gr - b)
             c += 0.01 * (gr**2 - c)
