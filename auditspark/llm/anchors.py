@@ -216,9 +216,10 @@ def marked_intervals(docs: DataFrame, units_of, cut, length: int, gram: int, all
                     rows.append(whole)
                     continue
                 if block and block[-1][0] == seg and last == key:  # a copy from another task, later in order
-                    if (doc, th, start) != block[-1][1:4]:
-                        block[-1][4] = True
+                    if [doc, th, start] != block[-1][1:4]:
+                        again = True
                         rows.append(whole)
+                    block[-1][4] |= again
                     continue
                 if key != last and size > 1_500_000:
                     rows += shard_run(block)

@@ -94,3 +94,21 @@ def test_queues_spill(monkeypatch):
     monkeypatch.setattr(suffixes, "TAKE_ROWS", 7)
     t = np.random.default_rng(5).integers(0, 3, 400).astype(np.uint8)
     assert suffixes.suffix_array(t, 255)[0].tolist() == sorted(range(400), key=lambda i: t.tobytes()[i:])
+
+
+def test_repeated_rows_in_two_partitions(spark, tmp_path):
+    """A repeated row is one document, in whichever task its copies are read; its other copies still count."""
+    alone, shared = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alone", "shared"))
+    rows = [(1, alone), (2, shared), (3, f"{shared} and an end")]
+    dealt = spark.sparkContext.parallelize([rows[0], rows[1], rows[0], rows[1], rows[2], rows[1]], 3)
+    d = table(spark, tmp_path, documents=spark.createDataFrame(dealt, "doc_id bigint, text string"))
+    own = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in own:
+            spark.conf.set(k, "8192")
+        assert spark.read.parquet(f"{d}/documents.parquet").rdd.getNumPartitions() == 3
+        for query, slow in ((phrases.op3_phrase_automata, words_removed), (suffixes.op8_induced_suffixes, bytes_removed)):
+            assert set(map(tuple, query(spark, d).collect())) == set(slow(rows))
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
