@@ -1,11 +1,12 @@
 """Operator 6: benchmark decontamination by rare seeds and Smith-Waterman alignment.
 
-Every GRAM-word string of the test items is a possible seed; its document frequency is counted over
-all documents, and each item's seeds are the rarer half of those it shares with them (ties included), so no
-passage is too frequent to be found.  A document with two seeds of an item (or all it has) close
-together is a candidate, and the item is aligned with that stretch of the document word by word.
-The score is the best local alignment's share of a perfect one; pairs from THRESHOLD on are
-returned, with the words of the document that the alignment spans.
+Every GRAM-word string of the test items is a seed, however often it occurs: a cut by document
+frequency would depend on the other documents, and leave an edited copy without seeds where others
+hold the item unchanged.  Strings of so many words are rare by themselves.  Where a document has a seed
+of an item, the stretch around it is a candidate if it holds enough of the item's words to reach
+THRESHOLD at all (an upper bound of the score, so this loses nothing), and the item is aligned with
+it word by word.  The score is the best local alignment's share of a perfect one; pairs from THRESHOLD
+on are returned, with the words of the document that the alignment spans.
 
 Test items are read in blocks of bounded size, one pass over the documents each, so neither side
 need fit in memory; documents are never shuffled.  Words are lower-cased runs of ASCII letters,
@@ -139,32 +140,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 def block_matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_ITEMS items, BLOCK_BYTES bytes
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = shared.value
-        df = np.zeros(len(it.grams), np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                df[np.unique(it.hits(t)[2])] += 1
-        g = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(df[g])], names=["gram", "df"])
-
-    df = np.zeros(len(items.grams), np.int64)
-    for g, n in docs.select("text").mapInArrow(count, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df")).collect():
-        df[g] = n
-    # the rarer half of an item's own grams, of those that occur at all
-    own = np.repeat(np.arange(len(items.grams)), np.diff(items.first))
-    limit = np.zeros(len(items.ids))
-    o = np.lexsort((df[own], items.entry_item))
-    o = o[df[own[o]] > 0]
-    begin = np.searchsorted(items.entry_item[o], np.arange(len(items.ids) + 1))
-    some = np.flatnonzero(np.diff(begin))
-    limit[some] = df[own[o[(begin[some] + begin[some + 1]) // 2]]]
-    rare = df[own] <= limit[items.entry_item] if len(own) else np.zeros(0, bool)
-    seeds_of = np.bincount(items.entry_item[rare], minlength=len(items.ids)) if len(own) else np.zeros(0, np.int64)
-    chosen = docs.sparkSession.sparkContext.broadcast((rare, seeds_of))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, (rare, seeds_of) = shared.value, chosen.value
+        it = shared.value
+        within = np.zeros(len(it.number) + 1, bool)  # which words stand in the text or stretch at hand
         memo: dict[tuple[int, bytes], tuple[float, int, int]] = {}
         for b in batches:
             out = []
@@ -172,22 +150,29 @@ def block_matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 n, at, gram = it.hits(text)
                 if not len(at):
                     continue
-                # every (item, position in it, position in the text) of a rare gram
+                # every (item, position in it, position in the text) of a gram
                 many = it.first[gram + 1] - it.first[gram]
                 e = np.repeat(it.first[gram], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                pos, e = np.repeat(at, many)[rare[e]], e[rare[e]]
-                item = it.entry_item[e]
+                pos, item = np.repeat(at, many), it.entry_item[e]
                 o = np.lexsort((pos, item))
                 pos, item, e = pos[o], item[o], e[o]
-                for i in np.unique(item).tolist():
-                    m, p = len(it.words[i]), pos[item == i]
-                    where = it.entry_at[e[item == i]]
+                begin = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+                within[n] = True
+                likely = [within[it.words[i]].sum() >= threshold * len(it.words[i]) for i in item[begin].tolist()]
+                within[n] = False
+                for s, z in zip(begin[likely].tolist(), np.append(begin[1:], len(item))[likely].tolist(), strict=True):
+                    i = int(item[s])
+                    m, p, where = len(it.words[i]), pos[s:z], it.entry_at[e[s:z]]
                     best = (0.0, 0, 0, 0)
                     cut = np.flatnonzero(np.diff(p) > 2 * m) + 1
                     for q, s in zip(np.split(p, cut), np.split(where, cut), strict=True):
-                        if len(set(s.tolist())) < min(2, seeds_of[i]):
-                            continue
                         lo, hi = max(0, int(q[0]) - 2 * m), min(len(n), int(q[-1]) + 2 * m)
+                        # an alignment matches each of the item's words at most once: no score beyond this share
+                        within[n[lo:hi]] = True
+                        some = within[it.words[i]].sum()
+                        within[n[lo:hi]] = False
+                        if some < threshold * m:
+                            continue
                         key = (i, n[lo:hi].tobytes())
                         if key not in memo:
                             if len(memo) > 20_000:

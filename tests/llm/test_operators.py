@@ -187,6 +187,23 @@ def test_decontamination_finds_edits(spark):
     assert {(x.doc_id, x.item_id) for x in got} == {(i, i) for i in range(20)}
 
 
+def test_decontamination_finds_edits_beside_verbatim_copies(spark):
+    """An unchanged copy in one document does not hide heavily edited ones in others."""
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    noise = lambda k: r.choices(words, k=k)
+    items = [(i, " ".join(noise(38))) for i in range(12)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        docs += [(10 * i, noise(40) + w + noise(40)), (10 * i + 1, noise(40) + [x if k % 5 else f"new{k}" for k, x in enumerate(w)] + noise(40))]
+        docs += [(10 * i + 2, noise(40) + [x if r.random() > 0.25 else f"new{k}" for k, x in enumerate(w)] + noise(40)), (10 * i + 3, noise(120))]
+    docs += [(1000 + k, items[0][1].split()) for k in range(60)]  # a passage in a third of all documents
+    got = decontamination.matches(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {(d, i) for d, w in docs for i, t in items if slow_align(t.split(), w) >= decontamination.THRESHOLD * decontamination.MATCH * 38}
+    assert {(x.doc_id, x.item_id) for x in got} == want and {(10 * i + 1, i) for i in range(12)} <= want
+
+
 def slow_align(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
