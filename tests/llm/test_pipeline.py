@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from auditspark.llm import decontamination, packing, simhash
 
@@ -46,3 +48,34 @@ def test_empty(spark, empty, tmp_path):
     documents = empty.selectExpr("doc_id", "text", "lang", "'s' as source", "length(text) as n_chars")
     folder = table(spark, tmp_path, documents=documents, labels=spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id bigint, text string"))
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_near_copies_against_brute_force(spark, tmp_path):
+    """Texts are linked where their five-word shingles overlap by 0.8 or more, and nowhere else."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    texts = {}
+    for k in range(30):
+        base = r.choices(words, k=r.choice((40, 120, 400)))
+        for edits in (0, 1, 2, 3, 5, 8, 12):
+            t = list(base)
+            for at in r.sample(range(len(t)), edits):
+                t[at] = r.choice(words)
+            texts[len(texts)] = " ".join(t)
+    texts |= {1000: None, 1001: "", 1002: "one two", 1003: "One  two"}
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in texts}
+    links = 0
+    for i in texts:
+        for j in texts:
+            if j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                links += 1
+                a, b = group[i], group[j]
+                group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
+    assert links > 90
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i in texts if group[i] == i}
