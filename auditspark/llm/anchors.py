@@ -7,34 +7,53 @@ other segment has cannot hold a repeated window.  Keys are counted over all docu
 whose key recurs travel, with their text, to the shard of the key, where they are compared exactly.
 
 Within a task identical segments are folded before the shuffle, so a passage in a third of all
-documents sends one row per task to its shard.
+documents sends one row per task to its shard.  A key with very many different segments is hot: its
+windows travel one by one, each under the hash of the whole window, so no key gathers more than
+about a quarter of a partition's fair share (see hot_limit) of different texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage, shuffle_partitions
+
 #: Up to so many recurring keys (8 bytes each) are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 6_000_000
-#: Units hashed at a time.
-BLOCK = 1 << 20
+#: Different segments that a key may always have, and the most it may have before it is hot.
+COOL, HOT = 2048, 250_000
+#: Windows of one segment; longer runs of one key are cut.
+MOST_WINDOWS = 256
+#: Bytes of text that a task folds at a time.
+FOLDED = 24_000_000
 NO_ID = -(2**63)
+PLACES = ["doc", "th", "start", "stop"]
+MIX, MASK = np.uint64(0xBF58476D1CE4E5B9), np.uint64(2**63 - 1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MIX
+    return (h ^ (h >> np.uint64(29))) & MASK
 
 
 def gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each `gram` (a power of two) consecutive units, mixed so that its order is arbitrary."""
+    """A hash of each `gram` consecutive units, mixed so that its order is arbitrary.
+
+    A gram that is no power of two is two overlapping ones that are."""
     h, b, n = units.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15), 1
     with np.errstate(over="ignore"):
-        while n < gram:
+        while 2 * n <= gram:
             h = h[:-n] * b + h[n:] if len(h) > n else h[:0]
             b, n = b * b, 2 * n
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (h ^ (h >> np.uint64(29))) & np.uint64(2**63 - 1)
+        h = _mixed(h)
+        if n < gram:
+            h = _mixed(h[: -(gram - n)] * b + h[gram - n :]) if len(h) > gram - n else h[:0]
+    return h
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -57,7 +76,13 @@ def _segments(units: np.ndarray, length: int, gram: int):
     h = gram_hashes(units, gram)
     k = sliding_min(h, length - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], first, np.diff(np.append(first, len(k))), h
+    n = np.diff(np.append(first, len(k)))
+    if n.max() > MOST_WINDOWS:
+        pieces = -(-n // MOST_WINDOWS)
+        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + step * MOST_WINDOWS
+        n = np.diff(np.append(first, len(k)))
+    return k[first], first, n, h
 
 
 def repeating(k: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
@@ -75,109 +100,142 @@ def repeating(k: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray, wi
 
 
 def counted_keys(docs: DataFrame, units_of, length: int, gram: int) -> DataFrame:
-    """key, n: the number of segments with the key; one within which a gram recurs counts twice."""
+    """key, n: the number of segments with the key (one within which a gram recurs counts twice);
+    d: at least the number of different ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, ids, again, size = [], [], [], 0
         for b in batches:
             for t in b.column(0).to_pylist():
                 k, first, n, h = _segments(units_of(t)[0], length, gram)
-                held += [k, repeating(k, first, n, h, length - gram + 1)]
+                held.append(k)
+                with np.errstate(over="ignore"):
+                    ids.append(k ^ _mixed(h[first] * MIX + h[first + n + length - gram - 1]))
+                again.append(repeating(k, first, n, h, length - gram + 1))
                 size += len(k)
                 if size > 400_000:
-                    yield folded(held)
-                    held, size = [], 0
+                    yield folded(held, ids, again)
+                    held, ids, again, size = [], [], [], 0
         if held:
-            yield folded(held)
+            yield folded(held, ids, again)
+
+    def folded(held, ids, again):
+        own, different = np.concatenate(held), np.concatenate(ids)
+        k, n = np.unique(np.concatenate([own, *again]), return_counts=True)
+        one = own[np.unique(different, return_index=True)[1]]
+        d = np.bincount(np.searchsorted(k, one), minlength=len(k))
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n), pa.array(d)], names=["key", "n", "d"])
+
+    return docs.select("text").mapInArrow(run, "key bigint, n bigint, d bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
-    def folded(held):
-        k, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def hot_limit(segments: int, partitions: int) -> int:
+    """Different segments beyond which a key is hot: a quarter of a partition's fair share, within bounds."""
+    return max(COOL, min(HOT, segments // (4 * partitions)))
 
 
 def with_identity(docs: DataFrame, text: Column) -> DataFrame:
-    """doc (the id, nulls first), th (a hash that tells rows with one id apart) and text as bytes.
+    """doc (the id, nulls first), th (60 bits of the text's MD5, which tell rows with one id apart and
+    order them) and text as bytes."""
+    th = F.conv(F.substring(F.md5(F.coalesce(text, F.lit(b""))), 1, 15), 16, 10).cast("bigint")
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), th.alias("th"), text.alias("text"))
 
-    Rows that agree in id and text count as one document."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), text.alias("text"))
 
+def places(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=PLACES)
 
-def marked_intervals(docs: DataFrame, units_of, cut, length: int, gram: int, all_copies: bool, shard_run, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+
+def marked_intervals(docs: DataFrame, units_of, cut, length: int, gram: int, all_copies: bool, new_shard: Callable, most_broadcast: int = MOST_BROADCAST, hot: int | None = None) -> DataFrame:
     """(doc, th, start, stop): unit intervals that repeated windows cover.
 
     units_of(text) -> (hashed units, handle); cut(handle, first, n) -> the bytes of n units.
-    all_copies: whether every copy is marked or all but the earliest.
-    shard_run(list of (text, doc, th, start, repeated)) yields (doc, th, start, stop) rows, where
-    equal texts have been folded and texts are sorted by key.
+    all_copies: every copy is marked, and a row repeated in the table is a copy; else all but the
+    earliest are, and rows that agree in id and text are one document.
+    new_shard() makes what compares the segments of some keys: add(text, doc, th, start) a segment
+    that differs from the others of its key, repeated() says that the last one added has copies,
+    `size` tells the bytes held, `most` how many it should hold, and run() yields arrays of PLACES.
     """
-    keys = counted_keys(docs, units_of, length, gram).where("n > 1").select("key")
+    keys = counted_keys(docs, units_of, length, gram).where("n > 1").select("key", "d")
     spark = docs.sparkSession
-    from .common import cut_lineage
-
     keys = cut_lineage(keys)
-    n = keys.count()
+    stats = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("d"), F.lit(0))).first()
+    n, limit = stats[0], hot_limit(stats[1], shuffle_partitions(spark)) if hot is None else hot
     row = "kind int, key bigint, seg binary, doc bigint, th bigint, start bigint, windows bigint, again boolean"
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["kind", "key", "seg", "doc", "th", "start", "windows", "again"]
+
+    def out(rows):
+        c = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=names)
 
     def fold(batches: Iterator[pa.RecordBatch], recurring) -> Iterator[pa.RecordBatch]:
-        """recurring(keys, batch row) -> mask.  Folds equal segments of the task."""
+        """recurring(keys, batch, row) -> masks of the keys that recur and of those that are hot.
+        Folds equal segments of the task."""
         held: dict[bytes, list] = {}
         done: list[tuple] = []
+        size = 0
 
-        def out(rows):
-            c = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            types = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["kind", "key", "seg", "doc", "th", "start", "windows", "again"])
+        def found(key: int, seg: bytes, at: tuple, m: int) -> int:
+            old = held.get(seg)
+            if old is None:
+                held[seg] = [key, at, m, False]
+                return len(seg)
+            if at != old[1] or all_copies:
+                late = max(at, old[1])
+                old[1], old[3] = min(at, old[1]), True
+                done.append((1, hash(late) & (2**62 - 1), None, *late, m, True))
+            return 0
 
-        size = 0
         for b in batches:
             texts, docs_, ths = b.column("text").to_pylist(), b.column("doc").to_pylist(), b.column("th").to_pylist()
             for r in range(b.num_rows):
                 units, handle = units_of(texts[r])
                 k, first, many = segments(units, length, gram)
-                for i in np.flatnonzero(recurring(k, b, r)).tolist() if len(k) else ():
+                if not len(k):
+                    continue
+                again, warm = recurring(k, b, r)
+                doc, th = docs_[r], ths[r]
+                for i in np.flatnonzero(again & ~warm).tolist():
                     s, m = int(first[i]), int(many[i])
-                    seg = cut(handle, s, m + length - 1)
-                    at = (docs_[r], ths[r], s)
-                    old = held.get(seg)
-                    if old is None:
-                        held[seg] = [int(k[i]), at, m, False]
-                        size += len(seg)
-                    elif at != old[1]:
-                        late = max(at, old[1])
-                        old[1], old[3] = min(at, old[1]), True
-                        done.append((1, hash(late) & (2**62 - 1), None, *late, m, True))
-            if size > 24_000_000 or len(done) > 50_000:
+                    size += found(int(k[i]), cut(handle, s, m + length - 1), (doc, th, s), m)
+                if warm.any():
+                    whole = gram_hashes(units, length)
+                    for i in np.flatnonzero(warm).tolist():
+                        for s in range(int(first[i]), int(first[i] + many[i])):
+                            size += found(int(whole[s]), cut(handle, s, length), (doc, th, s), 1)
+                            if size > FOLDED:
+                                yield from parts(held)
+                                held, size = {}, 0
+            if size > FOLDED or len(done) > 50_000:
                 yield out(done)
                 done = []
-            if size > 24_000_000:
-                for part in parts(held):
-                    yield out(part)
+            if size > FOLDED:
+                yield from parts(held)
                 held, size = {}, 0
         yield out(done)
-        for part in parts(held):
-            yield out(part)
+        yield from parts(held)
 
     def parts(held):
         rows = []
         for seg, (k, at, m, again) in held.items():
             rows.append((0, k, seg, *at, m, again))
             if len(rows) >= 20_000:
-                yield rows
+                yield out(rows)
                 rows = []
-        yield rows
+        yield out(rows)
 
     if n <= most_broadcast:
-        table = np.sort(keys.toArrow()["key"].to_numpy()) if n else np.zeros(0, np.int64)
-        shared = spark.sparkContext.broadcast(table)
-
-        def with_table(batches):
-            t = shared.value
+        table = np.sort(keys.select("key").toArrow()["key"].to_numpy()) if n else np.zeros(0, np.int64)
+        warm = np.sort(keys.where(F.col("d") > limit).select("key").toArrow()["key"].to_numpy()) if n else table
+        shared = spark.sparkContext.broadcast((table, warm))
 
-            def recurring(k, b, r):
-                return t[np.minimum(np.searchsorted(t, k.view(np.int64)), len(t) - 1)] == k.view(np.int64) if len(t) else np.zeros(len(k), bool)
+        def within(t: np.ndarray, k: np.ndarray) -> np.ndarray:
+            return t[np.minimum(np.searchsorted(t, k), len(t) - 1)] == k if len(t) else np.zeros(len(k), bool)
 
-            return fold(batches, recurring)
+        def with_table(batches):
+            table, warm = shared.value
+            return fold(batches, lambda k, b, r: (within(table, k.view(np.int64)), within(warm, k.view(np.int64))))
 
         found = docs.mapInArrow(with_table, row)
     else:
@@ -192,47 +250,48 @@ def marked_intervals(docs: DataFrame, units_of, cut, length: int, gram: int, all
                     ths += [h] * len(k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(docs_, pa.int64()), pa.array(ths, pa.int64())], names=["key", "doc", "th"])
 
-        own = docs.mapInArrow(pairs, "key bigint, doc bigint, th bigint").join(keys, "key").groupBy("doc", "th").agg(F.collect_set("key").alias("keys"))
+        own = docs.mapInArrow(pairs, "key bigint, doc bigint, th bigint").join(keys, "key").groupBy("doc", "th").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("d") > limit, F.col("key"))).alias("warm"))
 
         def with_own(batches):
-            return fold(batches, lambda k, b, r: np.isin(k.view(np.int64), np.array(b.column("keys")[r].as_py(), np.int64)))
+            def of(k, b, r):
+                return tuple(np.isin(k.view(np.int64), np.array(b.column(c)[r].as_py(), np.int64)) for c in ("keys", "warm"))
+
+            return fold(batches, of)
 
         found = docs.join(own, ["doc", "th"]).mapInArrow(with_own, row)
 
     dealt = found.repartition("key").sortWithinPartitions("key", "seg", "doc", "th", "start")
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "th", "start", "stop"]
+    def compared(block) -> Iterator[pa.RecordBatch]:
+        for arrays in block.run():
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in arrays], names=PLACES)
 
-        def out(rows):
-            c = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=names)
-
-        block, size, last, rows = [], 0, None, []
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last, at, rows = new_shard(), (None, None), None, []
         for b in batches:
             for kind, key, seg, doc, th, start, windows, again in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
                 whole = (doc, th, start, start + windows + length - 1)
                 if kind:
                     rows.append(whole)
-                    continue
-                if block and block[-1][0] == seg and last == key:  # a copy from another task, later in order
-                    if [doc, th, start] != block[-1][1:4]:
+                elif last == (key, seg):  # from another task, and not earlier
+                    if all_copies or at != whole[:3]:
                         again = True
                         rows.append(whole)
-                    block[-1][4] |= again
-                    continue
-                if key != last and size > 1_500_000:
-                    rows += shard_run(block)
-                    block, size = [], 0
-                block.append([seg, doc, th, start, again])
-                size += len(seg)
-                last = key
+                    if again:
+                        block.repeated()
+                else:
+                    if key != last[0] and block.size > block.most:
+                        yield from compared(block)
+                        block = new_shard()
+                    block.add(seg, doc, th, start)
+                    if again:
+                        block.repeated()
+                    last, at = (key, seg), whole[:3]
             if len(rows) > 20_000:
-                yield out(rows)
+                yield places(rows)
                 rows = []
-        if block:
-            rows += shard_run(block)
-        yield out(rows)
+        yield from compared(block)
+        yield places(rows)
 
     return dealt.mapInArrow(shard, "doc bigint, th bigint, start bigint, stop bigint")
 

@@ -1,20 +1,21 @@
 """Operator 3: repeated passages by sharded phrase automata.
 
 A window is WINDOW consecutive words; every word that a window covers whose word sequence also
-starts anywhere else is removed - all copies, the first too.  Segments that may hold a repeated
-window meet in the shard of their key (see anchors).  A shard confirms the windows that recur,
-merges them to passages, compiles the passages into an Aho-Corasick automaton and streams its
-segments through it: every occurrence of a passage marks its words.
+starts anywhere else is removed - all copies, the first too.  Documents are streamed in stretches: a
+stretch goes to the shard of its key (see anchors) if a window in it could recur, and no other shard
+holds a phrase that it could match.  A shard proposes passages by rolling hashes, compiles them into
+an Aho-Corasick automaton and streams all its stretches through it, which confirms the passages and
+locates every occurrence.
 
 Words are the unchanged runs of characters other than ASCII white space.  Null and empty texts have
-no words; rows that agree in id and text count as one document, so a repeated row alone removes
-nothing; texts shorter than a window are kept.  An empty table gives an empty result.
+no words; texts shorter than a window are kept.  Every row counts, so a row that is repeated in the
+table (same id, same text) stands elsewhere too and loses its windows like any other copy.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, covered, gathered, marked_intervals, runs_of, with_identity
+from .anchors import NO_ID, covered, gathered, gram_hashes, marked_intervals, runs_of, with_identity
 from .common import read
 
 WINDOW, GRAM = 35, 8
@@ -39,48 +40,85 @@ def cut_words(words: list[bytes], first: int, n: int) -> bytes:
     return b" ".join(words[first : first + n])
 
 
-def shard_passages(window: int):
-    def run(block: list[list]) -> Iterator[tuple[int, int, int, int]]:
-        """block: [text, doc, th, start, repeated] with distinct texts."""
-        texts = [b[0].split() for b in block]
-        seen: Counter[bytes] = Counter()
-        windows = []
-        for words, b in zip(texts, block, strict=True):
-            own = [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)] if not b[4] else []
-            windows.append(own)
-            if b[4]:
-                seen.update({w: 2 for w in (b" ".join(words[i : i + window]) for i in range(len(words) - window + 1))})
-            else:
-                seen.update(own)
-        # confirmed windows, merged to the longest passages they form within a segment
-        passages: dict[bytes, int] = {}
-        for words, b, own in zip(texts, block, windows, strict=True):
-            if b[4]:
-                passages[b[0]] = len(words)
-                continue
-            for s, e in zip(*runs_of(np.array([seen[w] > 1 for w in own], bool)), strict=True):
-                passages[b" ".join(words[s : e + window - 1])] = int(e - s) + window - 1
-        if not passages:
+class PhraseShard:
+    """Segments of some keys, compared through one automaton.
+
+    Words become numbers, windows rolling hashes.  Windows whose hash recurs are candidates; runs of
+    them are passages, cut into phrases of a window each that cover all their words.  The phrases are
+    compiled into an Aho-Corasick automaton over word numbers, and every segment is streamed through
+    it: a phrase found twice is confirmed, exactly, and all its occurrences mark their words."""
+
+    most = 1_500_000
+
+    def __init__(self, window: int):
+        self.window, self.size, self.length = window, 0, 0
+        self.numbers: dict[bytes, int] = {}
+        self.words: list[np.ndarray] = []
+        self.docs, self.ths, self.starts, self.copied = [], [], [], []
+
+    def add(self, seg: bytes, doc: int, th: int, start: int) -> None:
+        numbers, words = self.numbers, seg.split()
+        self.words.append(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in words), np.int64, len(words)))
+        self.docs.append(doc)
+        self.ths.append(th)
+        self.starts.append(start)
+        self.copied.append(False)
+        self.size += len(seg)
+
+    def repeated(self) -> None:
+        self.copied[-1] = True
+
+    def run(self) -> Iterator[tuple[np.ndarray, ...]]:
+        if not self.words:
             return
-        automaton = ahocorasick.Automaton()
-        for p, n in passages.items():
-            # latin-1 gives every byte a character; the spaces around make matches end at words
-            automaton.add_word(f" {p.decode('latin-1')} ", n)
+        sizes = np.array([len(w) for w in self.words])
+        begin = np.cumsum(sizes + 1) - sizes - 1  # a zero stands behind every segment
+        text = np.zeros(int(begin[-1] + sizes[-1]) + 1, np.int64)
+        seg = np.repeat(np.arange(len(sizes)), sizes + 1)
+        inside = np.arange(len(text)) - begin[seg]
+        text[inside < sizes[seg]] = np.concatenate(self.words)
+        copied = np.array(self.copied)
+        at = np.flatnonzero(inside + self.window <= sizes[seg])
+        _, which, n = np.unique(gram_hashes(text, self.window)[at], return_inverse=True, return_counts=True)
+        candidate = np.zeros(len(text) + 1, bool)
+        candidate[at[(n[which] > 1) & ~copied[seg[at]]]] = True
+        edge = np.zeros(len(text) + 1, np.int64)
+        for step in (self.window, 1):  # phrases overlap as little as covers; if one is not confirmed, every window is one
+            starts, stops = runs_of(candidate)
+            phrases = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.append(np.arange(s, e - 1, step), e - 1) for s, e in zip(starts.tolist(), stops.tolist(), strict=True))]))
+            found, phrase = self.occurrences(text, begin, sizes, phrases)
+            often = np.bincount(phrase, minlength=len(phrases)) + np.bincount(phrase[copied[seg[found]]], minlength=len(phrases)) if len(phrases) else np.zeros(0)
+            found = found[often[phrase] > 1] if len(found) else found
+            np.add.at(edge, found, 1)
+            np.add.at(edge, found + self.window, -1)
+            if len(phrases) == 0 or often[often > 0].min() > 1:
+                break
+        for s in np.flatnonzero(copied).tolist():  # equal texts stand elsewhere as a whole
+            edge[begin[s]] += 1
+            edge[begin[s] + sizes[s]] -= 1
+        starts, stops = runs_of(np.cumsum(edge) > 0)
+        if len(starts):
+            s = seg[starts]
+            shift = np.array(self.starts)[s] - begin[s]
+            yield np.array(self.docs)[s], np.array(self.ths)[s], starts + shift, stops + shift
+
+    def occurrences(self, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, number of the phrase) of every occurrence; equal phrases share the lowest number."""
+        if not len(phrases):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i in range(len(phrases) - 1, -1, -1):
+            automaton.add_word(tuple(text[phrases[i] : phrases[i] + self.window].tolist()), i)
         automaton.make_automaton()
-        for (seg, doc, th, start, _), words in zip(block, texts, strict=True):
-            hay = f" {seg.decode('latin-1')} "
-            word_at = np.cumsum([len(w) + 1 for w in words])
-            for end, n in automaton.iter(hay):
-                stop = int(np.searchsorted(word_at, end))  # the space at `end` closes this word
-                yield doc, th, start + stop + 1 - n, start + stop + 1
-
-    return run
+        ends = [pair for pair in automaton.iter(tuple(text.tolist()))]
+        found, phrase = np.array(ends, np.int64).reshape(-1, 2).T
+        return found - self.window + 1, phrase
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **more) -> DataFrame:
     """doc_id, text (bytes) and spans: the word intervals of each document to remove."""
     own = with_identity(docs, F.col("text").cast("binary"))
-    spans = gathered(marked_intervals(own, word_units, cut_words, window, gram, True, shard_passages(window), **more))
+    spans = gathered(marked_intervals(own, word_units, cut_words, window, gram, True, lambda: PhraseShard(window), **more))
     return own.join(spans, ["doc", "th"], "left")
 
 

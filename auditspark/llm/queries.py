@@ -48,27 +48,31 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
 FROM d JOIN s USING (doc_id) JOIN c USING (doc_id)
 """
 
+#: Every row counts by itself, so rows are numbered.
 PHRASES_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
-win AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 34], ' ')) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 33)) AS i FROM w WHERE len(l) >= 35)),
-again AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
-gone AS (SELECT DISTINCT doc_id, i + d AS i FROM again, (SELECT unnest(range(35)) AS d)),
-each AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS word FROM w),
-kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) FILTER (WHERE g.i IS NULL) AS t, count(g.i) AS n FROM each e LEFT JOIN gone g USING (doc_id, i) GROUP BY 1)
-SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+win AS (SELECT r, i, md5(array_to_string(l[i:i + 34], ' ')) AS h FROM (SELECT r, l, unnest(range(1, len(l) - 33)) AS i FROM w WHERE len(l) >= 35)),
+again AS (SELECT r, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, i + d AS i FROM again, (SELECT unnest(range(35)) AS d)),
+each AS (SELECT r, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS word FROM w),
+kept AS (SELECT e.r, string_agg(e.word, ' ' ORDER BY e.i) FILTER (WHERE g.i IS NULL) AS t, count(g.i) AS n FROM each e LEFT JOIN gone g USING (r, i) GROUP BY 1)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
 """
 
+#: Rows with one id and text are one document (d); others with one id come by the MD5 of their text.
 BYTES_SQL = """
-WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-win AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM b WHERE n >= 100)),
-late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY m ORDER BY doc_id, p) AS r FROM win) WHERE r > 1),
-edge AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p), 1000) > 100 AS new FROM late),
-run AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM edge) GROUP BY doc_id, k),
-cut AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM run GROUP BY 1),
-part AS (SELECT b.doc_id, s, substr(h, 2 * coalesce(lag(e) OVER w, 0) + 1, 2 * (s - coalesce(lag(e) OVER w, 0))) AS t FROM b JOIN run USING (doc_id) WINDOW w AS (PARTITION BY b.doc_id ORDER BY s)),
-kept AS (SELECT b.doc_id, string_agg(part.t, '' ORDER BY part.s) || any_value(substr(h, 2 * x.e + 1)) AS t FROM b JOIN part USING (doc_id) JOIN (SELECT doc_id, max(e) AS e FROM run GROUP BY 1) x USING (doc_id) GROUP BY 1)
-SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.t, h))) AS kept_sha256
-FROM b LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(t)) AS d, doc_id, t FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents)),
+b AS (SELECT d, doc_id, hex(encode(t)) AS h, strlen(t) AS n FROM d),
+win AS (SELECT d, p, md5(substr(h, 2 * p + 1, 200)) AS m FROM (SELECT d, h, unnest(range(0, n - 99)) AS p FROM b WHERE n >= 100)),
+late AS (SELECT d, p FROM (SELECT d, p, row_number() OVER (PARTITION BY m ORDER BY d, p) AS r FROM win) WHERE r > 1),
+edge AS (SELECT d, p, coalesce(p - lag(p) OVER (PARTITION BY d ORDER BY p), 1000) > 100 AS new FROM late),
+run AS (SELECT d, min(p) AS s, max(p) + 100 AS e FROM (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY p) AS k FROM edge) GROUP BY d, k),
+cut AS (SELECT d, sum(e - s) AS n_removed, count(*) AS n_spans FROM run GROUP BY 1),
+part AS (SELECT b.d, s, substr(h, 2 * coalesce(lag(e) OVER w, 0) + 1, 2 * (s - coalesce(lag(e) OVER w, 0))) AS t FROM b JOIN run USING (d) WINDOW w AS (PARTITION BY b.d ORDER BY s)),
+kept AS (SELECT b.d, string_agg(part.t, '' ORDER BY part.s) || any_value(substr(h, 2 * x.e + 1)) AS t FROM b JOIN part USING (d) JOIN (SELECT d, max(e) AS e FROM run GROUP BY 1) x USING (d) GROUP BY 1),
+found AS (SELECT b.doc_id, d.t, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.t, h))) AS kept_sha256
+FROM b JOIN d USING (d) LEFT JOIN cut USING (d) LEFT JOIN kept USING (d))
+SELECT x.doc_id, n_bytes, n_removed, n_spans, kept_sha256 FROM documents x JOIN found f ON x.doc_id IS NOT DISTINCT FROM f.doc_id AND coalesce(x.text, '') = f.t
 """
 
 ORACLE_SQL: dict[str, str] = {

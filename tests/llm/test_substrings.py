@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from auditspark.llm import anchors, phrases, suffixes
 
@@ -15,10 +19,11 @@ from .conftest import ROWS, table
 
 
 def words_removed(rows):
-    split = {(i, t): re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
-    n = Counter(tuple(w[k : k + 35]) for w in split.values() for k in range(len(w) - 34))
+    """Every row counts, so equal rows are copies of each other."""
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    n = Counter(tuple(w[k : k + 35]) for _, w in split for k in range(len(w) - 34))
     out = []
-    for (i, _), w in split.items():
+    for i, w in split:
         gone = set()
         for k in range(len(w) - 34):
             if n[tuple(w[k : k + 35])] > 1:
@@ -28,18 +33,17 @@ def words_removed(rows):
 
 
 def bytes_removed(rows):
-    seen, out = set(), []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    """Rows with one id and text are one document; others with one id come by the MD5 of their text."""
+    seen, found = {}, {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - 99):
-            w = b[p : p + 100]
-            if w in seen:
+            if seen.setdefault(b[p : p + 100], (i, t, p)) != (i, t, p):
                 gone[p : p + 100] = True
-            seen.add(w)
         spans = len(anchors.runs_of(gone)[0])
-        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
-    return sorted(out, key=repr)
+        found[i, t] = (i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    return sorted((found[r] for r in rows), key=repr)
 
 
 SMALL = [(i, t if t is None or len(t) < 20_000 else t[:4000]) for i, t, _ in ROWS]
@@ -51,16 +55,27 @@ def folder(spark, docs, tmp_path_factory):
     return table(spark, tmp_path_factory.mktemp("t"), documents=small)
 
 
-@pytest.mark.parametrize("most_broadcast", [anchors.MOST_BROADCAST, -1])
-def test_words(spark, folder, most_broadcast):
-    got = phrases.op3_phrase_automata(spark, folder, most_broadcast=most_broadcast).collect()
-    assert sorted(map(tuple, got), key=repr) == words_removed(SMALL)
+@pytest.mark.parametrize(("most_broadcast", "hot"), [(anchors.MOST_BROADCAST, None), (-1, 1)])
+def test_removed(spark, folder, most_broadcast, hot):
+    """Keys broadcast or joined, few or all of them hot: the same rows."""
+    for query, slow in ((phrases.op3_phrase_automata, words_removed), (suffixes.op8_induced_suffixes, bytes_removed)):
+        got = query(spark, folder, most_broadcast=most_broadcast, hot=hot).collect()
+        assert sorted(map(tuple, got), key=repr) == slow(SMALL)
 
 
-@pytest.mark.parametrize("most_broadcast", [anchors.MOST_BROADCAST, -1])
-def test_bytes(spark, folder, most_broadcast):
-    got = suffixes.op8_induced_suffixes(spark, folder, most_broadcast=most_broadcast).collect()
-    assert sorted(map(tuple, got), key=repr) == bytes_removed(SMALL)
+def test_hot_key(spark, tmp_path, monkeypatch):
+    """A phrase shorter than a window, in every text with other neighbours: its windows are dealt one by one."""
+    r = np.random.default_rng(1)
+    word = lambda n: " ".join(f"w{x}" for x in r.integers(0, 1 << 30, n))
+    hot, passage = word(20), word(70)
+    rows = [(i, f"{word(30)} {hot} {word(40)} {passage if i % 9 == 0 else word(3)} {hot}") for i in range(120)] + [(500, f"{hot} " * 30), (501, "the " * 900)]
+    d = table(spark, tmp_path, documents=spark.createDataFrame(rows, "doc_id bigint, text string"))
+    monkeypatch.setattr(anchors, "COOL", 20)
+    for query, slow in ((phrases.op3_phrase_automata, words_removed), (suffixes.op8_induced_suffixes, bytes_removed)):
+        assert sorted(map(tuple, query(spark, d).collect()), key=repr) == slow(rows)
+    for length, gram, units_of in ((35, 8, phrases.word_units), (100, 32, suffixes.byte_units)):
+        keys = anchors.counted_keys(anchors.with_identity(spark.read.parquet(f"{d}/documents.parquet"), F.col("text").cast("binary")), units_of, length, gram)
+        assert keys.agg(F.max("d")).first()[0] > 20
 
 
 def test_empty_tables(spark, empty, tmp_path):
@@ -89,15 +104,63 @@ def test_suffix_array():
         assert lcp.tolist() == [0, *(common(x, y) for x, y in zip(order, order[1:], strict=False))]
 
 
-def test_queues_spill(monkeypatch):
-    monkeypatch.setattr(suffixes, "QUEUE_ROWS", 10)
-    monkeypatch.setattr(suffixes, "TAKE_ROWS", 7)
-    t = np.random.default_rng(5).integers(0, 3, 400).astype(np.uint8)
-    assert suffixes.suffix_array(t, 255)[0].tolist() == sorted(range(400), key=lambda i: t.tobytes()[i:])
+@pytest.mark.parametrize(("room", "take"), [(200, 16), (40, 7), (5, 3)])
+def test_external_order(monkeypatch, room, take):
+    """Blocks of a few rows: everything else lies in files."""
+    monkeypatch.setattr(suffixes, "ROOM", room)
+    monkeypatch.setattr(suffixes, "TAKE_ROWS", take)
+    r = np.random.default_rng(5)
+    for k in (2, 3, 200):
+        t = r.integers(0, k, 500).astype(np.uint8)
+        t[250:400] = t[:150]
+        b = t.tobytes()
+        assert suffixes.suffix_array(t, 255)[0].tolist() == sorted(range(500), key=lambda i: b[i:])
+
+
+#: Samples the process's own memory without mapped files.
+SAMPLED = """
+import threading, time
+peak = [0]
+def anonymous():
+    return int(open("/proc/self/smaps_rollup").read().split("Anonymous:")[1].split()[0])
+def sample():
+    while True:
+        peak[0] = max(peak[0], anonymous())
+        time.sleep(0.002)
+"""
+MEASURE = """
+import sys
+import numpy as np
+from auditspark.llm import suffixes
+suffixes.ROOM, suffixes.TAKE_ROWS = 1 << 15, 1 << 14
+n = int(sys.argv[1])
+s = suffixes.StringShard(100)
+r = np.random.default_rng(0)
+base = anonymous()
+threading.Thread(target=sample, daemon=True).start()
+again = r.integers(97, 123, 1000).astype(np.uint8).tobytes()
+for i in range(n // 2000):
+    s.add(r.integers(97, 123, 1000).astype(np.uint8).tobytes() + again, i, 0, 0)
+marked = 0
+for places in s.run():
+    marked += int((places[3] - places[2]).sum())
+print(marked, peak[0] - base, s.n)
+"""
+
+
+def test_memory_does_not_grow_with_the_shard():
+    """Shards of 0.5 and 4 MB with room for 32,768 rows: the same memory beside mapped files, everything marked."""
+    peak = {}
+    for n in (500_000, 4_000_000):
+        out = subprocess.run([sys.executable, "-c", SAMPLED + MEASURE, str(n)], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+        marked, kilobytes, size = map(int, out.stdout.split())
+        assert marked >= (n // 2000 - 1) * 1000
+        peak[n] = kilobytes
+    assert peak[4_000_000] < 1.3 * peak[500_000] + 4000
 
 
 def test_repeated_rows_in_two_partitions(spark, tmp_path):
-    """A repeated row is one document, in whichever task its copies are read; its other copies still count."""
+    """Whichever task reads a repeated row: a copy of itself for words, one document for bytes."""
     alone, shared = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alone", "shared"))
     rows = [(1, alone), (2, shared), (3, f"{shared} and an end")]
     dealt = spark.sparkContext.parallelize([rows[0], rows[1], rows[0], rows[1], rows[2], rows[1]], 3)
@@ -108,7 +171,7 @@ def test_repeated_rows_in_two_partitions(spark, tmp_path):
             spark.conf.set(k, "8192")
         assert spark.read.parquet(f"{d}/documents.parquet").rdd.getNumPartitions() == 3
         for query, slow in ((phrases.op3_phrase_automata, words_removed), (suffixes.op8_induced_suffixes, bytes_removed)):
-            assert set(map(tuple, query(spark, d).collect())) == set(slow(rows))
+            assert sorted(map(tuple, query(spark, d).collect()), key=repr) == slow([rows[0], rows[1], rows[0], rows[1], rows[2], rows[1]])
     finally:
         for k, v in own.items():
             spark.conf.set(k, v)
