@@ -3,8 +3,10 @@
 Each language has a model of its characters up to ORDER, kept as sorted arrays of n-gram hashes
 with the discounted, interpolated log-probability of the n-gram's last character and, per context,
 the weight that passes to the shorter context.  A text gets the language with the lowest
-cross-entropy per character; the score is a calibrated probability of that choice, and texts that
-fit no model (cross-entropy above what training texts have) are marked `rejected`.
+cross-entropy per character.  Every fifth training row is held back from the models and calibrates
+them: it gives each language the cross-entropy that its texts may have, by their length, beyond which
+a text fits no model and is `rejected`; and it gives the score its sharpness, so that the score is the
+probability that the choice is right.
 
 Null texts and texts without a letter are `und` with score 0.  Without any labelled training row
 every text is `und`.  Ties go to the alphabetically first language.  Whole texts are read.
@@ -25,8 +27,14 @@ from .common import id_remainder, read
 ORDER = 4
 #: At most so many labelled rows of a language train its model, those whose id hashes lowest.
 TRAINING_ROWS = 250
-#: Characters that have a number of their own; the others share one.
-ALPHABET = 4000
+#: Rows with longer texts train nothing, so that what reaches the driver is bounded.
+TRAINING_CHARACTERS = 100_000
+#: The most frequent characters have a number of their own (16 bits a character); any others would share one.
+ALPHABET = 60_000
+#: A held-back text of its own language is rejected beyond so many standard deviations.
+DEVIATIONS = 6.0
+#: Characters beyond which a longer text is no better known; the score's sharpness is chosen among SHARPNESS.
+LONG, SHARPNESS = 400, np.geomspace(0.002, 1.0, 55)
 SLOTS = 1 << 19
 UND = "und"
 
@@ -63,7 +71,13 @@ class Model:
     contexts: list[np.ndarray]
     weight: list[np.ndarray]
     floor: float
-    limit: float = 99.0
+    #: mean cross-entropy of its texts, and variances: of texts, and of single characters
+    usual: tuple[float, float, float] = (99.0, 0.0, 0.0)
+
+    def limit(self, n: np.ndarray) -> np.ndarray:
+        """The cross-entropy beyond which a text of n characters is not of this language."""
+        mean, between, within = self.usual
+        return mean + DEVIATIONS * np.sqrt(between + within / np.minimum(n, LONG))
 
     def lookup(self, parts: np.ndarray) -> np.ndarray:
         """log P(last | the others) of rows of ORDER characters."""
@@ -138,11 +152,30 @@ class Identifier:
         self.symbols = np.sort(seen[np.argsort(-n, kind="stable")][:ALPHABET])
         self._code()
         coded = {l: [self.code[x] for x in v] for l, v in texts.items()}
-        self.models = [fit(coded[l], len(self.symbols) + 1) for l in self.names]
-        # calibration: cross-entropies of the training texts, own language and the margin to the next
-        own = [[self._entropies(c)[i] for c in coded[l]] for i, l in enumerate(self.names)]
-        for m, o in zip(self.models, own, strict=True):
-            m.limit = float(np.mean(o) + 6 * max(np.std(o), 0.1)) if o else 99.0
+        held = {l: v[4::5] if len(v) > 4 else v for l, v in coded.items()}  # few texts calibrate on themselves
+        self.models = [fit([c for i, c in enumerate(coded[l]) if i % 5 != 4 or len(coded[l]) < 5], len(self.symbols) + 1) for l in self.names]
+        self._calibrate(held)
+
+    def _calibrate(self, held: dict[str, list[np.ndarray]]) -> None:
+        gaps, right = [], []
+        for i, l in enumerate(self.names):
+            texts = [c for c in held[l] if len(c) >= ORDER]
+            if not texts:
+                continue
+            h = np.array([self._entropies(c) for c in texts])
+            n = np.array([min(len(c) - ORDER + 1, LONG) for c in texts])
+            # a character's variance, from single characters; what is left is between texts
+            within = float(np.mean([np.var(self._scores(c)[:, i]) for c in texts]))
+            between = max(0.05**2, float(np.var(h[:, i]) - (within / n).mean()))
+            self.models[i].usual = (float(h[:, i].mean()), between, within)
+            gaps += list((h.min(1)[:, None] - h) * n[:, None])
+            right += list(h.argmin(1) == i)
+        # the sharpness under which the held-back rows' choices are likeliest, with one wrong choice assumed
+        self.sharpness = float(SHARPNESS[0])
+        if gaps:
+            p = [np.clip(1 / np.exp(np.clip(np.array(gaps) * s, -50, 0)).sum(1), 1e-9, 1 - 1e-9) for s in SHARPNESS]
+            likely = [np.log(np.where(right, x, 1 - x)).sum() + np.log(1 - np.quantile(x, 0.9)) for x in p]
+            self.sharpness = float(SHARPNESS[int(np.argmax(likely))])
 
     def _code(self):
         self.code = np.full(0x110000, 0, np.uint16)
@@ -150,7 +183,7 @@ class Identifier:
         self.whole = self.code[char_classes()]
 
     def __getstate__(self):
-        return {"names": self.names, "symbols": self.symbols, "models": self.models}
+        return {"names": self.names, "symbols": self.symbols, "models": self.models, "sharpness": self.sharpness}
 
     def __setstate__(self, s):
         self.__dict__ |= s
@@ -158,7 +191,7 @@ class Identifier:
 
     def _scores(self, codes: np.ndarray) -> np.ndarray:
         if not hasattr(self, "slot_key"):
-            self.slot_key = np.zeros(SLOTS, np.uint64)
+            self.slot_key = np.full(SLOTS, 2**64 - 1, np.uint64)  # no key: codes are smaller than 2**16 - 1
             self.slot = np.zeros((SLOTS, len(self.names)), np.float32)
         k = np.zeros(len(codes) - ORDER + 1, np.uint64)
         for i in range(ORDER):
@@ -194,10 +227,10 @@ class Identifier:
             n = np.maximum(ends - starts - ORDER + 1, 1)
             h = -(total[starts + n] - total[starts]) / n[:, None]
             best = h.argmin(1)
-            # texts are not independent draws of characters: a tenth of the evidence counts
-            z = np.exp(np.clip((h.min(1)[:, None] - h) * np.minimum(n, 400)[:, None] * 0.1, -50, 0))
-            for i, b, p, low in zip(ids, best, 1 / z.sum(1), h.min(1), strict=True):
-                names[i], score[i], rejected[i] = self.names[b], p, low > self.models[b].limit
+            z = np.exp(np.clip((h.min(1)[:, None] - h) * np.minimum(n, LONG)[:, None] * self.sharpness, -50, 0))
+            limit = np.stack([m.limit(n) for m in self.models], 1)
+            for i, b, p, low, most in zip(ids, best, 1 / z.sum(1), h.min(1), limit[np.arange(len(best)), best], strict=True):
+                names[i], score[i], rejected[i] = self.names[b], p, low > most
 
         for i, t in enumerate(texts):
             if not t:
@@ -220,8 +253,9 @@ class Identifier:
 
 
 def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Identifier:
-    """Fits on at most `rows` rows of each language with crc32(doc_id) mod 5 other than 0."""
-    known = docs.where("doc_id is not null and lang is not null and text is not null").where(id_remainder("doc_id", 5) != 0)
+    """Fits on at most `rows` rows of each language with crc32(doc_id) mod 5 other than 0; the driver holds
+    rows * TRAINING_CHARACTERS characters a language at most."""
+    known = docs.where("doc_id is not null and lang is not null and text is not null").where((id_remainder("doc_id", 5) != 0) & (F.length("text") <= TRAINING_CHARACTERS))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = [r[0] for r in known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).select("doc_id").collect()]
     samples: dict[str, list[str]] = {}

@@ -1,10 +1,14 @@
 """Operator 9: packing along a space-filling curve.
 
 Every document becomes a hashed vector of its tokens, projected to DIMENSIONS numbers; the point's
-Hilbert key orders documents so that neighbours on the curve are alike.  Documents are dealt to
-ranges of (key, hash of the id) - equal texts share a key, the hash spreads them - and each range is
-packed along the curve: its tokens, one after the other, fill sequences of `capacity` ids, so that
-at most the last sequence of a range is padded, and then only to the next power of two.
+Hilbert key orders documents so that neighbours on the curve are alike.  Documents are range-sorted by
+(key, hash of the id) - equal texts share a key, the hash spreads them - over as many partitions as
+Spark shuffles to, and each partition is packed along the curve: its tokens, one after the other, fill
+sequences of `capacity` ids, so that at most its last sequence is padded, and then only to the next
+power of two.
+
+Documents are tokenized once; ids and keys wait as Parquet in the shared folder, so that Spark's range
+bounds, drawn from the keys of every partition, don't tokenize again.
 
 Null texts count as empty: their one id is the end mark.  Empty tables give no pieces.  Equal ids
 and repeated rows are packed like any others; very long texts are cut over many sequences.
@@ -19,18 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, through_parquet
 
 CAPACITY = 1024
 END = 0
 DIMENSIONS, DEPTH = 4, 9  # with 24 bits of tie-break the order stays below 2**63
-#: Range bounds come from at most so many documents; every document is then dealt by them.
-BOUND_SAMPLE = 4096
-#: Documents a range holds, about.
-RANGE_ROWS = 1200
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -141,31 +142,24 @@ def pieces_of(length: int, at: int, capacity: int) -> list[tuple[int, int, int,
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint"
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents; sequence_tokens is a sequence's padded size."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = docs.count()
-    ranges = max(1, round(n / range_rows))
 
-    def points(batches: Iterator[pa.RecordBatch], bounds: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, directions = Tokens(path), projection(65536)
         for b in batches:
             for part in range(0, b.num_rows, 256):
                 s = b.slice(part, 256)
                 raw = [tokens(t) for t in s.column(1).to_pylist()]
                 order = curve_keys([np.frombuffer(r, np.uint16) for r in raw], directions) << 24 | tie(s.column(0).to_pandas())
-                at = np.searchsorted(bounds, order, "right") if bounds is not None else np.zeros(len(order), np.int64)
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(at.astype(np.int32)), pa.array(order & 0x7FFFFFFFFFFFFFFF), pa.array(raw if bounds is not None else [b""] * len(raw), pa.binary())], names=["doc_id", "range", "curve", "ids"])
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(order), pa.array(raw, pa.binary())], names=["doc_id", "curve", "ids"])
 
-    schema = "doc_id bigint, range int, curve bigint, ids binary"
-    # the documents with the smallest hash of (id, text length): a bounded draw
-    some = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // BOUND_SAMPLE))) == 0).limit(2 * BOUND_SAMPLE)
-    drawn = np.sort(np.array([r[0] for r in some.mapInArrow(lambda x: points(x, None), schema).select("curve").collect()] or [0], np.int64))
-    bounds = np.unique(drawn[np.linspace(0, len(drawn), ranges + 1).astype(int)[1:-1]]) if ranges > 1 else np.zeros(0, np.int64)
-    dealt = docs.mapInArrow(lambda x: points(x, bounds), schema).repartition("range").sortWithinPartitions("range", "curve", "doc_id", "ids")
+    tokenized = through_parquet(docs.mapInArrow(points, "doc_id bigint, curve bigint, ids binary"), "tokens")
+    dealt = tokenized.repartitionByRange("curve").sortWithinPartitions("curve", "doc_id", "ids")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at, held = -1, 0, []
+        now, at, held = TaskContext.get().partitionId(), 0, []
 
         def close(last: int) -> pd.DataFrame:
             """The pieces held, with the size of each sequence; the last may be short."""
@@ -179,11 +173,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, range_rows: int =
             return pa.RecordBatch.from_pandas(f.astype({c: "int64" for c in f.columns if c != "doc_id"}).astype({"doc_id": "Int64"}), preserve_index=False)
 
         for b in batches:
-            for doc, rng, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if rng != now:
-                    if held:
-                        yield out(close(at))
-                    now, at, held = rng, 0, []
+            for doc, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 ids = np.append(np.frombuffer(raw, "<u2"), END).astype("<u4")
                 for start, length, seq, off in pieces_of(len(ids), at, capacity):
                     held.append((doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), seq, off))

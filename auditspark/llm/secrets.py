@@ -2,8 +2,12 @@
 
 Three fixed patterns find declared secrets.  Beside them, two character Markov models - one of
 random strings, one of ordinary identifiers, both trained from labelled samples - are compared by
-log-likelihood ratio over every other unbroken run of identifier characters, and runs that the
-random model explains better by a margin are spans of kind `markov`.
+log-likelihood ratio over every unbroken run of identifier characters that no base span covers whole,
+and runs that the random model explains better by a margin are spans of kind `markov`.  The margin is
+calibrated on samples held back from the models.
+
+Ordinary identifiers are common words and the corpus's own, alone and joined as programs join them: snake, camel
+and upper case, kebab names with dates and versions, paths, URLs and rulers.
 
 Null and empty texts have no spans.  Whole texts are scanned, whatever their length; repeated rows
 are scanned alike.  Offsets are code points, ends exclusive.
@@ -11,7 +15,8 @@ are scanned alike.  Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,30 +29,57 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
+WORD = re.compile(r"[A-Za-z]+")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
 #: What the Markov models read: unbroken runs of at least RUN identifier characters.
 RUN = 20
 RUNS = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % RUN)
-#: Nats by which the random model must win, over the whole run and per character.
-MARGIN, PER_CHARACTER = 20.0, 0.8
+#: Nats by which the random model must win over the whole run: secrets are taken to be one run in 500,000.
+MARGIN = 13.0
+#: The margin per character lies above this share of the held-back ordinary runs.
+ORDINARY_BELOW = 0.999
+#: Documents and words that the ordinary sample is drawn from, and identifiers made of them.
+SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_RUNS = 500, 20_000, 12_000
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 
 
+#: Labelled samples of the words of ordinary identifiers, beside the corpus's own.
+COMMON = """abstract access account action adapter address admin alias analysis angle api application archive argument array
+article asset attribute audio author backup balance base batch binary block board book border boundary box branch bridge browser
+buffer build bundle business button byte cache calendar callback candidate category center channel character chart check city class
+client clone cloud cluster code collection column command comment common community compiler component compute config connection
+constant container content context controller cookie core corporation count country cover create cursor customer dashboard data
+database date default delete description design development device dictionary digest directory document domain download driver edit
+editor element email engine entity entry error event example exception factory feature file filter format frame function gallery
+game gateway global graph group handler hash header health history home host html image implementation import index info input
+instance integer interface international invoice item job journal kernel key label language layer library license line link list
+loader local location lock log machine main manager map market master media member memory menu message method metric mobile model
+module monitor name network node notification number object option order output package page parser path payment platform player
+plugin policy pool post price private process product profile project property protocol provider proxy public query queue random
+record reference region register release remote render report request resource response result review role route rule sample
+schedule schema script search section security select server service session setting shadow shared signal single site snapshot
+source stack state status storage store stream string structure style subject summary support switch symbol system table target task
+template test text thread time title token tool topic tracker transaction transform tree trigger type update upload user utility
+value variable vector version video view virtual visitor web window worker workflow world wrapper writer""".split()
+
+
 class Markov:
-    """First-order character model, smoothed towards the characters' own frequencies; code 0 is the
-    start of a run."""
+    """Second-order character model, smoothed towards the first-order one and that towards the characters'
+    own frequencies; code 0 stands before a run."""
 
     def __init__(self, samples: list[str], weight: float = 4.0):
-        n = np.zeros((len(ALPHABET) + 1, len(ALPHABET) + 1))
+        k = len(ALPHABET) + 1
+        n = np.zeros((k, k, k))
         for s in samples:
-            a = [0, *(CODE[c] for c in s if c in CODE)]
-            np.add.at(n, (a[:-1], a[1:]), 1)
-        n = n[:, 1:]
-        alone = (n.sum(0) + 0.2) / (n.sum() + 0.2 * len(ALPHABET))
-        self.log = np.log((n + weight * alone) / (n.sum(1, keepdims=True) + weight))
+            a = np.array([0, 0, *(CODE[c] for c in s if c in CODE)])
+            np.add.at(n, (a[:-2], a[1:-1], a[2:]), 1)
+        n = n[:, :, 1:]
+        alone = (n.sum((0, 1)) + 0.2) / (n.sum() + 0.2 * len(ALPHABET))
+        one = (n.sum(0) + weight * alone) / (n.sum((0, 2))[:, None] + weight)
+        self.log = np.log((n + weight * one) / (n.sum(2, keepdims=True) + weight))
 
 
 def random_samples(per_kind: int = 600, seed: int = 7) -> list[str]:
@@ -57,17 +89,73 @@ def random_samples(per_kind: int = 600, seed: int = 7) -> list[str]:
     return ["".join(r.choice(list(s), size=int(r.integers(RUN, 48)))) for s in sets for _ in range(per_kind)]
 
 
-def log_ratio(ordinary: list[str]) -> np.ndarray:
-    """log P(next | character) under the random model, less that under the ordinary one."""
-    return Markov(random_samples()).log - Markov(ordinary).log
+def ordinary_runs(words: list[str], n: int = SAMPLE_RUNS, seed: int = 5) -> list[str]:
+    """Labelled samples of ordinary identifiers of RUN characters or more, made of the words given."""
+    r = np.random.default_rng(seed)
+    pools = [COMMON, [w.lower() for w in words] or COMMON]
+    draw = lambda k: [p[r.integers(0, len(p))] for p in (pools[x] for x in r.integers(0, 2, k))]
+    number = lambda most: str(r.integers(0, most))
+    date = lambda: f"{r.integers(1990, 2040)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}"
+
+    def camel(k: int) -> str:
+        return "".join(w.capitalize() for w in draw(k))
+
+    def one(kind: int, k: int) -> str:
+        if kind == 0:
+            return "_".join(draw(k))
+        if kind == 1:
+            return "_".join(draw(k)).upper()
+        if kind == 2:
+            return camel(k)
+        if kind == 3:
+            return draw(1)[0] + camel(k)
+        if kind == 4:
+            return "-".join(draw(k)) + (f"-v{number(30)}" if r.random() < 0.4 else "")
+        if kind == 5:
+            return f"{date()}-{'-'.join(draw(k))}"
+        if kind == 6:
+            return "/".join(draw(k)) + (f"/{number(10_000)}" if r.random() < 0.4 else "")
+        if kind == 7:
+            return f"/{draw(1)[0]}/{camel(2)}/{'_'.join(draw(k))}{number(100)}"
+        if kind == 8:
+            return f"//{draw(1)[0]}/{'-'.join(draw(k))}/{date().replace('-', '/')}"
+        if kind == 9:  # a ruler, or a run of one character
+            return str(r.choice(list("---___///++x0aA1"))) * int(r.integers(RUN, 80))
+        return f"{'_'.join(draw(k))}_{date().replace('-', '')}" + (f"_{number(1_000_000)}" if r.random() < 0.4 else "")
+
+    out = []
+    while len(out) < n:
+        run, k = "", 2
+        while len(run) < RUN:
+            run, k = one(len(out) % 11, k), k + 1
+        out.append(run[:120])
+    return out
+
+
+class Detector:
+    """The log-likelihood ratios, and the margin per character that held-back samples calibrate."""
+
+    def __init__(self, words: list[str]):
+        words = [w for w in words if len(w) < RUN]  # longer ones may be secrets themselves
+        ordinary, strings = ordinary_runs(words), random_samples()
+        fit = lambda samples: [x for i, x in enumerate(samples) if i % 5]
+        self.ratio = Markov(fit(strings)).log - Markov(words + COMMON + fit(ordinary)).log
+        held = np.array([score(x, self.ratio) / len(x) for x in ordinary[::5]])
+        self.per_character = max(0.05, float(np.quantile(held, ORDINARY_BELOW)))
+        self.recall = float(np.mean([self.random(x) for x in strings[::5]]))
+        self.false_alarms = float(np.mean([self.random(x) for x in ordinary[::5]]))
+
+    def random(self, run: str) -> bool:
+        s = score(run, self.ratio)
+        return s >= MARGIN and s >= self.per_character * len(run)
 
 
 def score(run: str, ratio: np.ndarray) -> float:
-    a = np.array([0, *(CODE[c] for c in run)])
-    return float(ratio[a[:-1], a[1:] - 1].sum())
+    a = np.array([0, 0, *(CODE[c] for c in run)])
+    return float(ratio[a[:-2], a[1:-1], a[2:] - 1].sum())
 
 
-def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, int]]:
+def spans(text: str, detector: Detector) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every span, sorted."""
     found = []
     if ("=" in text or ":" in text) and any(k in (low := text.lower()) for k in KEYWORDS):
@@ -76,45 +164,52 @@ def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(found)
+    starts = [s for s, _, _ in base]
+    ends = list(itertools.accumulate((e for _, _, e in base), max))
     for m in RUNS.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        s = score(m[0], ratio)
-        if s >= MARGIN and s >= PER_CHARACTER * (b - a):
+        i = bisect.bisect_right(starts, a)
+        if not (i and ends[i - 1] >= b) and detector.random(m[0]):
             found.append((a, 3, b))
     return sorted(found)
 
 
-def ordinary_sample(docs: DataFrame, rows: int = 500, most: int = 20_000) -> list[str]:
-    """Labelled samples of ordinary identifiers: the words of the `rows` documents whose id hashes
-    lowest, without what the fixed patterns find.  `rows` bounds what reaches the driver."""
-    ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
-    words: dict[str, None] = {}
-    for (text,) in docs.where(F.col("doc_id").isin(ids)).select("text").where("text is not null").toLocalIterator():
-        for p in (ASSIGN, ACCESS, HEX):
-            text = p.sub(" ", text)
-        words |= dict.fromkeys(w for w in re.findall(r"[A-Za-z][A-Za-z0-9_]*", text) if not re.search(r"\d", w))
-    return sorted(words, key=lambda w: hashlib.md5(w.encode()).digest())[:most] or ["the", "value", "name", "index", "buffer", "length"]
+def ordinary_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_WORDS) -> list[str]:
+    """The words of the `rows` documents whose id hashes lowest, at most `most` by their own hash, without
+    what the fixed patterns find.  Only the words reach the driver; a word that `rows` documents have
+    thousands of times is one."""
+    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words: set[str] = set()
+            for text in b["text"]:
+                for p in (ASSIGN, ACCESS, HEX):
+                    text = p.sub(" ", text)
+                words |= {w for w in WORD.findall(text) if len(w) < RUN}
+            yield pd.DataFrame({"word": sorted(words)})
+
+    found = docs.where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInPandas(run, "word string")
+    return [r[0] for r in found.distinct().orderBy(F.md5("word"), "word").limit(most).collect()]
 
 
-def scan(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, detector: Detector, key: str = "doc_id") -> DataFrame:
     """One row per document: the key and its spans (start, kind, end)."""
     kinds = "array<struct<start:bigint,kind:int,end:bigint>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "spans": [[{"start": s, "kind": k, "end": e} for s, k, e in spans(t, ratio)] if t else [] for t in b["text"]]})
+            yield pd.DataFrame({key: b[key], "spans": [[{"start": s, "kind": k, "end": e} for s, k, e in spans(t, detector)] if t else [] for t in b["text"]]})
 
     return docs.select(key, "text").mapInPandas(run, f"{key} bigint, spans {kinds}")
 
 
-def redact(docs: DataFrame, ratio: np.ndarray, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, detector: Detector, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by `mark` and n_chars counted again; all rows stay."""
 
     def clean(text: str) -> str:
         out, at = [], 0
-        for s, _, e in spans(text, ratio):
+        for s, _, e in spans(text, detector):
             if s >= at:
                 out += [text[at:s], mark]
             at = max(at, e)
@@ -132,7 +227,7 @@ def op4_markov_secrets(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
     docs = read(spark, sf_dir, "documents")
-    found = scan(docs, log_ratio(ordinary_sample(docs)))
+    found = scan(docs, Detector(ordinary_sample(docs)))
     name = F.array(*[F.lit(k) for k in KINDS])
     text = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")

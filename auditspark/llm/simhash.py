@@ -2,7 +2,8 @@
 
 A fingerprint is the bitwise majority of the hashes of a text's shingles.  Fingerprints within
 RADIUS bits are linked.  Two of them agree on at least BLOCKS - RADIUS of BLOCKS bit blocks, so each
-fingerprint joins one shard per choice of that many blocks, and links lie within shards.  A shard's
+fingerprint joins one shard per choice of that many blocks, and links lie within shards; the more
+fingerprints there are, the more blocks make the shards narrower (see blocks_for).  A shard's
 fingerprints form a BK-tree - children keyed by their Hamming distance to the parent - and a
 search follows only the edges within the radius of its distance to a node.  Shards above
 SHARD_ROWS are cut into trees of that size, each searched by the members of every other cut.
@@ -152,6 +153,14 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
     return fp[low], fp[u.up[low]]
 
 
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Blocks such that a shard of n even fingerprints holds some hundred at most: BLOCKS up to 10**8."""
+    blocks = max(BLOCKS, radius + 2)
+    while n >> (64 * (blocks - radius) // blocks) > 64 and blocks < radius + 4:
+        blocks += 1
+    return blocks
+
+
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): linked fingerprints, a spanning forest of each shard; `fps` has distinct fp."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
@@ -194,33 +203,42 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the links, by alternating
-    large-star and small-star steps until nothing changes; each round is checkpointed."""
+    large-star and small-star steps until nothing changes; each step is checkpointed.
+
+    The minima of a step are a table of their own, so that the join with them can be split where a
+    hub has very many links."""
     stars = cut_lineage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        lows = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut_lineage(both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        lows = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lows, "u")
         stars = cut_lineage(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError("components did not settle")
+
+
+def least_ids(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """node and component_id for `nodes` (node, low: the smallest id of the node's documents).
+
+    The minima are checkpointed, so that the join with them can be split where a component is large."""
+    rooted = cut_lineage(nodes.join(roots.withColumnRenamed("node", node), node, "left").select(node, "low", F.coalesce("root", node).alias("root")))
+    ids = cut_lineage(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
+    return rooted.join(ids, "root").select(node, "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable over links."""
     marked = cut_lineage(fingerprints(docs, shingle))
-    firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(firsts.select("fp"), radius))
-    rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return marked.join(rooted.join(ids, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    firsts = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(firsts.select("fp"), radius, blocks_for(firsts.count(), radius)))
+    return marked.join(least_ids(firsts, roots, "fp"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash_bktree(spark, sf_dir: str) -> DataFrame:

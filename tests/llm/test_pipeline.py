@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from auditspark.llm import decontamination, packing, simhash
+from auditspark.llm import decontamination, near_copies, packing, simhash
 
 from .conftest import ROWS, table
 from .test_operators import slow_align
@@ -50,6 +50,23 @@ def test_empty(spark, empty, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == 0
 
 
+def test_toxic_documents_go(spark, tmp_path):
+    """Two classes of labels: what the machine scores TOXIC or more goes, clean documents stay with all their columns."""
+    r = random.Random(8)
+    calm, harsh = [f"calm{chr(97 + i)}" for i in range(26)], [f"harsh{chr(97 + i)}" for i in range(6)]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join(r.choices(calm, k=30) + (r.choices(harsh, k=5) if toxic else [])), 1.5))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame([*rows, (None, None, 1.5), (900, "", 1.5)], "doc_id bigint, text string, `__score` double")
+    folder = table(spark, tmp_path, labels=spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    kept = corpus_pipeline.drop_toxic(spark, docs, folder)
+    assert kept.columns == docs.columns
+    ids = {x.doc_id for x in kept.collect()}
+    assert {i for i in range(600) if i % 3} <= ids and not {i for i in range(0, 600, 3)} & ids
+
+
 def test_near_copies_against_brute_force(spark, tmp_path):
     """Texts are linked where their five-word shingles overlap by 0.8 or more, and nowhere else."""
     r = random.Random(3)
@@ -79,3 +96,6 @@ def test_near_copies_against_brute_force(spark, tmp_path):
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
     kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
     assert kept == {i for i in texts if group[i] == i}
+    for meeting in (4, 2):  # components cut into pieces that meet two by two
+        found = near_copies.near_copies(docs, meeting=meeting).collect()
+        assert {x.doc_id: x.component_id for x in found} == group
