@@ -19,6 +19,17 @@ def java(pattern: str, more: str = "") -> str:
     return f"(?dU{more}){pattern}"
 
 
+def sql(value: str | None) -> str:
+    """The value as an SQL literal.  Expressions of many patterns are written as SQL text, which Spark
+    parses at once, where building them call by call takes seconds."""
+    return "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"  # ${...} would be a variable
+
+
+def bound(value: Column, f) -> Column:
+    """f(value) with value evaluated just once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import sql
 from ..schema import DEFAULT_SOURCE
 
 COLUMNS = ["package_id", "phase", "k1", "k2", "rule_id", "category", "severity", "label", "detail", "filepath", "owasp_llm_category", "chain_id", "intent", "source", "line_no", "detail_path", "bucket"]
@@ -38,6 +39,13 @@ def is_markdown(path: Column) -> Column:
     return F.lower(path).endswith(".md")
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns behind a generator: the optimizer does not copy their expressions into
+    each later use, so they are evaluated just once a row."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode_outer(F.array(row)).alias("__settled")).select("*", "__settled.*").drop("__settled")
+
+
 def detected(path: Column, line_no: Column, snippet: Column, note: Column | None = None) -> Column:
     """Detected in path:line (note) — `snippet`"""
     return F.concat(F.lit("Detected in "), path, F.lit(":"), line_no.cast("string"), note if note is not None else F.lit(""), F.lit(" — `"), snippet, F.lit("`"))
@@ -45,4 +53,4 @@ def detected(path: Column, line_no: Column, snippet: Column, note: Column | None
 
 def pick(values: list, index: Column) -> Column:
     """values[index] of a registry column (nulls allowed)."""
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int") + 1)
+    return F.element_at(F.expr(f"cast(array({', '.join(map(sql, values))}) AS array<string>)"), index.cast("int") + 1)

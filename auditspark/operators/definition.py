@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import BENIGN_WORDS, CHECKLIST, GENERIC_PHRASES, GOTCHAS, OVERCLAIM, POPULAR_NAMES, PROMPT_LEAK, READ_MD, WELL_KNOWN_NAMES
-from .base import finding
+from .base import finding, settled
 from .markdown import parsed_definition
 
 # Limits.
@@ -25,7 +25,8 @@ def definitions(packages: DataFrame, files: DataFrame, paths: DataFrame) -> Data
     listed = paths.where(F.col("path").isin(names)).select("package_id").distinct()
     got = content.toDF("package_id", "upper", "lower").select("package_id", F.coalesce("upper", "lower").alias("content"))
     both = listed.join(got, "package_id", "full_outer")
-    return both.select("package_id", "content", F.when(F.col("content").isNotNull(), parsed_definition(F.col("content"))).otherwise(F.struct(F.lit("unknown").alias("name"), F.lit("").alias("description"), F.lit("").alias("repository"), F.lit("").alias("body"))).alias("d")).select("package_id", "content", "d.*")
+    unknown = F.struct(F.lit("unknown").alias("name"), F.lit("").alias("description"), F.lit("").alias("repository"), F.lit("").alias("body"))
+    return settled(both, d=F.when(F.col("content").isNotNull(), parsed_definition(F.col("content"))).otherwise(unknown)).select("package_id", "content", "d.*")
 
 
 def name_error(name: Column) -> Column:
@@ -75,8 +76,9 @@ def has_checklist(body: Column) -> Column:
 
 
 def has_validation(body: Column) -> Column:
-    """A substring is enough, so "invalidation" counts; so does a heading of verification."""
-    return F.lower(body).contains("validat") | F.lower(body).rlike(r"(?dUm)^[^\S\n]*#+[^\S\n]*verification")
+    """A substring is enough, so "invalidation" counts; so does a heading of verification,
+    which no white space precedes."""
+    return F.lower(body).contains("validat") | F.lower(body).rlike(r"(?dUm)^#+[^\S\n]*verification")
 
 
 def has_workflow(body: Column) -> Column:
@@ -113,7 +115,7 @@ def description_checks(defs: DataFrame) -> DataFrame:
             row(some & d.rlike(X.java(OVERCLAIM)), 4, "VTD-0113", "low", lit("Description overclaims scope"), lit("Broad trigger words (anything, everything, all files, etc.) widen attack surface — narrow to specific use cases")),
         )
     )
-    rows = defs.select("package_id", F.explode(found).alias("f"))
+    rows = defs.select("package_id", F.explode_outer(found).alias("f")).where("f is not null")
     return finding(rows, 120, c("f.rule"), "description", c("f.severity"), c("f.label"), c("f.detail"), k2=c("f.k"))
 
 
@@ -121,7 +123,7 @@ def generic_phrases(defs: DataFrame) -> DataFrame:
     """package_id, position and text of each vague phrase in a body."""
     low = F.lower("body")
     found = F.filter(F.transform(F.array(*[F.lit(p) for p in GENERIC_PHRASES]), lambda p, i: F.struct(i.alias("k"), p.alias("phrase"))), lambda s: low.contains(s["phrase"]))
-    return defs.where(X.trimmed(F.col("body")) != "").select("package_id", F.explode(found).alias("p")).select("package_id", "p.*")
+    return defs.where(X.trimmed(F.col("body")) != "").select("package_id", F.explode_outer(found).alias("p")).where("p is not null").select("package_id", "p.*")
 
 
 def body_checks(defs: DataFrame, flags: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def body_checks(defs: DataFrame, flags: DataFrame) -> DataFrame:
             row(refers, 6, "VTD-0107", lit("Progressive disclosure used"), lit("SKILL.md body references files in references/, scripts/, or assets/ — agents can load additional context on demand instead of consuming everything upfront")),
         )
     )
-    rows = defs.join(flags, "package_id").where(X.trimmed(b) != "").select("package_id", F.explode(found).alias("f"))
+    rows = defs.join(flags, "package_id").where(X.trimmed(b) != "").select("package_id", F.explode_outer(found).alias("f")).where("f is not null")
     checks = finding(rows, 130, c("f.rule"), "best-practices", "info", c("f.label"), c("f.detail"), k2=c("f.k"))
     vague = finding(generic_phrases(defs), 130, "VTD-0108", "best-practices", "info", "Generic instruction detected", F.concat(lit('"'), c("phrase"), lit('" is too vague — provide specific, actionable guidance instead')), k2=c("k") + 7)
     return checks.unionByName(vague)

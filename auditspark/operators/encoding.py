@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import B64_CHUNK, BEHAVIORAL, SENSITIVE, URL_HIDDEN, URL_IN_B64
-from .base import finding, is_markdown, pick
+from .base import finding, is_markdown, pick, settled
 from .patterns import first_behavioral, first_sensitive, has_sink
 
 # Shortest literal, widest gap and shortest group of joined literals; printable share.
@@ -56,10 +56,11 @@ def base64_verdicts(files: DataFrame) -> DataFrame:
     p, markdown = F.col("path"), is_markdown(F.col("path"))
     some = F.col("content").rlike(r"""[A-Za-z0-9+/_-]{32}|["'][A-Za-z0-9+/=_-]{4}|=["'][^"'\r\n]{32}""")
     rows = files.where(~p.startswith("evals/") & ~p.startswith("references/") & some).select("package_id", "path", F.posexplode_outer(candidates(F.col("content"))).alias("ord", "c")).where("c is not null")
-    rows = rows.select("package_id", "path", "ord", F.col("c.kind").alias("kind"), F.col("c.line_no").alias("line_no"), X.lenient_base64(F.col("c.b64")).alias("text")).where("text is not null")
-    rows = rows.withColumn("matched", first_sensitive(F.col("text"), markdown))
+    rows = rows.select("package_id", "path", "ord", F.col("c.kind").alias("kind"), F.col("c.line_no").alias("line_no"), "c.b64")
+    rows = settled(rows, text=X.lenient_base64(F.col("b64"))).where("text is not null")
+    rows = settled(rows, matched=first_sensitive("text", "path"))
     danger = F.when(F.col("matched").isNotNull(), F.lit("code")).when(has_sink(F.col("text")), F.lit("net")).when(F.col("text").rlike(X.java(URL_IN_B64)), F.lit("url"))
-    rows = rows.withColumn("danger", danger)
+    rows = settled(rows, danger=danger)
     # the printable share is of the decoded bytes; replaced bytes are not printable either way
     advisory = markdown & (F.col("kind") == 0) & F.col("danger").isNull() & (X.printable_ratio(F.col("text")) >= PRINTABLE)
     firsts = rows.groupBy("package_id", "path").agg(
@@ -74,7 +75,7 @@ def base64_verdicts(files: DataFrame) -> DataFrame:
         )
     )
     rule = F.when(F.col("verdict") == "code", "VTD-0077").when(F.col("verdict") == "net", "VTD-0078").when(F.col("verdict") == "url", "VTD-0079").otherwise("VTD-0080")
-    return firsts.select("package_id", "path", F.explode(verdicts).alias("v")).select("package_id", "path", "v.*").withColumn("rule_id", rule)
+    return firsts.select("package_id", "path", F.explode_outer(verdicts).alias("v")).where("v is not null").select("package_id", "path", "v.*").withColumn("rule_id", rule)
 
 
 def base64(files: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def hidden_unicode_matches(files: DataFrame) -> DataFrame:
     else the first line that has any.  package_id, path, line_no, verdict, matched."""
     lines = F.filter(F.transform(X.lines(F.col("content")), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("line"))), lambda s: s["line"].rlike(X.INVISIBLE))
     rows = files.where(F.col("content").rlike(X.INVISIBLE)).select("package_id", "path", F.explode(lines).alias("s")).select("package_id", "path", "s.line_no", X.strip_invisible(F.col("s.line")).alias("line"))
-    rows = rows.withColumn("s", first_sensitive(F.col("line"))).withColumn("b", first_behavioral(X.normalized(F.col("line"))))
+    rows = settled(rows.withColumn("normal", X.normalized(F.col("line"))), s=first_sensitive("line"), b=first_behavioral("normal"))
     verdict = F.when(F.col("s").isNotNull(), "pattern").when(F.col("b").isNotNull(), "signal").when(F.col("line").rlike(X.java(URL_HIDDEN)), "url")
     rows = rows.withColumn("verdict", verdict).withColumn("matched", F.when(F.col("verdict") == "pattern", F.col("s")).when(F.col("verdict") == "signal", F.col("b")))
     firsts = rows.groupBy("package_id", "path").agg(F.min(F.when(F.col("verdict").isNotNull(), F.struct("line_no", "verdict", "matched"))).alias("d"), F.min("line_no").alias("first"))

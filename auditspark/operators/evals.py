@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..registry import EVAL_FILES
 from .base import finding
 
@@ -35,13 +36,29 @@ def has_assertions(case: Column) -> Column:
     return out
 
 
+#: What a text holds outside its strings: pieces are strings, or the brackets between them.
+JSON_PIECES = r'"(?:[^"\\]++|\\.)*+"|[\[\]{}]|[^"\[\]{}]++'
+
+
+def is_one_value(content: Column) -> Column:
+    """Whether the text is one object or list and nothing behind it but white space, which the parser
+    would tolerate: outside strings, the bracket that closes the first one comes last."""
+    pieces = F.regexp_extract_all(content, F.lit(f"(?s){JSON_PIECES}"), F.lit(0))
+    step = lambda s, x: F.struct(
+        (s["depth"] + F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)).cast("int").alias("depth"),
+        (s["ok"] & ((s["depth"] > 0) | (s["first"] & x.isin("[", "{")))).alias("ok"), F.lit(False).alias("first"),
+    )
+    start = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("ok"), F.lit(True).alias("first"))
+    blank = F.transform(pieces, lambda x: F.regexp_replace(x, r"\A\s+\z", ""))
+    return X.bound(F.aggregate(F.filter(blank, lambda x: x != ""), start, step), lambda s: s["ok"] & (s["depth"] == 0) & ~s["first"])
+
+
 def suites(files: DataFrame) -> DataFrame:
     """package_id, path, n_cases (null: not JSON or no list), asserted: the first suite file that a
     package has, in the order of EVAL_FILES."""
     order = F.array_position(F.array(*[F.lit(p) for p in EVAL_FILES]), F.col("path"))
     first = files.where(F.col("path").isin(EVAL_FILES)).groupBy("package_id").agg(F.min(F.struct(order.alias("o"), "path", "content")).alias("f")).select("package_id", "f.path", "f.content")
-    # trailing text after a value is tolerated by the parser but makes a file invalid
-    valid = F.when(F.trim(F.col("content")).rlike(r"(?s)\A\s*(\{.*\}|\[.*\])\s*\z"), F.try_parse_json("content"))
+    valid = F.when(is_one_value(F.col("content")), F.try_parse_json("content"))
     cases = case_list(F.col("doc"))
     return first.withColumn("doc", valid).withColumn("cases", F.when(F.col("doc").isNotNull(), cases)).select("package_id", "path", F.size("cases").cast("bigint").alias("n_cases"), F.coalesce(F.exists("cases", has_assertions), F.lit(False)).alias("asserted"))
 
@@ -69,7 +86,7 @@ def eval_checks(files: DataFrame, paths: DataFrame, flags: DataFrame) -> DataFra
             row(c("n_cases") < FEW, 2, "VTD-0121", lit("Few test cases"), lit("Consider adding at least 3 test cases covering varied prompts and edge cases")),
         )
     )
-    rows = suite.where("n_cases > 0").select("package_id", F.explode(found).alias("f"))
+    rows = suite.where("n_cases > 0").select("package_id", F.explode_outer(found).alias("f"))
     listed = finding(rows, 240, c("f.rule"), "evals", "info", c("f.label"), c("f.detail"), k2=c("f.k"))
     others = eval_files(paths, files).join(on, "package_id", "left_semi").join(suites(files).select("package_id"), "package_id", "left_anti")
     plain = finding(others, 240, "VTD-0123", "evals", "info", "Eval files found", F.concat(c("n").cast("string"), lit(" evaluation file(s) detected in non-JSON format (markdown, YAML, JSONL, etc.)")))

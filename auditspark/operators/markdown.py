@@ -12,32 +12,54 @@ from ..functions import text as X
 from ..registry import EXAMPLE_HEADING, FENCE, HEADING, QUOTE
 
 
+#: Lines folded into one piece; pieces are joined, so that no long array grows line by line.
+PIECE = 512
+
+
 def masked_lines(content: Column) -> Column:
     """The lines, with those in fences, block quotes and example sections emptied; positions stay.
 
-    The state is the open fence's marker, the level of the example section and the lines so far.
-    A fence only closes with the marker that opened it; a heading at the section's level or above
-    leaves the section, and may open another.
+    What a line says is read first: a fence's marker, a heading's level, whether it quotes, whether it
+    heads an example.  The fold's state is then the open fence's marker, the level of the example
+    section and the lines so far.  A fence only closes with the marker that opened it; a heading at the
+    section's level or above leaves the section, and may open another.
     """
-    start = F.struct(F.lit("").alias("fence"), F.lit(0).alias("section"), F.array().cast("array<string>").alias("out"))
+    none = F.struct(F.lit("").alias("marker"), F.lit(0).alias("level"), F.lit(False).alias("quote"), F.lit(False).alias("example"))
 
-    def step(s: Column, line: Column) -> Column:
-        marker = F.regexp_extract(line, X.java(FENCE), 2)
+    def said(line: Column) -> Column:
+        level = F.length(F.regexp_extract(line, X.java(HEADING), 1))
+        some = F.struct(F.regexp_extract(line, X.java(FENCE), 2).alias("marker"), level.alias("level"), line.rlike(X.java(QUOTE)).alias("quote"), ((level > 0) & line.rlike(X.java(EXAMPLE_HEADING))).alias("example"))
+        return F.struct(line.alias("line"), F.when(line.rlike(r"(?U)^\s*[`~#>]"), some).otherwise(none).alias("is"))
+
+    def state(fence: Column, section: Column, out: Column) -> Column:
+        return F.struct(fence.alias("fence"), section.cast("int").alias("section"), out.alias("out"))
+
+    def step(s: Column, row: Column) -> Column:
+        marker, level, quote = row["is"]["marker"], row["is"]["level"], row["is"]["quote"]
         inside = s["fence"] != ""
         opens = ~inside & (marker != "")
-        closes = inside & X.trimmed(line).startswith(s["fence"]) & (marker != "")
-        level = F.length(F.regexp_extract(line, X.java(HEADING), 1))
-        heading = (level > 0) & ~line.rlike(X.java(QUOTE))
-        plain = ~inside & ~opens
-        left = plain & heading & (s["section"] > 0) & (level <= s["section"])
-        still = F.when(left, F.lit(0)).otherwise(s["section"])
-        enters = plain & heading & (still == 0) & line.rlike(X.java(EXAMPLE_HEADING))
-        section = F.when(enters, level).otherwise(still)
-        blank = inside | opens | line.rlike(X.java(QUOTE)) | (section > 0)
-        fence = F.when(opens, marker).when(closes, F.lit("")).otherwise(s["fence"])
-        return F.struct(fence.alias("fence"), section.cast("int").alias("section"), F.concat(s["out"], F.array(F.when(blank, F.lit("")).otherwise(line))).alias("out"))
-
-    return F.aggregate(X.lines(content), start, step)["out"]
+        closes = inside & (marker == s["fence"])
+        plain = ~inside & ~opens & (level > 0) & ~quote
+        still = F.when(plain & (s["section"] > 0) & (level <= s["section"]), F.lit(0)).otherwise(s["section"])
+
+        def with_section(section: Column) -> Column:
+            blank = inside | opens | quote | (section > 0)
+            fence = F.when(opens, marker).when(closes, F.lit("")).otherwise(s["fence"])
+            return state(fence, section, F.concat(s["out"], F.array(F.when(blank, F.lit("")).otherwise(row["line"]))))
+
+        return X.bound(F.when(plain & (still == 0) & row["is"]["example"], level).otherwise(still), with_section)
+
+    empty = F.array().cast("array<string>")
+
+    def folded(rows: Column) -> Column:
+        def piece(s: Column, k: Column) -> Column:
+            one = F.aggregate(F.slice(rows, k * PIECE + 1, F.lit(PIECE)), state(s["fence"], s["section"], empty), step)
+            return X.bound(one, lambda r: state(r["fence"], r["section"], F.concat(s["out"], r["out"])))
+
+        pieces = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PIECE).cast("int"))
+        return F.aggregate(pieces, state(F.lit(""), F.lit(0), empty), piece)["out"]
+
+    return X.bound(F.transform(X.lines(content), said), folded)
 
 
 def parsed_definition(content: Column) -> Column:

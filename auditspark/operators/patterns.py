@@ -36,70 +36,54 @@ FILLER, POSSESSIVE = r"(?:all\s+|every\s+|the\s+|any\s+|your\s+|my\s+|these\s+|t
 ASSIGNMENT_ANCHORED = r"""(?<![A-Za-z0-9_.:-])[0-9.:-]*+(?:["']?([A-Za-z_][A-Za-z0-9_.:-]*)["']?\s*[:=]\s*["']([^"'\r\n]{20,})["'])"""
 
 
-def _needle(low: Column, needles: list[list[str]], i: int) -> Column:
-    return X.contains_any(low, needles[i]) if i < len(needles) else F.lit(True)
+def _needle(text: str, needles: list[list[str]], i: int) -> str:
+    return "(" + " OR ".join(f"contains({text}, {X.sql(w)})" for w in needles[i]) + ")" if i < len(needles) else "true"
 
 
-def _matches(regex: str):
-    return lambda line: line.rlike(regex)
+def _rlike(text: str, regex: str, more: str = "") -> str:
+    return f"{text} RLIKE {X.sql(X.java(regex, more))}"
 
 
-def _counts(p: Behavioral):
-    return lambda line: _counted(line, p)
+def within(fields: dict[str, str], f: str) -> Column:
+    """The SQL expression f over a struct s of the given ones, evaluated inside a lambda: some hundred
+    patterns are more than one generated method can hold, and each field is bound just once."""
+    named = ", ".join(f"'{n}', {e}" for n, e in fields.items())
+    return F.expr(f"element_at(transform(array(named_struct({named})), s -> {f}), 1)")
 
 
-def _summed(i: int):
-    return lambda c: F.struct(F.lit(i).alias("idx"), F.aggregate(c, F.lit(0), lambda a, b: a + b).cast("bigint").alias("n"), F.array_position(F.transform(c, lambda v: v > 0), True).cast("bigint").alias("line_no"))
+_LOW = "translate(lower({0}), 'ſ', 's')"
+_MARKDOWN = "endswith(lower({0}), '.md')"
+_SNIPPET = r"substring(regexp_replace({0}, '(?U)^\\s+|\\s+\\z', ''), 1, 120)"
 
 
-def within(args: dict[str, Column], f) -> Column:
-    """f over the arguments, evaluated inside a lambda: some hundred patterns are more than one
-    generated method can hold, and the lambda keeps them out of it while each is bound just once."""
-    return F.element_at(F.transform(F.array(F.struct(*[c.alias(n) for n, c in args.items()])), f), 1)
-
-
-def sensitive_on(content: Column, low: Column, markdown: Column, registry: list[Sensitive] = SENSITIVE) -> Column:
-    """array<struct<idx, line_no>>: for each pattern its first matching line."""
-    out = []
+def sensitive_found(path: str = "path", content: str = "content", registry: list[Sensitive] = SENSITIVE) -> Column:
+    """array<struct<idx, line_no, snippet>>: the first matching line of each pattern in a file, given the
+    names of its columns.  The lines are split once."""
+    tries = []
     for i, p in enumerate(registry):
-        gate = _needle(low, NEEDLES, i) & content.rlike(X.java(p.regex, "m"))
-        if p.code_only:
-            gate = ~markdown & gate
-        line = F.array_position(F.transform(X.lines(content), _matches(X.java(p.regex))), True)
-        out.append(F.when(gate, F.struct(F.lit(i).alias("idx"), line.cast("bigint").alias("line_no"))))
-    return F.filter(F.array_compact(F.array(*out)), lambda m: m["line_no"] > 0)
-
-
-def first_sensitive(value: Column, markdown: Column | None = None, registry: list[Sensitive] = SENSITIVE) -> Column:
-    """The index of the first pattern that matches a value as a whole, or null."""
-
-    def find(s: Column) -> Column:
-        tries = []
-        for i, p in enumerate(registry):
-            hit = _needle(s["low"], NEEDLES, i) & s["value"].rlike(X.java(p.regex))
-            if p.code_only and markdown is not None:
-                hit = ~s["markdown"] & hit
-            tries.append(F.when(hit, F.lit(i)))
-        return F.coalesce(*tries)
-
-    return within({"value": value, "low": X.folded(value), "markdown": F.lit(False) if markdown is None else markdown}, find)
+        gate = f"{_needle('s.low', NEEDLES, i)} AND {_rlike('s.content', p.regex, 'm')}" + (" AND NOT s.markdown" if p.code_only else "")
+        line = f"CAST(array_position(transform(s.lines, x -> {_rlike('x', p.regex)}), true) AS bigint)"
+        tries.append(f"CASE WHEN {gate} THEN named_struct('idx', {i}, 'line_no', {line}) END")
+    none = "CAST(array() AS array<struct<idx: int, line_no: bigint>>)"
+    hits = f"filter(array_compact(array({', '.join(tries)})), m -> m.line_no > 0)" if tries else none
+    found = f"transform({hits}, m -> named_struct('idx', m.idx, 'line_no', m.line_no, 'snippet', {_SNIPPET.format('element_at(s.lines, CAST(m.line_no AS int))')}))"
+    return within({"content": content, "lines": f"split({content}, '\n', -1)", "low": _LOW.format(content), "markdown": _MARKDOWN.format(path)}, found)
 
 
-def sensitive_found(path: Column, content: Column, registry: list[Sensitive] = SENSITIVE) -> Column:
-    """array<struct<idx, line_no, snippet>>: the first match of each pattern in a file."""
-
-    def find(s: Column) -> Column:
-        hits = sensitive_on(s["content"], s["low"], s["markdown"], registry)
-        return F.transform(hits, lambda m: F.struct(m["idx"].alias("idx"), m["line_no"].alias("line_no"), X.snippet(F.element_at(X.lines(s["content"]), m["line_no"].cast("int"))).alias("snippet")))
-
-    return within({"content": content, "low": X.folded(content), "markdown": is_markdown(path)}, find)
+def first_sensitive(value: str, path: str | None = None, registry: list[Sensitive] = SENSITIVE) -> Column:
+    """The index of the first pattern that the column `value` matches as a whole, or null."""
+    tries = [f"CASE WHEN {_needle('s.low', NEEDLES, i)} AND {_rlike('s.value', p.regex)}{' AND NOT s.markdown' if p.code_only else ''} THEN {i} END" for i, p in enumerate(registry)]
+    return within({"value": value, "low": _LOW.format(value), "markdown": _MARKDOWN.format(path) if path else "false"}, f"coalesce({', '.join(tries)})")
 
 
 def content_hits(files: DataFrame, sensitive_rules: list[Sensitive] = SENSITIVE, behavioral_rules: list[Behavioral] = BEHAVIORAL) -> DataFrame:
     """package_id, path and the matches of the three line scans, of the files that have any: one pass
     over the contents.  The scans below take such a table in place of files."""
     p, c = F.col("path"), F.col("content")
-    rows = files.select("package_id", "path", sensitive_found(p, c, sensitive_rules).alias("sensitive"), entropy_found(p, c).alias("entropy"), behavioral_found(p, c, behavioral_rules).alias("behavioral"))
+    rows = files.select("package_id", "path", sensitive_found(registry=sensitive_rules).alias("sensitive"), entropy_found(p, c).alias("entropy"), normal_lines(p, c, behavioral_rules).alias("__rows"))
+    hits = F.struct("sensitive", "entropy", behavioral_found("__rows", behavioral_rules).alias("behavioral"))
+    # behind a generator the filter does not have the patterns evaluated once more
+    rows = rows.select("package_id", "path", F.explode_outer(F.array(hits)).alias("h")).select("package_id", "path", "h.*")
     return rows.where((F.size("sensitive") > 0) | (F.size("entropy") > 0) | (F.size("behavioral") > 0))
 
 
@@ -113,7 +97,7 @@ def _exploded(files: DataFrame, name: str, found: Column) -> DataFrame:
 def sensitive_matches(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -> DataFrame:
     """First match per file and pattern: package_id, path, pat_idx, line_no, snippet and the rule's columns."""
     markdown = is_markdown(F.col("path"))
-    hits = _exploded(files, "sensitive", sensitive_found(F.col("path"), F.col("content"), registry))
+    hits = _exploded(files, "sensitive", sensitive_found(registry=registry))
     i = F.col("m.idx")
     return hits.select(
         "package_id", "path", i.alias("pat_idx"), F.col("m.line_no").alias("line_no"), F.col("m.snippet").alias("snippet"),
@@ -168,50 +152,52 @@ def has_sink(content: Column) -> Column:
     return X.contains_any(X.folded(content), words) & out
 
 
-def _counted(line: Column, p: Behavioral) -> Column:
+def _counted(line: str, p: Behavioral) -> str:
     """Matches of the pattern on one line that no denial before them silences."""
-    regex = X.java(p.regex.replace(FILLER, POSSESSIVE))
-    found = F.regexp_extract_all(line, F.lit(regex), F.lit(0))
+    regex = X.sql(X.java(p.regex.replace(FILLER, POSSESSIVE)))
+    found = f"regexp_extract_all({line}, {regex}, 0)"
     if not p.look_back:
-        return F.size(found)
-    # what stands before match i: the first i + 1 parts between matches and the first i matches
-    parts = F.split(line, regex, -1)
-    before = F.transform(found, lambda _, i: F.right(F.concat(F.array_join(F.flatten(F.transform(F.slice(parts, F.lit(1), i), lambda x, j: F.array(x, F.get(found, j)))), ""), F.get(parts, i)), F.lit(40)))
-    return F.size(F.filter(before, lambda b: ~b.rlike(X.java(NEGATION))))
-
-
-def behavioral_on(rows: Column, low: Column, registry: list[Behavioral] = BEHAVIORAL) -> Column:
-    """array<struct<idx, n, line_no>> over normalized lines; low: the lines joined."""
-    out = []
-    for i, p in enumerate(registry):
-        gate = _needle(low, BEHAVIORAL_NEEDLES, i) & low.rlike(X.java(p.regex.replace(FILLER, POSSESSIVE), "m"))
-        counts = F.transform(rows, _counts(p))
-        one = F.element_at(F.transform(F.array(counts), _summed(i)), 1)
-        out.append(F.when(gate, one))
-    return F.filter(F.array_compact(F.array(*out)), lambda m: m["n"] > 0)
+        return f"size({found})"
+    # before match i stand the parts between matches up to it and the matches in between; the last forty
+    # of either hold the forty characters that count
+    parts = f"split({line}, {regex}, -1)"
+    before = "right(concat(array_join(flatten(transform(sequence(greatest(i - 40, 0), i), j -> CASE WHEN j < i THEN array(t.parts[j], t.found[j]) ELSE array(t.parts[j]) END)), '')), 40)"
+    texts = f"transform(t.found, (f, i) -> {before})"
+    return f"element_at(transform(array(named_struct('found', {found}, 'parts', {parts})), t -> size(filter({texts}, b -> NOT {_rlike('b', NEGATION)}))), 1)"
 
 
-def first_behavioral(line: Column, registry: list[Behavioral] = BEHAVIORAL) -> Column:
-    """The index of the first pattern that a normalized line matches, denials and masks aside."""
-    return within({"line": line}, lambda s: F.coalesce(*[F.when(_needle(s["line"], BEHAVIORAL_NEEDLES, i) & s["line"].rlike(X.java(p.regex.replace(FILLER, POSSESSIVE))), F.lit(i)) for i, p in enumerate(registry)]))
+def first_behavioral(line: str, registry: list[Behavioral] = BEHAVIORAL) -> Column:
+    """The index of the first pattern that the column `line`, normalized, matches, denials and masks aside."""
+    tries = [f"CASE WHEN {_needle('s.line', BEHAVIORAL_NEEDLES, i)} AND {_rlike('s.line', p.regex.replace(FILLER, POSSESSIVE))} THEN {i} END" for i, p in enumerate(registry)]
+    return within({"line": line}, f"coalesce({', '.join(tries)})")
 
 
-def behavioral_found(path: Column, content: Column, registry: list[Behavioral] = BEHAVIORAL) -> Column:
-    """array<struct<idx, n, line_no, snippet>>: matches per pattern, with the first one's line."""
-    # a file is masked and normalized only if some needle is in it at all
+def normal_lines(path: Column, content: Column, registry: list[Behavioral] = BEHAVIORAL) -> Column:
+    """The masked and normalized lines of a file, or null if it lacks what every pattern needs."""
     some = X.contains_any(X.folded(content), sorted({w for n in BEHAVIORAL_NEEDLES for w in n})) if registry is BEHAVIORAL else F.lit(True)
-    rows = F.transform(F.when(is_markdown(path), masked_lines(content)).otherwise(X.lines(content)), lambda x: X.normalized(x))
+    return F.when(some, F.transform(F.when(is_markdown(path), masked_lines(content)).otherwise(X.lines(content)), lambda x: X.normalized(x)))
 
-    def find(s: Column) -> Column:
-        hits = within({"rows": s["rows"], "low": F.array_join(s["rows"], "\n")}, lambda t: behavioral_on(t["rows"], t["low"], registry))
-        return F.transform(hits, lambda m: F.struct(m["idx"].alias("idx"), m["n"].alias("n"), m["line_no"].alias("line_no"), F.substring(F.element_at(s["rows"], m["line_no"].cast("int")), 1, 120).alias("snippet")))
 
-    return F.when(some, within({"rows": rows}, find))
+def behavioral_found(rows: str, registry: list[Behavioral] = BEHAVIORAL) -> Column:
+    """array<struct<idx, n, line_no, snippet>>: matches per pattern, with the first one's line, given the
+    name of a column of normal lines."""
+    tries = []
+    for i, p in enumerate(registry):
+        gate = f"{_needle('s.low', BEHAVIORAL_NEEDLES, i)} AND {_rlike('s.low', p.regex.replace(FILLER, POSSESSIVE), 'm')}"
+        total = "CAST(aggregate(c, 0, (a, b) -> a + b) AS bigint)"
+        one = f"transform(array(transform(s.rows, x -> {_counted('x', p)})), c -> named_struct('idx', {i}, 'n', {total}, 'line_no', CAST(array_position(transform(c, v -> v > 0), true) AS bigint)))"
+        tries.append(f"CASE WHEN {gate} THEN element_at({one}, 1) END")
+    none = "CAST(array() AS array<struct<idx: int, n: bigint, line_no: bigint>>)"
+    hits = f"filter(array_compact(array({', '.join(tries)})), m -> m.n > 0)" if tries else none
+    found = f"transform({hits}, m -> named_struct('idx', m.idx, 'n', m.n, 'line_no', m.line_no, 'snippet', substring(element_at(s.rows, CAST(m.line_no AS int)), 1, 120)))"
+    return within({"rows": rows, "low": f"array_join({rows}, '\n')"}, found)
 
 
 def behavioral_matches(files: DataFrame, registry: list[Behavioral] = BEHAVIORAL) -> DataFrame:
     """Matches per file and pattern: package_id, path, pat_idx, n, line_no and snippet of the first."""
-    hits = _exploded(files, "behavioral", behavioral_found(F.col("path"), F.col("content"), registry))
+    if "behavioral" not in files.columns:
+        files = files.select("package_id", "path", normal_lines(F.col("path"), F.col("content"), registry).alias("__rows"))
+    hits = _exploded(files, "behavioral", behavioral_found("__rows", registry))
     i = F.col("m.idx")
     return hits.select(
         "package_id", "path", i.alias("pat_idx"), F.col("m.n").alias("n"), F.col("m.line_no").alias("line_no"), F.col("m.snippet").alias("snippet"),

@@ -56,7 +56,7 @@ def script_checks(files: DataFrame, flags: DataFrame) -> DataFrame:
         )
     )
     listed = flags.where("has_scripts").select("package_id")
-    rows = cli_scripts(files).join(listed, "package_id", "left_semi").select("package_id", "path", F.explode(found).alias("f"))
+    rows = cli_scripts(files).join(listed, "package_id", "left_semi").select("package_id", "path", F.explode_outer(found).alias("f"))
     return finding(rows, 140, c("f.rule"), "scripts", c("f.severity"), c("f.label"), c("f.detail"), filepath=c("path"), k1=c("path"), k2=c("f.k"))
 
 

@@ -44,7 +44,7 @@ def layout(flags_: DataFrame) -> DataFrame:
         for when, text in ((F.col(flag), yes), (~F.col(flag), no)):
             if text:
                 rows.append(F.when(when, F.struct(*[F.lit(v).alias(n) for n, v in zip(("phase", "rule", "category", "severity", "label", "detail"), (phase, rule, category, *text), strict=True)])))
-    found = flags_.select("package_id", F.explode(F.array_compact(F.array(*rows))).alias("f"))
+    found = flags_.select("package_id", F.explode_outer(F.array_compact(F.array(*rows))).alias("f")).where("f is not null")
     out = finding(found, 0, F.col("f.rule"), "structure", F.col("f.severity"), F.col("f.label"), F.col("f.detail"), k2=F.col("f.phase"))
     # the phase and category vary by row here
     return out.withColumn("phase", F.col("k2").cast("int")).withColumn("category", F.when(F.col("rule_id") == "VTD-0118", F.lit("evals")).otherwise(F.col("category"))).withColumn("k2", F.lit(0).cast("bigint"))

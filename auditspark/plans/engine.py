@@ -33,8 +33,8 @@ def scan(files: DataFrame, paths: DataFrame, packages: DataFrame | None = None,
     file or a path.  All stages keep package_id, so the per-package roll-ups and chains group on it."""
     if packages is None:
         packages = paths.select("package_id").union(files.select("package_id")).distinct()
-    flags = structure.flags(packages, files, paths)
-    defs = definition.definitions(packages, files, paths)
+    flags = materialized(structure.flags(packages, files, paths))
+    defs = materialized(definition.definitions(packages, files, paths))  # one row a package, parsed once for a dozen checks
     hits = materialized(patterns.content_hits(files, sensitive, behavioral))
     before = _union(
         structure.layout(flags), definition.definition_checks(defs), definition.description_checks(defs), definition.body_checks(defs, flags), scripts.script_checks(files, flags),

@@ -148,7 +148,7 @@ def q27_package_summary(spark, sf):
 
 def _two_sides(spark, sf):
     """Sensitive findings, and the same without every seventh pattern and with other severities."""
-    left = patterns.sensitive(_files(spark, sf)).withColumn("seq", F.col("k2"))
+    left = patterns.sensitive(_files(spark, sf)).withColumn("seq", F.struct("k1", "k2"))
     changed = left.where("k2 % 7 <> 0").withColumn("severity", F.when(F.col("k2") % 5 == 0, F.lit("info")).otherwise(F.col("severity")))
     return compare.diff(left, changed)
 
@@ -260,7 +260,7 @@ UNION ALL SELECT package_id, 'VTD-0113', 'low', 'Description overclaims scope' F
     low = "lower(body)"
     o["q15_body_checks"] = defs + f"""
 SELECT package_id, len(string_split(body, chr(10))) AS n_lines, contains(body, '```') OR {_any(low, definition.EXAMPLES)} AS examples, regexp_matches(body, {_L(GOTCHAS)}) AS gotchas,
-  contains(body, '- [ ]') OR regexp_matches(body, {_L(CHECKLIST)}) AS checklist, contains({low}, 'validat') OR regexp_matches({low}, '(?m)^[ \\t]*#+[ \\t]*verification') AS validation,
+  contains(body, '- [ ]') OR regexp_matches(body, {_L(CHECKLIST)}) AS checklist, contains({low}, 'validat') OR regexp_matches({low}, '(?m)^#+[ \\t]*verification') AS validation,
   {_any(low, ['# ' + w for w in definition.WORKFLOW_HEADINGS])} OR (instr({low}, 'step') > 0 AND regexp_matches(substr({low}, instr({low}, 'step') + 4), '^ *[0-9]')) OR regexp_matches(body, '(?m)^[0-9]+\\. ')
     OR regexp_matches({low}, '(?m)^[ \\t]*[-*] .*\\*\\*step') AS workflow
 FROM defs WHERE regexp_replace(body, '^\\s+|\\s+$', '', 'g') <> ''"""
@@ -315,8 +315,8 @@ SELECT package_id, path AS filepath, 'mal-activity-' || (row_number() OVER (PART
     o["q25_mismatch"] = _with(_sensitive_hits(), _DEFS) + f""", w AS (SELECT package_id, list_filter({_list(BENIGN_WORDS)}, lambda x: contains(lower(description), x)) AS l FROM defs)
 SELECT package_id, 'Description uses benign-sounding terms (' || array_to_string(l[1:3], ', ') || ') but the package contains malicious security findings. Review carefully.' AS detail
 FROM w WHERE len(l) > 0 AND package_id IN (SELECT package_id FROM sens WHERE intent = 'malicious')"""
-    sides = """, a AS (SELECT package_id, rule_id, label, max_by({'s': severity, 'd': snippet}, pat_idx) AS f FROM sens GROUP BY ALL),
- b AS (SELECT package_id, rule_id, label, max_by({'s': CASE WHEN pat_idx % 5 = 0 THEN 'info' ELSE severity END, 'd': snippet}, pat_idx) AS f FROM sens WHERE pat_idx % 7 <> 0 GROUP BY ALL),
+    sides = """, a AS (SELECT package_id, rule_id, label, max_by({'s': severity, 'd': snippet}, (path, pat_idx)) AS f FROM sens GROUP BY ALL),
+ b AS (SELECT package_id, rule_id, label, max_by({'s': CASE WHEN pat_idx % 5 = 0 THEN 'info' ELSE severity END, 'd': snippet}, (path, pat_idx)) AS f FROM sens WHERE pat_idx % 7 <> 0 GROUP BY ALL),
  d AS (SELECT package_id, rule_id, label, CASE WHEN b.f IS NULL THEN 'left_only' WHEN a.f.s <> b.f.s OR a.f.d <> b.f.d THEN 'mismatched' ELSE 'matched' END AS status,
    CASE WHEN b.f IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN a.f.s <> b.f.s THEN 'severity' END, CASE WHEN a.f.d <> b.f.d THEN 'detail' END], lambda x: x IS NOT NULL), ',') END AS fields FROM a LEFT JOIN b USING (package_id, rule_id, label))"""
     o["q28_diff"] = "" + _with(_sensitive_by_key()) + sides + "\nSELECT package_id, rule_id, label, status, fields FROM d"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,3 +246,23 @@ def test_nested_roots(spark):
     paths = spark.createDataFrame([("a/SKILL.md",), ("a/b/skill.md",), ("a/b/x.txt",), ("c.txt",)], "path string")
     roots = spark.createDataFrame([("a",), ("a/b",)], "root string")
     assert sorted(map(tuple, nested(paths, roots).collect())) == [("a", "SKILL.md"), ("a", "b/skill.md"), ("a", "b/x.txt"), ("a/b", "skill.md"), ("a/b", "x.txt")]
+
+
+def test_masking_is_linear(spark):
+    """A file of 200,000 lines is masked in seconds, and its last lines still in the right state."""
+    text = "\n".join(["# Example", "inside"] + ["# h", "plain", "> quoted", "```", "fenced", "```"] * 33_333 + ["~~~", "last"])
+    began = time.time()
+    n, kept, tail = spark.createDataFrame([(text,)], "t string").select(markdown.masked_lines(F.col("t")).alias("m")).select(F.size("m"), F.size(F.filter("m", lambda x: x != "")), F.slice("m", -8, 8)).first()
+    assert n == 200_002 and kept == 2 * 33_333 and tail == ["# h", "plain", "", "", "", "", "", ""]
+    assert time.time() - began < 30
+
+
+def test_one_json_value(spark):
+    good = ['{"a": [1, {"b": "}]"}]}', " [1]\n", '{"a": "x \\" } {"}', "[[], {}]"]
+    bad = ['{"a": 1} junk', '{"a": 1}{"a": 2}', "[1] ]", "1", '"text"', "", '{"a": 1} junk }', "{} []"]
+    assert values(spark, good, evals.is_one_value) == [True] * len(good)
+    assert not any(values(spark, bad, evals.is_one_value))
+
+
+def test_headings_of_verification(spark):
+    assert values(spark, ["# Verification", "##verification", "  # verification", "text # verification", "invalidation"], definition.has_validation) == [True, True, False, False, True]
