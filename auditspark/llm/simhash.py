@@ -205,17 +205,14 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the links, by alternating
-    large-star and small-star steps until nothing changes; each step is checkpointed.
-
-    The minima of a step are a table of their own, so that the join with them can be split where a
-    hub has very many links."""
+    large-star and small-star steps until nothing changes; each round is checkpointed."""
     stars = cut_lineage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut_lineage(both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        lows = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u")
         stars = cut_lineage(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -228,7 +225,7 @@ def least_ids(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     """node and component_id for `nodes` (node, low: the smallest id of the node's documents).
 
     The minima are checkpointed, so that the join with them can be split where a component is large."""
-    rooted = cut_lineage(nodes.join(roots.withColumnRenamed("node", node), node, "left").select(node, "low", F.coalesce("root", node).alias("root")))
+    rooted = nodes.join(roots.withColumnRenamed("node", node), node, "left").select(node, "low", F.coalesce("root", node).alias("root"))
     ids = cut_lineage(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
     return rooted.join(ids, "root").select(node, "component_id")
 
