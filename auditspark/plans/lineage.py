@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names (a temporary one if unset)."""
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names (on a local master a temporary
+    one if unset; on a cluster that would lie on one machine, so it is an error)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditspark-checkpoint-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="auditspark-checkpoint-"))
     return df.checkpoint(eager=True)

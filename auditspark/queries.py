@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import corpus
 from .functions import text as X
 from .operators import chains, definition, encoding, evals, patterns, scripts, structure
-from .plans import compare, engine
-from .registry import BEHAVIORAL, BENIGN_WORDS, CHECKLIST, ENV_FILE, EXAMPLE_HEADING, GENERIC_PHRASES, GOTCHAS, NEGATION, OVERCLAIM, POPULAR_NAMES, SENSITIVE, SINKS, URL_HIDDEN, WELL_KNOWN_NAMES
+from .plans import cases, compare, engine, wire
+from .registry import BEHAVIORAL, BENIGN_WORDS, CHECKLIST, CREDENTIAL_LABELS, ENV_FILE, EXAMPLE_HEADING, GENERIC_PHRASES, GOTCHAS, NEGATION, OVERCLAIM, POPULAR_NAMES, PROMPT_LEAK, READ_MD, SENSITIVE, SINKS, URL_HIDDEN, WELL_KNOWN_NAMES
+from .schema import DEFAULT_SOURCE, SCANNER_SCHEMA_VERSION
+from .sources import envelopes
 
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -166,6 +168,68 @@ def q30_documents_entropy(spark, sf):
     return patterns.entropy_matches(docs).select(F.col("package_id").cast("bigint").alias("doc_id"), "line_no", "snippet", F.round("entropy", 6).alias("entropy"))
 
 
+def q31_exfil_tags(spark, sf):
+    f = _files(spark, sf)
+    tagged = chains.exfiltration(patterns.sensitive(f).unionByName(patterns.entropy(f)), f)[0]
+    return tagged.where("chain_id is not null").select("package_id", "rule_id", "filepath", "label", "severity", "intent", "chain_id")
+
+
+def q32_activity_tags(spark, sf):
+    tagged = chains.activity(patterns.sensitive(_files(spark, sf)))[0]
+    return tagged.where("chain_id is not null").select("package_id", "rule_id", "filepath", "label", "severity", "intent", "chain_id")
+
+
+def q33_prompt_leak(spark, sf):
+    return definition.definition_checks(_defs(spark, sf)).where("rule_id = 'VTD-0085'").select("package_id", "severity", "label")
+
+
+def q34_body_references(spark, sf):
+    return definition.body_checks(_defs(spark, sf), _flags(spark, sf)).where("rule_id = 'VTD-0107'").select("package_id", "severity", "label")
+
+
+def q35_wire_round_trip(spark, sf):
+    """Findings written as responses and read back."""
+    order = Window.partitionBy("package_id").orderBy("k1", "k2")
+    found = patterns.sensitive(_files(spark, sf)).withColumn("seq", F.row_number().over(order).cast("bigint"))
+    bodies = wire.to_wire(found, _flags(spark, sf)).withColumnRenamed("response", "body")
+    return wire.from_wire(bodies).select("package_id", "seq", "rule_id", "category", "severity", "label", "filepath", "intent", "source")
+
+
+def _envelopes(spark, sf):
+    entries = F.map_from_entries(F.collect_list(F.struct("path", "content")))
+    return _files(spark, sf).groupBy("package_id").agg(F.to_json(F.struct(entries.alias("textFiles"), F.collect_list("path").alias("allPaths"))).alias("body"))
+
+
+def q36_envelopes(spark, sf):
+    """Packages written as request bodies and read back: their flags."""
+    f, p, k, _ = envelopes.read_envelopes(_envelopes(spark, sf))
+    return structure.flags(k, f, p)
+
+
+def q37_envelope_errors(spark, sf):
+    """Of three packages one body is no JSON and one lacks a part."""
+    third = F.substring("package_id", 2, 20).cast("bigint") % 3
+    bodies = _envelopes(spark, sf).withColumn("body", F.when(third == 0, F.lit("no json")).when(third == 1, F.lit('{"textFiles": {}}')).otherwise(F.col("body")))
+    return envelopes.read_envelopes(bodies)[3]
+
+
+def q38_engine_info(spark, sf):
+    return engine.engine_info(spark)
+
+
+def q39_source_filter(spark, sf):
+    """Of findings from this engine, from another and of null source, the first are compared."""
+    found = patterns.sensitive(_files(spark, sf)).withColumn("seq", F.struct("k1", "k2"))
+    mixed = found.withColumn("source", F.when(F.col("k2") % 3 == 0, F.lit("other")).when(F.col("k2") % 3 == 2, F.col("source")))
+    return compare.side(mixed).select("package_id", "rule_id", "label")
+
+
+def q40_case_tally(spark, sf):
+    """Packages that passed, failed or gave an error record, where every fifth gives one."""
+    errors = _files(spark, sf).select("package_id").distinct().where(F.substring("package_id", 2, 20).cast("bigint") % 5 == 0)
+    return cases.tally(compare.diff_summary(_two_sides(spark, sf)), errors)
+
+
 QUERIES: dict[str, Q] = {k: v for k, v in sorted(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
 
 # ---- the same rows in SQL -------------------------------------------------------------------------
@@ -323,6 +387,25 @@ FROM w WHERE len(l) > 0 AND package_id IN (SELECT package_id FROM sens WHERE int
     o["q29_diff_summary"] = _with(_sensitive_by_key()) + sides + """
 SELECT package_id, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'mismatched') AS mismatched, count(*) FILTER (WHERE status = 'left_only') AS left_only, CAST(0 AS BIGINT) AS right_only,
   count(*) FILTER (WHERE status <> 'matched') = 0 AS passed FROM d GROUP BY 1"""
+    o["q31_exfil_tags"] = _with(_sensitive_hits(), _entropy("lines")) + f""",
+ every AS (SELECT package_id, path, rule_id, label, severity FROM sens UNION ALL SELECT package_id, path, 'VTD-0003', 'High-entropy value — potential hardcoded secret', 'critical' FROM (SELECT DISTINCT package_id, path, line_no FROM keyed JOIN ent USING (id) WHERE round(h, 12) >= 3.5)),
+ marked AS (SELECT *, {_any('label', CREDENTIAL_LABELS)} AND severity <> 'info' AS src, {_any('lower(label)', chains.NETWORK_WORDS)} AS net FROM every),
+ ch AS (SELECT package_id, path, 'cred-exfil-' || (row_number() OVER (PARTITION BY package_id ORDER BY path) - 1) AS chain_id FROM files JOIN (SELECT DISTINCT package_id, path FROM marked WHERE src) USING (package_id, path) WHERE {sink})
+SELECT package_id, rule_id, path AS filepath, label, 'critical' AS severity, 'malicious' AS intent, chain_id FROM marked JOIN ch USING (package_id, path) WHERE src OR net"""
+    o["q32_activity_tags"] = o["q24_activity_chain"].split("SELECT package_id, path AS filepath, 'mal-activity-'")[0].rstrip() + """, c AS (SELECT package_id, path, 'mal-activity-' || (row_number() OVER (PARTITION BY package_id ORDER BY path) - 1) AS chain_id FROM u)
+SELECT package_id, rule_id, path AS filepath, label, 'critical' AS severity, 'malicious' AS intent, chain_id FROM sens JOIN c USING (package_id, path) WHERE bucket IS NOT NULL"""
+    o["q33_prompt_leak"] = _with() + f"\nSELECT package_id, 'medium' AS severity, 'System prompt leakage risk' AS label FROM files WHERE path = 'SKILL.md' AND regexp_matches(content, {_L(PROMPT_LEAK)})"
+    o["q34_body_references"] = defs + f"""
+SELECT package_id, 'info' AS severity, 'Progressive disclosure used' AS label FROM defs WHERE regexp_replace(body, '^\\s+|\\s+$', '', 'g') <> '' AND (contains(body, 'references/') OR contains(body, 'scripts/') OR contains(body, 'assets/') OR regexp_matches(body, {_L(READ_MD)}))
+  AND package_id IN (SELECT package_id FROM files WHERE split_part(path, '/', 1) IN ('references', 'scripts', 'assets') AND contains(path, '/'))"""
+    o["q35_wire_round_trip"] = sens + f"\nSELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY path, pat_idx) AS seq, rule_id, 'security' AS category, severity, label, path AS filepath, intent, {_L(DEFAULT_SOURCE)} AS source FROM sens"
+    o["q36_envelopes"] = o["q01_structure_flags"]
+    o["q37_envelope_errors"] = "SELECT DISTINCT 'p' || (doc_id // 8) AS package_id, false AS ok, 'invalid request body' AS error FROM documents WHERE doc_id IS NOT NULL AND (doc_id // 8) % 3 <> 2"
+    o["q38_engine_info"] = f'SELECT true AS ok, {SCANNER_SCHEMA_VERSION} AS "scannerVersion"'
+    o["q39_source_filter"] = sens + "\nSELECT DISTINCT package_id, rule_id, label FROM sens WHERE pat_idx % 3 = 2"
+    o["q40_case_tally"] = _with(_sensitive_by_key()) + sides + """, each AS (SELECT package_id, bool_and(status = 'matched') AS passed FROM d GROUP BY 1),
+ t AS (SELECT package_id, passed, CAST(substr(package_id, 2) AS BIGINT) % 5 = 0 AS bad FROM (SELECT DISTINCT package_id FROM files) LEFT JOIN each USING (package_id))
+SELECT count(*) FILTER (WHERE NOT bad AND passed) AS passed, count(*) FILTER (WHERE NOT bad AND NOT passed) AS failed, count(*) FILTER (WHERE bad) AS errors FROM t"""
     docs = "WITH lines AS (SELECT package_id, 'd.txt' AS path, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id AS package_id, string_split(text, chr(10)) AS l FROM documents)),\n"
     o["q30_documents_entropy"] = docs + _entropy("lines") + f"\nSELECT package_id AS doc_id, line_no, {_SNIP} AS snippet, round(min_by(h, id), 6) AS entropy FROM keyed JOIN ent USING (id) WHERE round(h, 12) >= 3.5 GROUP BY package_id, path, line_no, line"
     return o

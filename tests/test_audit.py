@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from auditspark import corpus, registry
 from auditspark.functions import text as X
 from auditspark.operators import definition, encoding, evals, markdown, patterns, scripts
-from auditspark.plans import compare, engine, wire
+from auditspark.plans import cases, compare, engine, wire
 from auditspark.sources.directories import read_packages
 from auditspark.sources.envelopes import read_envelopes
 
@@ -266,3 +266,21 @@ def test_one_json_value(spark):
 
 def test_headings_of_verification(spark):
     assert values(spark, ["# Verification", "##verification", "  # verification", "text # verification", "invalidation"], definition.has_validation) == [True, True, False, False, True]
+
+
+def test_cases(spark):
+    """The case table, the choice of cases and what their audits say; an unknown name is an error."""
+    result = engine.scan(*cases.table(spark))
+    flags = {r.package_id: r for r in result.summary.collect()}
+    assert len(flags) == 7 and flags["skill-all-extras"].has_scripts and flags["skill-all-extras"].has_evals and flags["skill-all-extras"].has_references
+    missing = {r.package_id for r in result.findings.where("rule_id = 'VTD-0095' and severity = 'critical'").collect()}
+    assert missing == {"missing-skill-md", "empty-input"}
+    assert [r.package_id for r in cases.table(spark, ["skill-with-evals"])[2].collect()] == ["skill-with-evals"]
+    with pytest.raises(ValueError):
+        cases.table(spark, ["no such case"])
+
+
+def test_tally(spark):
+    summary = spark.createDataFrame([("a", True), ("b", False), ("c", False)], "package_id string, passed boolean")
+    errors = spark.createDataFrame([("c",), ("d",), ("d",)], "package_id string")
+    assert tuple(cases.tally(summary, errors).first()) == (1, 1, 2)
