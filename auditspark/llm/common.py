@@ -25,6 +25,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="auditspark-checkpoint-"))
     return where or sc.getCheckpointDir()
