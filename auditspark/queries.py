@@ -230,6 +230,13 @@ def q40_case_tally(spark, sf):
     return cases.tally(compare.diff_summary(_two_sides(spark, sf)), errors)
 
 
+def q41_obfuscation_chains(spark, sf):
+    """Findings of base64 and hidden Unicode that are in chains of their own."""
+    f = _files(spark, sf)
+    found = encoding.base64(f).unionByName(encoding.hidden_unicode(f))
+    return found.where("chain_id is not null").select("package_id", "rule_id", "severity", "label", "filepath", "detail", "intent", "chain_id")
+
+
 QUERIES: dict[str, Q] = {k: v for k, v in sorted(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
 
 # ---- the same rows in SQL -------------------------------------------------------------------------
@@ -277,6 +284,44 @@ _DEFS = f"""defs AS MATERIALIZED (SELECT package_id, content, split_part(h, chr(
  FROM (SELECT package_id, content, substr(content, 5, instr(substr(content, 5), chr(10) || '---') - 1) AS h FROM files WHERE path = 'SKILL.md'))"""
 
 
+#: Candidates of base64 in order: runs of a line, adjacent quoted literals, shell variables.  Decoded
+#: text keeps its ASCII; bytes that are no UTF-8 are marks of three bytes.
+_CODED = r"""scanned AS (SELECT package_id, path, content FROM files WHERE NOT starts_with(path, 'evals/') AND NOT starts_with(path, 'references/')),
+  runs AS (SELECT package_id, path, line_no, generate_subscripts(l, 1) AS i, unnest(l) AS b FROM (SELECT package_id, path, line_no, regexp_extract_all(line, {chunk}) AS l FROM lines SEMI JOIN scanned USING (package_id, path))),
+  pieces AS (SELECT package_id, path, generate_subscripts(l, 1) AS i, unnest(l) AS p FROM (SELECT package_id, path, regexp_extract_all(content, {pieces}) AS l FROM scanned)),
+  told AS (SELECT *, regexp_full_match(p, {quoted}) AS q FROM pieces),
+  told2 AS (SELECT *, sum(CAST(q AS INTEGER)) OVER (PARTITION BY package_id, path ORDER BY i) AS c FROM told),
+  literals AS (SELECT package_id, path, c, any_value(p[2:-2]) FILTER (WHERE q) AS inner_, coalesce(string_agg(p, '' ORDER BY i) FILTER (WHERE NOT q), '') AS behind FROM told2 WHERE c > 0 GROUP BY ALL),
+  apart AS (SELECT *, lag(behind) OVER w AS gap FROM literals WINDOW w AS (PARTITION BY package_id, path ORDER BY c)),
+  dealt AS (SELECT *, sum(CASE WHEN strlen(gap) <= 10 AND regexp_full_match(gap, '[+\s]*') THEN 0 ELSE 1 END) OVER (PARTITION BY package_id, path ORDER BY c) AS g FROM apart),
+  joined AS (SELECT package_id, path, g, string_agg(inner_, '' ORDER BY c) AS b FROM dealt GROUP BY ALL HAVING count(*) > 1),
+  variables AS (SELECT package_id, path, generate_subscripts(l, 1) AS i, regexp_replace(unnest(l), '\s+', '', 'g') AS b FROM (SELECT package_id, path, regexp_extract_all(content, {variable}, 1) AS l FROM scanned)),
+  tried AS (SELECT package_id, path, 0 AS kind, line_no, i, b FROM runs UNION ALL SELECT package_id, path, 1, 0, g, b FROM joined WHERE strlen(b) >= 40
+    UNION ALL SELECT package_id, path, 2, 0, i, b FROM variables WHERE strlen(b) >= 32 AND regexp_full_match(b, '[A-Za-z0-9+/=_-]+')),
+  ways AS (SELECT *, b || (['', '', '==', '='])[strlen(b) % 4 + 1] AS padded FROM tried),
+  bytes AS (SELECT * EXCLUDE (b, padded), coalesce({b}, {padded}, {url}) AS v FROM ways),
+  decoded AS (SELECT package_id, path, kind, line_no, i, coalesce(TRY(decode(v)), array_to_string(list_transform(regexp_extract_all(hex(v), '..'), lambda x: CASE WHEN x < '80' THEN chr(CAST('0x' || x AS INTEGER)) ELSE chr(65533) END), '')) AS t FROM bytes WHERE v IS NOT NULL),
+  matched AS (SELECT *, {first} AS m FROM decoded),
+  judged AS (SELECT *, (kind, line_no, i) AS ord, CASE WHEN m IS NOT NULL THEN 'code' WHEN {sink} THEN 'net' WHEN regexp_matches(t, {link}) THEN 'url' END AS danger FROM matched),
+  marked AS (SELECT *, ends_with(lower(path), '.md') AND kind = 0 AND danger IS NULL AND t <> '' AND length(regexp_replace(t, '[^\x20-\x7E\t\n\r]', '', 'g')) / strlen(t) >= 0.75 AS plain FROM judged),
+  firsts AS (SELECT package_id, path, min(ord) FILTER (WHERE danger IS NOT NULL) AS d, min(ord) FILTER (WHERE plain) AS a FROM marked GROUP BY ALL),
+  verdicts AS (SELECT package_id, path, 'advisory' AS verdict, NULL AS m, line_no FROM marked JOIN firsts USING (package_id, path) WHERE plain AND ord = a AND (d IS NULL OR a < d)
+    UNION ALL SELECT package_id, path, danger, m, NULL FROM marked JOIN firsts USING (package_id, path) WHERE danger IS NOT NULL AND ord = d)"""
+
+
+def _coded() -> str:
+    from .registry import B64_CHUNK, SHELL_VARIABLE, URL_IN_B64
+
+    way = lambda x: f"CASE WHEN strlen({x}) % 4 = 0 AND regexp_full_match({x}, '[A-Za-z0-9+/]*={{0,2}}') AND to_base64(TRY(from_base64({x}))) = {x} THEN TRY(from_base64({x})) END"
+    tries = " ".join(f"WHEN regexp_matches(t, {_L(p.regex)}){' AND NOT ' + _MD if p.code_only else ''} THEN {i}" for i, p in enumerate(SENSITIVE))
+    quoted = _L("""'[A-Za-z0-9+/=_-]{4,}'|"[A-Za-z0-9+/=_-]{4,}\"""")
+    pieces = _L("""[^'"]+|'[^']*'|"[^"]*"|'[^']*\\z|"[^"]*\\z""")
+    sink = "(" + " OR ".join(f"regexp_matches(t, {_L(p)})" for p in SINKS) + ")"
+    return _CODED.format(
+        chunk=_L(B64_CHUNK), pieces=pieces, quoted=quoted, variable=_L(SHELL_VARIABLE), first=f"CASE {tries} END", sink=sink, link=_L(URL_IN_B64), b=way("b"), padded=way("padded"), url=way("translate(padded, '-_', '+/')"),
+    )
+
+
 def _oracle() -> dict[str, str]:
     o: dict[str, str] = {}
     o["q01_structure_flags"] = _with() + """
@@ -363,6 +408,19 @@ norm AS MATERIALIZED (SELECT package_id, path, line_no, regexp_replace(regexp_re
     o["q06_hidden_unicode"] = _with(f"inv AS (SELECT package_id, path, line_no, regexp_replace(line, '{invisible}', '', 'g') AS line FROM lines WHERE regexp_matches(line, '{invisible}'))",
         f"v AS (SELECT package_id, path, line_no, CASE WHEN {any_of(SENSITIVE, 'line')} THEN 'pattern' WHEN {any_of(BEHAVIORAL, low_line)} THEN 'signal' WHEN regexp_matches(line, {_L(URL_HIDDEN)}) THEN 'url' END AS v FROM inv)") + """
 SELECT package_id, path, coalesce(min(line_no) FILTER (WHERE v IS NOT NULL), min(line_no)) AS line_no, coalesce(min_by(v, line_no) FILTER (WHERE v IS NOT NULL), 'plain') AS verdict FROM v GROUP BY 1, 2"""
+    o["q21_base64_verdict"] = _with(_coded()) + """
+SELECT package_id, path, verdict, CASE verdict WHEN 'code' THEN 'VTD-0077' WHEN 'net' THEN 'VTD-0078' WHEN 'url' THEN 'VTD-0079' ELSE 'VTD-0080' END AS rule_id, CAST(line_no AS BIGINT) AS line_no FROM verdicts"""
+    hidden = o["q06_hidden_unicode"].split("\nSELECT package_id, path, coalesce", 1)
+    o["q41_obfuscation_chains"] = hidden[0] + f""",
+u AS (SELECT package_id, path, coalesce{hidden[1]}),
+{_coded()},
+c AS (SELECT package_id, path, verdict, m, row_number() OVER (PARTITION BY package_id ORDER BY path) - 1 AS n FROM verdicts WHERE verdict <> 'advisory')
+SELECT package_id, CASE verdict WHEN 'code' THEN 'VTD-0077' WHEN 'net' THEN 'VTD-0078' ELSE 'VTD-0079' END AS rule_id, 'critical' AS severity,
+  CASE verdict WHEN 'code' THEN 'Obfuscated dangerous code' WHEN 'net' THEN 'Obfuscated network call' ELSE 'Obfuscated external URL (dead-drop)' END AS label, path AS filepath,
+  'Decoded base64 in ' || path || CASE verdict WHEN 'code' THEN ' matched: ' || ({_list([p.label for p in SENSITIVE])})[m + 1] WHEN 'net' THEN ' contained a network transmission call' ELSE ' contained an external URL. Possible dead-drop or remote instruction source.' END AS detail,
+  'malicious' AS intent, 'obfusc-' || verdict || '-' || n AS chain_id FROM c
+UNION ALL SELECT package_id, 'VTD-0079', 'critical', 'Obfuscated external URL (dead-drop)', path, 'Hidden Unicode in ' || path || ':' || line_no || ' concealed an external URL', 'malicious',
+  'obfusc-uni-' || (row_number() OVER (PARTITION BY package_id ORDER BY path) - 1) FROM u WHERE verdict = 'url'"""
     failing = "\nUNION ALL ".join(f"SELECT package_id FROM norm WHERE regexp_matches(line, {_L(p.regex)})" for p in BEHAVIORAL if p.severity in ("critical", "high") and not p.look_back)
     o["q22_rollups"] = walking(norm, asked, _sensitive_hits(), _entropy("lines")) + f"""
 SELECT DISTINCT package_id, 'VTD-0091' AS rule_id FROM files WHERE package_id NOT IN (SELECT package_id FROM sens WHERE severity IN ('critical', 'high') UNION ALL SELECT package_id FROM keyed JOIN ent USING (id) WHERE round(h, 12) >= 3.5
