@@ -12,7 +12,7 @@ from .functions import text as X
 from .operators import chains, definition, encoding, evals, patterns, scripts, structure
 from .plans import cases, compare, engine, wire
 from .registry import BEHAVIORAL, BENIGN_WORDS, CHECKLIST, CREDENTIAL_LABELS, ENV_FILE, EXAMPLE_HEADING, GENERIC_PHRASES, GOTCHAS, NEGATION, OVERCLAIM, POPULAR_NAMES, PROMPT_LEAK, READ_MD, SENSITIVE, SINKS, URL_HIDDEN, WELL_KNOWN_NAMES
-from .schema import DEFAULT_SOURCE, SCANNER_SCHEMA_VERSION
+from .schema import DEFAULT_SOURCE, SCANNER_SCHEMA_VERSION, SEVERITIES
 from .sources import envelopes
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -305,8 +305,8 @@ _CODED = r"""scanned AS (SELECT package_id, path, content FROM files WHERE NOT s
   judged AS (SELECT *, (kind, line_no, i) AS ord, CASE WHEN m IS NOT NULL THEN 'code' WHEN {sink} THEN 'net' WHEN regexp_matches(t, {link}) THEN 'url' END AS danger FROM matched),
   marked AS (SELECT *, ends_with(lower(path), '.md') AND kind = 0 AND danger IS NULL AND t <> '' AND length(regexp_replace(t, '[^\x20-\x7E\t\n\r]', '', 'g')) / strlen(t) >= 0.75 AS plain FROM judged),
   firsts AS (SELECT package_id, path, min(ord) FILTER (WHERE danger IS NOT NULL) AS d, min(ord) FILTER (WHERE plain) AS a FROM marked GROUP BY ALL),
-  verdicts AS (SELECT package_id, path, 'advisory' AS verdict, NULL AS m, line_no FROM marked JOIN firsts USING (package_id, path) WHERE plain AND ord = a AND (d IS NULL OR a < d)
-    UNION ALL SELECT package_id, path, danger, m, NULL FROM marked JOIN firsts USING (package_id, path) WHERE danger IS NOT NULL AND ord = d)"""
+  verdicts AS (SELECT package_id, path, 'advisory' AS verdict, CAST(NULL AS INTEGER) AS m, line_no FROM marked JOIN firsts USING (package_id, path) WHERE plain AND ord = a AND (d IS NULL OR a < d)
+    UNION ALL SELECT package_id, path, danger, m, CAST(NULL AS BIGINT) FROM marked JOIN firsts USING (package_id, path) WHERE danger IS NOT NULL AND ord = d)"""
 
 
 def _coded() -> str:
@@ -322,6 +322,89 @@ def _coded() -> str:
     )
 
 
+def _full(o: dict[str, str], masked: str, asked: str, sink: str) -> str:
+    """The whole audit as the common table expression `found`, from the SQL of its checks (o)."""
+    invisible = "[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FEFF}\\x{E0000}-\\x{E007F}]"
+    low_line = "regexp_replace(regexp_replace(lower(line), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+    first = lambda rules, x: "CASE " + " ".join(f"WHEN regexp_matches({x}, {_L(r.regex)}) THEN {i}" for i, r in enumerate(rules)) + " END"
+    rest = lambda name: o[name].replace("WITH RECURSIVE files", "WITH files", 1)[len(_with()):]
+    checks = ["q01_structure_flags", "q04_entropy_secrets", "q05_env_files", "q07_external_url", "q09_script_checks", "q11_name_validity", "q12_typosquat", "q13_name_collision", "q14_description_checks", "q15_body_checks", "q16_generic_phrases", "q17_evals_cases", "q18_eval_files", "q19_behavioral_counts", "q33_prompt_leak", "q34_body_references"]
+    made = [f"{n[:3]} AS MATERIALIZED (WITH RECURSIVE z AS (SELECT 1){rest(n)})" for n in checks]
+    labels = lambda rules: f"({_list([r.label for r in rules])})"
+    says = lambda column, texts: f"CASE {column} " + " ".join(f"WHEN {_L(k)} THEN {v}" for k, v in texts.items()) + " END"
+
+    def part(table, phase, rule, category, severity, label, detail, filepath="NULL", intent="NULL", k1="''", k2="0", chain="NULL", seen="NULL", bucket="NULL"):
+        return f"SELECT package_id, {phase} AS phase, {k1} AS k1, {k2} AS k2, {rule} AS rule_id, {category} AS category, {severity} AS severity, {label} AS label, {detail} AS detail, {filepath} AS filepath, {intent} AS intent, {chain} AS chain_id, {seen} AS seen, {bucket} AS bucket FROM {table}"
+
+    at = "'Detected in ' || path || ':' || line_no"
+    quote = "' — `' || snippet || '`'"
+    parts = []
+    for phase, flag, rule, category, yes, no in structure.LAYOUT:
+        parts += [part(f"q01 WHERE {w}{flag}", phase, _L(rule), _L(category), *map(_L, t)) for w, t in (("", yes), ("NOT ", no)) if t]
+    said = {"CLI help supported": "Script documents its interface via --help or argument parsing", "No --help support": "Add argument parsing with --help output so agents know the script's interface", "Interactive prompts detected": "Agents run in non-interactive shells — replace prompts with CLI flags or stdin",
+        "Structured output format": "Uses JSON/CSV output which is easily parseable by agents", "Unpinned dependency versions": "Pin dependency versions for reproducibility (e.g., >=4.12,<5 instead of >=4.12)"}
+    described = {"Missing description field": "The description field is required and should describe what the skill does and when to use it", "Description includes usage context": "Good: description explains when to activate the skill",
+        "Description lacks usage context": 'Add context like "Use this skill when..." to help agents know when to activate it', "Description too brief": "A few sentences covering scope and trigger conditions improves activation accuracy",
+        "Description overclaims scope": "Broad trigger words (anything, everything, all files, etc.) widen attack surface — narrow to specific use cases"}
+    info, best, security = "'info'", "'best-practices'", "'security'"
+    two = lambda when, yes, no: f"CASE WHEN {when} THEN {_L(yes)} ELSE {_L(no)} END"
+    parts += [
+        part("q12", 60, "'VTD-0082'", security, "severity", "'Possible typosquatting'", "detail", intent="'negligent'"),
+        part("q11", 70, "'VTD-0099'", "'structure'", two("error IS NULL", "info", "critical"), two("error IS NULL", "Valid name field", "Invalid name field"), "coalesce(error, 'Name \"' || name || '\" follows spec (lowercase, hyphens, ≤64 chars)')"),
+        part("q13", 80, "'VTD-0100'", best, "'medium'", "'Skill name collides with well-known skill'", "'\"' || name || '\" matches a well-known skill name — may cause unintended invocation'"),
+        part("defs WHERE repository = ''", 90, "'VTD-0083'", security, info, "'No repository link'", "'No repository field found in SKILL.md frontmatter. Skills without a verifiable source repository cannot be externally audited.'", intent="'negligent'"),
+        part("q33", 110, "'VTD-0085'", security, "severity", "label", "'Skill instructs agent to output or reveal system prompt/instructions'"),
+        part("q14 JOIN defs USING (package_id)", 120, "rule_id", "'description'", "severity", "label", f"CASE rule_id WHEN 'VTD-0110' THEN CASE WHEN length(description) > 1024 THEN 'Description is ' || length(description) || ' characters (max: 1024)' ELSE length(description) || '/1024 characters used' END ELSE {says('label', {k: _L(v) for k, v in described.items()})} END",
+            k2="['VTD-0109', 'VTD-0110', 'VTD-0111', 'VTD-0112', 'VTD-0113'].list_position(rule_id)"),
+        part("q15", 130, "'VTD-0101'", best, info, two("n_lines > 500", "SKILL.md exceeds 500 lines", "SKILL.md body length is reasonable"), "n_lines || " + two("n_lines > 500", " lines — consider moving detailed reference material to references/", " lines (recommended: under 500)")),
+        part("q15 WHERE gotchas", 130, "'VTD-0102'", best, info, "'Gotchas section found'", "'Documents environment-specific facts and common pitfalls'", k2="1"),
+        part("q15", 130, "'VTD-0103'", best, info, two("examples", "Examples included", "No examples found"), two("examples", "Found code blocks, input/output samples, or an examples section — concrete samples help agents pattern-match effectively", "Add code blocks, input/output samples, or before/after examples to improve agent accuracy"), k2="2"),
+        part("q15 WHERE checklist", 130, "'VTD-0104'", best, info, "'Checklist pattern found'", "'Explicit checklists help agents track progress in multi-step workflows'", k2="3"),
+        part("q15", 130, "'VTD-0106'", best, info, two("workflow", "Step-by-step workflow found", "No clear workflow structure"), two("workflow", "Structured procedures improve reliability for complex tasks", "Consider adding numbered steps or a structured procedure for the agent to follow"), k2="4"),
+        part("q15 WHERE validation", 130, "'VTD-0105'", best, info, "'Validation loop referenced'", "'Instructions for the agent to validate its own work before proceeding'", k2="5"),
+        part("q34", 130, "'VTD-0107'", best, "severity", "label", "'SKILL.md body references files in references/, scripts/, or assets/ — agents can load additional context on demand instead of consuming everything upfront'", k2="6"),
+        part("q16", 130, "'VTD-0108'", best, info, "'Generic instruction detected'", "'\"' || phrase || '\" is too vague — provide specific, actionable guidance instead'", k2=f"6 + list_position({_list(GENERIC_PHRASES)}, phrase)"),
+        part("q09", 140, "rule_id", "'scripts'", "severity", "label", "filepath || ': ' || " + says("label", {k: _L(v) for k, v in said.items()}), "filepath", k1="filepath", k2="CAST(right(rule_id, 3) AS INTEGER)"),
+        part("sens", 150, "rule_id", security, "severity", "label", f"{at} || {quote}", "path", "intent", "path", "pat_idx", seen="path", bucket="bucket"),
+        part("q04", 160, "'VTD-0003'", security, "'critical'", "'High-entropy value — potential hardcoded secret'", f"{at} || {quote}", "path", k1="path", k2="line_no", seen="path"),
+        part("q05", 170, "'VTD-0004'", security, "'critical'", "'Environment file included in skill package'", "detail", "filepath", k1="filepath"),
+        part("q41", 180, "rule_id", security, "severity", "label", "detail", "filepath", "intent", "filepath", "1", "chain_id"),
+        part("verdicts WHERE verdict = 'advisory'", 180, "'VTD-0080'", security, "'medium'", "'Base64-encoded content in markdown file'", f"{at} || ' — base64 content is rarely expected in skill documentation'", "path", k1="path", seen="path"),
+        part("heard", 200, "rule_id", security, f"({_list([r.severity for r in BEHAVIORAL])})[pat_idx + 1]", f"{labels(BEHAVIORAL)}[pat_idx + 1]", f"{at} || CASE WHEN n > 1 THEN ' (' || n || ' matches)' ELSE '' END || {quote}", "path", k1="path", k2="pat_idx", seen="path"),
+        part("veiled", 220, "CASE verdict WHEN 'plain' THEN 'VTD-0081' WHEN 'url' THEN 'VTD-0079' ELSE 'VTD-0077' END", security, two("verdict = 'plain'", "medium", "critical"), "CASE verdict WHEN 'plain' THEN 'Hidden Unicode character detected' WHEN 'url' THEN 'Obfuscated external URL (dead-drop)' ELSE 'Obfuscated dangerous code' END",
+            f"CASE verdict WHEN 'plain' THEN 'Invisible formatting/control character in ' || path || ':' || line_no || '. May conceal prompt injection content.' ELSE 'Hidden Unicode in ' || path || ':' || line_no || ' concealed ' || CASE verdict WHEN 'url' THEN 'an external URL' WHEN 'pattern' THEN 'a dangerous pattern: ' || {labels(SENSITIVE)}[m + 1] ELSE 'a behavioral signal: ' || {labels(BEHAVIORAL)}[m + 1] END END",
+            "path", "CASE WHEN verdict <> 'plain' THEN 'malicious' END", "path", chain="CASE WHEN verdict = 'url' THEN 'obfusc-uni-' || (row_number() OVER (PARTITION BY package_id, verdict = 'url' ORDER BY path) - 1) END"),
+        part("q07", 230, "rule_id", security, two("filepath IS NULL", "info", "medium"), two("filepath IS NULL", "No external URLs in skill definition", "References external URL — review for indirect prompt injection risk"), "detail", "filepath"),
+        part("q17 WHERE n_cases > 0", 240, "'VTD-0119'", "'evals'", info, "'Test cases defined'", "n_cases || ' test case(s) found in evals JSON'"),
+        part("q17 WHERE n_cases > 0", 240, "'VTD-0120'", "'evals'", info, two("asserted", "Assertions defined for test cases", "No assertions in test cases"), two("asserted", "Verifiable assertions or expected outputs enable automated grading of skill outputs", "Add verifiable assertions, expected outputs, or criteria to each test case"), k2="1"),
+        part("q17 WHERE n_cases BETWEEN 1 AND 2", 240, "'VTD-0121'", "'evals'", info, "'Few test cases'", "'Consider adding at least 3 test cases covering varied prompts and edge cases'", k2="2"),
+        part("q18 ANTI JOIN q17 USING (package_id)", 240, "'VTD-0123'", "'evals'", info, "'Eval files found'", "n || ' evaluation file(s) detected in non-JSON format (markdown, YAML, JSONL, etc.)'"),
+    ]
+    coded_chains = o["q41_obfuscation_chains"].split("),\nc AS (", 1)[1].split("\nUNION ALL", 1)[0]
+    clean = lambda phase, rule, label, detail, failed: part(f"q01 WHERE package_id NOT IN (SELECT package_id FROM before WHERE {failed})", phase, _L(rule), security, info, _L(label), _L(detail))
+    serious = "severity IN ('critical', 'high')"
+    return ",\n".join([
+        _with(_sensitive_hits(), _DEFS, *made, _coded(), masked, asked).replace("WITH files", "WITH RECURSIVE files", 1),
+        "q41 AS (WITH c AS (" + coded_chains + ")",
+        f"heard AS (SELECT package_id, path, pat_idx, rule_id, n, line_no, snippet FROM q19 UNION ALL SELECT package_id, path, 11, {_L(BEHAVIORAL[11].rule)}, CAST(sum(c) AS BIGINT), min(line_no), min_by(substr(line, 1, 120), line_no) FROM asked JOIN norm USING (package_id, path, line_no) WHERE c > 0 GROUP BY package_id, path)",
+        f"bare AS (SELECT package_id, path, line_no, regexp_replace(line, '{invisible}', '', 'g') AS line FROM lines WHERE regexp_matches(line, '{invisible}'))",
+        f"seen_in AS (SELECT package_id, path, line_no, {first(SENSITIVE, 'line')} AS s, {first(BEHAVIORAL, low_line)} AS b, regexp_matches(line, {_L(URL_HIDDEN)}) AS u FROM bare)",
+        "veiled AS (SELECT package_id, path, coalesce(min(line_no) FILTER (WHERE w <> 'plain'), min(line_no)) AS line_no, coalesce(min_by(w, line_no) FILTER (WHERE w <> 'plain'), 'plain') AS verdict, min_by(coalesce(s, b), line_no) FILTER (WHERE w IN ('pattern', 'signal')) AS m FROM (SELECT *, CASE WHEN s IS NOT NULL THEN 'pattern' WHEN b IS NOT NULL THEN 'signal' WHEN u THEN 'url' ELSE 'plain' END AS w FROM seen_in) GROUP BY 1, 2)",
+        "before AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")",
+        "rolled AS (FROM before\nUNION ALL " + clean(190, "VTD-0091", "No secrets or unsafe code patterns detected", "Scanned all files for credentials, private keys, and code-level risks (eval, shell exec, destructive ops)", f"(category = 'security' AND phase < 180 AND {serious}) OR (phase = 180 AND rule_id = 'VTD-0077')")
+        + "\nUNION ALL " + clean(210, "VTD-0092", "No prompt injection or jailbreak signals detected", "Scanned text content for instruction override, jailbreak framing, credential solicitation, and embedded injection markers", f"phase = 200 AND {serious}") + ")",
+        f"sourced AS MATERIALIZED (SELECT *, seen IS NOT NULL AND category = 'security' AND severity <> 'info' AND {_any('label', CREDENTIAL_LABELS)} AS src, seen IS NOT NULL AND chain_id IS NULL AND {_any('lower(label)', chains.NETWORK_WORDS)} AS net FROM rolled)",
+        f"exfil AS MATERIALIZED (SELECT package_id, path AS seen, 'cred-exfil-' || (row_number() OVER (PARTITION BY package_id ORDER BY path) - 1) AS x FROM files JOIN (SELECT DISTINCT package_id, seen AS path FROM sourced WHERE src) USING (package_id, path) WHERE {sink})",
+        "chained AS MATERIALIZED (SELECT s.* EXCLUDE (src, net) REPLACE (CASE WHEN hit THEN 'critical' ELSE severity END AS severity, CASE WHEN hit THEN 'malicious' ELSE intent END AS intent, CASE WHEN hit THEN x ELSE chain_id END AS chain_id) FROM (SELECT sourced.*, x, x IS NOT NULL AND (src OR net) AS hit FROM sourced LEFT JOIN exfil USING (package_id, seen)) s)",
+        "chained2 AS MATERIALIZED (SELECT * EXCLUDE (x, hit) FROM chained UNION ALL " + part("exfil", 250, "'VTD-0089'", security, "'critical'", "'Credential access followed by network transmission'", "seen || ' reads a credential source and transmits data over the network. Common exfiltration pattern.'", "seen", "'malicious'", "seen", chain="x") + ")",
+        f"active AS MATERIALIZED (SELECT package_id, seen, 'mal-activity-' || (row_number() OVER (PARTITION BY package_id ORDER BY seen) - 1) AS x, list_reduce(list_prepend('', l), lambda a, b: CASE WHEN contains(a, b) THEN a WHEN a = '' THEN b ELSE a || ' + ' || b END) AS names FROM (SELECT package_id, seen, count(DISTINCT bucket) AS k, list(bucket ORDER BY phase, k1, k2) FILTER (WHERE bucket IS NOT NULL) AS l, coalesce(bool_or({serious} AND intent = 'malicious' AND chain_id IS NULL AND bucket IS NULL), false) AS strong FROM chained2 WHERE category = 'security' AND seen IS NOT NULL GROUP BY 1, 2) WHERE k >= 2 OR (k >= 1 AND strong))",
+        "tagged AS MATERIALIZED (SELECT c.* EXCLUDE (x, hit) REPLACE (CASE WHEN hit THEN 'critical' ELSE severity END AS severity, CASE WHEN hit THEN 'malicious' ELSE intent END AS intent, CASE WHEN hit THEN x ELSE chain_id END AS chain_id) FROM (SELECT chained2.*, x, x IS NOT NULL AND category = 'security' AND bucket IS NOT NULL AND chain_id IS NULL AS hit FROM chained2 LEFT JOIN active USING (package_id, seen)) c UNION ALL "
+        + part("active", 260, "'VTD-0090'", security, "'critical'", "'Multiple malicious-activity indicators in same file'", "seen || ' contains ' || names || ' indicators that co-occur in a malicious pattern.'", "seen", "'malicious'", "seen", chain="x") + ")",
+        f"kind_words AS (SELECT package_id, list_filter({_list(BENIGN_WORDS)}, lambda x: contains(lower(description), x)) AS l FROM defs)",
+        "found AS MATERIALIZED (FROM tagged UNION ALL " + part("kind_words WHERE len(l) > 0 AND package_id IN (SELECT package_id FROM tagged WHERE category = 'security' AND intent = 'malicious')", 270, "'VTD-0087'", security, "'medium'", "'Description suggests benign skill but code contains malicious security patterns'", "'Description uses benign-sounding terms (' || array_to_string(l[1:3], ', ') || ') but the package contains malicious security findings. Review carefully.'") + ")",
+    ])
+
+
 def _oracle() -> dict[str, str]:
     o: dict[str, str] = {}
     o["q01_structure_flags"] = _with() + """
@@ -464,6 +547,12 @@ SELECT package_id, 'info' AS severity, 'Progressive disclosure used' AS label FR
     o["q40_case_tally"] = _with(_sensitive_by_key()) + sides + """, each AS (SELECT package_id, bool_and(status = 'matched') AS passed FROM d GROUP BY 1),
  t AS (SELECT package_id, passed, CAST(substr(package_id, 2) AS BIGINT) % 5 = 0 AS bad FROM (SELECT DISTINCT package_id FROM files) LEFT JOIN each USING (package_id))
 SELECT count(*) FILTER (WHERE NOT bad AND passed) AS passed, count(*) FILTER (WHERE NOT bad AND NOT passed) AS failed, count(*) FILTER (WHERE bad) AS errors FROM t"""
+    full = _full(o, norm, asked, sink)
+    o["q26_full_findings"] = full + f"""
+SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY phase, k1, k2) AS seq, rule_id, category, severity, label, detail, filepath, CAST(NULL AS VARCHAR) AS owasp_llm_category, chain_id, intent, {_L(DEFAULT_SOURCE)} AS source FROM found"""
+    counts = ", ".join(f"count(*) FILTER (WHERE severity = {_L(x)}) AS n_{x}" for x in SEVERITIES)
+    o["q27_package_summary"] = full + f"""
+SELECT q01.*, {SCANNER_SCHEMA_VERSION} AS scanner_version, n.* EXCLUDE (package_id) FROM q01 LEFT JOIN (SELECT package_id, count(*) AS n_findings, {counts}, CAST(max(list_position({_list(list(SEVERITIES))}, severity) - 1) AS BIGINT) AS worst, bool_or(coalesce(intent = 'malicious', false)) AS has_malicious FROM found GROUP BY 1) n USING (package_id)"""
     docs = "WITH lines AS (SELECT package_id, 'd.txt' AS path, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id AS package_id, string_split(text, chr(10)) AS l FROM documents)),\n"
     o["q30_documents_entropy"] = docs + _entropy("lines") + f"\nSELECT package_id AS doc_id, line_no, {_SNIP} AS snippet, round(min_by(h, id), 6) AS entropy FROM keyed JOIN ent USING (id) WHERE round(h, 12) >= 3.5 GROUP BY package_id, path, line_no, line"
     return o
