@@ -56,3 +56,22 @@ def id_remainder(column: str, modulus: int):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key with more than one row in so many is joined by broadcast, of which there are fewer than so many.
+HOT_SHARE = 64
+
+
+def joined_back(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the columns of their group; `groups` has one row a key (null is a key like any other) and
+    in `count` the rows of each.  Groups that hold a large share of the rows are joined by broadcast - at
+    most HOT_SHARE of them exist - and only the others by shuffle, so no task receives a hot key.  Both
+    inputs are read twice: pass tables whose lineage is cut."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot, on = F.col(count) * HOT_SHARE > F.lit(total), F.col(key).eqNullSafe(F.col("__key"))
+    right = groups.withColumnRenamed(key, "__key")
+    hot_side, cold_side = right.where(hot).drop(count), right.where(~hot).drop(count)
+    few = rows.join(F.broadcast(hot_side), on)
+    # hot keys leave the rows before the shuffle
+    many = rows.join(F.broadcast(hot_side.select("__key")), on, "left_anti").join(cold_side, on)
+    return few.unionByName(many).drop("__key")

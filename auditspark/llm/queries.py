@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .codes import op11_vector_codes
 from .fingerprints import op2_scaled_sketch
 from .decontamination import op6_decontamination
+from .hosts import op13_host_rules
 from .language import op1_language_id
 from .packing import op9_curve_packing
 from .phrases import op3_phrase_automata
+from .prefixes import op12_prefix_trie
 from .secrets import op4_markov_secrets
 from .sharding import op7_jump_sharding
 from .simhash import op10_simhash_bktree
+from .sql import CODES_SQL, HOSTS_SQL, TRIE_SQL
 from .suffixes import op8_induced_suffixes
 from .toxicity import op5_toxicity
 
@@ -24,6 +28,9 @@ QUERIES = {
     "op8_induced_suffixes": op8_induced_suffixes,
     "op9_curve_packing": op9_curve_packing,
     "op10_simhash_bktree": op10_simhash_bktree,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_host_rules": op13_host_rules,
 }
 
 #: The jumps of each key in order; a shard is the last one below the shard count.
@@ -79,4 +86,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_phrase_automata": PHRASES_SQL,
     "op7_jump_sharding": JUMP_SQL,
     "op8_induced_suffixes": BYTES_SQL,
+    "op11_vector_codes": CODES_SQL,
+    "op12_prefix_trie": TRIE_SQL,
+    "op13_host_rules": HOSTS_SQL,
 }
