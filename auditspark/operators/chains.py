@@ -42,7 +42,8 @@ def exfiltration(findings: DataFrame, files: DataFrame) -> tuple[DataFrame, Data
     named = X.contains_any(c("label"), CREDENTIAL_LABELS)
     is_source = F.coalesce((c("category") == "security") & (c("severity") != "info") & named & c("detail").startswith("Detected in "), F.lit(False))
     sources = findings.where(is_source).select("package_id", F.col("detail_path").alias("path")).distinct()
-    sinks = files.join(sources, ["package_id", "path"], "left_semi").where(has_sink(c("content"))).select("package_id", "path")
+    sends = c("sink") if "sink" in files.columns else has_sink(c("content"))
+    sinks = files.join(sources, ["package_id", "path"], "left_semi").where(sends).select("package_id", "path")
     chained = sinks.withColumn("__n", F.row_number().over(Window.partitionBy("package_id").orderBy("path")) - 1).select("package_id", c("path").alias("detail_path"), F.concat(F.lit("cred-exfil-"), c("__n").cast("string")).alias("__chain"))
     joins = F.coalesce(c("detail").startswith("Detected in ") & c("chain_id").isNull() & X.contains_any(F.lower("label"), NETWORK_WORDS), F.lit(False))
     rows = findings.join(chained, ["package_id", "detail_path"], "left")

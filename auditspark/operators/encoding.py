@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..registry import B64_CHUNK, BEHAVIORAL, SENSITIVE, URL_HIDDEN, URL_IN_B64
-from .base import finding, is_markdown, pick, settled
-from .patterns import first_behavioral, first_sensitive, has_sink
+from ..registry import B64_CHUNK, BEHAVIORAL, EVAL_FILES, SENSITIVE, SINKS, URL_HIDDEN, URL_IN_B64, Behavioral, Sensitive
+from . import scripts
+from .base import finding, pick, settled
+from .patterns import Rules, all_demanded, behavioral_found, entropy_found, first_behavioral, first_sensitive, normal_lines, rules, sends, sensitive_found, within
 
 # Shortest literal, widest gap and shortest group of joined literals; printable share.
 LITERAL, GAP, GROUP, PRINTABLE = 4, 10, 40, 0.75
@@ -49,36 +50,52 @@ def candidates(content: Column) -> Column:
     return F.concat(runs, joined, values)
 
 
+def decoded(content: Column) -> Column:
+    """array<struct<kind, line_no, text>>: the candidates that decode, as text."""
+    told = F.transform(candidates(content), lambda c: F.struct(c["kind"].alias("kind"), c["line_no"].alias("line_no"), X.lenient_base64(c["b64"]).alias("text")))
+    some = content.rlike(r"""[A-Za-z0-9+/_-]{32}|["'][A-Za-z0-9+/=_-]{4}|=["'][^"'\r\n]{32}""")
+    return F.filter(F.when(some, told), lambda c: c["text"].isNotNull())
+
+
+def may_be_coded(path: Column) -> Column:
+    return ~path.startswith("evals/") & ~path.startswith("references/")
+
+
+def coded_verdict(of: Rules, texts: str, mets: str, path: str = "path") -> Column:
+    """struct<d: struct<verdict, matched>, a: bigint>: of the decoded texts and what each meets, the first that is
+    dangerous (verdict code, net or url), and the line of the first advisory before it; null if neither is there."""
+    sink = " OR ".join(f"t.text RLIKE {X.sql(X.java(p))}" for p in SINKS)
+    matched = first_sensitive(of, "t.text", "t.met", path)
+    danger = f"CASE WHEN t.matched IS NOT NULL THEN 'code' WHEN {sink} THEN 'net' WHEN t.text RLIKE {X.sql(X.java(URL_IN_B64))} THEN 'url' END"
+    # the printable share is of the decoded bytes; replaced bytes are not printable either way
+    printable = r"length(regexp_replace(t.text, '[^\\x20-\\x7E\\t\\n\\r]', '')) / greatest(octet_length(t.text), 1)"
+    plain = f"endswith(lower({path}), '.md') AND t.kind = 0 AND {printable} >= {PRINTABLE}D"
+    joined = f"zip_with({texts}, {mets}, (x, y) -> named_struct('kind', x.kind, 'line_no', x.line_no, 'text', x.text, 'met', y))"
+    first = f"transform({joined}, t -> named_struct('kind', t.kind, 'line_no', t.line_no, 'text', t.text, 'matched', {matched}))"
+    judged = f"transform({first}, t -> named_struct('line_no', t.line_no, 'matched', t.matched, 'danger', {danger}, 'plain', {plain}))"
+    at = "array_position(transform(s.j, t -> {0}), true)"
+    danger_at, plain_at = at.format("t.danger IS NOT NULL"), at.format("t.danger IS NULL AND t.plain")
+    pos = f"transform(array(named_struct('j', s.j, 'd', {danger_at}, 'a', {plain_at})), p -> CASE WHEN p.d > 0 OR p.a > 0 THEN named_struct('d', CASE WHEN p.d > 0 THEN named_struct('verdict', p.j[CAST(p.d - 1 AS int)].danger, 'matched', p.j[CAST(p.d - 1 AS int)].matched) END, 'a', CASE WHEN p.a > 0 AND (p.d = 0 OR p.a < p.d) THEN p.j[CAST(p.a - 1 AS int)].line_no END) END)"
+    return within({"j": judged}, f"CASE WHEN size(s.j) > 0 THEN element_at({pos}, 1) END")
+
+
 def base64_verdicts(files: DataFrame) -> DataFrame:
     """Per file at most one danger (verdict code, net or url) and, before it, one advisory.
 
     package_id, path, verdict, rule_id, matched (index of the pattern), line_no."""
-    p, markdown = F.col("path"), is_markdown(F.col("path"))
-    some = F.col("content").rlike(r"""[A-Za-z0-9+/_-]{32}|["'][A-Za-z0-9+/=_-]{4}|=["'][^"'\r\n]{32}""")
-    rows = files.where(~p.startswith("evals/") & ~p.startswith("references/") & some).select("package_id", "path", F.posexplode_outer(candidates(F.col("content"))).alias("ord", "c")).where("c is not null")
-    rows = rows.select("package_id", "path", "ord", F.col("c.kind").alias("kind"), F.col("c.line_no").alias("line_no"), "c.b64")
-    rows = settled(rows, text=X.lenient_base64(F.col("b64"))).where("text is not null")
-    rows = settled(rows, matched=first_sensitive("text", "path"))
-    danger = F.when(F.col("matched").isNotNull(), F.lit("code")).when(has_sink(F.col("text")), F.lit("net")).when(F.col("text").rlike(X.java(URL_IN_B64)), F.lit("url"))
-    rows = settled(rows, danger=danger)
-    # the printable share is of the decoded bytes; replaced bytes are not printable either way
-    advisory = markdown & (F.col("kind") == 0) & F.col("danger").isNull() & (X.printable_ratio(F.col("text")) >= PRINTABLE)
-    firsts = rows.groupBy("package_id", "path").agg(
-        F.min(F.when(F.col("danger").isNotNull(), F.struct("ord", "danger", "matched"))).alias("d"),
-        F.min(F.when(advisory, F.struct("ord", "line_no"))).alias("a"),
-    )
-    before = F.col("d").isNull() | (F.col("a.ord") < F.col("d.ord"))
+    if "coded" not in files.columns:
+        files = facts(files, parts=["coded"])
     verdicts = F.array_compact(
         F.array(
-            F.when(F.col("a").isNotNull() & before, F.struct(F.lit(0).alias("k"), F.lit("advisory").alias("verdict"), F.lit(None).cast("int").alias("matched"), F.col("a.line_no").alias("line_no"))),
-            F.when(F.col("d").isNotNull(), F.struct(F.lit(1).alias("k"), F.col("d.danger").alias("verdict"), F.col("d.matched").alias("matched"), F.lit(None).cast("bigint").alias("line_no"))),
+            F.when(F.col("coded.a").isNotNull(), F.struct(F.lit(0).alias("k"), F.lit("advisory").alias("verdict"), F.lit(None).cast("int").alias("matched"), F.col("coded.a").alias("line_no"))),
+            F.when(F.col("coded.d").isNotNull(), F.struct(F.lit(1).alias("k"), F.col("coded.d.verdict").alias("verdict"), F.col("coded.d.matched").alias("matched"), F.lit(None).cast("bigint").alias("line_no"))),
         )
     )
     rule = F.when(F.col("verdict") == "code", "VTD-0077").when(F.col("verdict") == "net", "VTD-0078").when(F.col("verdict") == "url", "VTD-0079").otherwise("VTD-0080")
-    return firsts.select("package_id", "path", F.explode_outer(verdicts).alias("v")).where("v is not null").select("package_id", "path", "v.*").withColumn("rule_id", rule)
+    return files.where("coded is not null").select("package_id", "path", F.explode_outer(verdicts).alias("v")).where("v is not null").select("package_id", "path", "v.*").withColumn("rule_id", rule)
 
 
-def base64(files: DataFrame) -> DataFrame:
+def base64(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -> DataFrame:
     c, lit = F.col, F.lit
     v = base64_verdicts(files)
     danger = c("verdict") != "advisory"
@@ -86,7 +103,7 @@ def base64(files: DataFrame) -> DataFrame:
     v = v.withColumn("n", F.when(danger, n))
     at = F.concat(lit("Decoded base64 in "), c("path"))
     detail = (
-        F.when(c("verdict") == "code", F.concat(at, lit(" matched: "), pick([p.label for p in SENSITIVE], c("matched"))))
+        F.when(c("verdict") == "code", F.concat(at, lit(" matched: "), pick([p.label for p in registry], c("matched"))))
         .when(c("verdict") == "net", F.concat(at, lit(" contained a network transmission call")))
         .when(c("verdict") == "url", F.concat(at, lit(" contained an external URL. Possible dead-drop or remote instruction source.")))
         .otherwise(F.concat(lit("Detected in "), c("path"), lit(":"), c("line_no").cast("string"), lit(" — base64 content is rarely expected in skill documentation")))
@@ -98,19 +115,64 @@ def base64(files: DataFrame) -> DataFrame:
     )
 
 
+def veiled_lines(content: Column) -> Column:
+    """array<struct<line_no, line>>: the lines that have invisible characters, without them."""
+    lines = F.transform(X.lines(content), lambda x, i: F.when(x.rlike(X.INVISIBLE), F.struct((i + 1).cast("bigint").alias("line_no"), X.strip_invisible(x).alias("line"))))
+    return F.filter(F.when(content.rlike(X.INVISIBLE), lines), lambda s: s["line_no"].isNotNull())
+
+
+def veiled_verdict(of: Rules, lines: str, mets: str) -> Column:
+    """struct<line_no, verdict, matched>: of such lines and what each meets, the first on which something
+    dangerous is hidden (verdict pattern, signal or url), or else the first (plain); null without lines."""
+    normal = r"regexp_replace(regexp_replace(lower(x.line), '[ \\t]+', ' '), '(?U)^\\s+|\\s+\\z', '')"
+    row = f"named_struct('line_no', x.line_no, 'line', x.line, 's', {first_sensitive(of, 'x.line', 'y')}, 'b', {first_behavioral(of, normal, 'y')})"
+    judged = f"transform(zip_with({lines}, {mets}, (x, y) -> {row}), t -> named_struct('line_no', t.line_no, 'verdict', CASE WHEN t.s IS NOT NULL THEN 'pattern' WHEN t.b IS NOT NULL THEN 'signal' WHEN t.line RLIKE {X.sql(X.java(URL_HIDDEN))} THEN 'url' ELSE 'plain' END, 'matched', coalesce(t.s, t.b)))"
+    return within({"j": judged}, "CASE WHEN size(s.j) > 0 THEN coalesce(get(filter(s.j, t -> t.verdict <> 'plain'), 0), s.j[0]) END")
+
+
 def hidden_unicode_matches(files: DataFrame) -> DataFrame:
     """Per file with invisible characters: the first line on which they hide something dangerous, or
     else the first line that has any.  package_id, path, line_no, verdict, matched."""
-    lines = F.filter(F.transform(X.lines(F.col("content")), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("line"))), lambda s: s["line"].rlike(X.INVISIBLE))
-    rows = files.where(F.col("content").rlike(X.INVISIBLE)).select("package_id", "path", F.explode(lines).alias("s")).select("package_id", "path", "s.line_no", X.strip_invisible(F.col("s.line")).alias("line"))
-    rows = settled(rows.withColumn("normal", X.normalized(F.col("line"))), s=first_sensitive("line"), b=first_behavioral("normal"))
-    verdict = F.when(F.col("s").isNotNull(), "pattern").when(F.col("b").isNotNull(), "signal").when(F.col("line").rlike(X.java(URL_HIDDEN)), "url")
-    rows = rows.withColumn("verdict", verdict).withColumn("matched", F.when(F.col("verdict") == "pattern", F.col("s")).when(F.col("verdict") == "signal", F.col("b")))
-    firsts = rows.groupBy("package_id", "path").agg(F.min(F.when(F.col("verdict").isNotNull(), F.struct("line_no", "verdict", "matched"))).alias("d"), F.min("line_no").alias("first"))
-    return firsts.select("package_id", "path", F.coalesce("d.line_no", "first").alias("line_no"), F.coalesce("d.verdict", F.lit("plain")).alias("verdict"), F.col("d.matched").alias("matched"))
-
-
-def hidden_unicode(files: DataFrame) -> DataFrame:
+    if "veiled" not in files.columns:
+        files = facts(files, parts=["veiled"])
+    return files.where("veiled is not null").select("package_id", "path", "veiled.*")
+
+
+#: What facts() can say of a file.
+PARTS = ["sensitive", "entropy", "behavioral", "coded", "veiled", "sink", "link", "script", "content"]
+
+
+def facts(files: DataFrame, of: Rules | None = None, parts: list[str] | None = None) -> DataFrame:
+    """package_id, path and, in one pass over the contents, what the checks ask of a file: the matches of the line
+    rules, what base64 and invisible characters hide, whether it sends (`sink`) or links, what a
+    script offers; and the content of definition and suite files alone.  Every check takes such a table in
+    place of files.  Nothing is shuffled."""
+    of, parts = of or rules(), parts or PARTS
+    p, c, on = F.col("path"), F.col("content"), set(parts)
+    rows = files.select("package_id", "path", "content")
+    if "coded" in on:
+        rows = settled(rows, __coded=F.coalesce(F.when(may_be_coded(p), decoded(c)), F.expr("CAST(array() AS array<struct<kind: int, line_no: bigint, text: string>>)")))
+    if "veiled" in on:
+        rows = settled(rows, __veiled=F.coalesce(veiled_lines(c), F.expr("CAST(array() AS array<struct<line_no: bigint, line: string>>)")))
+    # one automaton reads the content, what was decoded and what was veiled
+    texts = [F.array(c)] + ([F.transform("__coded", lambda t: t["text"])] if "coded" in on else []) + ([F.transform("__veiled", lambda t: t["line"])] if "veiled" in on else [])
+    rows = rows.withColumn("__mets", all_demanded(F.concat(*texts), of)).withColumn("__met", F.get("__mets", F.lit(0)))
+    if "behavioral" in on:
+        rows = settled(rows, __rows=normal_lines(of, p, c))
+    n = "size(__coded)" if "coded" in on else "0"
+    has = lambda k: F.array_contains("__met", F.lit(k).cast("int"))
+    made = {
+        "sensitive": lambda: sensitive_found(of), "entropy": lambda: entropy_found(p, c, some=has(of.ends[1])), "behavioral": lambda: behavioral_found(of, "__rows"),
+        "coded": lambda: F.when(F.size("__coded") > 0, coded_verdict(of, "__coded", "slice(__mets, 2, size(__coded))")), "veiled": lambda: F.when(F.size("__veiled") > 0, veiled_verdict(of, "__veiled", f"slice(__mets, 2 + {n}, size(__veiled))")),
+        "sink": lambda: F.when(has(of.ends[1] + 1), sends(c)).otherwise(F.lit(False)), "link": lambda: scripts.has_link(c), "script": lambda: F.when(p.startswith("scripts/"), scripts.script_facts(p, c)),
+        "content": lambda: F.when(p.isin("SKILL.md", "skill.md", *EVAL_FILES), c),
+    }
+    # behind a generator later filters do not have the patterns evaluated once more
+    found = F.struct(*[make().alias(name) for name, make in made.items() if name in on])
+    return rows.select("package_id", "path", F.explode_outer(F.array(found)).alias("f")).select("package_id", "path", "f.*")
+
+
+def hidden_unicode(files: DataFrame, sensitive: list[Sensitive] = SENSITIVE, behavioral: list[Behavioral] = BEHAVIORAL) -> DataFrame:
     c, lit = F.col, F.lit
     m = hidden_unicode_matches(files)
     url = c("verdict") == "url"
@@ -119,8 +181,8 @@ def hidden_unicode(files: DataFrame) -> DataFrame:
     by = lambda plain, pattern, signal, link: F.when(c("verdict") == "plain", plain).when(c("verdict") == "pattern", pattern).when(c("verdict") == "signal", signal).otherwise(link)
     detail = by(
         F.concat(lit("Invisible formatting/control character in "), at, lit(". May conceal prompt injection content.")),
-        F.concat(lit("Hidden Unicode in "), at, lit(" concealed a dangerous pattern: "), pick([p.label for p in SENSITIVE], c("matched"))),
-        F.concat(lit("Hidden Unicode in "), at, lit(" concealed a behavioral signal: "), pick([p.label for p in BEHAVIORAL], c("matched"))),
+        F.concat(lit("Hidden Unicode in "), at, lit(" concealed a dangerous pattern: "), pick([p.label for p in sensitive], c("matched"))),
+        F.concat(lit("Hidden Unicode in "), at, lit(" concealed a behavioral signal: "), pick([p.label for p in behavioral], c("matched"))),
         F.concat(lit("Hidden Unicode in "), at, lit(" concealed an external URL")),
     )
     return finding(

@@ -1,34 +1,25 @@
 """Line patterns over files: sensitive and behavioral rules, sinks, high-entropy values, env files.
 
-A pattern is first tried on the whole file - a literal it needs, then the pattern itself with line
-anchors - and only where that holds are the lines looked at one by one.  Everything stays within the
-row of a file; nothing is exploded before it has matched, and nothing is shuffled.
+What a match of a rule must hold is read off the rule's own pattern, and one automaton over the literals of all
+rules names each text's candidates in a single pass (functions.literals).  Only the candidates' patterns
+run, line by line, picked from the rule table by number, so plans do not grow with the table.  Everything
+stays within the row of a file; nothing is exploded before it has matched, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.literals import Alternatives, met, met_all, required
 from ..registry import BEHAVIORAL, ENV_FILE, NEGATION, SECRET_KEY, SENSITIVE, SINKS, Behavioral, Sensitive
 from .base import detected, finding, is_markdown, pick
 from .markdown import masked_lines
 
-#: For each sensitive pattern, literals of which a match contains at least one (lower case).
-NEEDLES = [
-    ["private"], ["ghp_", "github_pat_", "sk-"], ["eval"], ["child_process", "exec", "spawn"], ["rm", "del"], ["curl", "wget"], ["curl", "wget"], ["--no-verify"], ["--force"],
-    [".aws"], ["gcloud"], [".ssh"], [".npmrc"], [".pypirc"], [".docker"], [".kube"], [".config"], [".netrc"], ["keychains"], ["appdata%"], ["system32"], ["ntds"],
-    ["169.254", "2852039166", "0xa9fea9fe"], ["metadata"], ["metadata"], ["100.100.100.200"], ["rm"], ["os.remove"], ["unlinksync"], ["histfile"], ["history"], ["auditctl"], ["wevtutil"],
-    ["auditd"], ["mimikatz", "sekurlsa", "lsadump", "kerberoast"], ["lsass"], ["ld_preload"], [".git"], ["|"], ["curl", "wget"], ["curl", "wget"], ["$"], ["rm"], ["find"],
-    ["log", "messages", "secure"], ["history"], ["journalctl"], ["logrotate"], ["crontab", "/etc/cron.", "/var/spool/cron"], ["systemctl"], ["systemd"], ["bashrc", "zshrc", "profile"],
-    ["$"], ["txt"], ["-enc"], ["iex", "invoke-expression"], ["executionpolicy"], ["hidden"], ["urlopen", "requests."], ["b64decode"], ["exec", "eval"], ["actions_id_token"], ["octet-stream"], ['="', "='"],
-]
-BEHAVIORAL_NEEDLES = [
-    ["ignore", "disregard", "forget", "discard", "skip"], ["ignore"], ["your"], ["override", "replace", "substitute", "supersede", "overwrite"], ["previous", "prior", "above"],
-    ["dan", "stan", "dude", "aim", "anything"], ["disable", "deactivate", "turn", "switch"], ["no"], ["ethical", "safety", "moral", "legal", "content"], ["ethical", "safety", "moral", "legal"],
-    ["roleplay", "scenario", "game", "simulation"], ["user"], ["user"], ["["], ["<"], ["<|"],
-]
 #: A possessive filler keeps the first behavioral pattern from overflowing the stack on long repeats.
 FILLER, POSSESSIVE = r"(?:all\s+|every\s+|the\s+|any\s+|your\s+|my\s+|these\s+|those\s+)*", r"(?:all\s+|every\s+|the\s+|any\s+|your\s+|my\s+|these\s+|those\s+)*+"
 #: Matches of the assignment pattern start at the first letter of a run of key characters, so a match
@@ -36,55 +27,88 @@ FILLER, POSSESSIVE = r"(?:all\s+|every\s+|the\s+|any\s+|your\s+|my\s+|these\s+|t
 ASSIGNMENT_ANCHORED = r"""(?<![A-Za-z0-9_.:-])[0-9.:-]*+(?:["']?([A-Za-z_][A-Za-z0-9_.:-]*)["']?\s*[:=]\s*["']([^"'\r\n]{20,})["'])"""
 
 
-def _needle(text: str, needles: list[list[str]], i: int) -> str:
-    return "(" + " OR ".join(f"contains({text}, {X.sql(w)})" for w in needles[i]) + ")" if i < len(needles) else "true"
+@dataclass(frozen=True)
+class Rules:
+    """Rule tables and what they demand of a text.  Requirements are numbered: sensitive rules, behavioral
+    rules, a key that names a secret, a sink."""
+
+    sensitive: tuple[Sensitive, ...] = tuple(SENSITIVE)
+    behavioral: tuple[Behavioral, ...] = tuple(BEHAVIORAL)
+
+    @cached_property
+    def demands(self) -> list[Alternatives]:
+        lines = [required(p.regex, spaces=False) for p in self.behavioral]  # of lines with white space collapsed
+        return [*(required(p.regex) for p in self.sensitive), *lines, required(SECRET_KEY), frozenset().union(*map(required, SINKS))]
+
+    @property
+    def ends(self) -> tuple[int, int]:
+        """The first numbers behind the sensitive and the behavioral rules."""
+        return len(self.sensitive), len(self.sensitive) + len(self.behavioral)
+
+
+def rules(sensitive: list[Sensitive] | None = None, behavioral: list[Behavioral] | None = None) -> Rules:
+    return Rules(tuple(SENSITIVE if sensitive is None else sensitive), tuple(BEHAVIORAL if behavioral is None else behavioral))
+
+
+def demanded(text: Column, of: Rules) -> Column:
+    """array<int>: numbers of the requirements that the text meets."""
+    return met(text, of.demands)
+
 
+def all_demanded(texts: Column, of: Rules) -> Column:
+    """array<array<int>>: the same of each of an array's texts."""
+    return met_all(texts, of.demands)
 
-def _rlike(text: str, regex: str, more: str = "") -> str:
-    return f"{text} RLIKE {X.sql(X.java(regex, more))}"
+
+def _array(values: list, kind: str) -> str:
+    return f"CAST(array({', '.join(X.sql(v) if isinstance(v, str) else str(v).lower() for v in values)}) AS array<{kind}>)"
+
+
+def _java(p: Sensitive | Behavioral) -> str:
+    return X.java(p.regex.replace(FILLER, POSSESSIVE))
 
 
 def within(fields: dict[str, str], f: str) -> Column:
-    """The SQL expression f over a struct s of the given ones, evaluated inside a lambda: some hundred
-    patterns are more than one generated method can hold, and each field is bound just once."""
+    """The SQL expression f over a struct s of the given ones, each of which is evaluated just once."""
     named = ", ".join(f"'{n}', {e}" for n, e in fields.items())
     return F.expr(f"element_at(transform(array(named_struct({named})), s -> {f}), 1)")
 
 
-_LOW = "translate(lower({0}), 'ſ', 's')"
 _MARKDOWN = "endswith(lower({0}), '.md')"
 _SNIPPET = r"substring(regexp_replace({0}, '(?U)^\\s+|\\s+\\z', ''), 1, 120)"
 
 
-def sensitive_found(path: str = "path", content: str = "content", registry: list[Sensitive] = SENSITIVE) -> Column:
-    """array<struct<idx, line_no, snippet>>: the first matching line of each pattern in a file, given the
-    names of its columns.  The lines are split once."""
-    tries = []
-    for i, p in enumerate(registry):
-        gate = f"{_needle('s.low', NEEDLES, i)} AND {_rlike('s.content', p.regex, 'm')}" + (" AND NOT s.markdown" if p.code_only else "")
-        line = f"CAST(array_position(transform(s.lines, x -> {_rlike('x', p.regex)}), true) AS bigint)"
-        tries.append(f"CASE WHEN {gate} THEN named_struct('idx', {i}, 'line_no', {line}) END")
-    none = "CAST(array() AS array<struct<idx: int, line_no: bigint>>)"
-    hits = f"filter(array_compact(array({', '.join(tries)})), m -> m.line_no > 0)" if tries else none
-    found = f"transform({hits}, m -> named_struct('idx', m.idx, 'line_no', m.line_no, 'snippet', {_SNIPPET.format('element_at(s.lines, CAST(m.line_no AS int))')}))"
-    return within({"content": content, "lines": f"split({content}, '\n', -1)", "low": _LOW.format(content), "markdown": _MARKDOWN.format(path)}, found)
+def _codes(of: Rules, m: str, path: str | None) -> str:
+    """The candidates among the sensitive rules: indices into their table."""
+    n = of.ends[0]
+    if not n:
+        return "CAST(array() AS array<int>)"
+    skip = f" AND NOT ({_MARKDOWN.format(path)} AND element_at({_array([p.code_only for p in of.sensitive], 'boolean')}, i + 1))" if path and any(p.code_only for p in of.sensitive) else ""
+    return f"filter({m}, i -> i < {n}{skip})"
+
+
+def sensitive_found(of: Rules, path: str = "path", content: str = "content", m: str = "__met") -> Column:
+    """array<struct<idx, line_no, snippet>>: the first matching line of each rule in a file, given the
+    names of its columns and of what it meets.  The lines are split once, where there is a candidate."""
+    patterns = _array([_java(p) for p in of.sensitive], "string")
+    line = f"CAST(array_position(transform(t.lines, x -> regexp_instr(x, element_at({patterns}, i + 1)) > 0), true) AS bigint)"
+    hits = f"filter(transform(s.c, i -> named_struct('idx', i, 'line_no', {line})), h -> h.line_no > 0)"
+    found = f"transform({hits}, h -> named_struct('idx', h.idx, 'line_no', h.line_no, 'snippet', {_SNIPPET.format('element_at(t.lines, CAST(h.line_no AS int))')}))"
+    split = f"element_at(transform(array(named_struct('lines', split({content}, '\n', -1))), t -> {found}), 1)"
+    none = "CAST(array() AS array<struct<idx: int, line_no: bigint, snippet: string>>)"
+    return within({"c": _codes(of, m, path)}, f"CASE WHEN size(s.c) > 0 THEN {split} ELSE {none} END")
 
 
-def first_sensitive(value: str, path: str | None = None, registry: list[Sensitive] = SENSITIVE) -> Column:
-    """The index of the first pattern that the column `value` matches as a whole, or null."""
-    tries = [f"CASE WHEN {_needle('s.low', NEEDLES, i)} AND {_rlike('s.value', p.regex)}{' AND NOT s.markdown' if p.code_only else ''} THEN {i} END" for i, p in enumerate(registry)]
-    return within({"value": value, "low": _LOW.format(value), "markdown": _MARKDOWN.format(path) if path else "false"}, f"coalesce({', '.join(tries)})")
+def first_sensitive(of: Rules, value: str, m: str, path: str | None = None) -> str:
+    """SQL: the index of the first rule that `value`, which meets `m`, matches as a whole, or null."""
+    if not of.sensitive:
+        return "CAST(NULL AS int)"
+    return f"get(filter({_codes(of, m, path)}, i -> regexp_instr({value}, element_at({_array([_java(p) for p in of.sensitive], 'string')}, i + 1)) > 0), 0)"
 
 
-def content_hits(files: DataFrame, sensitive_rules: list[Sensitive] = SENSITIVE, behavioral_rules: list[Behavioral] = BEHAVIORAL) -> DataFrame:
-    """package_id, path and the matches of the three line scans, of the files that have any: one pass
-    over the contents.  The scans below take such a table in place of files."""
-    p, c = F.col("path"), F.col("content")
-    rows = files.select("package_id", "path", sensitive_found(registry=sensitive_rules).alias("sensitive"), entropy_found(p, c).alias("entropy"), normal_lines(p, c, behavioral_rules).alias("__rows"))
-    hits = F.struct("sensitive", "entropy", behavioral_found("__rows", behavioral_rules).alias("behavioral"))
-    # behind a generator the filter does not have the patterns evaluated once more
-    rows = rows.select("package_id", "path", F.explode_outer(F.array(hits)).alias("h")).select("package_id", "path", "h.*")
-    return rows.where((F.size("sensitive") > 0) | (F.size("entropy") > 0) | (F.size("behavioral") > 0))
+def scanned(files: DataFrame, of: Rules) -> DataFrame:
+    """files with __met, unless they have it."""
+    return files if "__met" in files.columns else files.withColumn("__met", demanded(F.col("content"), of))
 
 
 def _exploded(files: DataFrame, name: str, found: Column) -> DataFrame:
@@ -96,8 +120,10 @@ def _exploded(files: DataFrame, name: str, found: Column) -> DataFrame:
 
 def sensitive_matches(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -> DataFrame:
     """First match per file and pattern: package_id, path, pat_idx, line_no, snippet and the rule's columns."""
-    markdown = is_markdown(F.col("path"))
-    hits = _exploded(files, "sensitive", sensitive_found(registry=registry))
+    markdown, of = is_markdown(F.col("path")), rules(registry, [])
+    if "sensitive" not in files.columns:
+        files = scanned(files.select("package_id", "path", "content"), of)
+    hits = _exploded(files, "sensitive", sensitive_found(of))
     i = F.col("m.idx")
     return hits.select(
         "package_id", "path", i.alias("pat_idx"), F.col("m.line_no").alias("line_no"), F.col("m.snippet").alias("snippet"),
@@ -112,9 +138,10 @@ def sensitive(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -> DataFr
     return finding(m, 150, c("rule_id"), "security", c("severity"), c("label"), detected(c("path"), c("line_no"), c("snippet")), filepath=c("path"), intent=c("intent"), k1=c("path"), k2=c("pat_idx"), line_no=c("line_no"), detected_in=c("path"), bucket=c("bucket"))
 
 
-def entropy_found(path: Column, content: Column, least: float = 3.5) -> Column:
+def entropy_found(path: Column, content: Column, least: float = 3.5, some: Column | None = None) -> Column:
     """array<struct<line_no, snippet, entropy>>: the lines of a file other than markdown that assign a
-    quoted value of high entropy to a key that names a secret; the first such value of a line counts."""
+    quoted value of high entropy to a key that names a secret; the first such value of a line counts.
+    Where `some` (whether the file may hold such a key) is false, no line is looked at."""
     pattern = F.lit(X.java(ASSIGNMENT_ANCHORED))
 
     def first(line: Column) -> Column:
@@ -124,7 +151,8 @@ def entropy_found(path: Column, content: Column, least: float = 3.5) -> Column:
 
     assigns = lambda x: x.rlike(r"[:=]\s*[\"']") & x.rlike(X.java(ASSIGNMENT_ANCHORED))
     numbered = F.transform(X.lines(content), lambda x, i: F.when(assigns(x), F.struct((i + 1).cast("bigint").alias("line_no"), X.snippet(x).alias("snippet"), first(x).alias("entropy"))))
-    return F.filter(F.when(is_markdown(path), F.array()).otherwise(numbered), lambda s: s["entropy"].isNotNull())
+    out = is_markdown(path) if some is None else is_markdown(path) | ~some
+    return F.filter(F.when(out, F.array()).otherwise(numbered), lambda s: s["entropy"].isNotNull())
 
 
 def entropy_matches(files: DataFrame) -> DataFrame:
@@ -146,58 +174,62 @@ def env_files(files: DataFrame) -> DataFrame:
 def has_sink(content: Column) -> Column:
     """Whether the text sends something over the network; white space may cross lines."""
     words = ["fetch", "axios", "requests", "xmlhttprequest", "curl", "wget", "sock", "smtplib", "nodemailer", "sendgrid", "http"]
+    return X.contains_any(X.folded(content), words) & sends(content)
+
+
+def sends(content: Column) -> Column:
     out = F.lit(False)
     for p in SINKS:
         out = out | content.rlike(X.java(p))
-    return X.contains_any(X.folded(content), words) & out
+    return out
 
 
-def _counted(line: str, p: Behavioral) -> str:
-    """Matches of the pattern on one line that no denial before them silences."""
-    regex = X.sql(X.java(p.regex.replace(FILLER, POSSESSIVE)))
-    found = f"regexp_extract_all({line}, {regex}, 0)"
-    if not p.look_back:
-        return f"size({found})"
-    # before match i stand the parts between matches up to it and the matches in between; the last forty
-    # of either hold the forty characters that count
-    parts = f"split({line}, {regex}, -1)"
-    before = "right(concat(array_join(flatten(transform(sequence(greatest(i - 40, 0), i), j -> CASE WHEN j < i THEN array(t.parts[j], t.found[j]) ELSE array(t.parts[j]) END)), '')), 40)"
-    texts = f"transform(t.found, (f, i) -> {before})"
-    return f"element_at(transform(array(named_struct('found', {found}, 'parts', {parts})), t -> size(filter({texts}, b -> NOT {_rlike('b', NEGATION)}))), 1)"
+def _signals(of: Rules, m: str) -> str:
+    """The candidates among the behavioral rules: indices into their table."""
+    return f"transform(filter({m}, i -> i >= {of.ends[0]} AND i < {of.ends[1]}), i -> i - {of.ends[0]})"
 
 
-def first_behavioral(line: str, registry: list[Behavioral] = BEHAVIORAL) -> Column:
-    """The index of the first pattern that the column `line`, normalized, matches, denials and masks aside."""
-    tries = [f"CASE WHEN {_needle('s.line', BEHAVIORAL_NEEDLES, i)} AND {_rlike('s.line', p.regex.replace(FILLER, POSSESSIVE))} THEN {i} END" for i, p in enumerate(registry)]
-    return within({"line": line}, f"coalesce({', '.join(tries)})")
+def first_behavioral(of: Rules, line: str, m: str) -> str:
+    """SQL: the index of the first rule that `line`, normalized, matches, denials and masks aside, or null."""
+    if not of.behavioral:
+        return "CAST(NULL AS int)"
+    return f"get(filter({_signals(of, m)}, i -> regexp_instr({line}, element_at({_array([_java(p) for p in of.behavioral], 'string')}, i + 1)) > 0), 0)"
 
 
-def normal_lines(path: Column, content: Column, registry: list[Behavioral] = BEHAVIORAL) -> Column:
-    """The masked and normalized lines of a file, or null if it lacks what every pattern needs."""
-    some = X.contains_any(X.folded(content), sorted({w for n in BEHAVIORAL_NEEDLES for w in n})) if registry is BEHAVIORAL else F.lit(True)
+def normal_lines(of: Rules, path: Column, content: Column, m: str = "__met") -> Column:
+    """The masked and normalized lines of a file, or null if it meets no behavioral rule's demand."""
+    some = F.expr(f"exists({m}, i -> i >= {of.ends[0]} AND i < {of.ends[1]})")
     return F.when(some, F.transform(F.when(is_markdown(path), masked_lines(content)).otherwise(X.lines(content)), lambda x: X.normalized(x)))
 
 
-def behavioral_found(rows: str, registry: list[Behavioral] = BEHAVIORAL) -> Column:
-    """array<struct<idx, n, line_no, snippet>>: matches per pattern, with the first one's line, given the
-    name of a column of normal lines."""
-    tries = []
-    for i, p in enumerate(registry):
-        gate = f"{_needle('s.low', BEHAVIORAL_NEEDLES, i)} AND {_rlike('s.low', p.regex.replace(FILLER, POSSESSIVE), 'm')}"
-        total = "CAST(aggregate(c, 0, (a, b) -> a + b) AS bigint)"
-        one = f"transform(array(transform(s.rows, x -> {_counted('x', p)})), c -> named_struct('idx', {i}, 'n', {total}, 'line_no', CAST(array_position(transform(c, v -> v > 0), true) AS bigint)))"
-        tries.append(f"CASE WHEN {gate} THEN element_at({one}, 1) END")
-    none = "CAST(array() AS array<struct<idx: int, n: bigint, line_no: bigint>>)"
-    hits = f"filter(array_compact(array({', '.join(tries)})), m -> m.n > 0)" if tries else none
-    found = f"transform({hits}, m -> named_struct('idx', m.idx, 'n', m.n, 'line_no', m.line_no, 'snippet', substring(element_at(s.rows, CAST(m.line_no AS int)), 1, 120)))"
-    return within({"rows": rows, "low": f"array_join({rows}, '\n')"}, found)
+def behavioral_found(of: Rules, rows: str, m: str = "__met") -> Column:
+    """array<struct<idx, n, line_no, snippet>>: matches per rule that no denial before them silences, with the
+    first one's line, given the names of a column of normal lines and of what the file meets."""
+    if not of.behavioral:
+        return F.expr("CAST(array() AS array<struct<idx: int, n: bigint, line_no: bigint, snippet: string>>)")
+    regex = f"element_at({_array([_java(p) for p in of.behavioral], 'string')}, i + 1)"
+    # before match k stand the parts between matches up to it and the matches in between; the last forty
+    # of either hold the forty characters that count
+    before = "right(concat(array_join(flatten(transform(sequence(greatest(k - 40, 0), k), j -> CASE WHEN j < k THEN array(t.parts[j], t.found[j]) ELSE array(t.parts[j]) END)), '')), 40)"
+    heard = f"size(filter(transform(t.found, (f, k) -> {before}), b -> NOT (b RLIKE {X.sql(X.java(NEGATION))})))"
+    counted = f"element_at(transform(array(named_struct('found', regexp_extract_all(x, {regex}, 0), 'parts', split(x, {regex}, -1))), t -> {heard}), 1)"
+    plain = f"size(regexp_extract_all(x, {regex}, 0))"
+    each = f"CASE WHEN element_at({_array([p.look_back for p in of.behavioral], 'boolean')}, i + 1) AND regexp_instr(x, {regex}) > 0 THEN {counted} ELSE {plain} END"
+    total = "CAST(aggregate(c, 0, (a, b) -> a + b) AS bigint)"
+    one = f"element_at(transform(array(transform(s.rows, x -> {each})), c -> named_struct('idx', i, 'n', {total}, 'line_no', CAST(array_position(transform(c, v -> v > 0), true) AS bigint))), 1)"
+    found = f"filter(transform(s.c, i -> {one}), h -> h.n > 0)"
+    told = f"transform({found}, h -> named_struct('idx', h.idx, 'n', h.n, 'line_no', h.line_no, 'snippet', substring(element_at(s.rows, CAST(h.line_no AS int)), 1, 120)))"
+    none = "CAST(array() AS array<struct<idx: int, n: bigint, line_no: bigint, snippet: string>>)"
+    return within({"c": _signals(of, m), "rows": rows}, f"CASE WHEN size(s.c) > 0 THEN {told} ELSE {none} END")
 
 
 def behavioral_matches(files: DataFrame, registry: list[Behavioral] = BEHAVIORAL) -> DataFrame:
     """Matches per file and pattern: package_id, path, pat_idx, n, line_no and snippet of the first."""
+    of = rules([], registry)
     if "behavioral" not in files.columns:
-        files = files.select("package_id", "path", normal_lines(F.col("path"), F.col("content"), registry).alias("__rows"))
-    hits = _exploded(files, "behavioral", behavioral_found("__rows", registry))
+        files = scanned(files.select("package_id", "path", "content"), of)
+        files = files.select("package_id", "path", "__met", normal_lines(of, F.col("path"), F.col("content")).alias("__rows"))
+    hits = _exploded(files, "behavioral", behavioral_found(of, "__rows"))
     i = F.col("m.idx")
     return hits.select(
         "package_id", "path", i.alias("pat_idx"), F.col("m.n").alias("n"), F.col("m.line_no").alias("line_no"), F.col("m.snippet").alias("snippet"),

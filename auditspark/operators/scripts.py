@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import DEPENDENCY, INTERACTIVE, STRUCTURED
-from .base import finding
+from .base import finding, settled
 
 # Files that are no command, by name, extension or folder; folders and signs that need a hint.
 NOT_COMMANDS = ["__init__.py", "utils.py", "helper.py", "helpers.py", "base.py", "constants.py"]
@@ -36,23 +36,35 @@ def is_cli_script(path: Column, content: Column) -> Column:
     )
 
 
+def script_facts(path: Column, content: Column) -> Column:
+    """struct<cli, hint, prompts, structured, unpinned> of a script."""
+    t = content
+    return F.struct(
+        is_cli_script(path, t).alias("cli"), has_cli_hint(t).alias("hint"), t.rlike(X.java(INTERACTIVE)).alias("prompts"), t.rlike(X.java(STRUCTURED)).alias("structured"),
+        (t.rlike(X.java(DEPENDENCY)) & t.contains(">=") & ~t.contains("<")).alias("unpinned"),
+    )
+
+
 def cli_scripts(files: DataFrame) -> DataFrame:
-    """package_id, path, content of the command-line scripts."""
-    return files.where(F.col("path").startswith("scripts/")).where(is_cli_script(F.col("path"), F.col("content")))
+    """package_id, path and script (script_facts) of the command-line scripts."""
+    rows = files.where(F.col("path").startswith("scripts/"))
+    if "script" not in files.columns:
+        rows = settled(rows, script=script_facts(F.col("path"), F.col("content")))
+    return rows.where("script.cli").select("package_id", "path", "script")
 
 
 def script_checks(files: DataFrame, flags: DataFrame) -> DataFrame:
     """Help, prompts, output format and version pins of each script, of packages that list scripts."""
-    c, t, lit = F.col, F.col("content"), F.lit
-    hint = has_cli_hint(t)
+    c, lit = F.col, F.lit
+    hint = c("script.hint")
     say = lambda text: F.concat(c("path"), lit(f": {text}"))
     row = lambda when, k, rule, severity, label, detail: F.when(when, F.struct(lit(k).alias("k"), lit(rule).alias("rule"), lit(severity).alias("severity"), label.alias("label"), detail.alias("detail")))
     found = F.array_compact(
         F.array(
             row(lit(True), 0, "VTD-0114", "info", F.when(hint, lit("CLI help supported")).otherwise(lit("No --help support")), F.when(hint, say("Script documents its interface via --help or argument parsing")).otherwise(say("Add argument parsing with --help output so agents know the script's interface"))),
-            row(t.rlike(X.java(INTERACTIVE)), 1, "VTD-0115", "high", lit("Interactive prompts detected"), say("Agents run in non-interactive shells — replace prompts with CLI flags or stdin")),
-            row(t.rlike(X.java(STRUCTURED)), 2, "VTD-0116", "info", lit("Structured output format"), say("Uses JSON/CSV output which is easily parseable by agents")),
-            row(t.rlike(X.java(DEPENDENCY)) & t.contains(">=") & ~t.contains("<"), 3, "VTD-0117", "low", lit("Unpinned dependency versions"), say("Pin dependency versions for reproducibility (e.g., >=4.12,<5 instead of >=4.12)")),
+            row(c("script.prompts"), 1, "VTD-0115", "high", lit("Interactive prompts detected"), say("Agents run in non-interactive shells — replace prompts with CLI flags or stdin")),
+            row(c("script.structured"), 2, "VTD-0116", "info", lit("Structured output format"), say("Uses JSON/CSV output which is easily parseable by agents")),
+            row(c("script.unpinned"), 3, "VTD-0117", "low", lit("Unpinned dependency versions"), say("Pin dependency versions for reproducibility (e.g., >=4.12,<5 instead of >=4.12)")),
         )
     )
     listed = flags.where("has_scripts").select("package_id")
@@ -60,11 +72,15 @@ def script_checks(files: DataFrame, flags: DataFrame) -> DataFrame:
     return finding(rows, 140, c("f.rule"), "scripts", c("f.severity"), c("f.label"), c("f.detail"), filepath=c("path"), k1=c("path"), k2=c("f.k"))
 
 
+def has_link(content: Column) -> Column:
+    return content.contains("http://") | content.contains("https://")
+
+
 def url_targets(files: DataFrame) -> DataFrame:
     """Per package that has any: the first definition or reference file with a link, or null."""
     p = F.col("path")
     grp = F.when(p == "SKILL.md", 0).when(p == "skill.md", 1).when(F.lower(p).startswith("references/"), 2)
-    link = F.col("content").contains("http://") | F.col("content").contains("https://")
+    link = F.col("link") if "link" in files.columns else has_link(F.col("content"))
     rows = files.withColumn("grp", grp).where("grp is not null").select("package_id", F.when(link, F.struct("grp", "path")).alias("hit"))
     return rows.groupBy("package_id").agg(F.min("hit").alias("hit")).select("package_id", F.col("hit.path").alias("path"))
 

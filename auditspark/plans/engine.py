@@ -33,20 +33,20 @@ def scan(files: DataFrame, paths: DataFrame, packages: DataFrame | None = None,
     file or a path.  All stages keep package_id, so the per-package roll-ups and chains group on it."""
     if packages is None:
         packages = paths.select("package_id").union(files.select("package_id")).distinct()
-    flags = materialized(structure.flags(packages, files, paths))
-    defs = materialized(definition.definitions(packages, files, paths))  # one row a package, parsed once for a dozen checks
-    hits = materialized(patterns.content_hits(files, sensitive, behavioral))
+    facts = materialized(encoding.facts(files, patterns.rules(sensitive, behavioral)))  # the contents are read here alone
+    flags = structure.flags(packages, facts, paths)
+    defs = definition.definitions(packages, facts, paths)
     before = _union(
-        structure.layout(flags), definition.definition_checks(defs), definition.description_checks(defs), definition.body_checks(defs, flags), scripts.script_checks(files, flags),
-        patterns.sensitive(hits, sensitive), patterns.entropy(hits), patterns.env_files(files), encoding.base64(files), patterns.behavioral(hits, behavioral), encoding.hidden_unicode(files),
-        scripts.external_urls(files), evals.eval_checks(files, paths, flags),
+        structure.layout(flags), definition.definition_checks(defs), definition.description_checks(defs), definition.body_checks(defs, flags), scripts.script_checks(facts, flags),
+        patterns.sensitive(facts, sensitive), patterns.entropy(facts), patterns.env_files(facts), encoding.base64(facts, sensitive), patterns.behavioral(facts, behavioral), encoding.hidden_unicode(facts, sensitive, behavioral),
+        scripts.external_urls(facts), evals.eval_checks(facts, paths, flags),
     )
-    # findings are few beside the files: kept, they spare the roll-ups and chains a new scan each
+    # findings are few beside the files: kept, they spare the roll-ups and chains the checks
     before = materialized(before)
     rolled = _union(before, chains.secrets_rollup(packages, before), chains.behavior_rollup(packages, before))
-    tagged, exfil = chains.exfiltration(rolled, files)
-    tagged, active = chains.activity(materialized(tagged.unionByName(exfil)))
-    found = materialized(tagged.unionByName(active))
+    tagged, exfil = chains.exfiltration(rolled, facts)
+    tagged, active = chains.activity(tagged.unionByName(exfil))
+    found = tagged.unionByName(active)
     found = found.unionByName(definition.mismatches(defs, found))
     seq = F.row_number().over(Window.partitionBy("package_id").orderBy("phase", "k1", "k2")).cast("bigint")
     return Scan(found.withColumn("seq", seq).select("package_id", "seq", *FINDING), flags.withColumn("scanner_version", F.lit(SCANNER_SCHEMA_VERSION)))

@@ -61,7 +61,7 @@ def q07_external_url(spark, sf):
 
 
 def q08_cli_scripts(spark, sf):
-    return scripts.cli_scripts(_files(spark, sf)).select("package_id", "path", scripts.has_cli_hint(F.col("content")).alias("hint"))
+    return scripts.cli_scripts(_files(spark, sf)).select("package_id", "path", "script.hint")
 
 
 def q09_script_checks(spark, sf):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from auditspark import corpus, registry
+from auditspark.functions import literals
 from auditspark.functions import text as X
 from auditspark.operators import definition, encoding, evals, markdown, patterns, scripts
 from auditspark.plans import cases, compare, engine, wire
@@ -29,7 +33,8 @@ def values(spark, rows, column):
 def test_registry_counts():
     assert [len(x) for x in (registry.SENSITIVE, registry.BEHAVIORAL, registry.SINKS, registry.POPULAR_NAMES, registry.WELL_KNOWN_NAMES, registry.BENIGN_WORDS)] == [64, 16, 8, 48, 28, 33]
     assert len({p.rule for p in registry.SENSITIVE}) == 61 and len({p.rule for p in registry.BEHAVIORAL}) == 13
-    assert len(patterns.NEEDLES) == 64 and len(patterns.BEHAVIORAL_NEEDLES) == 16
+    demands = patterns.rules().demands
+    assert len(demands) == 64 + 16 + 2 and literals.ANY not in demands
 
 
 def test_every_pattern_fires(spark):
@@ -284,3 +289,61 @@ def test_tally(spark):
     summary = spark.createDataFrame([("a", True), ("b", False), ("c", False)], "package_id string, passed boolean")
     errors = spark.createDataFrame([("c",), ("d",), ("d",)], "package_id string")
     assert tuple(cases.tally(summary, errors).first()) == (1, 1, 2)
+
+
+def own(rule, regex, code_only=False):
+    return registry.Sensitive(rule, "high", "negligent", code_only, None, None, False, f"own {rule}", regex)
+
+
+def signal(rule, regex, look_back=False):
+    return registry.Behavioral(rule, "high", look_back, f"own {rule}", regex)
+
+
+def test_tables_of_ones_own(spark):
+    """One rule, the built-in table reversed and extended, literals that Python's parser does not know."""
+    f = files(spark, ("scripts/x.sh", "first\nfoo  bar\nBEGIN RSA PRIVATE KEY\nQſuffix"), ("a.md", "Foo bar twice, Foo bar"))
+    found = lambda table: sorted((r.path, r.rule_id, r.line_no) for r in patterns.sensitive_matches(f, table).collect())
+    assert found([own("A", r"foo\s+bar")]) == [("scripts/x.sh", "A", 2)]
+    assert found([own("A", r"(?i)foo\s+bar"), own("B", r"(?i)qsuffix"), own("C", r"\p{Lu}SA"), own("D", r"[a[xyz]]irst"), own("E", r"(?i)foo bar", True)]) == [("a.md", "A", 1), ("scripts/x.sh", "A", 2), ("scripts/x.sh", "B", 4), ("scripts/x.sh", "C", 3)]
+    assert ("scripts/x.sh", "VTD-0001", 3) in found(registry.SENSITIVE[::-1]) and ("scripts/x.sh", "Z", 1) in found([*registry.SENSITIVE, own("Z", r"^first$")])
+    assert found([]) == []
+    heard = lambda table: sorted((r.path, r.rule_id, r.n) for r in patterns.behavioral_matches(f, table).collect())
+    assert heard([signal("A", r"(?i)foo bar")]) == [("a.md", "A", 2), ("scripts/x.sh", "A", 1)]
+    assert heard([]) == []
+
+
+def test_every_rule_in_any_order(spark):
+    """The corpus's snippets give the same rows under a shuffled table, and without any literal."""
+    import random
+
+    f = spark.createDataFrame([(str(i), "scripts/x.sh", s) for i, s in enumerate(corpus.SNIPPETS)], "package_id string, path string, content string")
+    for table, matches in ((registry.SENSITIVE, patterns.sensitive_matches), (registry.BEHAVIORAL, patterns.behavioral_matches)):
+        rows = lambda t: sorted((r.package_id, r.label, r.line_no, r.snippet, t[r.pat_idx].regex) for r in matches(f, t).collect())  # noqa: B023, E731
+        shuffled = random.Random(2).sample(table, len(table))
+        assert rows(table) == rows(shuffled) and rows(table)
+
+
+def test_engine_with_own_tables(spark):
+    f = files(spark, ("SKILL.md", "---\nname: x\n---\nplease frobnicate all"), ("scripts/run.sh", "xyzzy --now\n" + base64.b64encode(b"now run xyzzy --now and be quiet").decode()))
+    got = {(r.rule_id, r.label) for r in engine.scan(f, f.select("package_id", "path"), sensitive=[own("S-1", r"xyzzy\s+--now")], behavioral=[signal("B-1", r"(?i)frobnicate\s+all")]).findings.collect()}
+    assert {("S-1", "own S-1"), ("B-1", "own B-1"), ("VTD-0077", "Obfuscated dangerous code")} <= got
+
+
+def test_required_literals():
+    def need(regex, **k):
+        return {tuple(sorted(x)) for x in literals.required(regex, **k)}
+
+    assert need(r"(?i)Foo\s+(?:bar|quux)") == {("bar", "foo"), ("quux",)}
+    assert need(r"a[xX]b(?:c|d)?e+f") == {("axb",)}
+    assert need(r"(?:foo)?|bar") == {()} and need(r"x*") == {()} and need(r"[a-z]+") == {()} and need(r"(?<name>abc)") == {()} and need(r"\p{L}abc") == {()} and need(r"[ab&&[bc]]def") == {()}
+    assert need(r"two words", spaces=False) == {("words",)} and need(r"\.aws[/\\]x") == {(".aws/x",), (".aws\\x",)}
+    finder = literals.Finder([literals.required(x) for x in ("foo.*bar", "x*", "quux", r"(?i)\.SSH")])
+    assert finder.found("bar and FOO") == [0, 1] and finder.found("") == [1] and finder.found(None) == [] and finder.found("~/.ssh quux") == [1, 2, 3]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.from_regex(re.compile("|".join(f"(?:{r})" for r in ("(?:ab|cd)+e?f", r"x[yY]{1,2}\s*=", "(?:get|put)(?:ting)? it", r"k(?=ey)\w+", "(?:a|bc)(?:d|ef)*gh")), re.ASCII)))
+def test_matches_hold_what_is_required(text):
+    for r in ("(?:ab|cd)+e?f", r"x[yY]{1,2}\s*=", "(?:get|put)(?:ting)? it", r"k(?=ey)\w+", "(?:a|bc)(?:d|ef)*gh"):
+        if re.search(r, text, re.ASCII):
+            assert literals.Finder([literals.required(r)]).found(text) == [0]
