@@ -5,7 +5,9 @@ w0 + sum w_i + sum_{i<j} <v_i, v_j> over the terms present, so that a pair of te
 (or less) than both do alone.  Terms without significant association in the training rows are
 left out before training.
 
-Nulls, empty texts and texts without letters have no terms and score the base rate.  Labels come
+Nulls, empty texts and texts without letters have no terms and score the base rate.  Without training rows,
+or with clean ones alone, every text scores (all but) 0; with toxic ones alone every text scores their smoothed
+rate.  A machine fitted without both classes says so (`informed`).  Labels come
 from training rows only; ids without a label, or with a null one, train nothing; of repeated
 labels the highest counts.  Whole texts are read.
 """
@@ -62,6 +64,8 @@ class Machine:
     w0: float
     w: np.ndarray
     v: np.ndarray
+    #: Whether it has seen both classes.
+    informed: bool = True
 
     def scores(self, present: list[set[int]]) -> np.ndarray:
         s = np.full(len(present), self.w0)
@@ -77,8 +81,8 @@ class Machine:
 def fit(rows: list[np.ndarray], y: np.ndarray, steps: int = 250, rate: float = 0.05, decay: float = 2e-3) -> Machine:
     """Adam on the log loss, over all rows at each step."""
     n, pos = len(y), float(y.sum())
-    if n == 0 or pos in (0, n):  # one class only: its (smoothed) rate
-        return Machine({}, float(np.log((pos + 1) / (n - pos + 1))), np.zeros(0), np.zeros((0, FACTORS)))
+    if n == 0 or pos in (0, n):
+        return Machine({}, float(np.log(pos + 1)) if pos else -40.0, np.zeros(0), np.zeros((0, FACTORS)), informed=False)
     counts = np.zeros((2, 1 << BITS), np.int32)
     for r, t in zip(rows, y, strict=True):  # a row's terms are distinct
         counts[int(t > 0), r] += 1

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from auditspark.llm import decontamination, near_copies, packing, simhash
+from auditspark.llm import decontamination, near_copies, packing, simhash, toxicity
 
 from .conftest import ROWS, table
 from .test_operators import slow_align
@@ -99,3 +101,24 @@ def test_near_copies_against_brute_force(spark, tmp_path):
     for meeting in (4, 2):  # components cut into pieces that meet two by two
         found = near_copies.near_copies(docs, meeting=meeting).collect()
         assert {x.doc_id: x.component_id for x in found} == group
+
+
+@pytest.mark.parametrize("labels", [[], [(0, 0)], [(0, 1)], [(0, 0), (1, 0)], [(0, 1), (1, 1)]], ids=["none", "one clean", "one toxic", "clean alone", "toxic alone"])
+def test_toxicity_without_both_classes_drops_nothing(spark, tmp_path, labels):
+    docs = spark.createDataFrame([(i, f"text {i} of some words", "en", "s", 9) for i in range(6)] + [(6, None, "en", "s", 0), (7, "", "en", "s", 0), (None, "x", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    marks = spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id bigint, quality int, toxic int")
+    sf = table(spark, tmp_path, documents=docs, labels=marks)
+    assert corpus_pipeline.drop_toxic(spark, docs, sf).count() == 9
+    scores = {r.predicted for r in toxicity.op5_toxicity(spark, sf).collect()}
+    assert scores == ({1} if labels and all(t for _, t in labels) else {0})
+
+
+def test_toxicity_keeps_null_ids_and_empty_texts(spark, tmp_path):
+    bad, good = "you foul vermin are hated by all", "a calm and friendly note on gardens"
+    rows = [(i, f"{bad} {i}" if i % 2 else f"{good} {i}", "en", "s", 9) for i in range(400)]
+    more = [(None, bad, "en", "s", 1), (900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, " \n", "en", "s", 2), (903, bad, "en", "s", 1), (904, good, "en", "s", 1)]
+    docs = spark.createDataFrame(rows + more, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    kept = corpus_pipeline.drop_toxic(spark, docs, table(spark, tmp_path, documents=docs, labels=marks)).collect()
+    assert {r.doc_id for r in kept if r.doc_id is None or r.doc_id >= 900} == {None, 900, 901, 902, 904}
+    assert sum(r.doc_id is not None and r.doc_id < 400 for r in kept) == 200
