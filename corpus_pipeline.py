@@ -8,6 +8,7 @@ with a null doc_id are never dropped; rows that share a doc_id share its fate.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditspark.llm import decontamination, near_copies, packing, secrets, toxicity
 from auditspark.llm.common import read, through_parquet, without
@@ -16,9 +17,13 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score TOXIC or more go."""
-    score = toxicity.scorer(toxicity.train(docs, read(spark, sf_dir, "labels")))
-    return docs.where(score("text") < TOXIC)
+    """Documents that score TOXIC or more go.  Rows of a null id or a text without a word stay, and all rows do
+    if the labels do not tell toxic from clean (none, or one class alone)."""
+    machine = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    if not machine.informed:
+        return docs
+    exempt = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    return docs.where(exempt | (toxicity.scorer(machine)("text") < TOXIC))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
