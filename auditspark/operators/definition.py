@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import BENIGN_WORDS, CHECKLIST, GENERIC_PHRASES, GOTCHAS, OVERCLAIM, POPULAR_NAMES, PROMPT_LEAK, READ_MD, WELL_KNOWN_NAMES
-from .base import finding, settled
+from .base import FINDINGS, exploded, listed, row, settled, struct_of, told
 from .markdown import parsed_definition
 
 # Limits.
@@ -53,14 +53,21 @@ def first_three(names: Column) -> Column:
     return F.array_join(F.slice(names, 1, 3), ", ")
 
 
+def typosquat_found(c) -> Column:
+    """The finding about a name that is close to popular ones, or null."""
+
+    def told(near: Column) -> Column:
+        more = F.when(F.size(near) > 3, F.concat(F.lit(" and "), (F.size(near) - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+        one = F.concat(F.lit('Skill name "'), c("name"), F.lit('" is within Levenshtein distance 2 of popular skill "'), F.get(near, F.lit(0)), F.lit('"'))
+        many = F.concat(F.lit('Skill name "'), c("name"), F.lit('" is within Levenshtein distance 2 of '), F.size(near).cast("string"), F.lit(" popular skills: "), first_three(near), more)
+        single = F.size(near) == 1
+        return F.when(F.size(near) > 0, struct_of(60, "VTD-0082", "security", F.when(single, F.lit("medium")).otherwise(F.lit("critical")), "Possible typosquatting", F.when(single, one).otherwise(many), intent="negligent"))
+
+    return F.when(~c("name").isin("unknown", ""), X.bound(close_names(c("name")), told))
+
+
 def typosquats(defs: DataFrame) -> DataFrame:
-    c = F.col
-    near = defs.where(~c("name").isin("unknown", "")).withColumn("near", close_names(c("name"))).where(F.size("near") > 0)
-    more = F.when(F.size("near") > 3, F.concat(F.lit(" and "), (F.size("near") - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    one = F.concat(F.lit('Skill name "'), c("name"), F.lit('" is within Levenshtein distance 2 of popular skill "'), F.get("near", F.lit(0)), F.lit('"'))
-    many = F.concat(F.lit('Skill name "'), c("name"), F.lit('" is within Levenshtein distance 2 of '), F.size("near").cast("string"), F.lit(" popular skills: "), first_three(c("near")), more)
-    single = F.size("near") == 1
-    return finding(near, 60, "VTD-0082", "security", F.when(single, F.lit("medium")).otherwise(F.lit("critical")), "Possible typosquatting", F.when(single, one).otherwise(many), intent="negligent")
+    return exploded(defs, listed(typosquat_found(F.col)))
 
 
 def has_examples(body: Column) -> Column:
@@ -98,25 +105,25 @@ def has_usage_context(description: Column) -> Column:
     return X.contains_any(low, ["use this ", "use when", "use for"]) | (low.contains("when ") & X.contains_any(behind, ["need", "want", "ask", "mention"]))
 
 
-def description_checks(defs: DataFrame) -> DataFrame:
-    """One row per finding about descriptions."""
-    c, d = F.col, F.col("description")
+def description_found(c) -> Column:
+    """Findings about a description; c(name) is a column of the definition."""
+    d = c("description")
     n = F.length(d)
-    row = lambda when, k, rule, severity, label, detail: F.when(when, F.struct(F.lit(k).alias("k"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), label.alias("label"), detail.alias("detail")))
     some, context, lit = d != "", has_usage_context(d), F.lit
-    found = F.array_compact(
-        F.array(
-            row(~some, 0, "VTD-0109", "info", lit("Missing description field"), lit("The description field is required and should describe what the skill does and when to use it")),
-            row(some & (n > DESCRIPTION_CHARACTERS), 1, "VTD-0110", "info", lit("Description exceeds 1024-character limit"), F.concat(lit("Description is "), n.cast("string"), lit(" characters (max: 1024)"))),
-            row(some & (n <= DESCRIPTION_CHARACTERS), 1, "VTD-0110", "info", lit("Description within character limit"), F.concat(n.cast("string"), lit("/1024 characters used"))),
-            row(some & context, 2, "VTD-0111", "info", lit("Description includes usage context"), lit("Good: description explains when to activate the skill")),
-            row(some & ~context, 2, "VTD-0111", "info", lit("Description lacks usage context"), lit('Add context like "Use this skill when..." to help agents know when to activate it')),
-            row(some & (F.size(F.regexp_extract_all(d, lit(r"(?U)\S+"), lit(0))) < 5), 3, "VTD-0112", "info", lit("Description too brief"), lit("A few sentences covering scope and trigger conditions improves activation accuracy")),
-            row(some & d.rlike(X.java(OVERCLAIM)), 4, "VTD-0113", "low", lit("Description overclaims scope"), lit("Broad trigger words (anything, everything, all files, etc.) widen attack surface — narrow to specific use cases")),
-        )
-    )
-    rows = defs.select("package_id", F.explode_outer(found).alias("f")).where("f is not null")
-    return finding(rows, 120, c("f.rule"), "description", c("f.severity"), c("f.label"), c("f.detail"), k2=c("f.k"))
+    return told(120, "description", [
+        row(~some, 0, "VTD-0109", "info", lit("Missing description field"), lit("The description field is required and should describe what the skill does and when to use it")),
+        row(some & (n > DESCRIPTION_CHARACTERS), 1, "VTD-0110", "info", lit("Description exceeds 1024-character limit"), F.concat(lit("Description is "), n.cast("string"), lit(" characters (max: 1024)"))),
+        row(some & (n <= DESCRIPTION_CHARACTERS), 1, "VTD-0110", "info", lit("Description within character limit"), F.concat(n.cast("string"), lit("/1024 characters used"))),
+        row(some & context, 2, "VTD-0111", "info", lit("Description includes usage context"), lit("Good: description explains when to activate the skill")),
+        row(some & ~context, 2, "VTD-0111", "info", lit("Description lacks usage context"), lit('Add context like "Use this skill when..." to help agents know when to activate it')),
+        row(some & (F.size(F.regexp_extract_all(d, lit(r"(?U)\S+"), lit(0))) < 5), 3, "VTD-0112", "info", lit("Description too brief"), lit("A few sentences covering scope and trigger conditions improves activation accuracy")),
+        row(some & d.rlike(X.java(OVERCLAIM)), 4, "VTD-0113", "low", lit("Description overclaims scope"), lit("Broad trigger words (anything, everything, all files, etc.) widen attack surface — narrow to specific use cases")),
+    ])
+
+
+def description_checks(defs: DataFrame) -> DataFrame:
+    """One row per finding about descriptions."""
+    return exploded(defs, description_found(F.col))
 
 
 def generic_phrases(defs: DataFrame) -> DataFrame:
@@ -126,39 +133,45 @@ def generic_phrases(defs: DataFrame) -> DataFrame:
     return defs.where(X.trimmed(F.col("body")) != "").select("package_id", F.explode_outer(found).alias("p")).where("p is not null").select("package_id", "p.*")
 
 
-def body_checks(defs: DataFrame, flags: DataFrame) -> DataFrame:
-    """Best-practice findings about bodies; flags: PRJ of structure.flags."""
-    c, b, lit = F.col, F.col("body"), F.lit
+def body_found(c, flag) -> Column:
+    """Best-practice findings about a body; c and flag give columns of the definition and the flags."""
+    b, lit = c("body"), F.lit
     n = F.size(X.lines(b))
     two = lambda when, yes, no: F.when(when, lit(yes)).otherwise(lit(no))
-    row = lambda when, k, rule, label, detail: F.when(when, F.struct(lit(k).alias("k"), lit(rule).alias("rule"), label.alias("label"), detail.alias("detail")))
-    refers = (b.contains("references/") | b.contains("scripts/") | b.contains("assets/") | b.rlike(X.java(READ_MD))) & (c("has_references") | c("has_scripts") | c("has_assets"))
-    found = F.array_compact(
-        F.array(
-            row(lit(True), 0, "VTD-0101", two(n > BODY_LINES, "SKILL.md exceeds 500 lines", "SKILL.md body length is reasonable"), F.concat(n.cast("string"), two(n > BODY_LINES, " lines — consider moving detailed reference material to references/", " lines (recommended: under 500)"))),
-            row(has_gotchas(b), 1, "VTD-0102", lit("Gotchas section found"), lit("Documents environment-specific facts and common pitfalls")),
-            row(lit(True), 2, "VTD-0103", two(has_examples(b), "Examples included", "No examples found"), two(has_examples(b), "Found code blocks, input/output samples, or an examples section — concrete samples help agents pattern-match effectively", "Add code blocks, input/output samples, or before/after examples to improve agent accuracy")),
-            row(has_checklist(b), 3, "VTD-0104", lit("Checklist pattern found"), lit("Explicit checklists help agents track progress in multi-step workflows")),
-            row(lit(True), 4, "VTD-0106", two(has_workflow(b), "Step-by-step workflow found", "No clear workflow structure"), two(has_workflow(b), "Structured procedures improve reliability for complex tasks", "Consider adding numbered steps or a structured procedure for the agent to follow")),
-            row(has_validation(b), 5, "VTD-0105", lit("Validation loop referenced"), lit("Instructions for the agent to validate its own work before proceeding")),
-            row(refers, 6, "VTD-0107", lit("Progressive disclosure used"), lit("SKILL.md body references files in references/, scripts/, or assets/ — agents can load additional context on demand instead of consuming everything upfront")),
-        )
-    )
-    rows = defs.join(flags, "package_id").where(X.trimmed(b) != "").select("package_id", F.explode_outer(found).alias("f")).where("f is not null")
-    checks = finding(rows, 130, c("f.rule"), "best-practices", "info", c("f.label"), c("f.detail"), k2=c("f.k"))
-    vague = finding(generic_phrases(defs), 130, "VTD-0108", "best-practices", "info", "Generic instruction detected", F.concat(lit('"'), c("phrase"), lit('" is too vague — provide specific, actionable guidance instead')), k2=c("k") + 7)
-    return checks.unionByName(vague)
+    refers = (b.contains("references/") | b.contains("scripts/") | b.contains("assets/") | b.rlike(X.java(READ_MD))) & (flag("has_references") | flag("has_scripts") | flag("has_assets"))
+    vague = [row(F.lower(b).contains(p), i + 7, "VTD-0108", "info", lit("Generic instruction detected"), lit(f'"{p}" is too vague — provide specific, actionable guidance instead')) for i, p in enumerate(GENERIC_PHRASES)]
+    found = told(130, "best-practices", [
+        row(lit(True), 0, "VTD-0101", "info", two(n > BODY_LINES, "SKILL.md exceeds 500 lines", "SKILL.md body length is reasonable"), F.concat(n.cast("string"), two(n > BODY_LINES, " lines — consider moving detailed reference material to references/", " lines (recommended: under 500)"))),
+        row(has_gotchas(b), 1, "VTD-0102", "info", lit("Gotchas section found"), lit("Documents environment-specific facts and common pitfalls")),
+        row(lit(True), 2, "VTD-0103", "info", two(has_examples(b), "Examples included", "No examples found"), two(has_examples(b), "Found code blocks, input/output samples, or an examples section — concrete samples help agents pattern-match effectively", "Add code blocks, input/output samples, or before/after examples to improve agent accuracy")),
+        row(has_checklist(b), 3, "VTD-0104", "info", lit("Checklist pattern found"), lit("Explicit checklists help agents track progress in multi-step workflows")),
+        row(lit(True), 4, "VTD-0106", "info", two(has_workflow(b), "Step-by-step workflow found", "No clear workflow structure"), two(has_workflow(b), "Structured procedures improve reliability for complex tasks", "Consider adding numbered steps or a structured procedure for the agent to follow")),
+        row(has_validation(b), 5, "VTD-0105", "info", lit("Validation loop referenced"), lit("Instructions for the agent to validate its own work before proceeding")),
+        row(refers, 6, "VTD-0107", "info", lit("Progressive disclosure used"), lit("SKILL.md body references files in references/, scripts/, or assets/ — agents can load additional context on demand instead of consuming everything upfront")),
+        *vague,
+    ])
+    return F.when(X.trimmed(b) != "", found).otherwise(F.array().cast(FINDINGS))
 
 
-def definition_checks(defs: DataFrame) -> DataFrame:
+def body_checks(defs: DataFrame, flags: DataFrame) -> DataFrame:
+    """Best-practice findings about bodies; flags: PRJ of structure.flags."""
+    return exploded(defs.join(flags, "package_id"), body_found(F.col, F.col))
+
+
+def definition_found(c) -> Column:
     """Name, collision, repository and prompt-leak findings."""
-    c, lit = F.col, F.lit
-    error = name_error(c("name"))
-    valid = finding(defs, 70, "VTD-0099", "structure", F.when(error.isNull(), lit("info")).otherwise(lit("critical")), F.when(error.isNull(), lit("Valid name field")).otherwise(lit("Invalid name field")), F.coalesce(error, F.concat(lit('Name "'), c("name"), lit('" follows spec (lowercase, hyphens, ≤64 chars)'))))
-    taken = finding(defs.where(c("name").isin(WELL_KNOWN_NAMES)), 80, "VTD-0100", "best-practices", "medium", "Skill name collides with well-known skill", F.concat(lit('"'), c("name"), lit('" matches a well-known skill name — may cause unintended invocation')))
-    source = finding(defs.where("repository = ''"), 90, "VTD-0083", "security", "info", "No repository link", lit("No repository field found in SKILL.md frontmatter. Skills without a verifiable source repository cannot be externally audited."), intent="negligent")
-    leak = finding(defs.where(c("content").rlike(X.java(PROMPT_LEAK))), 110, "VTD-0085", "security", "medium", "System prompt leakage risk", lit("Skill instructs agent to output or reveal system prompt/instructions"))
-    return typosquats(defs).unionByName(valid).unionByName(taken).unionByName(source).unionByName(leak)
+    lit, error = F.lit, name_error(c("name"))
+    return listed(
+        typosquat_found(c),
+        struct_of(70, "VTD-0099", "structure", F.when(error.isNull(), lit("info")).otherwise(lit("critical")), F.when(error.isNull(), lit("Valid name field")).otherwise(lit("Invalid name field")), F.coalesce(error, F.concat(lit('Name "'), c("name"), lit('" follows spec (lowercase, hyphens, ≤64 chars)')))),
+        F.when(c("name").isin(WELL_KNOWN_NAMES), struct_of(80, "VTD-0100", "best-practices", "medium", "Skill name collides with well-known skill", F.concat(lit('"'), c("name"), lit('" matches a well-known skill name — may cause unintended invocation')))),
+        F.when(c("repository") == "", struct_of(90, "VTD-0083", "security", "info", "No repository link", lit("No repository field found in SKILL.md frontmatter. Skills without a verifiable source repository cannot be externally audited."), intent="negligent")),
+        F.when(c("content").rlike(X.java(PROMPT_LEAK)), struct_of(110, "VTD-0085", "security", "medium", "System prompt leakage risk", lit("Skill instructs agent to output or reveal system prompt/instructions"))),
+    )
+
+
+def definition_checks(defs: DataFrame) -> DataFrame:
+    return exploded(defs, definition_found(F.col))
 
 
 def benign_words(description: Column) -> Column:
@@ -167,9 +180,28 @@ def benign_words(description: Column) -> Column:
     return F.filter(F.array(*[F.lit(w) for w in BENIGN_WORDS]), lambda w: low.contains(w))
 
 
+def mismatch_struct(words: Column) -> Column:
+    detail = F.concat(F.lit("Description uses benign-sounding terms ("), first_three(words), F.lit(") but the package contains malicious security findings. Review carefully."))
+    return struct_of(270, "VTD-0087", "security", "medium", "Description suggests benign skill but code contains malicious security patterns", detail)
+
+
+def definition_fact(content: Column | None) -> Column:
+    """struct<found, harmless>: the findings that a definition file gives rise to - that about references
+    (VTD-0107) as though the package had such folders - and the harmless words of its description.  Without
+    content the file is only listed."""
+    unknown = F.struct(F.lit("unknown").alias("name"), F.lit("").alias("description"), F.lit("").alias("repository"), F.lit("").alias("body"))
+
+    def fact(d: Column) -> Column:
+        text = F.lit(None).cast("string") if content is None else content
+        c = lambda n: text if n == "content" else d[n]
+        found = F.concat(definition_found(c), description_found(c), body_found(c, lambda _: F.lit(True)))
+        return F.struct(found.alias("found"), benign_words(d["description"]).alias("harmless"))
+
+    return X.bound(unknown if content is None else parsed_definition(content), fact)
+
+
 def mismatches(defs: DataFrame, findings: DataFrame) -> DataFrame:
     """Harmless-sounding descriptions of packages with malicious security findings (after chains)."""
     bad = findings.where("category = 'security' and intent = 'malicious'").select("package_id").distinct()
     found = defs.withColumn("words", benign_words(F.col("description"))).where(F.size("words") > 0).join(bad, "package_id", "left_semi")
-    detail = F.concat(F.lit("Description uses benign-sounding terms ("), first_three(F.col("words")), F.lit(") but the package contains malicious security findings. Review carefully."))
-    return finding(found, 270, "VTD-0087", "security", "medium", "Description suggests benign skill but code contains malicious security patterns", detail)
+    return exploded(found, listed(mismatch_struct(F.col("words"))))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..registry import B64_CHUNK, BEHAVIORAL, EVAL_FILES, SENSITIVE, SINKS, URL_HIDDEN, URL_IN_B64, Behavioral, Sensitive
-from . import scripts
-from .base import finding, pick, settled
-from .patterns import Rules, all_demanded, behavioral_found, entropy_found, first_behavioral, first_sensitive, normal_lines, rules, sends, sensitive_found, within
+from ..functions.literals import met_all
+from ..registry import B64_CHUNK, BEHAVIORAL, EVAL_FILES, SENSITIVE, URL_HIDDEN, URL_IN_B64, Behavioral, Sensitive
+from . import definition, evals, scripts
+from .base import is_markdown, pick, settled, struct_of
+from .patterns import Rules, behavioral_found, entropy_found, first_behavioral, first_sensitive, normal_lines, rules, sends, sensitive_found
 
 # Shortest literal, widest gap and shortest group of joined literals; printable share.
 LITERAL, GAP, GROUP, PRINTABLE = 4, 10, 40, 0.75
@@ -61,22 +62,35 @@ def may_be_coded(path: Column) -> Column:
     return ~path.startswith("evals/") & ~path.startswith("references/")
 
 
-def coded_verdict(of: Rules, texts: str, mets: str, path: str = "path") -> Column:
+CODED = "array<struct<kind: int, line_no: bigint, text: string>>"
+VEILED = "array<struct<line_no: bigint, line: string>>"
+
+
+def coded_verdict(of: Rules, path: Column, texts: Column, mets: Column) -> Column:
     """struct<d: struct<verdict, matched>, a: bigint>: of the decoded texts and what each meets, the first that is
     dangerous (verdict code, net or url), and the line of the first advisory before it; null if neither is there."""
-    sink = " OR ".join(f"t.text RLIKE {X.sql(X.java(p))}" for p in SINKS)
-    matched = first_sensitive(of, "t.text", "t.met", path)
-    danger = f"CASE WHEN t.matched IS NOT NULL THEN 'code' WHEN {sink} THEN 'net' WHEN t.text RLIKE {X.sql(X.java(URL_IN_B64))} THEN 'url' END"
-    # the printable share is of the decoded bytes; replaced bytes are not printable either way
-    printable = r"length(regexp_replace(t.text, '[^\\x20-\\x7E\\t\\n\\r]', '')) / greatest(octet_length(t.text), 1)"
-    plain = f"endswith(lower({path}), '.md') AND t.kind = 0 AND {printable} >= {PRINTABLE}D"
-    joined = f"zip_with({texts}, {mets}, (x, y) -> named_struct('kind', x.kind, 'line_no', x.line_no, 'text', x.text, 'met', y))"
-    first = f"transform({joined}, t -> named_struct('kind', t.kind, 'line_no', t.line_no, 'text', t.text, 'matched', {matched}))"
-    judged = f"transform({first}, t -> named_struct('line_no', t.line_no, 'matched', t.matched, 'danger', {danger}, 'plain', {plain}))"
-    at = "array_position(transform(s.j, t -> {0}), true)"
-    danger_at, plain_at = at.format("t.danger IS NOT NULL"), at.format("t.danger IS NULL AND t.plain")
-    pos = f"transform(array(named_struct('j', s.j, 'd', {danger_at}, 'a', {plain_at})), p -> CASE WHEN p.d > 0 OR p.a > 0 THEN named_struct('d', CASE WHEN p.d > 0 THEN named_struct('verdict', p.j[CAST(p.d - 1 AS int)].danger, 'matched', p.j[CAST(p.d - 1 AS int)].matched) END, 'a', CASE WHEN p.a > 0 AND (p.d = 0 OR p.a < p.d) THEN p.j[CAST(p.a - 1 AS int)].line_no END) END)"
-    return within({"j": judged}, f"CASE WHEN size(s.j) > 0 THEN element_at({pos}, 1) END")
+    markdown = is_markdown(path)
+
+    def judged(t: Column) -> Column:
+        danger = F.when(t["matched"].isNotNull(), F.lit("code")).when(sends(t["text"]), F.lit("net")).when(t["text"].rlike(X.java(URL_IN_B64)), F.lit("url"))
+        # the printable share is of the decoded bytes; replaced bytes are not printable either way
+        plain = markdown & (t["kind"] == 0) & (X.printable_ratio(t["text"]) >= PRINTABLE)
+        return F.struct(t["line_no"].alias("line_no"), t["matched"].alias("matched"), danger.alias("danger"), plain.alias("plain"))
+
+    told = F.zip_with(texts, mets, lambda x, y: F.struct(x["kind"].alias("kind"), x["line_no"].alias("line_no"), x["text"].alias("text"), first_sensitive(of, x["text"], y, markdown).alias("matched")))
+
+    def firsts(j: Column) -> Column:
+        at = lambda flags: F.array_position(flags, F.lit(True)).cast("int")
+        where = F.struct(at(F.transform(j, lambda t: t["danger"].isNotNull())).alias("d"), at(F.transform(j, lambda t: t["danger"].isNull() & t["plain"])).alias("a"))
+
+        def verdict(p: Column) -> Column:
+            d, a = F.get(j, p["d"] - 1), F.get(j, p["a"] - 1)
+            danger = F.when(p["d"] > 0, F.struct(d["danger"].alias("verdict"), d["matched"].alias("matched")))
+            return F.when((p["d"] > 0) | (p["a"] > 0), F.struct(danger.alias("d"), F.when((p["a"] > 0) & ((p["d"] == 0) | (p["a"] < p["d"])), a["line_no"]).alias("a")))
+
+        return X.bound(where, verdict)
+
+    return F.when(F.size(texts) > 0, X.bound(F.transform(told, judged), firsts))
 
 
 def base64_verdicts(files: DataFrame) -> DataFrame:
@@ -95,39 +109,49 @@ def base64_verdicts(files: DataFrame) -> DataFrame:
     return files.where("coded is not null").select("package_id", "path", F.explode_outer(verdicts).alias("v")).where("v is not null").select("package_id", "path", "v.*").withColumn("rule_id", rule)
 
 
-def base64(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -> DataFrame:
-    c, lit = F.col, F.lit
-    v = base64_verdicts(files)
-    danger = c("verdict") != "advisory"
-    n = F.row_number().over(Window.partitionBy("package_id", danger).orderBy("path")) - 1
-    v = v.withColumn("n", F.when(danger, n))
+def coded_struct(c, n: Column, registry: list[Sensitive] | tuple[Sensitive, ...]) -> Column:
+    """The finding of a verdict (c gives its fields and the path); n numbers the package's dangerous files."""
+    lit, danger = F.lit, c("verdict") != "advisory"
     at = F.concat(lit("Decoded base64 in "), c("path"))
+    labels = pick([p.label for p in registry], c("matched")) if registry else F.lit(None).cast("string")
     detail = (
-        F.when(c("verdict") == "code", F.concat(at, lit(" matched: "), pick([p.label for p in registry], c("matched"))))
+        F.when(c("verdict") == "code", F.concat(at, lit(" matched: "), labels))
         .when(c("verdict") == "net", F.concat(at, lit(" contained a network transmission call")))
         .when(c("verdict") == "url", F.concat(at, lit(" contained an external URL. Possible dead-drop or remote instruction source.")))
         .otherwise(F.concat(lit("Detected in "), c("path"), lit(":"), c("line_no").cast("string"), lit(" — base64 content is rarely expected in skill documentation")))
     )
+    rule = F.when(c("verdict") == "code", "VTD-0077").when(c("verdict") == "net", "VTD-0078").when(c("verdict") == "url", "VTD-0079").otherwise("VTD-0080")
     label = F.when(c("verdict") == "code", "Obfuscated dangerous code").when(c("verdict") == "net", "Obfuscated network call").when(c("verdict") == "url", "Obfuscated external URL (dead-drop)").otherwise("Base64-encoded content in markdown file")
-    return finding(
-        v, 180, c("rule_id"), "security", F.when(danger, lit("critical")).otherwise(lit("medium")), label, detail, filepath=c("path"), intent=F.when(danger, lit("malicious")), k1=c("path"), k2=c("k"), line_no=c("line_no"),
-        chain_id=F.when(danger, F.concat(lit("obfusc-"), c("verdict"), lit("-"), c("n").cast("string"))), detected_in=F.when(~danger, c("path")),
+    return struct_of(
+        180, rule, "security", F.when(danger, lit("critical")).otherwise(lit("medium")), label, detail, filepath=c("path"), intent=F.when(danger, lit("malicious")), k1=c("path"), k2=danger.cast("int"), line_no=c("line_no"),
+        chain_id=F.when(danger, F.concat(lit("obfusc-"), c("verdict"), lit("-"), n.cast("string"))), detected_in=F.when(~danger, c("path")),
     )
 
 
+def base64(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -> DataFrame:
+    v = base64_verdicts(files)
+    danger = F.col("verdict") != "advisory"
+    v = v.withColumn("n", F.row_number().over(Window.partitionBy("package_id", danger).orderBy("path")) - 1)
+    return v.select("package_id", coded_struct(F.col, F.col("n"), registry).alias("f")).select("package_id", "f.*")
+
+
 def veiled_lines(content: Column) -> Column:
     """array<struct<line_no, line>>: the lines that have invisible characters, without them."""
     lines = F.transform(X.lines(content), lambda x, i: F.when(x.rlike(X.INVISIBLE), F.struct((i + 1).cast("bigint").alias("line_no"), X.strip_invisible(x).alias("line"))))
     return F.filter(F.when(content.rlike(X.INVISIBLE), lines), lambda s: s["line_no"].isNotNull())
 
 
-def veiled_verdict(of: Rules, lines: str, mets: str) -> Column:
+def veiled_verdict(of: Rules, lines: Column, mets: Column) -> Column:
     """struct<line_no, verdict, matched>: of such lines and what each meets, the first on which something
     dangerous is hidden (verdict pattern, signal or url), or else the first (plain); null without lines."""
-    normal = r"regexp_replace(regexp_replace(lower(x.line), '[ \\t]+', ' '), '(?U)^\\s+|\\s+\\z', '')"
-    row = f"named_struct('line_no', x.line_no, 'line', x.line, 's', {first_sensitive(of, 'x.line', 'y')}, 'b', {first_behavioral(of, normal, 'y')})"
-    judged = f"transform(zip_with({lines}, {mets}, (x, y) -> {row}), t -> named_struct('line_no', t.line_no, 'verdict', CASE WHEN t.s IS NOT NULL THEN 'pattern' WHEN t.b IS NOT NULL THEN 'signal' WHEN t.line RLIKE {X.sql(X.java(URL_HIDDEN))} THEN 'url' ELSE 'plain' END, 'matched', coalesce(t.s, t.b)))"
-    return within({"j": judged}, "CASE WHEN size(s.j) > 0 THEN coalesce(get(filter(s.j, t -> t.verdict <> 'plain'), 0), s.j[0]) END")
+
+    def judged(t: Column) -> Column:
+        verdict = F.when(t["s"].isNotNull(), F.lit("pattern")).when(t["b"].isNotNull(), F.lit("signal")).when(t["line"].rlike(X.java(URL_HIDDEN)), F.lit("url")).otherwise(F.lit("plain"))
+        return F.struct(t["line_no"].alias("line_no"), verdict.alias("verdict"), F.coalesce(t["s"], t["b"]).alias("matched"))
+
+    rows = F.zip_with(lines, mets, lambda x, y: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), first_sensitive(of, x["line"], y).alias("s"), first_behavioral(of, X.normalized(x["line"]), y).alias("b")))
+    first = lambda j: F.coalesce(F.get(F.filter(j, lambda t: t["verdict"] != "plain"), F.lit(0)), F.get(j, F.lit(0)))
+    return F.when(F.size(lines) > 0, X.bound(F.transform(rows, judged), first))
 
 
 def hidden_unicode_matches(files: DataFrame) -> DataFrame:
@@ -139,54 +163,74 @@ def hidden_unicode_matches(files: DataFrame) -> DataFrame:
 
 
 #: What facts() can say of a file.
-PARTS = ["sensitive", "entropy", "behavioral", "coded", "veiled", "sink", "link", "script", "content"]
+PARTS = ["sensitive", "entropy", "behavioral", "coded", "veiled", "sink", "link", "script", "definition", "suite"]
+
+
+def staged(path: Column, content: Column, parts: set[str]) -> dict[str, Column]:
+    """What of a file is decoded or unveiled before the automaton reads it."""
+    coded, veiled = F.array().cast(CODED), F.array().cast(VEILED)
+    return {
+        "coded": F.coalesce(F.when(may_be_coded(path), decoded(content)).cast(CODED), coded) if "coded" in parts else coded,
+        "veiled": F.coalesce(veiled_lines(content).cast(VEILED), veiled) if "veiled" in parts else veiled,
+    }
+
+
+def staged_texts(content: Column, coded: Column, veiled: Column) -> Column:
+    """All that the automaton reads of a file: its content, what was decoded, the unveiled lines."""
+    return F.concat(F.array(content), F.transform(coded, lambda t: t["text"]), F.transform(veiled, lambda t: t["line"]))
+
+
+def fact_columns(of: Rules, path: Column, content: Column, coded: Column, veiled: Column, mets: Column, rows: Column, parts: set[str]) -> list[Column]:
+    """The facts of one file; mets: what each of its staged texts meets, rows: its normal lines."""
+    m = F.get(mets, F.lit(0))
+    has = lambda k: F.array_contains(m, F.lit(k).cast("int"))
+    made = {
+        "sensitive": lambda: sensitive_found(of, path, content, m), "entropy": lambda: entropy_found(path, content, some=has(of.ends[1])), "behavioral": lambda: behavioral_found(of, rows, m),
+        "coded": lambda: coded_verdict(of, path, coded, F.slice(mets, F.lit(2), F.size(coded))), "veiled": lambda: veiled_verdict(of, veiled, F.slice(mets, F.size(coded) + 2, F.size(veiled))),
+        "sink": lambda: F.when(has(of.ends[1] + 1), sends(content)).otherwise(F.lit(False)), "link": lambda: scripts.has_link(content), "script": lambda: F.when(path.startswith("scripts/"), scripts.script_facts(path, content)),
+        "definition": lambda: F.when(path.isin("SKILL.md", "skill.md"), definition.definition_fact(content)), "suite": lambda: F.when(path.isin(EVAL_FILES), evals.suite_fact(content)),
+    }
+    return [make().alias(name) for name, make in made.items() if name in parts]
 
 
 def facts(files: DataFrame, of: Rules | None = None, parts: list[str] | None = None) -> DataFrame:
     """package_id, path and, in one pass over the contents, what the checks ask of a file: the matches of the line
     rules, what base64 and invisible characters hide, whether it sends (`sink`) or links, what a
-    script offers; and the content of definition and suite files alone.  Every check takes such a table in
-    place of files.  Nothing is shuffled."""
-    of, parts = of or rules(), parts or PARTS
-    p, c, on = F.col("path"), F.col("content"), set(parts)
-    rows = files.select("package_id", "path", "content")
-    if "coded" in on:
-        rows = settled(rows, __coded=F.coalesce(F.when(may_be_coded(p), decoded(c)), F.expr("CAST(array() AS array<struct<kind: int, line_no: bigint, text: string>>)")))
-    if "veiled" in on:
-        rows = settled(rows, __veiled=F.coalesce(veiled_lines(c), F.expr("CAST(array() AS array<struct<line_no: bigint, line: string>>)")))
-    # one automaton reads the content, what was decoded and what was veiled
-    texts = [F.array(c)] + ([F.transform("__coded", lambda t: t["text"])] if "coded" in on else []) + ([F.transform("__veiled", lambda t: t["line"])] if "veiled" in on else [])
-    rows = rows.withColumn("__mets", all_demanded(F.concat(*texts), of)).withColumn("__met", F.get("__mets", F.lit(0)))
-    if "behavioral" in on:
-        rows = settled(rows, __rows=normal_lines(of, p, c))
-    n = "size(__coded)" if "coded" in on else "0"
-    has = lambda k: F.array_contains("__met", F.lit(k).cast("int"))
-    made = {
-        "sensitive": lambda: sensitive_found(of), "entropy": lambda: entropy_found(p, c, some=has(of.ends[1])), "behavioral": lambda: behavioral_found(of, "__rows"),
-        "coded": lambda: F.when(F.size("__coded") > 0, coded_verdict(of, "__coded", "slice(__mets, 2, size(__coded))")), "veiled": lambda: F.when(F.size("__veiled") > 0, veiled_verdict(of, "__veiled", f"slice(__mets, 2 + {n}, size(__veiled))")),
-        "sink": lambda: F.when(has(of.ends[1] + 1), sends(c)).otherwise(F.lit(False)), "link": lambda: scripts.has_link(c), "script": lambda: F.when(p.startswith("scripts/"), scripts.script_facts(p, c)),
-        "content": lambda: F.when(p.isin("SKILL.md", "skill.md", *EVAL_FILES), c),
-    }
+    script offers, what a definition gives rise to and a suite holds.  The checks of files take such a table
+    in place of files.  Nothing is shuffled."""
+    of, on = of or rules(), set(parts or PARTS)
+    p, c = F.col("path"), F.col("content")
+    rows = settled(files.select("package_id", "path", "content"), **{f"__{k}": v for k, v in staged(p, c, on).items()})
+    coded, veiled = F.col("__coded"), F.col("__veiled")
+    rows = rows.withColumn("__mets", met_all(staged_texts(c, coded, veiled), of.demands))
+    lines = normal_lines(of, p, c, F.get("__mets", F.lit(0))) if "behavioral" in on else F.array().cast("array<string>")
+    rows = settled(rows, __rows=lines)
     # behind a generator later filters do not have the patterns evaluated once more
-    found = F.struct(*[make().alias(name) for name, make in made.items() if name in on])
+    found = F.struct(*fact_columns(of, p, c, coded, veiled, F.col("__mets"), F.col("__rows"), on))
     return rows.select("package_id", "path", F.explode_outer(F.array(found)).alias("f")).select("package_id", "path", "f.*")
 
 
-def hidden_unicode(files: DataFrame, sensitive: list[Sensitive] = SENSITIVE, behavioral: list[Behavioral] = BEHAVIORAL) -> DataFrame:
-    c, lit = F.col, F.lit
-    m = hidden_unicode_matches(files)
-    url = c("verdict") == "url"
-    m = m.withColumn("n", F.when(url, F.row_number().over(Window.partitionBy("package_id", url).orderBy("path")) - 1))
+def veiled_struct(c, n: Column, of: Rules) -> Column:
+    """The finding about invisible characters (c gives the verdict's fields and the path); n numbers the
+    package's files that hide a link."""
+    lit = F.lit
     at = F.concat(c("path"), lit(":"), c("line_no").cast("string"))
     by = lambda plain, pattern, signal, link: F.when(c("verdict") == "plain", plain).when(c("verdict") == "pattern", pattern).when(c("verdict") == "signal", signal).otherwise(link)
+    label = lambda table: pick([p.label for p in table], c("matched")) if table else lit(None).cast("string")
     detail = by(
         F.concat(lit("Invisible formatting/control character in "), at, lit(". May conceal prompt injection content.")),
-        F.concat(lit("Hidden Unicode in "), at, lit(" concealed a dangerous pattern: "), pick([p.label for p in sensitive], c("matched"))),
-        F.concat(lit("Hidden Unicode in "), at, lit(" concealed a behavioral signal: "), pick([p.label for p in behavioral], c("matched"))),
+        F.concat(lit("Hidden Unicode in "), at, lit(" concealed a dangerous pattern: "), label(of.sensitive)),
+        F.concat(lit("Hidden Unicode in "), at, lit(" concealed a behavioral signal: "), label(of.behavioral)),
         F.concat(lit("Hidden Unicode in "), at, lit(" concealed an external URL")),
     )
-    return finding(
-        m, 220, by(lit("VTD-0081"), lit("VTD-0077"), lit("VTD-0077"), lit("VTD-0079")), "security", F.when(c("verdict") == "plain", lit("medium")).otherwise(lit("critical")),
+    return struct_of(
+        220, by(lit("VTD-0081"), lit("VTD-0077"), lit("VTD-0077"), lit("VTD-0079")), "security", F.when(c("verdict") == "plain", lit("medium")).otherwise(lit("critical")),
         by(lit("Hidden Unicode character detected"), lit("Obfuscated dangerous code"), lit("Obfuscated dangerous code"), lit("Obfuscated external URL (dead-drop)")), detail, filepath=c("path"),
-        intent=F.when(c("verdict") != "plain", lit("malicious")), k1=c("path"), line_no=c("line_no"), chain_id=F.when(url, F.concat(lit("obfusc-uni-"), c("n").cast("string"))),
+        intent=F.when(c("verdict") != "plain", lit("malicious")), k1=c("path"), line_no=c("line_no"), chain_id=F.when(c("verdict") == "url", F.concat(lit("obfusc-uni-"), n.cast("string"))),
     )
+
+
+def hidden_unicode(files: DataFrame, sensitive: list[Sensitive] = SENSITIVE, behavioral: list[Behavioral] = BEHAVIORAL) -> DataFrame:
+    m = hidden_unicode_matches(files)
+    m = m.withColumn("n", F.row_number().over(Window.partitionBy("package_id", F.col("verdict") == "url").orderBy("path")) - 1)
+    return m.select("package_id", veiled_struct(F.col, F.col("n"), rules(sensitive, behavioral)).alias("f")).select("package_id", "f.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import EVAL_FILES
-from .base import finding
+from .base import exploded, row, told
 
 # Keys that hold cases, in order; keys of assertions as lists and as texts; few cases.
 CASE_KEYS = ["evals", "tests", "test_cases", "scenarios", "cases", "examples"]
@@ -53,14 +53,21 @@ def is_one_value(content: Column) -> Column:
     return X.bound(F.aggregate(F.filter(blank, lambda x: x != ""), start, step), lambda s: s["ok"] & (s["depth"] == 0) & ~s["first"])
 
 
+def suite_fact(content: Column) -> Column:
+    """struct<n_cases, asserted> of a suite file; n_cases is null if it is no JSON or has no list."""
+    cases = lambda doc: F.when(doc.isNotNull(), case_list(doc))
+    told = lambda c: F.struct(F.size(c).cast("bigint").alias("n_cases"), F.coalesce(F.exists(c, has_assertions), F.lit(False)).alias("asserted"))
+    return X.bound(F.when(is_one_value(content), F.try_parse_json(content)), lambda doc: X.bound(cases(doc), told))
+
+
 def suites(files: DataFrame) -> DataFrame:
     """package_id, path, n_cases (null: not JSON or no list), asserted: the first suite file that a
     package has, in the order of EVAL_FILES."""
     order = F.array_position(F.array(*[F.lit(p) for p in EVAL_FILES]), F.col("path"))
-    first = files.where(F.col("path").isin(EVAL_FILES)).groupBy("package_id").agg(F.min(F.struct(order.alias("o"), "path", "content")).alias("f")).select("package_id", "f.path", "f.content")
-    valid = F.when(is_one_value(F.col("content")), F.try_parse_json("content"))
-    cases = case_list(F.col("doc"))
-    return first.withColumn("doc", valid).withColumn("cases", F.when(F.col("doc").isNotNull(), cases)).select("package_id", "path", F.size("cases").cast("bigint").alias("n_cases"), F.coalesce(F.exists("cases", has_assertions), F.lit(False)).alias("asserted"))
+    rows = files.where(F.col("path").isin(EVAL_FILES))
+    rows = rows.select("package_id", "path", F.col("suite") if "suite" in files.columns else suite_fact(F.col("content")).alias("suite"))
+    # some suite is never null where there is a file, so the first file counts even if it is no JSON
+    return rows.groupBy("package_id").agg(F.min_by(F.struct("path", "suite"), order).alias("f")).select("package_id", "f.path", "f.suite.n_cases", "f.suite.asserted")
 
 
 def eval_files(paths: DataFrame, files: DataFrame) -> DataFrame:
@@ -73,21 +80,21 @@ def eval_files(paths: DataFrame, files: DataFrame) -> DataFrame:
     return rows.groupBy("package_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def eval_found(suite: Column, n: Column) -> Column:
+    """Findings about a package's suite (struct n_cases, asserted; null if it has none) and its n other files."""
+    lit, cases, asserted = F.lit, suite["n_cases"], suite["asserted"]
+    some = cases > 0
+    return told(240, "evals", [
+        row(some, 0, "VTD-0119", "info", "Test cases defined", F.concat(cases.cast("string"), lit(" test case(s) found in evals JSON"))),
+        row(some & asserted, 1, "VTD-0120", "info", "Assertions defined for test cases", "Verifiable assertions or expected outputs enable automated grading of skill outputs"),
+        row(some & ~asserted, 1, "VTD-0120", "info", "No assertions in test cases", "Add verifiable assertions, expected outputs, or criteria to each test case"),
+        row(some & (cases < FEW), 2, "VTD-0121", "info", "Few test cases", "Consider adding at least 3 test cases covering varied prompts and edge cases"),
+        row(suite.isNull() & (n > 0), 0, "VTD-0123", "info", "Eval files found", F.concat(n.cast("string"), lit(" evaluation file(s) detected in non-JSON format (markdown, YAML, JSONL, etc.)"))),
+    ])
+
+
 def eval_checks(files: DataFrame, paths: DataFrame, flags: DataFrame) -> DataFrame:
-    c, lit = F.col, F.lit
     on = flags.where("has_evals").select("package_id")
-    suite = suites(files).join(on, "package_id", "left_semi")
-    row = lambda when, k, rule, label, detail: F.when(when, F.struct(lit(k).alias("k"), lit(rule).alias("rule"), label.alias("label"), detail.alias("detail")))
-    found = F.array_compact(
-        F.array(
-            row(lit(True), 0, "VTD-0119", lit("Test cases defined"), F.concat(c("n_cases").cast("string"), lit(" test case(s) found in evals JSON"))),
-            row(c("asserted"), 1, "VTD-0120", lit("Assertions defined for test cases"), lit("Verifiable assertions or expected outputs enable automated grading of skill outputs")),
-            row(~c("asserted"), 1, "VTD-0120", lit("No assertions in test cases"), lit("Add verifiable assertions, expected outputs, or criteria to each test case")),
-            row(c("n_cases") < FEW, 2, "VTD-0121", lit("Few test cases"), lit("Consider adding at least 3 test cases covering varied prompts and edge cases")),
-        )
-    )
-    rows = suite.where("n_cases > 0").select("package_id", F.explode_outer(found).alias("f"))
-    listed = finding(rows, 240, c("f.rule"), "evals", "info", c("f.label"), c("f.detail"), k2=c("f.k"))
-    others = eval_files(paths, files).join(on, "package_id", "left_semi").join(suites(files).select("package_id"), "package_id", "left_anti")
-    plain = finding(others, 240, "VTD-0123", "evals", "info", "Eval files found", F.concat(c("n").cast("string"), lit(" evaluation file(s) detected in non-JSON format (markdown, YAML, JSONL, etc.)")))
-    return listed.unionByName(plain)
+    suite = suites(files).select("package_id", F.struct("n_cases", "asserted").alias("suite"))
+    both = on.join(suite, "package_id", "left").join(eval_files(paths, files), "package_id", "left")
+    return exploded(both, eval_found(F.col("suite"), F.col("n")))

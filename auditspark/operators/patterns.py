@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.literals import Alternatives, met, met_all, required
+from ..functions.literals import Alternatives, met, required
 from ..registry import BEHAVIORAL, ENV_FILE, NEGATION, SECRET_KEY, SENSITIVE, SINKS, Behavioral, Sensitive
-from .base import detected, finding, is_markdown, pick
+from .base import FINDINGS, detected, exploded, is_markdown, listed, pick, struct_of
 from .markdown import masked_lines
 
 #: A possessive filler keeps the first behavioral pattern from overflowing the stack on long repeats.
@@ -55,60 +55,60 @@ def demanded(text: Column, of: Rules) -> Column:
     return met(text, of.demands)
 
 
-def all_demanded(texts: Column, of: Rules) -> Column:
-    """array<array<int>>: the same of each of an array's texts."""
-    return met_all(texts, of.demands)
+def _table(values: list, kind: str) -> Column:
+    """A column of a rule table as a constant array, to be picked from by number."""
+    return F.expr(f"CAST(array({', '.join(X.sql(v) if isinstance(v, str) else str(v).lower() for v in values)}) AS array<{kind}>)")
 
 
-def _array(values: list, kind: str) -> str:
-    return f"CAST(array({', '.join(X.sql(v) if isinstance(v, str) else str(v).lower() for v in values)}) AS array<{kind}>)"
+def _regexes(table: tuple[Sensitive, ...] | tuple[Behavioral, ...]) -> Column:
+    return _table([X.java(p.regex.replace(FILLER, POSSESSIVE)) for p in table], "string")
 
 
-def _java(p: Sensitive | Behavioral) -> str:
-    return X.java(p.regex.replace(FILLER, POSSESSIVE))
+def _matches(text: Column, regex: Column) -> Column:
+    # unlike RLIKE, this keeps the last pattern compiled where it is not constant
+    return F.regexp_instr(text, regex) > 0
 
 
-def within(fields: dict[str, str], f: str) -> Column:
-    """The SQL expression f over a struct s of the given ones, each of which is evaluated just once."""
-    named = ", ".join(f"'{n}', {e}" for n, e in fields.items())
-    return F.expr(f"element_at(transform(array(named_struct({named})), s -> {f}), 1)")
+def _first_true(flags: Column) -> Column:
+    return F.array_position(flags, F.lit(True)).cast("bigint")
 
 
-_MARKDOWN = "endswith(lower({0}), '.md')"
-_SNIPPET = r"substring(regexp_replace({0}, '(?U)^\\s+|\\s+\\z', ''), 1, 120)"
+SENSITIVE_HITS = "array<struct<idx: int, line_no: bigint, snippet: string>>"
+BEHAVIORAL_HITS = "array<struct<idx: int, n: bigint, line_no: bigint, snippet: string>>"
 
 
-def _codes(of: Rules, m: str, path: str | None) -> str:
+def _codes(of: Rules, m: Column, markdown: Column | None) -> Column:
     """The candidates among the sensitive rules: indices into their table."""
-    n = of.ends[0]
-    if not n:
-        return "CAST(array() AS array<int>)"
-    skip = f" AND NOT ({_MARKDOWN.format(path)} AND element_at({_array([p.code_only for p in of.sensitive], 'boolean')}, i + 1))" if path and any(p.code_only for p in of.sensitive) else ""
-    return f"filter({m}, i -> i < {n}{skip})"
-
-
-def sensitive_found(of: Rules, path: str = "path", content: str = "content", m: str = "__met") -> Column:
-    """array<struct<idx, line_no, snippet>>: the first matching line of each rule in a file, given the
-    names of its columns and of what it meets.  The lines are split once, where there is a candidate."""
-    patterns = _array([_java(p) for p in of.sensitive], "string")
-    line = f"CAST(array_position(transform(t.lines, x -> regexp_instr(x, element_at({patterns}, i + 1)) > 0), true) AS bigint)"
-    hits = f"filter(transform(s.c, i -> named_struct('idx', i, 'line_no', {line})), h -> h.line_no > 0)"
-    found = f"transform({hits}, h -> named_struct('idx', h.idx, 'line_no', h.line_no, 'snippet', {_SNIPPET.format('element_at(t.lines, CAST(h.line_no AS int))')}))"
-    split = f"element_at(transform(array(named_struct('lines', split({content}, '\n', -1))), t -> {found}), 1)"
-    none = "CAST(array() AS array<struct<idx: int, line_no: bigint, snippet: string>>)"
-    return within({"c": _codes(of, m, path)}, f"CASE WHEN size(s.c) > 0 THEN {split} ELSE {none} END")
-
-
-def first_sensitive(of: Rules, value: str, m: str, path: str | None = None) -> str:
-    """SQL: the index of the first rule that `value`, which meets `m`, matches as a whole, or null."""
+    if markdown is None or not any(p.code_only for p in of.sensitive):
+        return F.filter(m, lambda i: i < of.ends[0])
+    code_only = _table([p.code_only for p in of.sensitive], "boolean")
+    return F.filter(m, lambda i: (i < of.ends[0]) & ~(markdown & F.coalesce(F.get(code_only, i), F.lit(False))))
+
+
+def sensitive_found(of: Rules, path: Column, content: Column, m: Column) -> Column:
+    """array<struct<idx, line_no, snippet>>: the first matching line of each rule in a file that meets m.
+    The lines are split once, where there is a candidate."""
+    none = F.array().cast(SENSITIVE_HITS)
     if not of.sensitive:
-        return "CAST(NULL AS int)"
-    return f"get(filter({_codes(of, m, path)}, i -> regexp_instr({value}, element_at({_array([_java(p) for p in of.sensitive], 'string')}, i + 1)) > 0), 0)"
+        return none
+    regexes = _regexes(of.sensitive)
 
+    def hits(codes: Column) -> Column:
+        def found(lines: Column) -> Column:
+            first = F.transform(codes, lambda i: F.struct(i.alias("idx"), _first_true(F.transform(lines, lambda x: _matches(x, F.get(regexes, i)))).alias("line_no")))
+            return F.transform(F.filter(first, lambda h: h["line_no"] > 0), lambda h: F.struct(h["idx"].alias("idx"), h["line_no"].alias("line_no"), X.snippet(F.element_at(lines, h["line_no"].cast("int"))).alias("snippet")))
 
-def scanned(files: DataFrame, of: Rules) -> DataFrame:
-    """files with __met, unless they have it."""
-    return files if "__met" in files.columns else files.withColumn("__met", demanded(F.col("content"), of))
+        return F.when(F.size(codes) > 0, X.bound(X.lines(content), found)).otherwise(none)
+
+    return X.bound(_codes(of, m, is_markdown(path)), hits)
+
+
+def first_sensitive(of: Rules, value: Column, m: Column, markdown: Column | None = None) -> Column:
+    """The index of the first rule that `value`, which meets m, matches as a whole, or null."""
+    if not of.sensitive:
+        return F.lit(None).cast("int")
+    regexes = _regexes(of.sensitive)
+    return F.get(F.filter(_codes(of, m, markdown), lambda i: _matches(value, F.get(regexes, i))), F.lit(0))
 
 
 def _exploded(files: DataFrame, name: str, found: Column) -> DataFrame:
@@ -122,8 +122,8 @@ def sensitive_matches(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -
     """First match per file and pattern: package_id, path, pat_idx, line_no, snippet and the rule's columns."""
     markdown, of = is_markdown(F.col("path")), rules(registry, [])
     if "sensitive" not in files.columns:
-        files = scanned(files.select("package_id", "path", "content"), of)
-    hits = _exploded(files, "sensitive", sensitive_found(of))
+        files = files.select("package_id", "path", "content", demanded(F.col("content"), of).alias("__met"))
+    hits = _exploded(files, "sensitive", sensitive_found(of, F.col("path"), F.col("content"), F.col("__met")))
     i = F.col("m.idx")
     return hits.select(
         "package_id", "path", i.alias("pat_idx"), F.col("m.line_no").alias("line_no"), F.col("m.snippet").alias("snippet"),
@@ -132,10 +132,46 @@ def sensitive_matches(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -
     )
 
 
+def sensitive_struct(of: Rules, path: Column, m: Column) -> Column:
+    t, i = of.sensitive, m["idx"]
+    severity = F.coalesce(F.when(is_markdown(path), pick([p.doc_severity for p in t], i)), pick([p.severity for p in t], i))
+    return struct_of(
+        150, pick([p.rule for p in t], i), "security", severity, pick([p.label for p in t], i), detected(path, m["line_no"], m["snippet"]), filepath=path, intent=pick([p.intent for p in t], i),
+        k1=path, k2=i, line_no=m["line_no"], detected_in=path, bucket=pick([p.bucket for p in t], i),
+    )
+
+
+def entropy_struct(path: Column, m: Column) -> Column:
+    return struct_of(160, "VTD-0003", "security", "critical", "High-entropy value — potential hardcoded secret", detected(path, m["line_no"], m["snippet"]), filepath=path, k1=path, k2=m["line_no"], line_no=m["line_no"], detected_in=path)
+
+
+def env_struct(path: Column) -> Column:
+    detail = F.concat(F.lit("Found "), path, F.lit(" — should be excluded from distribution"))
+    return F.when(path.rlike(X.java(ENV_FILE)), struct_of(170, "VTD-0004", "security", "critical", "Environment file included in skill package", detail, filepath=path, k1=path))
+
+
+def behavioral_struct(of: Rules, path: Column, m: Column) -> Column:
+    t, i = of.behavioral, m["idx"]
+    note = F.when(m["n"] > 1, F.concat(F.lit(" ("), m["n"].cast("string"), F.lit(" matches)"))).otherwise(F.lit(""))
+    return struct_of(200, pick([p.rule for p in t], i), "security", pick([p.severity for p in t], i), pick([p.label for p in t], i), detected(path, m["line_no"], m["snippet"], note), filepath=path, k1=path, k2=i, line_no=m["line_no"], detected_in=path)
+
+
+def line_findings(of: Rules, path: Column, fact) -> Column:
+    """The findings of a file that its own facts give; fact(name) is a column."""
+    parts = [F.transform(fact("entropy"), lambda m: entropy_struct(path, m)).cast(FINDINGS), listed(env_struct(path))]
+    if of.sensitive:
+        parts.append(F.transform(fact("sensitive"), lambda m: sensitive_struct(of, path, m)).cast(FINDINGS))
+    if of.behavioral:
+        parts.append(F.transform(fact("behavioral"), lambda m: behavioral_struct(of, path, m)).cast(FINDINGS))
+    return F.concat(*parts)
+
+
 def sensitive(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -> DataFrame:
-    m = sensitive_matches(files, registry)
-    c = F.col
-    return finding(m, 150, c("rule_id"), "security", c("severity"), c("label"), detected(c("path"), c("line_no"), c("snippet")), filepath=c("path"), intent=c("intent"), k1=c("path"), k2=c("pat_idx"), line_no=c("line_no"), detected_in=c("path"), bucket=c("bucket"))
+    of = rules(registry, [])
+    if "sensitive" not in files.columns:
+        files = files.select("package_id", "path", "content", demanded(F.col("content"), of).alias("__met"))
+    hits = _exploded(files, "sensitive", sensitive_found(of, F.col("path"), F.col("content"), F.col("__met")))
+    return hits.select("package_id", sensitive_struct(of, F.col("path"), F.col("m")).alias("f")).select("package_id", "f.*")
 
 
 def entropy_found(path: Column, content: Column, least: float = 3.5, some: Column | None = None) -> Column:
@@ -161,14 +197,12 @@ def entropy_matches(files: DataFrame) -> DataFrame:
 
 
 def entropy(files: DataFrame) -> DataFrame:
-    c = F.col
-    return finding(entropy_matches(files), 160, "VTD-0003", "security", "critical", "High-entropy value — potential hardcoded secret", detected(c("path"), c("line_no"), c("snippet")), filepath=c("path"), k1=c("path"), k2=c("line_no"), line_no=c("line_no"), detected_in=c("path"))
+    hits = _exploded(files, "entropy", entropy_found(F.col("path"), F.col("content")))
+    return hits.select("package_id", entropy_struct(F.col("path"), F.col("m")).alias("f")).select("package_id", "f.*")
 
 
 def env_files(files: DataFrame) -> DataFrame:
-    c = F.col
-    found = files.where(c("path").rlike(X.java(ENV_FILE))).select("package_id", "path")
-    return finding(found, 170, "VTD-0004", "security", "critical", "Environment file included in skill package", F.concat(F.lit("Found "), c("path"), F.lit(" — should be excluded from distribution")), filepath=c("path"), k1=c("path"))
+    return exploded(files.where(F.col("path").rlike(X.java(ENV_FILE))), listed(env_struct(F.col("path"))))
 
 
 def has_sink(content: Column) -> Column:
@@ -184,52 +218,71 @@ def sends(content: Column) -> Column:
     return out
 
 
-def _signals(of: Rules, m: str) -> str:
+def _signals(of: Rules, m: Column) -> Column:
     """The candidates among the behavioral rules: indices into their table."""
-    return f"transform(filter({m}, i -> i >= {of.ends[0]} AND i < {of.ends[1]}), i -> i - {of.ends[0]})"
+    return F.transform(F.filter(m, lambda i: (i >= of.ends[0]) & (i < of.ends[1])), lambda i: i - of.ends[0])
 
 
-def first_behavioral(of: Rules, line: str, m: str) -> str:
-    """SQL: the index of the first rule that `line`, normalized, matches, denials and masks aside, or null."""
+def first_behavioral(of: Rules, line: Column, m: Column) -> Column:
+    """The index of the first rule that `line`, normalized, matches, denials and masks aside, or null."""
     if not of.behavioral:
-        return "CAST(NULL AS int)"
-    return f"get(filter({_signals(of, m)}, i -> regexp_instr({line}, element_at({_array([_java(p) for p in of.behavioral], 'string')}, i + 1)) > 0), 0)"
+        return F.lit(None).cast("int")
+    regexes = _regexes(of.behavioral)
+    return F.get(F.filter(_signals(of, m), lambda i: _matches(line, F.get(regexes, i))), F.lit(0))
 
 
-def normal_lines(of: Rules, path: Column, content: Column, m: str = "__met") -> Column:
+def normal_lines(of: Rules, path: Column, content: Column, m: Column) -> Column:
     """The masked and normalized lines of a file, or null if it meets no behavioral rule's demand."""
-    some = F.expr(f"exists({m}, i -> i >= {of.ends[0]} AND i < {of.ends[1]})")
+    some = F.exists(m, lambda i: (i >= of.ends[0]) & (i < of.ends[1]))
     return F.when(some, F.transform(F.when(is_markdown(path), masked_lines(content)).otherwise(X.lines(content)), lambda x: X.normalized(x)))
 
 
-def behavioral_found(of: Rules, rows: str, m: str = "__met") -> Column:
+def _undenied(line: Column, regex: Column) -> Column:
+    """How many matches on a line no denial before them silences."""
+
+    def count(t: Column) -> Column:
+        # before match k stand the parts between matches up to it and the matches in between; the last forty
+        # of either hold the forty characters that count
+        def before(k: Column) -> Column:
+            near = F.transform(F.sequence(F.greatest(k - 40, F.lit(0)), k), lambda j: F.when(j < k, F.array(F.get(t["parts"], j), F.get(t["found"], j))).otherwise(F.array(F.get(t["parts"], j))))
+            return F.right(F.array_join(F.flatten(near), ""), F.lit(40))
+
+        return F.size(F.filter(F.transform(t["found"], lambda f, k: before(k)), lambda b: ~b.rlike(X.java(NEGATION))))
+
+    return X.bound(F.struct(F.regexp_extract_all(line, regex, F.lit(0)).alias("found"), F.split(line, regex, -1).alias("parts")), count)
+
+
+def behavioral_found(of: Rules, rows: Column, m: Column) -> Column:
     """array<struct<idx, n, line_no, snippet>>: matches per rule that no denial before them silences, with the
-    first one's line, given the names of a column of normal lines and of what the file meets."""
+    first one's line, in the normal lines of a file that meets m."""
+    none = F.array().cast(BEHAVIORAL_HITS)
     if not of.behavioral:
-        return F.expr("CAST(array() AS array<struct<idx: int, n: bigint, line_no: bigint, snippet: string>>)")
-    regex = f"element_at({_array([_java(p) for p in of.behavioral], 'string')}, i + 1)"
-    # before match k stand the parts between matches up to it and the matches in between; the last forty
-    # of either hold the forty characters that count
-    before = "right(concat(array_join(flatten(transform(sequence(greatest(k - 40, 0), k), j -> CASE WHEN j < k THEN array(t.parts[j], t.found[j]) ELSE array(t.parts[j]) END)), '')), 40)"
-    heard = f"size(filter(transform(t.found, (f, k) -> {before}), b -> NOT (b RLIKE {X.sql(X.java(NEGATION))})))"
-    counted = f"element_at(transform(array(named_struct('found', regexp_extract_all(x, {regex}, 0), 'parts', split(x, {regex}, -1))), t -> {heard}), 1)"
-    plain = f"size(regexp_extract_all(x, {regex}, 0))"
-    each = f"CASE WHEN element_at({_array([p.look_back for p in of.behavioral], 'boolean')}, i + 1) AND regexp_instr(x, {regex}) > 0 THEN {counted} ELSE {plain} END"
-    total = "CAST(aggregate(c, 0, (a, b) -> a + b) AS bigint)"
-    one = f"element_at(transform(array(transform(s.rows, x -> {each})), c -> named_struct('idx', i, 'n', {total}, 'line_no', CAST(array_position(transform(c, v -> v > 0), true) AS bigint))), 1)"
-    found = f"filter(transform(s.c, i -> {one}), h -> h.n > 0)"
-    told = f"transform({found}, h -> named_struct('idx', h.idx, 'n', h.n, 'line_no', h.line_no, 'snippet', substring(element_at(s.rows, CAST(h.line_no AS int)), 1, 120)))"
-    none = "CAST(array() AS array<struct<idx: int, n: bigint, line_no: bigint, snippet: string>>)"
-    return within({"c": _signals(of, m), "rows": rows}, f"CASE WHEN size(s.c) > 0 THEN {told} ELSE {none} END")
+        return none
+    regexes, look_back = _regexes(of.behavioral), _table([p.look_back for p in of.behavioral], "boolean")
+
+    def count(x: Column, i: Column) -> Column:
+        regex = F.get(regexes, i)
+        return F.when(F.get(look_back, i) & _matches(x, regex), _undenied(x, regex)).otherwise(F.size(F.regexp_extract_all(x, regex, F.lit(0))))
+
+    def one(lines: Column, i: Column) -> Column:
+        total = lambda c: F.aggregate(c, F.lit(0), lambda a, b: a + b).cast("bigint")
+        return X.bound(F.transform(lines, lambda x: count(x, i)), lambda c: F.struct(i.alias("idx"), total(c).alias("n"), _first_true(F.transform(c, lambda v: v > 0)).alias("line_no")))
+
+    def found(t: Column) -> Column:
+        hits = F.filter(F.transform(t["codes"], lambda i: one(t["lines"], i)), lambda h: h["n"] > 0)
+        told = F.transform(hits, lambda h: F.struct(h["idx"].alias("idx"), h["n"].alias("n"), h["line_no"].alias("line_no"), F.substring(F.element_at(t["lines"], h["line_no"].cast("int")), 1, 120).alias("snippet")))
+        return F.when(F.size(t["codes"]) > 0, told).otherwise(none)
+
+    return X.bound(F.struct(_signals(of, m).alias("codes"), rows.alias("lines")), found)
 
 
 def behavioral_matches(files: DataFrame, registry: list[Behavioral] = BEHAVIORAL) -> DataFrame:
     """Matches per file and pattern: package_id, path, pat_idx, n, line_no and snippet of the first."""
     of = rules([], registry)
     if "behavioral" not in files.columns:
-        files = scanned(files.select("package_id", "path", "content"), of)
-        files = files.select("package_id", "path", "__met", normal_lines(of, F.col("path"), F.col("content")).alias("__rows"))
-    hits = _exploded(files, "behavioral", behavioral_found(of, "__rows"))
+        files = files.select("package_id", "path", "content", demanded(F.col("content"), of).alias("__met"))
+        files = files.select("package_id", "path", "__met", normal_lines(of, F.col("path"), F.col("content"), F.col("__met")).alias("__rows"))
+    hits = _exploded(files, "behavioral", behavioral_found(of, F.col("__rows"), F.col("__met")))
     i = F.col("m.idx")
     return hits.select(
         "package_id", "path", i.alias("pat_idx"), F.col("m.n").alias("n"), F.col("m.line_no").alias("line_no"), F.col("m.snippet").alias("snippet"),
@@ -238,6 +291,6 @@ def behavioral_matches(files: DataFrame, registry: list[Behavioral] = BEHAVIORAL
 
 
 def behavioral(files: DataFrame, registry: list[Behavioral] = BEHAVIORAL) -> DataFrame:
-    c = F.col
-    note = F.when(c("n") > 1, F.concat(F.lit(" ("), c("n").cast("string"), F.lit(" matches)"))).otherwise(F.lit(""))
-    return finding(behavioral_matches(files, registry), 200, c("rule_id"), "security", c("severity"), c("label"), detected(c("path"), c("line_no"), c("snippet"), note), filepath=c("path"), k1=c("path"), k2=c("pat_idx"), line_no=c("line_no"), detected_in=c("path"))
+    of = rules([], registry)
+    hits = behavioral_matches(files, registry).select("package_id", "path", F.struct(F.col("pat_idx").alias("idx"), "n", "line_no", "snippet").alias("m"))
+    return hits.select("package_id", behavioral_struct(of, F.col("path"), F.col("m")).alias("f")).select("package_id", "f.*")

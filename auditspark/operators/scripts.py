@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import DEPENDENCY, INTERACTIVE, STRUCTURED
-from .base import finding, settled
+from .base import exploded, listed, row, settled, struct_of, told
 
 # Files that are no command, by name, extension or folder; folders and signs that need a hint.
 NOT_COMMANDS = ["__init__.py", "utils.py", "helper.py", "helpers.py", "base.py", "constants.py"]
@@ -53,23 +53,22 @@ def cli_scripts(files: DataFrame) -> DataFrame:
     return rows.where("script.cli").select("package_id", "path", "script")
 
 
+def script_found(path: Column, script: Column) -> Column:
+    """Help, prompts, output format and version pins of a command-line script."""
+    lit, hint = F.lit, script["hint"]
+    say = lambda text: F.concat(path, lit(f": {text}"))
+    return told(140, "scripts", [
+        row(None, 0, "VTD-0114", "info", F.when(hint, lit("CLI help supported")).otherwise(lit("No --help support")), F.when(hint, say("Script documents its interface via --help or argument parsing")).otherwise(say("Add argument parsing with --help output so agents know the script's interface"))),
+        row(script["prompts"], 1, "VTD-0115", "high", lit("Interactive prompts detected"), say("Agents run in non-interactive shells — replace prompts with CLI flags or stdin")),
+        row(script["structured"], 2, "VTD-0116", "info", lit("Structured output format"), say("Uses JSON/CSV output which is easily parseable by agents")),
+        row(script["unpinned"], 3, "VTD-0117", "low", lit("Unpinned dependency versions"), say("Pin dependency versions for reproducibility (e.g., >=4.12,<5 instead of >=4.12)")),
+    ], path)
+
+
 def script_checks(files: DataFrame, flags: DataFrame) -> DataFrame:
-    """Help, prompts, output format and version pins of each script, of packages that list scripts."""
-    c, lit = F.col, F.lit
-    hint = c("script.hint")
-    say = lambda text: F.concat(c("path"), lit(f": {text}"))
-    row = lambda when, k, rule, severity, label, detail: F.when(when, F.struct(lit(k).alias("k"), lit(rule).alias("rule"), lit(severity).alias("severity"), label.alias("label"), detail.alias("detail")))
-    found = F.array_compact(
-        F.array(
-            row(lit(True), 0, "VTD-0114", "info", F.when(hint, lit("CLI help supported")).otherwise(lit("No --help support")), F.when(hint, say("Script documents its interface via --help or argument parsing")).otherwise(say("Add argument parsing with --help output so agents know the script's interface"))),
-            row(c("script.prompts"), 1, "VTD-0115", "high", lit("Interactive prompts detected"), say("Agents run in non-interactive shells — replace prompts with CLI flags or stdin")),
-            row(c("script.structured"), 2, "VTD-0116", "info", lit("Structured output format"), say("Uses JSON/CSV output which is easily parseable by agents")),
-            row(c("script.unpinned"), 3, "VTD-0117", "low", lit("Unpinned dependency versions"), say("Pin dependency versions for reproducibility (e.g., >=4.12,<5 instead of >=4.12)")),
-        )
-    )
-    listed = flags.where("has_scripts").select("package_id")
-    rows = cli_scripts(files).join(listed, "package_id", "left_semi").select("package_id", "path", F.explode_outer(found).alias("f"))
-    return finding(rows, 140, c("f.rule"), "scripts", c("f.severity"), c("f.label"), c("f.detail"), filepath=c("path"), k1=c("path"), k2=c("f.k"))
+    """Findings of each command-line script, of packages that list scripts."""
+    rows = cli_scripts(files).join(flags.where("has_scripts").select("package_id"), "package_id", "left_semi")
+    return exploded(rows, script_found(F.col("path"), F.col("script")))
 
 
 def has_link(content: Column) -> Column:
@@ -85,13 +84,17 @@ def url_targets(files: DataFrame) -> DataFrame:
     return rows.groupBy("package_id").agg(F.min("hit").alias("hit")).select("package_id", F.col("hit.path").alias("path"))
 
 
-def external_urls(files: DataFrame) -> DataFrame:
-    """VTD-0088 for the first file with a link, VTD-0093 where the files have none."""
-    c, targets = F.col, url_targets(files)
-    none = c("path").isNull()
-    return finding(
-        targets, 230, F.when(none, F.lit("VTD-0093")).otherwise(F.lit("VTD-0088")), "security", F.when(none, F.lit("info")).otherwise(F.lit("medium")),
+def url_struct(path: Column) -> Column:
+    """VTD-0088 for a file with a link, VTD-0093 for null."""
+    none = path.isNull()
+    return struct_of(
+        230, F.when(none, F.lit("VTD-0093")).otherwise(F.lit("VTD-0088")), "security", F.when(none, F.lit("info")).otherwise(F.lit("medium")),
         F.when(none, F.lit("No external URLs in skill definition")).otherwise(F.lit("References external URL — review for indirect prompt injection risk")),
-        F.when(none, F.lit("SKILL.md and references/ files do not reference external URLs")).otherwise(F.concat(F.lit("External URL(s) detected in "), c("path"), F.lit(" — referenced content can change after audit"))),
-        filepath=c("path"),
+        F.when(none, F.lit("SKILL.md and references/ files do not reference external URLs")).otherwise(F.concat(F.lit("External URL(s) detected in "), path, F.lit(" — referenced content can change after audit"))),
+        filepath=path,
     )
+
+
+def external_urls(files: DataFrame) -> DataFrame:
+    """VTD-0088 for the first file with a link, VTD-0093 where the files have none."""
+    return exploded(url_targets(files), listed(url_struct(F.col("path"))))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import finding
+from .base import exploded, listed, struct_of
 
 FLAGS = ["has_skill_md", "has_scripts", "has_references", "has_evals", "has_assets"]
 
@@ -37,14 +37,15 @@ LAYOUT = [
 ]
 
 
-def layout(flags_: DataFrame) -> DataFrame:
-    """VTD-0095 to 0098 and 0118, from one pass over the flags."""
+def layout_found(flag) -> Column:
+    """VTD-0095 to 0098 and 0118; flag(name) is the column of a flag."""
     rows = []
-    for phase, flag, rule, category, yes, no in LAYOUT:
-        for when, text in ((F.col(flag), yes), (~F.col(flag), no)):
+    for phase, name, rule, category, yes, no in LAYOUT:
+        for when, text in ((flag(name), yes), (~flag(name), no)):
             if text:
-                rows.append(F.when(when, F.struct(*[F.lit(v).alias(n) for n, v in zip(("phase", "rule", "category", "severity", "label", "detail"), (phase, rule, category, *text), strict=True)])))
-    found = flags_.select("package_id", F.explode_outer(F.array_compact(F.array(*rows))).alias("f")).where("f is not null")
-    out = finding(found, 0, F.col("f.rule"), "structure", F.col("f.severity"), F.col("f.label"), F.col("f.detail"), k2=F.col("f.phase"))
-    # the phase and category vary by row here
-    return out.withColumn("phase", F.col("k2").cast("int")).withColumn("category", F.when(F.col("rule_id") == "VTD-0118", F.lit("evals")).otherwise(F.col("category"))).withColumn("k2", F.lit(0).cast("bigint"))
+                rows.append(F.when(when, struct_of(phase, rule, category, *text)))
+    return listed(*rows)
+
+
+def layout(flags_: DataFrame) -> DataFrame:
+    return exploded(flags_, layout_found(F.col))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import corpus
 from .functions import text as X
 from .operators import chains, definition, encoding, evals, patterns, scripts, structure
-from .plans import cases, compare, engine, wire
+from .plans import cases, compare, engine, lineage, wire
 from .registry import BEHAVIORAL, BENIGN_WORDS, CHECKLIST, CREDENTIAL_LABELS, ENV_FILE, EXAMPLE_HEADING, GENERIC_PHRASES, GOTCHAS, NEGATION, OVERCLAIM, POPULAR_NAMES, PROMPT_LEAK, READ_MD, SENSITIVE, SINKS, URL_HIDDEN, WELL_KNOWN_NAMES
 from .schema import DEFAULT_SOURCE, SCANNER_SCHEMA_VERSION, SEVERITIES
 from .sources import envelopes
@@ -124,11 +124,16 @@ def q21_base64_verdict(spark, sf):
 def q22_rollups(spark, sf):
     f, p, k = corpus.tables(spark, sf)
     found = patterns.sensitive(f).unionByName(patterns.entropy(f)).unionByName(patterns.env_files(f)).unionByName(patterns.behavioral(f))
-    return chains.secrets_rollup(k, found).unionByName(chains.behavior_rollup(k, found)).select("package_id", "rule_id")
+    return chains.rollups(k, found).select("package_id", "rule_id")
+
+
+def _file_facts(spark, sf, *parts):
+    """Facts of all files, from one pass over the contents."""
+    return lineage.materialized(encoding.facts(_files(spark, sf), parts=list(parts)))
 
 
 def q23_exfil_chain(spark, sf):
-    f = _files(spark, sf)
+    f = _file_facts(spark, sf, "sensitive", "entropy", "sink")
     return chains.exfiltration(patterns.sensitive(f).unionByName(patterns.entropy(f)), f)[1].select("package_id", "filepath", "chain_id")
 
 
@@ -150,7 +155,7 @@ def q27_package_summary(spark, sf):
 
 def _two_sides(spark, sf):
     """Sensitive findings, and the same without every seventh pattern and with other severities."""
-    left = patterns.sensitive(_files(spark, sf)).withColumn("seq", F.struct("k1", "k2"))
+    left = lineage.materialized(patterns.sensitive(_files(spark, sf)).withColumn("seq", F.struct("k1", "k2")))
     changed = left.where("k2 % 7 <> 0").withColumn("severity", F.when(F.col("k2") % 5 == 0, F.lit("info")).otherwise(F.col("severity")))
     return compare.diff(left, changed)
 
@@ -169,7 +174,7 @@ def q30_documents_entropy(spark, sf):
 
 
 def q31_exfil_tags(spark, sf):
-    f = _files(spark, sf)
+    f = _file_facts(spark, sf, "sensitive", "entropy", "sink")
     tagged = chains.exfiltration(patterns.sensitive(f).unionByName(patterns.entropy(f)), f)[0]
     return tagged.where("chain_id is not null").select("package_id", "rule_id", "filepath", "label", "severity", "intent", "chain_id")
 
@@ -214,7 +219,8 @@ def q37_envelope_errors(spark, sf):
 
 
 def q38_engine_info(spark, sf):
-    return engine.engine_info(spark)
+    """The health record of every package's audit: the record, and how many files it covered."""
+    return _flags(spark, sf).select("package_id", "file_count").withColumns(engine.health())
 
 
 def q39_source_filter(spark, sf):
@@ -542,7 +548,7 @@ SELECT package_id, 'info' AS severity, 'Progressive disclosure used' AS label FR
     o["q35_wire_round_trip"] = sens + f"\nSELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY path, pat_idx) AS seq, rule_id, 'security' AS category, severity, label, path AS filepath, intent, {_L(DEFAULT_SOURCE)} AS source FROM sens"
     o["q36_envelopes"] = o["q01_structure_flags"]
     o["q37_envelope_errors"] = "SELECT DISTINCT 'p' || (doc_id // 8) AS package_id, false AS ok, 'invalid request body' AS error FROM documents WHERE doc_id IS NOT NULL AND (doc_id // 8) % 3 <> 2"
-    o["q38_engine_info"] = f'SELECT true AS ok, {SCANNER_SCHEMA_VERSION} AS "scannerVersion"'
+    o["q38_engine_info"] = _with() + f'\nSELECT package_id, count(*) AS file_count, true AS ok, {SCANNER_SCHEMA_VERSION} AS "scannerVersion" FROM files GROUP BY 1'
     o["q39_source_filter"] = sens + "\nSELECT DISTINCT package_id, rule_id, label FROM sens WHERE pat_idx % 3 = 2"
     o["q40_case_tally"] = _with(_sensitive_by_key()) + sides + """, each AS (SELECT package_id, bool_and(status = 'matched') AS passed FROM d GROUP BY 1),
  t AS (SELECT package_id, passed, CAST(substr(package_id, 2) AS BIGINT) % 5 = 0 AS bad FROM (SELECT DISTINCT package_id FROM files) LEFT JOIN each USING (package_id))
