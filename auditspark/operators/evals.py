@@ -53,11 +53,73 @@ def is_one_value(content: Column) -> Column:
     return X.bound(F.aggregate(F.filter(blank, lambda x: x != ""), start, step), lambda s: s["ok"] & (s["depth"] == 0) & ~s["first"])
 
 
+#: Tokens walked in one piece; pieces are joined, so that no long array grows token by token.
+PIECE = 512
+#: Pieces of a JSON text: white space, strings, single marks, and what lies between.
+JSON_TOKENS = r'\s++|"(?:[^"\\]++|\\.)*+"|[\[\]{}:,]|[^\s"\[\]{}:,]++'
+
+
+def has_repeated_keys(content: Column) -> Column:
+    """Whether some string is a key more than once in the text, or one is spelled with escapes: only then can an
+    object repeat a key."""
+    keys = F.regexp_extract_all(content, F.lit(r'(?s)("(?:[^"\\]++|\\.)*+")\s*+:'), F.lit(1))
+    return X.bound(keys, lambda k: (F.size(k) > F.size(F.array_distinct(k))) | F.exists(k, lambda x: x.contains("\\")))
+
+
+def last_keys(content: Column) -> Column:
+    """A JSON text in which every earlier member of an object with a later key of the same name is renamed: the
+    parser refuses repeated keys, where the last one is to count.
+
+    Keys are numbered by a walk over the tokens that keeps the open brackets; a key's place is the number of its
+    object and its name, and of each place all but the last are spelled with a mark and their position,
+    which no evaluation key has.  Names are compared as they decode, escapes included."""
+    tokens = F.filter(F.regexp_extract_all(content, F.lit(f"(?s){JSON_TOKENS}"), F.lit(0)), lambda t: ~t.rlike(r"\A\s"))
+    state = lambda open_, n, places: F.struct(open_.alias("open"), n.cast("int").alias("n"), places.alias("places"))
+    empty = F.array().cast("array<string>")
+
+    def step(s: Column, t: Column) -> Column:
+        opens, closes = t["now"].isin("{", "["), t["now"].isin("}", "]")
+        key = (t["next"] == ":") & t["now"].startswith('"')
+        name = F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), t["now"], F.lit("}")), "$.v"), t["now"])
+        depth = F.size(s["open"])
+        return state(
+            F.when(opens, F.concat(s["open"], F.array(s["n"] + 1))).when(closes, F.slice(s["open"], F.lit(1), F.greatest(depth - 1, F.lit(0)))).otherwise(s["open"]),
+            s["n"] + opens.cast("int"),
+            F.concat(s["places"], F.array(F.when(key & (depth > 0), F.concat(F.element_at(s["open"], F.greatest(depth, F.lit(1))).cast("string"), F.lit(" "), name)))),
+        )
+
+    def renamed(ts: Column) -> Column:
+        pairs = F.transform(ts, lambda t, i: F.struct(t.alias("now"), F.coalesce(F.get(ts, i + 1), F.lit("")).alias("next")))
+
+        def piece(s: Column, k: Column) -> Column:
+            one = F.aggregate(F.slice(pairs, k * PIECE + 1, F.lit(PIECE)), state(s["open"], s["n"], empty), step)
+            return X.bound(one, lambda r: state(r["open"], r["n"], F.concat(s["places"], r["places"])))
+
+        walked = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(ts) - 1) / PIECE).cast("int")), state(F.array().cast("array<int>"), F.lit(0), empty), piece)["places"]
+
+        def joined(places: Column) -> Column:
+            # in order of place and position, a key that the next one repeats is not the last
+            keys = F.array_sort(F.filter(F.transform(places, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda k: k["p"].isNotNull()))
+            earlier = lambda ks: F.array_compact(F.transform(ks, lambda k, j: F.when(F.get(ks, j + 1)["p"] == k["p"], k["i"])))
+            spelled = lambda gone: F.transform(ts, lambda t, i: F.when(F.array_contains(gone, i), F.concat(F.lit('"\x7f'), i.cast("string"), F.lit('"'))).otherwise(t))
+            return F.array_join(X.bound(X.bound(keys, earlier), spelled), "")
+
+        return X.bound(walked, joined)
+
+    return F.when(F.size(tokens) > 0, X.bound(tokens, renamed)).otherwise(content)
+
+
+def parsed_json(content: Column) -> Column:
+    """The text as a variant, or null; of repeated keys of an object the last counts."""
+    text = F.when(has_repeated_keys(content), last_keys(content)).otherwise(content)
+    return F.when(is_one_value(content), X.bound(text, F.try_parse_json))
+
+
 def suite_fact(content: Column) -> Column:
     """struct<n_cases, asserted> of a suite file; n_cases is null if it is no JSON or has no list."""
     cases = lambda doc: F.when(doc.isNotNull(), case_list(doc))
     told = lambda c: F.struct(F.size(c).cast("bigint").alias("n_cases"), F.coalesce(F.exists(c, has_assertions), F.lit(False)).alias("asserted"))
-    return X.bound(F.when(is_one_value(content), F.try_parse_json(content)), lambda doc: X.bound(cases(doc), told))
+    return X.bound(parsed_json(content), lambda doc: X.bound(cases(doc), told))
 
 
 def suites(files: DataFrame) -> DataFrame:

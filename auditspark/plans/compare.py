@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_SOURCE
+from .lineage import materialized
 
 KEYS = ["package_id", "category", "rule_id", "label"]
 #: Fields that must agree; details are compared without where they were detected.
@@ -35,6 +36,18 @@ def diff(left: DataFrame, right: DataFrame, order: str = "seq") -> DataFrame:
     return rows.select(*KEYS, "status", F.when(F.col("status") == "mismatched", F.col("differ")).otherwise(F.array().cast("array<struct<field:string,left_value:string,right_value:string>>")).alias("fields"))
 
 
+def ordered(d: DataFrame) -> DataFrame:
+    """A diff with diff_seq, from 1: its place in the order of all keys (package, category, rule, label; nulls first).
+
+    Rows are sorted in ranges over all tasks, each range is counted, and a row's number is its place in its range
+    behind the ranges before; no task sees more than a range."""
+    rows = materialized(d.repartitionByRange(*[F.col(k).asc_nulls_first() for k in KEYS]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in KEYS]).withColumn("__id", F.monotonically_increasing_id()))
+    place = rows.withColumns({"__range": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = place.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row a task
+    before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    return place.join(F.broadcast(before), "__range").withColumn("diff_seq", F.col("__before") + F.col("__at") + 1).drop("__id", "__range", "__at", "__before")
+
+
 def diff_summary(d: DataFrame) -> DataFrame:
     """Per package: the numbers by status and whether everything matched."""
     n = lambda s: F.count(F.when(F.col("status") == s, True)).alias(s)

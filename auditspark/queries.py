@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from .operators import chains, definition, encoding, evals, patterns, scripts, s
 from .plans import cases, compare, engine, lineage, wire
 from .registry import BEHAVIORAL, BENIGN_WORDS, CHECKLIST, CREDENTIAL_LABELS, ENV_FILE, EXAMPLE_HEADING, GENERIC_PHRASES, GOTCHAS, NEGATION, OVERCLAIM, POPULAR_NAMES, PROMPT_LEAK, READ_MD, SENSITIVE, SINKS, URL_HIDDEN, WELL_KNOWN_NAMES
 from .schema import DEFAULT_SOURCE, SCANNER_SCHEMA_VERSION, SEVERITIES
-from .sources import envelopes
+from .sources import directories, envelopes
 
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -243,6 +244,31 @@ def q41_obfuscation_chains(spark, sf):
     return found.where("chain_id is not null").select("package_id", "rule_id", "severity", "label", "filepath", "detail", "intent", "chain_id")
 
 
+def q42_directories(spark, sf):
+    """Packages written as files to a shared folder, listed and read back by the tasks."""
+    base = f"{lineage.shared_folder(spark)}/packages-{uuid.uuid4().hex}"
+    directories.write_packages(_files(spark, sf), base)
+    files, paths, _ = directories.read_packages(spark, base)
+    content = F.col("content")
+    return paths.join(files, ["package_id", "path"], "left").select("package_id", "path", F.length(content).cast("bigint").alias("chars"), F.md5(content.cast("binary")).alias("md5"))
+
+
+def q43_diff_order(spark, sf):
+    """Two audits compared, in the order of their keys."""
+    return compare.ordered(_two_sides(spark, sf)).select("diff_seq", "package_id", "category", "rule_id", "label", "status")
+
+
+def q44_repeated_keys(spark, sf):
+    """Suites in which each text stands behind a key that is repeated, with the fewer cases first: the last counts."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null")
+    quoted = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("v")))
+    text, i = F.substring(quoted, F.lit(6), F.length(quoted) - 6), F.col("doc_id")
+    first, last = F.concat(F.lit('[{"input": '), text, F.lit("}]")), F.concat(F.lit('[{"expected": 1, "expected": "x"}, {"input": '), text, F.lit("}]"))
+    content = F.concat(F.lit('{"cases": '), F.when(i % 3 == 0, last).otherwise(first), F.lit(', "note": {"cases": 1}, "c\\u0061ses" : '), F.when(i % 3 == 0, first).otherwise(last), F.lit("}"))
+    rows = d.select(i.cast("string").alias("package_id"), F.lit("evals.json").alias("path"), content.alias("content"))
+    return evals.suites(rows).select(F.col("package_id").cast("bigint").alias("doc_id"), "n_cases", "asserted")
+
+
 QUERIES: dict[str, Q] = {k: v for k, v in sorted(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
 
 # ---- the same rows in SQL -------------------------------------------------------------------------
@@ -553,6 +579,9 @@ SELECT package_id, 'info' AS severity, 'Progressive disclosure used' AS label FR
     o["q40_case_tally"] = _with(_sensitive_by_key()) + sides + """, each AS (SELECT package_id, bool_and(status = 'matched') AS passed FROM d GROUP BY 1),
  t AS (SELECT package_id, passed, CAST(substr(package_id, 2) AS BIGINT) % 5 = 0 AS bad FROM (SELECT DISTINCT package_id FROM files) LEFT JOIN each USING (package_id))
 SELECT count(*) FILTER (WHERE NOT bad AND passed) AS passed, count(*) FILTER (WHERE NOT bad AND NOT passed) AS failed, count(*) FILTER (WHERE bad) AS errors FROM t"""
+    o["q42_directories"] = _with() + ", t AS (SELECT package_id, path, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS c FROM files)\nSELECT package_id, path, length(c) AS chars, md5(c) AS md5 FROM t"
+    o["q43_diff_order"] = _with(_sensitive_by_key()) + sides + "\nSELECT row_number() OVER (ORDER BY package_id, rule_id, label) AS diff_seq, package_id, 'security' AS category, rule_id, label, status FROM d"
+    o["q44_repeated_keys"] = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS n_cases, doc_id % 3 <> 0 AS asserted FROM documents WHERE doc_id IS NOT NULL"
     full = _full(o, norm, asked, sink)
     o["q26_full_findings"] = full + f"""
 SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY phase, k1, k2) AS seq, rule_id, category, severity, label, detail, filepath, CAST(NULL AS VARCHAR) AS owasp_llm_category, chain_id, intent, {_L(DEFAULT_SOURCE)} AS source FROM found"""

@@ -1,54 +1,158 @@
-"""Packages in directories.
+"""Packages in directories, as a data source that executors list and read.
 
-Spark's own listing leaves out names that start with a dot or an underscore, which an audit must see,
-so directories are listed by the driver (names only) and read by the tasks.
+Spark's own listing leaves out names that start with a dot or an underscore, which an audit must see.  Here a
+task takes the entries of the base directory whose names hash to its number and walks those subtrees itself,
+directory by directory, so no list of paths exists anywhere; the driver only counts tasks.  `base` is a
+path or a URI of a file system that pyarrow knows (file, s3, gs, hdfs); driver and executors must share it.
 """
 
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Fixed value: the names of which a package's root holds one.
+ROOT_NAMES = {"SKILL.md", "skill.md"}
+#: A batch closes at so many rows or characters.
+BATCH_ROWS, BATCH_CHARACTERS = 256, 1 << 23
 
-def package_roots(base: str) -> list[str]:
-    """Directories that hold SKILL.md or skill.md, sorted; nested ones count on their own too."""
-    return sorted(d for d, _, names in os.walk(base) if {"SKILL.md", "skill.md"} & set(names))
 
+def _open(base: str) -> tuple[pafs.FileSystem, str]:
+    if base.startswith("file:"):
+        base = "/" + base[5:].lstrip("/")
+    fs, path = pafs.FileSystem.from_uri(base) if "://" in base else (pafs.LocalFileSystem(), os.path.abspath(base))
+    return fs, path.rstrip("/")
 
-def listing(root: str) -> Iterator[tuple[str, str]]:
-    """(path within the package, full path); hidden directories are skipped, hidden files are not, and
-    links to directories are not followed."""
-    for d, inner, names in os.walk(root, followlinks=False):
-        inner[:] = sorted(x for x in inner if not x.startswith("."))
-        for n in sorted(names):
-            full = os.path.join(d, n)
-            yield os.path.relpath(full, root).replace(os.sep, "/"), full
 
+def _entries(fs: pafs.FileSystem, directory: str) -> tuple[list[str], list[str]]:
+    """Names of the directories and of the files in a directory, sorted; links to directories are neither."""
+    infos = fs.get_file_info(pafs.FileSelector(directory, recursive=False))
+    local = isinstance(fs, pafs.LocalFileSystem)
+    inner = sorted(i.base_name for i in infos if i.type == pafs.FileType.Directory and not (local and os.path.islink(i.path)))
+    return inner, sorted(i.base_name for i in infos if i.type == pafs.FileType.File)
 
-def read_packages(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def _text(fs: pafs.FileSystem, path: str) -> str | None:
+    """A file that is UTF-8, with line ends folded to line feeds; null for any other."""
+    try:
+        with fs.open_input_stream(path) as f:
+            return f.read().decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
+    except (OSError, UnicodeDecodeError):
+        return None
+
+
+def walk(base: str, task: int = 0, tasks: int = 1, contents: bool = True) -> Iterator[tuple[str, str, str | None]]:
+    """(package_id, path, content) of every file of every package below base, in this task's share.
+
+    A package is named by its root relative to base (`.` for base itself); nested packages count on their own
+    too, so a file may be in several.  Hidden directories below a package's root are not in it, hidden files are."""
+    fs, top = _open(base)
+
+    def rows(directory: str, names: list[str], roots: list[list[str]], at: list[str]) -> Iterator[tuple[str, str, str | None]]:
+        for n in names if roots else ():
+            text = _text(fs, f"{directory}/{n}") if contents else None
+            for r in roots:
+                yield "/".join(r) or ".", "/".join([*at[len(r) :], n]), text
+
+    def share(name: str) -> bool:
+        return zlib.crc32(name.encode()) % tasks == task
+
+    inner, names = _entries(fs, top)
+    above: list[list[str]] = [[]] if ROOT_NAMES & set(names) else []
+    yield from rows(top, [n for n in names if share(n)], above, [])
+    # packages that a directory is part of: those above it whose path to it has no hidden part, and its own
+    stack = [([n], above) for n in reversed(inner) if share(n)]
+    while stack:
+        at, roots = stack.pop()
+        directory = "/".join([top, *at])
+        inner, names = _entries(fs, directory)
+        roots = [r for r in roots if not at[-1].startswith(".")]
+        if ROOT_NAMES & set(names):
+            roots = [*roots, at]
+        yield from rows(directory, names, roots, at)
+        stack += [([*at, n], roots) for n in reversed(inner)]
+
+
+class Share(InputPartition):
+    def __init__(self, number: int) -> None:
+        super().__init__(number)
+        self.number = number
+
+
+class PackageReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.base, self.tasks, self.contents = options["base"], int(options.get("tasks", "64")), options.get("contents", "true") == "true"
+
+    def partitions(self) -> list[InputPartition]:
+        return [Share(i) for i in range(self.tasks)]
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str, str | None]] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["package_id", "path", "content"])
+
+        for row in walk(self.base, partition.number, self.tasks, self.contents):
+            rows.append(row)
+            size += len(row[2] or "")
+            if len(rows) >= BATCH_ROWS or size >= BATCH_CHARACTERS:
+                yield batch()
+                rows, size = [], 0
+        if rows:
+            yield batch()
+
+
+class PackageSource(DataSource):
+    """spark.read.format("packages").option("base", ...): a row a file of a package.  Options: tasks (64), contents
+    (false leaves content null and reads no file)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "packages"
+
+    def schema(self) -> str:
+        return "package_id string, path string, content string"
+
+    def reader(self, schema) -> PackageReader:
+        if "base" not in self.options:
+            raise ValueError("option base must name the directory of the packages")
+        return PackageReader(dict(self.options))
+
+
+def read_packages(spark: SparkSession, base: str, tasks: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, paths, packages) of the packages below a folder that driver and executors share.  Files
     that are UTF-8 are text, with line ends folded to line feeds; the others are paths only."""
-    rows = [(os.path.relpath(r, base), path, full) for r in package_roots(base) for path, full in listing(r)]
-    names = spark.createDataFrame(rows, "package_id string, path string, full string") if rows else spark.createDataFrame([], "package_id string, path string, full string")
+    spark.dataSource.register(PackageSource)
+    load = spark.read.format("packages").option("base", base).option("tasks", str(tasks or 4 * spark.sparkContext.defaultParallelism))
+    paths = load.option("contents", "false").load().select("package_id", "path")
+    files = load.option("contents", "true").load().where("content is not null")
+    return files, paths, paths.select("package_id").distinct()
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def write_packages(files: DataFrame, base: str) -> None:
+    """Writes every file below base/package_id.  A task that runs again writes the same files again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _open(base)
+        n = 0
         for b in batches:
-            texts = []
-            for full in b["full"]:
-                try:
-                    with open(full, encoding="utf-8") as f:
-                        texts.append(f.read())
-                except (OSError, UnicodeDecodeError):
-                    texts.append(None)
-            yield b[["package_id", "path"]].assign(content=texts)
-
-    files = names.mapInPandas(load, "package_id string, path string, content string").where("content is not null")
-    packages = spark.createDataFrame([(os.path.relpath(r, base),) for r in package_roots(base)] or [], "package_id string")
-    return files, names.select("package_id", "path"), packages
+            for package, path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                full = f"{top}/{package}/{path}"
+                fs.create_dir(full.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(full) as f:
+                    f.write(content.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    files.select("package_id", "path", "content").mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
 
 
 def nested(paths: DataFrame, roots: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from auditspark.functions import literals
 from auditspark.functions import text as X
 from auditspark.operators import definition, encoding, evals, markdown, patterns, scripts
 from auditspark.plans import cases, compare, engine, wire
+from auditspark.sources import directories
 from auditspark.sources.directories import read_packages
 from auditspark.sources.envelopes import read_envelopes
 
@@ -347,3 +348,39 @@ def test_matches_hold_what_is_required(text):
     for r in ("(?:ab|cd)+e?f", r"x[yY]{1,2}\s*=", "(?:get|put)(?:ting)? it", r"k(?=ey)\w+", "(?:a|bc)(?:d|ef)*gh"):
         if re.search(r, text, re.ASCII):
             assert literals.Finder([literals.required(r)]).found(text) == [0]
+
+
+def test_repeated_keys(spark):
+    """Of repeated keys the last counts, at any depth; strings that look like keys do not."""
+    texts = {
+        '{"cases": [1], "cases": [1, 2]}': 2, '{"a": {"cases": 1}, "cases": [3]}': 1, '{"cases": [{"x": 1, "x": 2}, {"x": 3}]}': 2, '{"evals": [1, 2, 3], "note": "\\"evals\\": [", "evals": 7}': None,
+        '{"c\\u0061ses": [1, 2], "cases": []}': 0, '[{"a": 1, "a": 2}]': 1, '{"cases": [1], "cases": [1, 2]} x': None, '{"cases": [1], "cases": [1, 2}': None, "": None, ":": None, '"a":': None,
+    }
+    long = '{"cases": [' + ", ".join('{"input": "x", "expected": 1, "expected": "y"}' for _ in range(3000)) + "]}"
+    f = spark.createDataFrame([(str(i), "evals.json", t) for i, t in enumerate([*texts, long])], "package_id string, path string, content string")
+    began = time.time()
+    got = {int(r.package_id): (r.n_cases, r.asserted) for r in evals.suites(f).collect()}
+    assert [got[i][0] for i in range(len(texts))] == list(texts.values()) and got[len(texts)] == (3000, True) and time.time() - began < 60
+
+
+def test_directory_shares(spark, tmp_path):
+    """Any number of tasks gives the same rows; nested, hidden, linked and unreadable parts; the base as a package."""
+    for path, data in {"SKILL.md": b"top", "a/x.md": b"1", "a/SKILL.md": b"2", "a/.h/SKILL.md": b"3", "a/.h/y": b"4", "b/c/d/skill.md": b"5", "b/c/d/e/f/z.txt": b"\r\n\r", ".i/SKILL.md": b"6", "b/no.bin": b"\xff"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(data)
+    (tmp_path / "b" / "link").symlink_to(tmp_path / "a")
+    rows = {(".", "SKILL.md", "top"), (".", "a/x.md", "1"), (".", "a/SKILL.md", "2"), ("a", "x.md", "1"), ("a", "SKILL.md", "2"), ("a/.h", "SKILL.md", "3"), ("a/.h", "y", "4"), (".i", "SKILL.md", "6")}
+    rows |= {(".", "b/c/d/skill.md", "5"), ("b/c/d", "skill.md", "5"), (".", "b/c/d/e/f/z.txt", "\n\n"), ("b/c/d", "e/f/z.txt", "\n\n"), (".", "b/no.bin", None)}
+    for tasks in (1, 3, 16):
+        got = [r for t in range(tasks) for r in directories.walk(f"file://{tmp_path}", t, tasks)]
+        assert len(got) == len(rows) and set(got) == rows
+    f, p, k = read_packages(spark, str(tmp_path), 3)
+    assert p.count() == len(rows) and f.count() == len(rows) - 1 and {r[0] for r in k.collect()} == {r[0] for r in rows}
+
+
+def test_diff_order(spark):
+    """Places are gapless and follow the keys, over many ranges, with null keys first."""
+    rows = [(None if i % 50 == 0 else f"p{i % 7}", "security", f"R{i % 11}", f"label {i}", "matched") for i in range(500)]
+    d = spark.createDataFrame(rows, "package_id string, category string, rule_id string, label string, status string").repartition(5)
+    got = sorted((r.diff_seq, (r.package_id or "", r.category, r.rule_id, r.label)) for r in compare.ordered(d).collect())
+    assert [s for s, _ in got] == list(range(1, 501)) and [k for _, k in got] == sorted((r[0] or "", *r[1:4]) for r in rows)
