@@ -160,6 +160,18 @@ def met(text: Column, requirements: list[Alternatives]) -> Column:
     return found(text)
 
 
+def met_deep(texts: Column, requirements: list[Alternatives]) -> Column:
+    """array<array<array<int>>>: the same of each text of an array of arrays."""
+    of = tuple(requirements)
+
+    @F.pandas_udf("array<array<array<int>>>")
+    def found(rows: pd.Series) -> pd.Series:
+        f = finder(of)
+        return pd.Series([[[f.found(t) for t in r] for r in file] for file in rows], index=rows.index, dtype=object)
+
+    return found(texts)
+
+
 def met_all(texts: Column, requirements: list[Alternatives]) -> Column:
     """array<array<int>>: the same of each text of an array."""
     of = tuple(requirements)

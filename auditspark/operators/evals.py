@@ -132,13 +132,18 @@ def suites(files: DataFrame) -> DataFrame:
     return rows.groupBy("package_id").agg(F.min_by(F.struct("path", "suite"), order).alias("f")).select("package_id", "f.path", "f.suite.n_cases", "f.suite.asserted")
 
 
+def eval_kinds(p: Column) -> tuple[Column, Column, Column]:
+    """Whether a path is in a folder of evaluations, is one by its name, or would be as a text file."""
+    low = F.lower(p)
+    inside = p.startswith("evals/") | p.startswith("tests/") | p.startswith("test/")
+    return inside, low.endswith(".md") | low.endswith(".yaml") | low.endswith(".yml") | low.endswith(".txt") | low.endswith(".jsonl"), low.endswith(".json")
+
+
 def eval_files(paths: DataFrame, files: DataFrame) -> DataFrame:
     """package_id, n: listed evaluation files in other formats (JSON only where it is a text file)."""
-    p, low = F.col("path"), F.lower("path")
-    inside = p.startswith("evals/") | p.startswith("tests/") | p.startswith("test/")
+    inside, plain, data = eval_kinds(F.col("path"))
     held = files.select("package_id", "path", F.lit(True).alias("held"))
-    plain = low.endswith(".md") | low.endswith(".yaml") | low.endswith(".yml") | low.endswith(".txt") | low.endswith(".jsonl")
-    rows = paths.where(inside).join(held, ["package_id", "path"], "left").where(plain | (low.endswith(".json") & F.col("held")))
+    rows = paths.where(inside).join(held, ["package_id", "path"], "left").where(plain | (data & F.col("held")))
     return rows.groupBy("package_id").agg(F.count(F.lit(1)).alias("n"))
 
 

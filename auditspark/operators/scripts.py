@@ -75,10 +75,14 @@ def has_link(content: Column) -> Column:
     return content.contains("http://") | content.contains("https://")
 
 
+def link_group(p: Column) -> Column:
+    """The rank of a file whose links count, or null."""
+    return F.when(p == "SKILL.md", 0).when(p == "skill.md", 1).when(F.lower(p).startswith("references/"), 2)
+
+
 def url_targets(files: DataFrame) -> DataFrame:
     """Per package that has any: the first definition or reference file with a link, or null."""
-    p = F.col("path")
-    grp = F.when(p == "SKILL.md", 0).when(p == "skill.md", 1).when(F.lower(p).startswith("references/"), 2)
+    grp = link_group(F.col("path"))
     link = F.col("link") if "link" in files.columns else has_link(F.col("content"))
     rows = files.withColumn("grp", grp).where("grp is not null").select("package_id", F.when(link, F.struct("grp", "path")).alias("hit"))
     return rows.groupBy("package_id").agg(F.min("hit").alias("hit")).select("package_id", F.col("hit.path").alias("path"))

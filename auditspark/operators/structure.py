@@ -10,16 +10,21 @@ from .base import exploded, listed, struct_of
 FLAGS = ["has_skill_md", "has_scripts", "has_references", "has_evals", "has_assets"]
 
 
-def flags(packages: DataFrame, files: DataFrame, paths: DataFrame) -> DataFrame:
-    """package_id, five flags and file_count (listed paths, repeats included), for every package."""
-    p = F.col("path")
-    tests = {
+def flag_tests(p: Column) -> dict[str, Column]:
+    """What a listed path says for each flag."""
+    return {
         "has_skill_md": p.isin("SKILL.md", "skill.md"),
         "has_scripts": p.startswith("scripts/"),
         "has_references": p.startswith("references/"),
         "has_evals": p.startswith("evals/") | p.startswith("tests/") | p.startswith("test/") | p.isin("evals.json", "evals.yaml", "evals.yml"),
         "has_assets": p.startswith("assets/"),
     }
+
+
+def flags(packages: DataFrame, files: DataFrame, paths: DataFrame) -> DataFrame:
+    """package_id, five flags and file_count (listed paths, repeats included), for every package."""
+    p = F.col("path")
+    tests = flag_tests(p)
     listed = paths.groupBy("package_id").agg(*[F.bool_or(t).alias(k) for k, t in tests.items()], F.count("path").alias("file_count"))
     held = files.where(p.isin("SKILL.md", "skill.md")).select("package_id").distinct().withColumn("__held", F.lit(True))
     out = packages.join(listed, "package_id", "left").join(held, "package_id", "left")

@@ -34,12 +34,16 @@ def finding_json(row: Column | None = None) -> Column:
 def to_wire(findings: DataFrame, summary: DataFrame) -> DataFrame:
     """package_id and its response: findings in order, flags, file count and version."""
     lists = findings.select("package_id", "seq", finding_json().alias("j")).groupBy("package_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "j"))), lambda x: x["j"]), ",").alias("list"))
-    flag = lambda name, c: F.concat(F.lit(f',"{name}":'), F.col(c).cast("string"))
-    body = F.concat(
-        F.lit('{"findings":['), F.coalesce("list", F.lit("")), F.lit("]"), flag("hasSkillMd", "has_skill_md"), flag("hasScripts", "has_scripts"), flag("hasReferences", "has_references"), flag("hasEvals", "has_evals"),
-        flag("fileCount", "file_count"), F.lit(f',"scannerVersion":{SCANNER_SCHEMA_VERSION}}}'),
+    return summary.join(lists, "package_id", "left").select("package_id", response(F.coalesce("list", F.lit("")), F.col).alias("response"))
+
+
+def response(items: Column, flag) -> Column:
+    """The body of a response: the findings' JSON, comma-joined, and the flags, which flag(name) gives."""
+    part = lambda name, c: F.concat(F.lit(f',"{name}":'), flag(c).cast("string"))
+    return F.concat(
+        F.lit('{"findings":['), items, F.lit("]"), part("hasSkillMd", "has_skill_md"), part("hasScripts", "has_scripts"), part("hasReferences", "has_references"), part("hasEvals", "has_evals"),
+        part("fileCount", "file_count"), F.lit(f',"scannerVersion":{SCANNER_SCHEMA_VERSION}}}'),
     )
-    return summary.join(lists, "package_id", "left").select("package_id", body.alias("response"))
 
 
 def from_wire(bodies: DataFrame, key: str = "package_id", body: str = "body") -> DataFrame:

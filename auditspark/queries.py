@@ -15,6 +15,7 @@ from .plans import cases, compare, engine, lineage, wire
 from .registry import BEHAVIORAL, BENIGN_WORDS, CHECKLIST, CREDENTIAL_LABELS, ENV_FILE, EXAMPLE_HEADING, GENERIC_PHRASES, GOTCHAS, NEGATION, OVERCLAIM, POPULAR_NAMES, PROMPT_LEAK, READ_MD, SENSITIVE, SINKS, URL_HIDDEN, WELL_KNOWN_NAMES
 from .schema import DEFAULT_SOURCE, SCANNER_SCHEMA_VERSION, SEVERITIES
 from .sources import directories, envelopes
+from .streaming import audit
 
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -269,6 +270,29 @@ def q44_repeated_keys(spark, sf):
     return evals.suites(rows).select(F.col("package_id").cast("bigint").alias("doc_id"), "n_cases", "asserted")
 
 
+def q45_stream_audit(spark, sf):
+    """Packages as envelopes that a stream reads, audits row by row and writes; the findings of its responses."""
+    base = f"{lineage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _envelopes(spark, sf).write.json(f"{base}/in")
+    audit.audit_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema("package_id string, response string, error string").json(f"{base}/out")
+    return wire.from_wire(told.withColumnRenamed("response", "body"))
+
+
+def q46_case_verdicts(spark, sf):
+    """Every package made into one of the named cases, its documents as the case's files, and held against the
+    flags that the case must have; only cases with a definition are chosen."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null")
+    number = F.floor(F.col("doc_id") / 8).cast("bigint")
+    names = F.array(*[F.lit(n) for n in cases.CASES])
+    parts = F.array(*[F.array(*[F.lit(p) for p in files]).cast("array<string>") for files in cases.CASES.values()])
+    rows = d.select(F.concat(F.lit("p"), number.cast("string")).alias("package_id"), F.get(names, (number % 7).cast("int")).alias("case_name"), F.get(F.get(parts, (number % 7).cast("int")), (F.col("doc_id") % 8).cast("int")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    held = rows.where("path is not null").select("package_id", "path", "content")
+    flags = structure.flags(rows.select("package_id").distinct(), held, held.select("package_id", "path"))
+    results = flags.join(rows.select("package_id", "case_name").distinct(), "package_id")
+    return cases.verdicts(results, [n for n, files in cases.CASES.items() if "SKILL.md" in files]).select("package_id", "case_name", "agrees", "file_count")
+
+
 QUERIES: dict[str, Q] = {k: v for k, v in sorted(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
 
 # ---- the same rows in SQL -------------------------------------------------------------------------
@@ -585,6 +609,12 @@ SELECT count(*) FILTER (WHERE NOT bad AND passed) AS passed, count(*) FILTER (WH
     full = _full(o, norm, asked, sink)
     o["q26_full_findings"] = full + f"""
 SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY phase, k1, k2) AS seq, rule_id, category, severity, label, detail, filepath, CAST(NULL AS VARCHAR) AS owasp_llm_category, chain_id, intent, {_L(DEFAULT_SOURCE)} AS source FROM found"""
+    parts = [list(files) for files in cases.CASES.values()]
+    must = "[" + ", ".join(str([f in cases.EXPECTED[n] for f in ("has_skill_md", "has_scripts", "has_references", "has_evals")]) for n in cases.CASES) + "]"
+    o["q46_case_verdicts"] = f"""WITH f AS (SELECT doc_id // 8 AS n, ([{', '.join(_list(p) + '::VARCHAR[]' for p in parts)}])[doc_id // 8 % 7 + 1][doc_id % 8 + 1] AS path FROM documents WHERE doc_id IS NOT NULL),
+ g AS (SELECT n, [coalesce(bool_or(path = 'SKILL.md'), false), coalesce(bool_or(path LIKE 'scripts/%'), false), coalesce(bool_or(path LIKE 'references/%'), false), coalesce(bool_or(path LIKE 'evals/%'), false)] AS has, count(path) AS file_count FROM f GROUP BY 1)
+SELECT 'p' || n AS package_id, ({_list(list(cases.CASES))})[n % 7 + 1] AS case_name, has = ({must})[n % 7 + 1] AS agrees, file_count FROM g WHERE n % 7 NOT IN (1, 6)"""
+    o["q45_stream_audit"] = o["q26_full_findings"]
     counts = ", ".join(f"count(*) FILTER (WHERE severity = {_L(x)}) AS n_{x}" for x in SEVERITIES)
     o["q27_package_summary"] = full + f"""
 SELECT q01.*, {SCANNER_SCHEMA_VERSION} AS scanner_version, n.* EXCLUDE (package_id) FROM q01 LEFT JOIN (SELECT package_id, count(*) AS n_findings, {counts}, CAST(max(list_position({_list(list(SEVERITIES))}, severity) - 1) AS BIGINT) AS worst, bool_or(coalesce(intent = 'malicious', false)) AS has_malicious FROM found GROUP BY 1) n USING (package_id)"""

@@ -11,15 +11,20 @@ from ..schema import ENVELOPE
 MOST_BYTES = 104_857_600
 
 
-def read_envelopes(bodies: DataFrame, key: str = "package_id", body: str = "body") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(files, paths, packages, errors) of a table of envelopes.  Unknown keys are ignored; a body that
-    is not JSON, lacks a part or is too large gives an error record instead."""
+def parse_envelopes(bodies: DataFrame, key: str = "package_id", body: str = "body") -> DataFrame:
+    """package_id, e (the envelope) and problem (null for a good one) of every body."""
     parsed = bodies.select(F.col(key).cast("string").alias("package_id"), F.col(body).alias("body"), F.from_json(F.col(body), ENVELOPE).alias("e"))
     problem = (
         F.when(F.octet_length("body") > MOST_BYTES, "body too large")
         .when(F.col("body").isNull() | F.col("e").isNull() | F.col("e.textFiles").isNull() | F.col("e.allPaths").isNull(), "invalid request body")
     )
-    parsed = parsed.withColumn("problem", problem)
+    return parsed.select("package_id", "e", problem.alias("problem"))
+
+
+def read_envelopes(bodies: DataFrame, key: str = "package_id", body: str = "body") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(files, paths, packages, errors) of a table of envelopes.  Unknown keys are ignored; a body that
+    is not JSON, lacks a part or is too large gives an error record instead."""
+    parsed = parse_envelopes(bodies, key, body)
     good = parsed.where("problem is null")
     files = good.select("package_id", F.explode("e.textFiles").alias("path", "content"))
     paths = good.select("package_id", F.explode("e.allPaths").alias("path"))
