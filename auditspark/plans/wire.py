@@ -1,4 +1,4 @@
-"""Findings as JSON, in and out."""
+"""Findings as JSON, in and out: a response as one text, or in parts where a package may have any number of findings."""
 
 from __future__ import annotations
 
@@ -37,11 +37,43 @@ def to_wire(findings: DataFrame, summary: DataFrame) -> DataFrame:
     return summary.join(lists, "package_id", "left").select("package_id", response(F.coalesce("list", F.lit("")), F.col).alias("response"))
 
 
+#: What stands before the findings of a document.
+HEAD = '{"findings":['
+
+
+def document_parts(findings: DataFrame, packages: DataFrame, per_part: int = 1000) -> DataFrame:
+    """package_id, part, text: the document {"findings":[...]} of every package, in parts that follow each other.
+    Part 0 opens it, each of the next ones has per_part findings (the last one fewer), and the last closes it.
+    seq must count a package's findings from 1.  No package is gathered: a part is all that one row ever holds."""
+    return _parts(findings, packages.select("package_id", F.lit("]}").alias("tail")), per_part)
+
+
+def response_parts(findings: DataFrame, summary: DataFrame, per_part: int = 1000) -> DataFrame:
+    """The responses of to_wire() in parts, like document_parts()."""
+    return _parts(findings, summary.select("package_id", tail(F.col).alias("tail")), per_part)
+
+
+def _parts(findings: DataFrame, packages: DataFrame, per_part: int) -> DataFrame:
+    part = (F.floor((F.col("seq") - 1) / per_part) + 1).cast("bigint").alias("part")
+    each = findings.select("package_id", part, "seq", finding_json().alias("j")).groupBy("package_id", "part")
+    items = each.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "j"))), lambda x: x["j"]), ",").alias("text"))
+    items = items.withColumn("text", F.concat(F.when(F.col("part") > 1, ",").otherwise(""), F.col("text")))
+    last = findings.groupBy("package_id").agg(F.max(part).alias("n"))
+    at = lambda p, text: F.struct(p.cast("bigint").alias("part"), text.alias("text"))
+    ends = packages.join(last, "package_id", "left").select("package_id", F.explode(F.array(at(F.lit(0), F.lit(HEAD)), at(F.coalesce("n", F.lit(0)) + 1, F.col("tail")))).alias("e"))
+    return items.unionByName(ends.select("package_id", "e.*"))
+
+
 def response(items: Column, flag) -> Column:
     """The body of a response: the findings' JSON, comma-joined, and the flags, which flag(name) gives."""
+    return F.concat(F.lit(HEAD), items, tail(flag))
+
+
+def tail(flag) -> Column:
+    """What stands behind the findings of a response."""
     part = lambda name, c: F.concat(F.lit(f',"{name}":'), flag(c).cast("string"))
     return F.concat(
-        F.lit('{"findings":['), items, F.lit("]"), part("hasSkillMd", "has_skill_md"), part("hasScripts", "has_scripts"), part("hasReferences", "has_references"), part("hasEvals", "has_evals"),
+        F.lit("]"), part("hasSkillMd", "has_skill_md"), part("hasScripts", "has_scripts"), part("hasReferences", "has_references"), part("hasEvals", "has_evals"),
         part("fileCount", "file_count"), F.lit(f',"scannerVersion":{SCANNER_SCHEMA_VERSION}}}'),
     )
 

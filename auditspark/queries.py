@@ -293,6 +293,38 @@ def q46_case_verdicts(spark, sf):
     return cases.verdicts(results, [n for n, files in cases.CASES.items() if "SKILL.md" in files]).select("package_id", "case_name", "agrees", "file_count")
 
 
+def q47_findings_documents(spark, sf):
+    """The whole audit as documents of findings, in parts of 16."""
+    f, p, k = corpus.tables(spark, sf)
+    return wire.document_parts(engine.scan(f, p, k).findings, k, 16)
+
+
+def q48_diff_reports(spark, sf):
+    """Two audits compared, as reports in parts of four entries."""
+    return compare.report_parts(_two_sides(spark, sf), named=True, per_part=4)
+
+
+def _listing(spark, sf):
+    """The pages' addresses as a table of paths: every tenth page is the definition of its host, another of its
+    host's section, another lies in a hidden directory."""
+    address = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://|[?#].*$", ""), "/+$", "")
+    host, section, last = F.substring_index(address, "/", 1), F.substring_index(address, "/", 2), F.col("page_id") % 10
+    path = F.when(last == 0, F.concat(host, F.lit("/SKILL.md"))).when(last == 3, F.concat(section, F.lit("/skill.md"))).when(last == 7, F.concat(section, F.lit("/.old/SKILL.md"))).otherwise(F.concat(address, F.lit("/index.html")))
+    return spark.read.parquet(f"{sf}/pages.parquet").select(path.alias("path"))
+
+
+def q49_package_roots(spark, sf):
+    """Packages of a listing, in order, with the number of their files."""
+    paths = _listing(spark, sf)
+    inner = directories.package_listing(paths).groupBy("package_id").agg(F.count(F.lit(1)).alias("n_files"))
+    return directories.package_roots(paths).withColumnRenamed("root", "package_id").join(inner, "package_id")
+
+
+def q50_package_listing(spark, sf):
+    """Every file of every package of a listing, nested packages included."""
+    return directories.package_listing(_listing(spark, sf))
+
+
 QUERIES: dict[str, Q] = {k: v for k, v in sorted(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
 
 # ---- the same rows in SQL -------------------------------------------------------------------------
@@ -579,7 +611,7 @@ FROM w WHERE len(l) > 0 AND package_id IN (SELECT package_id FROM sens WHERE int
     sides = """, a AS (SELECT package_id, rule_id, label, max_by({'s': severity, 'd': snippet}, (path, pat_idx)) AS f FROM sens GROUP BY ALL),
  b AS (SELECT package_id, rule_id, label, max_by({'s': CASE WHEN pat_idx % 5 = 0 THEN 'info' ELSE severity END, 'd': snippet}, (path, pat_idx)) AS f FROM sens WHERE pat_idx % 7 <> 0 GROUP BY ALL),
  d AS (SELECT package_id, rule_id, label, CASE WHEN b.f IS NULL THEN 'left_only' WHEN a.f.s <> b.f.s OR a.f.d <> b.f.d THEN 'mismatched' ELSE 'matched' END AS status,
-   CASE WHEN b.f IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN a.f.s <> b.f.s THEN 'severity' END, CASE WHEN a.f.d <> b.f.d THEN 'detail' END], lambda x: x IS NOT NULL), ',') END AS fields FROM a LEFT JOIN b USING (package_id, rule_id, label))"""
+   CASE WHEN b.f IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN a.f.s <> b.f.s THEN 'severity' END, CASE WHEN a.f.d <> b.f.d THEN 'detail' END], lambda x: x IS NOT NULL), ',') END AS fields, a.f AS fa, b.f AS fb FROM a LEFT JOIN b USING (package_id, rule_id, label))"""
     o["q28_diff"] = "" + _with(_sensitive_by_key()) + sides + "\nSELECT package_id, rule_id, label, status, fields FROM d"
     o["q29_diff_summary"] = _with(_sensitive_by_key()) + sides + """
 SELECT package_id, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'mismatched') AS mismatched, count(*) FILTER (WHERE status = 'left_only') AS left_only, CAST(0 AS BIGINT) AS right_only,
@@ -605,6 +637,24 @@ SELECT package_id, 'info' AS severity, 'Progressive disclosure used' AS label FR
 SELECT count(*) FILTER (WHERE NOT bad AND passed) AS passed, count(*) FILTER (WHERE NOT bad AND NOT passed) AS failed, count(*) FILTER (WHERE bad) AS errors FROM t"""
     o["q42_directories"] = _with() + ", t AS (SELECT package_id, path, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS c FROM files)\nSELECT package_id, path, length(c) AS chars, md5(c) AS md5 FROM t"
     o["q43_diff_order"] = _with(_sensitive_by_key()) + sides + "\nSELECT row_number() OVER (ORDER BY package_id, rule_id, label) AS diff_seq, package_id, 'security' AS category, rule_id, label, status FROM d"
+    rep = lambda x: f"(WITH v AS (SELECT replace(replace(replace({x}, '\\', '\\\\'), chr(13), '\\r'), chr(9), '\\t') AS e) SELECT CASE WHEN contains(e, chr(39)) AND NOT contains(e, chr(34)) THEN chr(34) || e || chr(34) ELSE chr(39) || replace(e, chr(39), '\\' || chr(39)) || chr(39) END FROM v)"
+    o["q48_diff_reports"] = _with(_sensitive_by_key()) + sides + f""",
+ n AS (SELECT package_id, count(*) FILTER (WHERE status = 'matched') AS m, count(*) FILTER (WHERE status = 'left_only') AS l, sum(len(string_split(fields, ',')) * CAST(fields <> '' AS INTEGER)) AS k FROM d GROUP BY 1),
+ e AS (SELECT package_id, 0 AS s, 0 AS i, NULL AS rule_id, NULL AS label, 0 AS j, CASE WHEN l + k > 0 THEN 'FAIL  ' ELSE 'PASS  ' END || package_id AS text FROM n
+  UNION ALL SELECT package_id, 1, 0, NULL, NULL, 0, '  left only (' || l || ' finding(s)):' FROM n WHERE l > 0
+  UNION ALL SELECT package_id, 3, 0, NULL, NULL, 0, '  Field mismatches (' || k || '):' FROM n WHERE k > 0
+  UNION ALL SELECT package_id, 4, 0, NULL, NULL, 0, '  ' || m || ' finding(s) matched exactly.' FROM n WHERE m > 0 OR l + k = 0
+  UNION ALL SELECT package_id, 1, 1, rule_id, label, 0, '    - [' || fa.s || '] security / ' || {rep('label')} FROM d WHERE status = 'left_only'
+  UNION ALL SELECT package_id, 3, 1, rule_id, label, 0, '    [security / ' || {rep('rule_id')} || ' / ' || {rep('label')} || '] .severity:' || chr(10) || '      left : ' || {rep('fa.s')} || chr(10) || '      right: ' || {rep('fb.s')} FROM d WHERE status = 'mismatched' AND fa.s <> fb.s
+  UNION ALL SELECT package_id, 3, 1, rule_id, label, 1, '    [security / ' || {rep('rule_id')} || ' / ' || {rep('label')} || '] .detail:' || chr(10) || '      left : ' || {rep("'`' || fa.d || '`'")} || chr(10) || '      right: ' || {rep("'`' || fb.d || '`'")} FROM d WHERE status = 'mismatched' AND fa.d <> fb.d),
+ z AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY s, i, rule_id, label, j) AS line FROM e)
+SELECT package_id, (line - 1) // 4 AS part, string_agg(text, chr(10) ORDER BY line) AS text FROM z GROUP BY ALL"""
+    listing = """WITH u AS (SELECT page_id % 10 AS last, rtrim(regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g'), '/') AS a FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL),
+ p AS (SELECT CASE last WHEN 0 THEN split_part(a, '/', 1) || '/SKILL.md' WHEN 3 THEN array_to_string(string_split(a, '/')[:2], '/') || '/skill.md' WHEN 7 THEN array_to_string(string_split(a, '/')[:2], '/') || '/.old/SKILL.md' ELSE a || '/index.html' END AS path FROM u),
+ r AS (SELECT DISTINCT regexp_replace(path, '/(SKILL|skill)\\.md$', '') AS root FROM p WHERE regexp_matches(path, '/(SKILL|skill)\\.md$') AND NOT contains(path, '/.old/')),
+ f AS (SELECT root AS package_id, substr(path, length(root) + 2) AS path FROM p JOIN r ON starts_with(path, root || '/') WHERE NOT contains(path, '/.old/'))"""
+    o["q49_package_roots"] = listing + "\nSELECT package_id, n_files, root_seq FROM (SELECT package_id, count(*) AS n_files FROM f GROUP BY 1) JOIN (SELECT root AS package_id, row_number() OVER (ORDER BY string_split(root, '/')) AS root_seq FROM r) USING (package_id)"
+    o["q50_package_listing"] = listing + "\nSELECT package_id, path FROM f"
     o["q44_repeated_keys"] = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS n_cases, doc_id % 3 <> 0 AS asserted FROM documents WHERE doc_id IS NOT NULL"
     full = _full(o, norm, asked, sink)
     o["q26_full_findings"] = full + f"""
@@ -615,6 +665,15 @@ SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY phase, k1
  g AS (SELECT n, [coalesce(bool_or(path = 'SKILL.md'), false), coalesce(bool_or(path LIKE 'scripts/%'), false), coalesce(bool_or(path LIKE 'references/%'), false), coalesce(bool_or(path LIKE 'evals/%'), false)] AS has, count(path) AS file_count FROM f GROUP BY 1)
 SELECT 'p' || n AS package_id, ({_list(list(cases.CASES))})[n % 7 + 1] AS case_name, has = ({must})[n % 7 + 1] AS agrees, file_count FROM g WHERE n % 7 NOT IN (1, 6)"""
     o["q45_stream_audit"] = o["q26_full_findings"]
+    given = lambda wire_name, c: f"'\"{wire_name}\":' || coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
+    pairs = " || ',' || ".join(given(w, c) for w, c in (("ruleId", "rule_id"), ("category", "category"), ("severity", "severity"), ("label", "label"), ("detail", "detail")))
+    rest = " || ',' || ".join(given(w, c) for w, c in (("owaspLlmCategory", "CAST(NULL AS VARCHAR)"), ("chainId", "chain_id"), ("intent", "intent")))
+    o["q47_findings_documents"] = full + f""",
+ j AS (SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY phase, k1, k2) AS seq, '{{' || {pairs} || CASE WHEN filepath IS NULL THEN '' ELSE ',' || {given('filepath', 'filepath')} END || ',' || {rest} || '}}' AS t FROM found),
+ b AS (SELECT package_id, (seq - 1) // 16 + 1 AS part, string_agg(t, ',' ORDER BY seq) AS t FROM j GROUP BY ALL)
+SELECT package_id, part, CASE WHEN part > 1 THEN ',' ELSE '' END || t AS text FROM b
+UNION ALL SELECT package_id, 0, '{{"findings":[' FROM q01
+UNION ALL SELECT package_id, coalesce(max(part), 0) + 1, ']}}' FROM q01 LEFT JOIN b USING (package_id) GROUP BY 1"""
     counts = ", ".join(f"count(*) FILTER (WHERE severity = {_L(x)}) AS n_{x}" for x in SEVERITIES)
     o["q27_package_summary"] = full + f"""
 SELECT q01.*, {SCANNER_SCHEMA_VERSION} AS scanner_version, n.* EXCLUDE (package_id) FROM q01 LEFT JOIN (SELECT package_id, count(*) AS n_findings, {counts}, CAST(max(list_position({_list(list(SEVERITIES))}, severity) - 1) AS BIGINT) AS worst, bool_or(coalesce(intent = 'malicious', false)) AS has_malicious FROM found GROUP BY 1) n USING (package_id)"""

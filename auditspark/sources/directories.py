@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans.lineage import numbered, ranged
+
 # Fixed value: the names of which a package's root holds one.
 ROOT_NAMES = {"SKILL.md", "skill.md"}
 #: A batch closes at so many rows or characters.
@@ -32,10 +34,11 @@ def _open(base: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _entries(fs: pafs.FileSystem, directory: str) -> tuple[list[str], list[str]]:
-    """Names of the directories and of the files in a directory, sorted; links to directories are neither."""
+    """Names of the directories and of the files in a directory, sorted; links to directories are neither, and hidden
+    directories are left out."""
     infos = fs.get_file_info(pafs.FileSelector(directory, recursive=False))
     local = isinstance(fs, pafs.LocalFileSystem)
-    inner = sorted(i.base_name for i in infos if i.type == pafs.FileType.Directory and not (local and os.path.islink(i.path)))
+    inner = sorted(i.base_name for i in infos if i.type == pafs.FileType.Directory and not i.base_name.startswith(".") and not (local and os.path.islink(i.path)))
     return inner, sorted(i.base_name for i in infos if i.type == pafs.FileType.File)
 
 
@@ -52,7 +55,7 @@ def walk(base: str, task: int = 0, tasks: int = 1, contents: bool = True) -> Ite
     """(package_id, path, content) of every file of every package below base, in this task's share.
 
     A package is named by its root relative to base (`.` for base itself); nested packages count on their own
-    too, so a file may be in several.  Hidden directories below a package's root are not in it, hidden files are."""
+    too, so a file may be in several.  Hidden directories are not entered, hidden files are read."""
     fs, top = _open(base)
 
     def rows(directory: str, names: list[str], roots: list[list[str]], at: list[str]) -> Iterator[tuple[str, str, str | None]]:
@@ -67,13 +70,12 @@ def walk(base: str, task: int = 0, tasks: int = 1, contents: bool = True) -> Ite
     inner, names = _entries(fs, top)
     above: list[list[str]] = [[]] if ROOT_NAMES & set(names) else []
     yield from rows(top, [n for n in names if share(n)], above, [])
-    # packages that a directory is part of: those above it whose path to it has no hidden part, and its own
+    # packages that a directory is part of: those above it and its own
     stack = [([n], above) for n in reversed(inner) if share(n)]
     while stack:
         at, roots = stack.pop()
         directory = "/".join([top, *at])
         inner, names = _entries(fs, directory)
-        roots = [r for r in roots if not at[-1].startswith(".")]
         if ROOT_NAMES & set(names):
             roots = [*roots, at]
         yield from rows(directory, names, roots, at)
@@ -155,9 +157,60 @@ def write_packages(files: DataFrame, base: str) -> None:
     files.select("package_id", "path", "content").mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
 
 
+def package_roots(paths: DataFrame) -> DataFrame:
+    """root_seq (from 1), root: every directory of a listing that holds a definition, in the order of their parts; `.` is the
+    base.  Below hidden directories there are none."""
+    here = paths.where(_visible() & F.element_at(F.split("path", "/"), -1).isin(*sorted(ROOT_NAMES)))
+    roots = here.select(F.when(F.instr("path", "/") == 0, F.lit(".")).otherwise(F.regexp_replace("path", "/[^/]*$", "")).alias("root")).distinct()
+    return numbered(roots.withColumn("__key", _key("root")), [], ["__key"], "root_seq").select("root_seq", "root")
+
+
+def package_listing(paths: DataFrame) -> DataFrame:
+    """package_id, path: the packages of a table of paths, as read_packages() finds them in a directory."""
+    roots = package_roots(paths).select("root")
+    return nested(paths.where(_visible()), roots).select(F.col("root").alias("package_id"), "path")
+
+
+def _visible() -> Column:
+    return F.col("path").isNotNull() & ~F.col("path").rlike(r"(^|/)\.[^/]*/")
+
+
+def _key(name: str) -> Column:
+    """A path's parts: in their order a directory stands right before all that is in it."""
+    return F.when(F.col(name).isin("", "."), F.array().cast("array<string>")).otherwise(F.split(name, "/"))
+
+
 def nested(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, path: every listed path under each root, by prefix, for listings that are tables already."""
-    r = roots.select(F.col("root"))
-    # each path joins the roots among its own ancestors, so the join is on equality
-    up = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"))
-    return paths.where(F.instr("path", "/") > 0).select("path", F.explode(up).alias("root")).join(r, "root").select("root", F.expr("substring(path, length(root) + 2)").alias("path"))
+    """root, path: every listed path under each root that contains it, relative to that root.
+
+    Paths and roots are sorted together, by their parts, in ranges; a task reads its range once and keeps the roots that
+    are open, at most one a level.  Those that are open where a range begins are found by their names among the
+    ancestors of its first path: a row a range and level, all that the driver sees.  Nulls are left out; repeated
+    paths stay, repeated roots count once."""
+    r = roots.where("root is not null").select(F.col("root").alias("path"), F.lit(0).alias("kind")).distinct()
+    p = paths.where("path is not null").select("path", F.lit(1).alias("kind"))
+    rows = ranged(r.unionByName(p).withColumn("__key", _key("path")), ["__key", "kind"])
+    first = rows.groupBy("__range").agg(F.min("__key").alias("first"))
+    above = F.transform(F.sequence(F.lit(0), F.size("first") - 1), lambda i: F.slice("first", F.lit(1), i))
+    held = first.where(F.size("first") > 0).select("__range", F.explode(above).alias("__key")).join(rows.where("kind = 0").select("__key").distinct(), "__key")
+    begin: dict[int, list[list[str]]] = {}
+    for x in held.select("__range", "__key").collect():
+        begin.setdefault(x[0], []).append(list(x[1]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_roots = None, []
+        for b in batches:
+            out: list[tuple[str, str]] = []
+            for number, path, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if number != now:
+                    now, open_roots = number, sorted(begin.get(number, []), key=len)
+                parts = [] if kind == 0 and path in ("", ".") else path.split("/")
+                while open_roots and (len(open_roots[-1]) >= len(parts) or parts[: len(open_roots[-1])] != open_roots[-1]):
+                    open_roots.pop()
+                if kind == 0:
+                    open_roots.append(parts)
+                else:
+                    out += [("/".join(o) or ".", "/".join(parts[len(o) :])) for o in open_roots]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(2)], ["root", "path"])
+
+    return rows.select("__range", "path", "kind").mapInArrow(merge, "root string, path string")

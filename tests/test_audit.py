@@ -369,7 +369,7 @@ def test_directory_shares(spark, tmp_path):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(data)
     (tmp_path / "b" / "link").symlink_to(tmp_path / "a")
-    rows = {(".", "SKILL.md", "top"), (".", "a/x.md", "1"), (".", "a/SKILL.md", "2"), ("a", "x.md", "1"), ("a", "SKILL.md", "2"), ("a/.h", "SKILL.md", "3"), ("a/.h", "y", "4"), (".i", "SKILL.md", "6")}
+    rows = {(".", "SKILL.md", "top"), (".", "a/x.md", "1"), (".", "a/SKILL.md", "2"), ("a", "x.md", "1"), ("a", "SKILL.md", "2")}  # hidden directories are not entered
     rows |= {(".", "b/c/d/skill.md", "5"), ("b/c/d", "skill.md", "5"), (".", "b/c/d/e/f/z.txt", "\n\n"), ("b/c/d", "e/f/z.txt", "\n\n"), (".", "b/no.bin", None)}
     for tasks in (1, 3, 16):
         got = [r for t in range(tasks) for r in directories.walk(f"file://{tmp_path}", t, tasks)]
@@ -415,3 +415,65 @@ def test_case_verdicts(spark):
     assert [r.agrees for r in cases.verdicts(results.withColumn("has_scripts", F.lit(True)), ["skill-with-evals"]).collect()] == [False]
     with pytest.raises(ValueError, match="no case"):
         cases.verdicts(results, ["nothing"])
+
+
+def test_hot_package_in_parts(spark):
+    """A package with most of the findings: parts are bounded and follow each other to the whole document and report."""
+    import json
+
+    n = 3000
+    found = spark.range(n).select(
+        F.lit("hot").alias("package_id"), (F.col("id") + 1).alias("seq"), F.lit("R").alias("rule_id"), F.lit("security").alias("category"), F.lit("low").alias("severity"),
+        F.concat(F.lit("it's "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("label"), F.lit('a "quoted"\n\u200bdetail').alias("detail"), *[F.lit(None).cast("string").alias(c) for c in ("filepath", "owasp_llm_category", "chain_id", "intent")], F.lit("vettd").alias("source"),
+    )
+    found = found.unionByName(found.where("seq < 3").withColumn("package_id", F.lit("small")))
+    packages = spark.createDataFrame([("hot",), ("small",), ("none",)], "package_id string")
+    parts = wire.document_parts(found, packages, 100).orderBy("package_id", "part").collect()
+    whole = {k: "".join(r.text for r in parts if r.package_id == k) for k in ("hot", "small", "none")}
+    assert [r.part for r in parts if r.package_id == "hot"] == list(range(n // 100 + 2)) and max(len(r.text) for r in parts) < 100 * 300
+    told = {k: json.loads(v)["findings"] for k, v in whole.items()}
+    assert [f["label"] for f in told["hot"]] == [f"it's {i:05}" for i in range(n)] and len(told["small"]) == 2 and told["none"] == [] and told["hot"][0]["detail"] == 'a "quoted"\n\u200bdetail'
+    flags = packages.select("package_id", *[F.lit(True).alias(c) for c in ("has_skill_md", "has_scripts", "has_references", "has_evals")], F.lit(1).alias("file_count"))
+    bodies = {r.package_id: r.response for r in wire.to_wire(found, flags).collect()}
+    for r in wire.response_parts(found, flags, 7).groupBy("package_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "").alias("b")).collect():
+        assert r.b == bodies[r.package_id]
+
+    d = compare.diff(found, found.where("seq % 3 <> 0").withColumn("severity", F.when(F.col("seq") % 5 == 0, "high").otherwise("low")))
+    entries = compare.report_parts(d, named=True, per_part=64).orderBy("package_id", "part").collect()
+    told = {r.package_id: r.text for r in compare.report(d, named=True).collect()}
+    assert {k: "\n".join(r.text for r in entries if r.package_id == k) for k in told} == told
+    lines = told["hot"].split("\n")
+    assert lines[:3] == ["FAIL  hot", "  left only (1000 finding(s)):", """    - [low] security / "it's 00002\""""] and lines[-1] == "  1600 finding(s) matched exactly."
+    assert lines[1002:1006] == ["  Field mismatches (400):", """    [security / 'R' / "it's 00004"] .severity:""", "      left : 'low'", "      right: 'high'"] and len(lines) == 3 + 1000 + 400 * 3 + 1
+    assert told["small"] == "PASS  small\n  2 finding(s) matched exactly."
+    assert compare.report_parts(d.limit(0)).count() == 0 and wire.document_parts(found.limit(0), packages.limit(0)).count() == 0
+
+
+def test_numbers_in_groups(spark):
+    """Numbers are gapless in each group, null included, where a group lies in many ranges and a range holds many groups."""
+    from auditspark.plans.lineage import numbered
+
+    rows = [("hot" if i % 2 else None if i % 3 == 0 else f"g{i % 41}", i * 7919 % 2000, i) for i in range(2000)]
+    got = numbered(spark.createDataFrame(rows, "g string, o int, i int").repartition(6), ["g"], ["o"], "n").collect()
+    want = {g: [i for _, i in sorted((o, i) for x, o, i in rows if x == g)] for g in {r[0] for r in rows}}
+    assert {g: [r.i for r in sorted((r for r in got if r.g == g), key=lambda r: r.n)] for g in want} == want
+    assert all(sorted(r.n for r in got if r.g == g) == list(range(1, len(want[g]) + 1)) for g in want)
+    assert numbered(spark.createDataFrame([], "g string, o int"), ["g"], ["o"], "n").count() == 0
+
+
+def test_listing_of_paths(spark):
+    """Roots by their parts and files under every root, against brute force, with roots that are open over many ranges;
+    hidden directories, nulls, repeated rows, names that sort before a slash."""
+    import random
+
+    rng = random.Random(5)
+    names = ["a", "a-b", "b", "c c", "\u00e9", ".h"]
+    paths = ["/".join([*rng.choices(names, k=rng.randrange(5)), rng.choice(["SKILL.md", "x.txt", ".env", "skill.md", "y", "z"])]) for _ in range(600)]
+    paths += ["a/SKILL.md", "a/SKILL.md", "a/a/SKILL.md", *(f"a/a/many/{i}" for i in range(400))]
+    seen = [p for p in paths if not any(x.startswith(".") for x in p.split("/")[:-1])]
+    roots = sorted({tuple(p.split("/")[:-1]) for p in seen if p.split("/")[-1] in ("SKILL.md", "skill.md")})
+    df = spark.createDataFrame([(p,) for p in [*paths, None]], "path string").repartition(4)
+    assert [(r.root_seq, r.root) for r in directories.package_roots(df).orderBy("root_seq").collect()] == [(i + 1, "/".join(r) or ".") for i, r in enumerate(roots)]
+    want = sorted(("/".join(r) or ".", "/".join(p.split("/")[len(r) :])) for p in seen for r in roots if tuple(p.split("/")[:-1])[: len(r)] == r)
+    assert sorted(map(tuple, directories.package_listing(df).collect())) == want and len(want) > 1000
+    assert directories.package_listing(df.limit(0)).count() == 0
