@@ -4,9 +4,9 @@ Each language has a model of its characters up to ORDER, kept as sorted arrays o
 with the discounted, interpolated log-probability of the n-gram's last character and, per context,
 the weight that passes to the shorter context.  A text gets the language with the lowest
 cross-entropy per character.  Every fifth training row is held back from the models and calibrates
-them: it gives each language the cross-entropy that its texts may have, by their length, beyond which
-a text fits no model and is `rejected`; and it gives the score its sharpness, so that the score is the
-probability that the choice is right.
+them, whole and cut to stretches of LENGTHS: at each length it gives a language the cross-entropy that all but
+FALSE_REJECTIONS of its texts stay below; beyond it a text fits no model and is `rejected`.  And it gives the
+score its temperature, a power of the text's length, so that the score is the probability that the choice is right.
 
 Null texts and texts without a letter are `und` with score 0.  Without any labelled training row
 every text is `und`.  Ties go to the alphabetically first language.  Whole texts are read.
@@ -31,10 +31,13 @@ TRAINING_ROWS = 250
 TRAINING_CHARACTERS = 100_000
 #: The most frequent characters have a number of their own (16 bits a character); any others would share one.
 ALPHABET = 60_000
-#: A held-back text of its own language is rejected beyond so many standard deviations.
-DEVIATIONS = 6.0
-#: Characters beyond which a longer text is no better known; the score's sharpness is chosen among SHARPNESS.
-LONG, SHARPNESS = 400, np.geomspace(0.002, 1.0, 55)
+#: The share of texts of a known language that may be rejected.
+FALSE_REJECTIONS = 0.002
+#: Characters of the stretches that calibrate, and stretches of each length a row.  The limit is taken up to LIMITED:
+#: stretches of a longer text are so alike that the few held-back rows do not tell how far others may lie.
+LENGTHS, STRETCHES, LIMITED = [20, 40, 80, 160, 320, 640], 4, 160
+#: The score's temperature is chosen among these: a factor and a power of the length.
+SHARPNESS, POWERS = np.geomspace(0.01, 4.0, 49), (0.0, 0.25, 0.5, 0.75, 1.0)
 SLOTS = 1 << 19
 UND = "und"
 
@@ -71,13 +74,18 @@ class Model:
     contexts: list[np.ndarray]
     weight: list[np.ndarray]
     floor: float
-    #: mean cross-entropy of its texts, and variances: of texts, and of single characters
-    usual: tuple[float, float, float] = (99.0, 0.0, 0.0)
+    #: calibrated lengths, the usual cross-entropy of texts of such lengths, and how far beyond it they may lie
+    usual: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def limit(self, n: np.ndarray) -> np.ndarray:
-        """The cross-entropy beyond which a text of n characters is not of this language."""
-        mean, between, within = self.usual
-        return mean + DEVIATIONS * np.sqrt(between + within / np.minimum(n, LONG))
+        """The cross-entropy beyond which a text of n characters is not of this language: by the logarithm of n between
+        calibrated lengths.  Shorter texts may deviate more, by the square root of their length; longer ones as much as
+        the longest calibrated, though they deviate less."""
+        if self.usual is None:
+            return np.full(len(n), np.inf)
+        lengths, mean, more = self.usual
+        at = np.log(n)
+        return np.interp(at, np.log(lengths), mean) + np.interp(at, np.log(lengths), more) * np.sqrt(np.maximum(1.0, lengths[0] / n))
 
     def lookup(self, parts: np.ndarray) -> np.ndarray:
         """log P(last | the others) of rows of ORDER characters."""
@@ -157,25 +165,43 @@ class Identifier:
         self._calibrate(held)
 
     def _calibrate(self, held: dict[str, list[np.ndarray]]) -> None:
-        gaps, right = [], []
+        space = self.code[32]
+        entropies: dict[tuple[int, int], list[np.ndarray]] = {}  # by (length, language)
+        every: list[tuple[np.ndarray, int, int]] = []
         for i, l in enumerate(self.names):
-            texts = [c for c in held[l] if len(c) >= ORDER]
-            if not texts:
-                continue
-            h = np.array([self._entropies(c) for c in texts])
-            n = np.array([min(len(c) - ORDER + 1, LONG) for c in texts])
-            # a character's variance, from single characters; what is left is between texts
-            within = float(np.mean([np.var(self._scores(c)[:, i]) for c in texts]))
-            between = max(0.05**2, float(np.var(h[:, i]) - (within / n).mean()))
-            self.models[i].usual = (float(h[:, i].mean()), between, within)
-            gaps += list((h.min(1)[:, None] - h) * n[:, None])
-            right += list(h.argmin(1) == i)
-        # the sharpness under which the held-back rows' choices are likeliest, with one wrong choice assumed
-        self.sharpness = float(SHARPNESS[0])
-        if gaps:
-            p = [np.clip(1 / np.exp(np.clip(np.array(gaps) * s, -50, 0)).sum(1), 1e-9, 1 - 1e-9) for s in SHARPNESS]
-            likely = [np.log(np.where(right, x, 1 - x)).sum() + np.log(1 - np.quantile(x, 0.9)) for x in p]
-            self.sharpness = float(SHARPNESS[int(np.argmax(likely))])
+            for c in held[l]:
+                text = c[ORDER - 1 : -1]
+                for length in [*(x for x in LENGTHS if x < len(text)), len(text)]:
+                    whole = length == len(text)
+                    for at in np.linspace(0, len(text) - length, 1 if whole else STRETCHES).astype(int) if length else ():
+                        h = self._entropies(np.concatenate([np.full(ORDER - 1, space, c.dtype), text[at : at + length], [space]]))
+                        every.append((h, length + 1, i))
+                        if not whole:
+                            entropies.setdefault((length, i), []).append(h[i])
+        # how far texts of a length lie beyond their language's usual, in its standard deviations: one quantile for all languages
+        least = 2 * STRETCHES
+        for i in range(len(self.names)):
+            lengths = [x for x in LENGTHS if x <= LIMITED and len(entropies.get((x, i), ())) >= least]
+            mean = np.array([np.mean(entropies[x, i]) for x in lengths])
+            more = []
+            for x in lengths:
+                groups = [np.array(v) for (y, _), v in entropies.items() if y == x and len(v) >= least]
+                far = np.concatenate([(v - v.mean()) / max(1e-6, v.std()) for v in groups])
+                more.append(float(np.quantile(far, 1 - FALSE_REJECTIONS)) * float(np.std(entropies[x, i])))
+            if lengths:
+                self.models[i].usual = (np.array(lengths, float), mean, np.array(more))
+        # the temperature under which the held-back choices are likeliest
+        self.sharpness, self.power = float(SHARPNESS[0]), 0.0
+        if every:
+            h, n, truth = np.array([x for x, _, _ in every]), np.array([x for _, x, _ in every], float), np.array([x for _, _, x in every])
+            gaps, right = h.min(1)[:, None] - h, h.argmin(1) == truth
+            best = np.inf
+            for power in POWERS:
+                for s in SHARPNESS:
+                    p = np.clip(1 / np.exp(np.clip(gaps * (s * n**power)[:, None], -50, 0)).sum(1), 1e-9, 1 - 1e-4)
+                    loss = -np.log(np.where(right, p, 1 - p)).mean()
+                    if loss < best:
+                        best, self.sharpness, self.power = loss, float(s), power
 
     def _code(self):
         self.code = np.full(0x110000, 0, np.uint16)
@@ -183,7 +209,7 @@ class Identifier:
         self.whole = self.code[char_classes()]
 
     def __getstate__(self):
-        return {"names": self.names, "symbols": self.symbols, "models": self.models, "sharpness": self.sharpness}
+        return {"names": self.names, "symbols": self.symbols, "models": self.models, "sharpness": self.sharpness, "power": self.power}
 
     def __setstate__(self, s):
         self.__dict__ |= s
@@ -227,7 +253,7 @@ class Identifier:
             n = np.maximum(ends - starts - ORDER + 1, 1)
             h = -(total[starts + n] - total[starts]) / n[:, None]
             best = h.argmin(1)
-            z = np.exp(np.clip((h.min(1)[:, None] - h) * np.minimum(n, LONG)[:, None] * self.sharpness, -50, 0))
+            z = np.exp(np.clip((h.min(1)[:, None] - h) * (self.sharpness * n.astype(float) ** self.power)[:, None], -50, 0))
             limit = np.stack([m.limit(n) for m in self.models], 1)
             for i, b, p, low, most in zip(ids, best, 1 / z.sum(1), h.min(1), limit[np.arange(len(best)), best], strict=True):
                 names[i], score[i], rejected[i] = self.names[b], p, low > most

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -245,6 +246,21 @@ def test_language_rejects_unseen_scripts():
     assert (unknown > 4).all()
 
 
+def test_language_scores_are_probabilities():
+    """On held-out rows cut to stretches, the score is about the share of right choices at every length, and few are rejected."""
+    t = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    t = [(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0, r["text"], r["lang"]) for r in t if r["text"] and r["lang"]]
+    samples = {l: [x for held, x, y in t if not held and y == l] for l in sorted({y for _, _, y in t})}
+    m = language.Identifier(samples)
+    for n in (20, 40, 100, 400):
+        cut = [(x[a : a + n], y) for held, x, y in t if held and len(x) >= n for a in range(0, min(len(x), 8 * n) - n + 1, n)]
+        names, score, rejected = m.predict([x for x, _ in cut])
+        right = np.array([a == y for a, (_, y) in zip(names, cut, strict=True)])
+        bins = np.minimum((score * 10).astype(int), 9)
+        error = sum(abs(score[bins == b].sum() - right[bins == b].sum()) for b in range(10)) / len(cut)
+        assert len(cut) > 150 and error < 0.05 and rejected.mean() < 0.02, (n, error, rejected.mean())
+
+
 def test_language_ties():
     """Equal models: the alphabetically first language."""
     t = ["the cat and the dog were there " * 4] * 6
