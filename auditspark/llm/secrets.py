@@ -2,12 +2,14 @@
 
 Three fixed patterns find declared secrets.  Beside them, two character Markov models - one of
 random strings, one of ordinary identifiers, both trained from labelled samples - are compared by
-log-likelihood ratio over every unbroken run of identifier characters that no base span covers whole,
-and runs that the random model explains better by a margin are spans of kind `markov`.  The margin is
-calibrated on samples held back from the models.
+log-likelihood ratio over every unbroken run of identifier characters that no base span covers whole.
+A run that the random model explains better by a margin is a span of kind `markov` if one of its pieces, between
+slashes, underscores and hyphens, is random too: names and numbers that only look random together are none.  In
+any other run each long piece that is random by itself is a span, and so is what base spans leave of the run.  The
+margin is calibrated on samples held back from the models.
 
 Ordinary identifiers are common words and the corpus's own, alone and joined as programs join them: snake, camel
-and upper case, kebab names with dates and versions, paths, URLs and rulers.
+and upper case, kebab names with dates and versions, paths, URLs, rulers and sequences of the alphabet or digits.
 
 Null and empty texts have no spans.  Whole texts are scanned, whatever their length; repeated rows
 are scanned alike.  Offsets are code points, ends exclusive.
@@ -32,13 +34,18 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 WORD = re.compile(r"[A-Za-z]+")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
-#: What the Markov models read: unbroken runs of at least RUN identifier characters.
-RUN = 20
+#: What the Markov models read: unbroken runs of at least RUN identifier characters.  A random run has a random piece of
+#: PIECE or more; a piece of LONE or more counts in any run.
+RUN, PIECE, LONE = 14, 13, 20
 RUNS = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % RUN)
+PIECES = re.compile(r"[A-Za-z0-9+]{%d,}" % PIECE)
+#: Words of so many letters or more may be secrets themselves and are not learned as ordinary.
+WORD_LETTERS = 20
 #: Nats by which the random model must win over the whole run: secrets are taken to be one run in 500,000.
 MARGIN = 13.0
-#: The margin per character lies above this share of the held-back ordinary runs.
-ORDINARY_BELOW = 0.999
+#: The margin per character lies midway between what these shares of the held-back runs stay below, and above this of the
+#: ordinary ones in any case.
+ORDINARY_BELOW, RANDOM_ABOVE = 0.999, 0.01
 #: Documents and words that the ordinary sample is drawn from, and identifiers made of them.
 SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_RUNS = 500, 20_000, 12_000
 
@@ -119,6 +126,10 @@ def ordinary_runs(words: list[str], n: int = SAMPLE_RUNS, seed: int = 5) -> list
             return f"/{draw(1)[0]}/{camel(2)}/{'_'.join(draw(k))}{number(100)}"
         if kind == 8:
             return f"//{draw(1)[0]}/{'-'.join(draw(k))}/{date().replace('-', '/')}"
+        if kind == 10:  # a stretch of a sequence that everyone knows
+            row = str(r.choice(["abcdefghijklmnopqrstuvwxyz", "0123456789", "qwertyuiopasdfghjklzxcvbnm"])) * 4
+            a = int(r.integers(0, 26))
+            return (row if r.random() < 0.5 else row.upper())[a : a + int(r.integers(RUN, 40))]
         if kind == 9:  # a ruler, or a run of one character
             return str(r.choice(list("---___///++x0aA1"))) * int(r.integers(RUN, 80))
         return f"{'_'.join(draw(k))}_{date().replace('-', '')}" + (f"_{number(1_000_000)}" if r.random() < 0.4 else "")
@@ -127,7 +138,7 @@ def ordinary_runs(words: list[str], n: int = SAMPLE_RUNS, seed: int = 5) -> list
     while len(out) < n:
         run, k = "", 2
         while len(run) < RUN:
-            run, k = one(len(out) % 11, k), k + 1
+            run, k = one(len(out) % 12, k), k + 1
         out.append(run[:120])
     return out
 
@@ -136,19 +147,32 @@ class Detector:
     """The log-likelihood ratios, and the margin per character that held-back samples calibrate."""
 
     def __init__(self, words: list[str]):
-        words = [w for w in words if len(w) < RUN]  # longer ones may be secrets themselves
+        words = [w for w in words if len(w) < WORD_LETTERS]
         ordinary, strings = ordinary_runs(words), random_samples()
         fit = lambda samples: [x for i, x in enumerate(samples) if i % 5]
         self.ratio = Markov(fit(strings)).log - Markov(words + COMMON + fit(ordinary)).log
-        held = np.array([score(x, self.ratio) / len(x) for x in ordinary[::5]])
-        self.per_character = max(0.05, float(np.quantile(held, ORDINARY_BELOW)))
+        held = np.array([score(x, self.ratio) / len(x) for run in ordinary[::5] for x in (run, *PIECES.findall(run))])
+        drawn = np.array([score(x, self.ratio) / len(x) for x in strings[::5]])
+        below, above = float(np.quantile(held, ORDINARY_BELOW)), float(np.quantile(drawn, RANDOM_ABOVE))
+        self.per_character = max(0.05, below, (below + above) / 2)
         self.recall = float(np.mean([self.random(x) for x in strings[::5]]))
         self.false_alarms = float(np.mean([self.random(x) for x in ordinary[::5]]))
 
-    def random(self, run: str) -> bool:
+    def likelier(self, run: str) -> bool:
+        """Whether the random model explains these characters better by the margin."""
         s = score(run, self.ratio)
         return s >= MARGIN and s >= self.per_character * len(run)
 
+    def random(self, run: str) -> bool:
+        pieces = PIECES.findall(run)
+        return bool(pieces) and self.likelier(run) and (pieces == [run] or any(map(self.likelier, pieces)))
+
+    def parts(self, run: str) -> list[tuple[int, int]]:
+        """What of a run is random: all of it, or its long pieces that are so by themselves."""
+        if self.random(run):
+            return [(0, len(run))]
+        return [m.span() for m in PIECES.finditer(run) if LONE <= len(m[0]) < len(run) and self.likelier(m[0])]
+
 
 def score(run: str, ratio: np.ndarray) -> float:
     a = np.array([0, 0, *(CODE[c] for c in run)])
@@ -169,8 +193,17 @@ def spans(text: str, detector: Detector) -> list[tuple[int, int, int]]:
     for m in RUNS.finditer(text):
         a, b = m.span()
         i = bisect.bisect_right(starts, a)
-        if not (i and ends[i - 1] >= b) and detector.random(m[0]):
-            found.append((a, 3, b))
+        if i and ends[i - 1] >= b:
+            continue
+        parts = [(a + x, a + y) for x, y in detector.parts(m[0])]
+        if not parts:  # what base spans leave of the run, by itself
+            at = a
+            for k in range(bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)):
+                start, _, end = base[k]
+                parts += [(at, start)] if start - at >= PIECE and detector.random(text[at:start]) else []
+                at = max(at, end)
+            parts += [(at, b)] if a < at and b - at >= PIECE and detector.random(text[at:b]) else []
+        found += [(x, 3, y) for x, y in parts if not ((i := bisect.bisect_right(starts, x)) and ends[i - 1] >= y)]
     return sorted(found)
 
 
@@ -186,7 +219,7 @@ def ordinary_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE
             for text in b["text"]:
                 for p in (ASSIGN, ACCESS, HEX):
                     text = p.sub(" ", text)
-                words |= {w for w in WORD.findall(text) if len(w) < RUN}
+                words |= {w for w in WORD.findall(text) if len(w) < WORD_LETTERS}
             yield pd.DataFrame({"word": sorted(words)})
 
     found = docs.where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInPandas(run, "word string")
