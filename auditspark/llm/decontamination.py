@@ -11,7 +11,8 @@ on are returned, with the words of the document that the alignment spans.
 Test items are read in blocks of bounded size, one pass over the documents each, so neither side
 need fit in memory; documents are never shuffled.  Words are lower-cased runs of ASCII letters,
 digits and non-ASCII bytes.  Null, empty and wordless texts and items give no rows; items shorter
-than GRAM words are one seed as a whole.  Repeated documents or items each give their own rows.
+than GRAM words are one seed as a whole.  Repeated documents or items each give their own rows;
+an item without an id gives rows of a null item_id.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def words_of(text: bytes) -> list[bytes]:
 class Items:
     """A block of test items; grams are sorted, entries lists (item, position) by gram."""
 
-    ids: list[int]
+    ids: list[int | None]
     words: list[np.ndarray]
     number: dict[bytes, int]
     grams: np.ndarray
@@ -53,7 +54,7 @@ class Items:
     entry_at: np.ndarray
 
     @staticmethod
-    def of(rows: list[tuple[int, bytes]]) -> Items:
+    def of(rows: list[tuple[int | None, bytes]]) -> Items:
         number: dict[bytes, int] = {}
         ids, words, code, item, at = [], [], [], [], []
         for item_id, text in rows:
@@ -131,7 +132,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     found = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = Items.of(sorted((r[0] if r[0] is not None else -1, bytes(r[1])) for r in rows.collect()))
+        block = Items.of(sorted(((r[0], bytes(r[1])) for r in rows.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
         part = block_matches(docs, block, threshold)
         found = part if found is None else found.unionByName(part)
     return found

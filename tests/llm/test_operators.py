@@ -236,6 +236,15 @@ def test_detector_on_labelled_strings(spark):
     assert [path[a:e] for a, k, e in secrets.spans(path, det)] in (["Zq9Lx7Rm2Vb4Tn8Kw1Yp6Hc3s"], [path.split()[1]])
 
 
+def test_items_without_id(spark):
+    """An item of null id is matched as such, beside items of any id."""
+    item = "seven grey herons stood along the frozen canal at dawn"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (None, item)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, item), (-1, item), (2, "quite another sentence about nothing much")], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id, r.score) for r in decontamination.matches(docs, items).collect()}
+    assert found == {(d, i, 1.0) for d in (1, None) for i in (None, -1)}
+
+
 def test_language(spark, folder):
     m = language.Identifier({"en": ["the cat and the dog were there with them " * 5], "de": ["der hund und die katze waren nicht mehr hier " * 5]})
     names, score, _ = m.predict(["the dog and the cat", "die katze und der hund", None, "", "12 !", "x" * 5000])
