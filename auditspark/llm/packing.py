@@ -16,8 +16,10 @@ and repeated rows are packed like any others; very long texts are cut over many
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,36 +38,42 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 class Tokens:
-    """ids of whole texts, with the ids of pieces between single spaces remembered.
+    """ids of whole texts, encoded from the ranks file of the vocabulary where there is one.
 
-    In this vocabulary's split a single space between two other characters always starts a token,
-    so pieces can be looked up one by one.  A text in which a space touches other white space is
-    encoded as a whole.
+    Without it the tokenizer itself encodes, and ids of pieces between single spaces are remembered.  In this
+    vocabulary's split a single space between two other characters always starts a token, so pieces can be looked
+    up one by one.  A text in which a space touches other white space is encoded as a whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        ranks_path, self.fast = path.removesuffix(".json") + ".tiktoken", None
-        if os.path.exists(ranks_path):  # the same vocabulary as ranks, for pieces not seen before
+    def __init__(self, path: str, most: int = 250_000, ranks: bool = True):
+        self.path, ranks_path, self.fast = path, path.removesuffix(".json") + ".tiktoken", None
+        if ranks and os.path.exists(ranks_path):  # the same vocabulary
             import base64
 
             import public_tokenizers
+            import tiktoken
 
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={})
         self.pieces: dict[str, bytes | None] = {}
         self.most = most
 
-    def encode(self, text: str) -> list[int]:
-        return self.fast.encode_ordinary(text) if self.fast else self.whole.encode(text, add_special_tokens=False).ids
+    @functools.cached_property
+    def whole(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = True
+        return whole
+
+    def encode(self, text: str) -> bytes:
+        return array("H", self.fast.encode_ordinary(text) if self.fast else self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 16-bit ids."""
+        if self.fast:
+            return self.encode(text)
         pieces = text.split(" ")
         get, out = self.pieces.get, []
         if len(self.pieces) > self.most:
@@ -75,8 +83,8 @@ class Tokens:
             if b is None:
                 if not p or p[0].isspace() or p[-1].isspace() or p[-1] == "\x00":
                     if len(pieces) > 1 or not p:
-                        return np.array(self.encode(text), np.uint16).tobytes()
-                b = np.array(self.encode(" " + p if i else p), np.uint16).tobytes()
+                        return self.encode(text)
+                b = self.encode(" " + p if i else p)
                 if i:
                     self.pieces[p] = b
             out.append(b)

@@ -450,3 +450,10 @@ def test_hilbert():
     key = packing.hilbert(side, depth=3)
     assert sorted(key) == list(range(512))
     assert (np.abs(np.diff(side[np.argsort(key)], axis=0)).sum(1) == 1).all()
+
+
+@pytest.mark.parametrize("text", ["a  b", "a \n b", "", " a", "it's  \n", "a b a b", "ab\n cd", "<|endoftext|> x", "漢字 \U0001f600 ü"])
+def test_tokens_of_both_encoders(text):
+    """With the ranks at hand no piece is remembered; without them the remembered pieces give the same ids."""
+    ranks, pieces = packing.Tokens(packing.vocabulary()), packing.Tokens(packing.vocabulary(), ranks=False)
+    assert ranks(text) == pieces(text) == pieces(text) and not ranks.pieces
