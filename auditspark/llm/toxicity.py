@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, read
+from .common import cut_lineage, id_remainder, read, through_parquet
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 20
@@ -78,29 +78,49 @@ class Machine:
         return 1 / (1 + np.exp(-s))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, steps: int = 250, rate: float = 0.05, decay: float = 2e-3) -> Machine:
-    """Adam on the log loss, over all rows at each step."""
-    n, pos = len(y), float(y.sum())
-    if n == 0 or pos in (0, n):
-        return Machine({}, float(np.log(pos + 1)) if pos else -40.0, np.zeros(0), np.zeros((0, FACTORS)), informed=False)
-    counts = np.zeros((2, 1 << BITS), np.int32)
-    for r, t in zip(rows, y, strict=True):  # a row's terms are distinct
-        counts[int(t > 0), r] += 1
-    often = np.flatnonzero(counts.sum(0) >= LEAST_ROWS)  # the statistics below are of these alone
-    in0, in1 = counts[:, often].astype(float)
+def uninformed(pos: float) -> Machine:
+    return Machine({}, float(np.log(pos + 1)) if pos else -40.0, np.zeros(0), np.zeros((0, FACTORS)), informed=False)
+
+
+def significant(often: np.ndarray, in0: np.ndarray, in1: np.ndarray, n: int, pos: float) -> np.ndarray:
+    """The terms kept, ascending, of those (ascending) that in0 clean and in1 toxic rows have."""
+    in0, in1 = in0.astype(float), in1.astype(float)
     x = np.array([in1, in0, pos - in1, n - pos - in0])
     both, rest = in1 + in0, n - in1 - in0
     expect = np.array([both * pos / n, both * (n - pos) / n, rest * pos / n, rest * (n - pos) / n])
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * np.where(x > 0, x * np.log(x / expect), 0).sum(0)
     keep = np.flatnonzero(g >= LEAST_G)
-    keep = often[np.sort(keep[np.argsort(-g[keep], kind="stable")][:MOST_TERMS])]
-    at = np.full(1 << BITS, -1)
-    at[keep] = np.arange(len(keep))
+    return often[np.sort(keep[np.argsort(-g[keep], kind="stable")][:MOST_TERMS])]
+
+
+def places(terms: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Where in `keep` (ascending) those of the terms stand that it holds."""
+    if not len(keep):
+        return np.zeros(0, np.int64)
+    i = np.minimum(np.searchsorted(keep, terms), len(keep) - 1)
+    return i[keep[i] == terms]
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, steps: int = 250, rate: float = 0.05, decay: float = 2e-3) -> Machine:
+    """The machine of rows given by all their terms."""
+    n, pos = len(y), float(y.sum())
+    if n == 0 or pos in (0, n):
+        return uninformed(pos)
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for r, t in zip(rows, y, strict=True):  # a row's terms are distinct
+        counts[int(t > 0), r] += 1
+    often = np.flatnonzero(counts.sum(0) >= LEAST_ROWS)  # the statistics are of these alone
+    keep = significant(often, *counts[:, often], n, pos)
+    return descended(keep, [places(r, keep) for r in rows], y, steps, rate, decay)
+
+
+def descended(keep: np.ndarray, present: list[np.ndarray], y: np.ndarray, steps: int = 250, rate: float = 0.05, decay: float = 2e-3) -> Machine:
+    """Adam on the log loss, over all rows at each step; present: each row's places in keep."""
+    n, pos = len(y), float(y.sum())
     m = np.zeros((n, len(keep)), np.float32)
-    for i, r in enumerate(rows):
-        c = at[r]
-        m[i, c[c >= 0]] = 1
+    for i, c in enumerate(present):
+        m[i, c] = 1
     rng = np.random.default_rng(5)
     p = [np.array([np.log(pos / (n - pos))]), np.zeros(len(keep)), rng.normal(0, 0.02, (len(keep), FACTORS))]
     m1, m2 = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
@@ -119,20 +139,43 @@ def fit(rows: list[np.ndarray], y: np.ndarray, steps: int = 250, rate: float = 0
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Machine:
-    """Fits on the `most` labelled training rows (crc32(doc_id) mod 4 is not 2) whose ids hash lowest."""
-    marked = labels.where("doc_id is not null and toxic is not null").where(id_remainder("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Fits on the `most` labelled training rows (crc32(doc_id) mod 4 is not 2) whose ids hash lowest.
+
+    Their terms are counted by Spark; of the terms, the driver gets the counts of those in LEAST_ROWS rows or more, and
+    of the rows only the places of the terms kept."""
+    marked = labels.where("doc_id is not null and toxic is not null").where(id_remainder("doc_id", 4) != 2).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = docs.where("doc_id is not null").select("doc_id").distinct()
-    sample = {r[0]: int(r[1] > 0) for r in marked.join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()}
+    sample = cut_lineage(marked.join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "terms": [terms(t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [terms(t) for t in b["text"]]})
+
+    rows = through_parquet(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInPandas(run, "doc_id bigint, toxic int, terms array<int>"), "terms")
+    n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if n == 0 or pos in (0, n):
+        return uninformed(float(pos))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros((2, 1 << BITS), np.int32)
+        for b in batches:
+            for r, t in zip(b["terms"], b["toxic"], strict=True):  # a row's terms are distinct
+                found[t, r] += 1
+        some = np.flatnonzero(found.any(0))
+        yield pd.DataFrame({"term": some, "in0": found[0, some], "in1": found[1, some]})
+
+    counts = rows.mapInPandas(count, "term int, in0 int, in1 int").groupBy("term").agg(F.sum("in0").cast("int").alias("in0"), F.sum("in1").cast("int").alias("in1"))
+    often = counts.where(F.col("in0") + F.col("in1") >= LEAST_ROWS).toPandas().sort_values("term")
+    keep = significant(*(often[c].to_numpy() for c in ("term", "in0", "in1")), n, float(pos))
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "present": [places(r, keep).tolist() for r in b["terms"]]})
 
-    rows = docs.where(F.col("doc_id").isin(list(sample))).select("doc_id", "text").mapInPandas(run, "doc_id bigint, terms array<int>").toArrow().sort_by("doc_id") if sample else None
-    if rows is None or not rows.num_rows:
-        return fit([], np.zeros(0))
-    offsets, flat = np.concatenate([[0], np.cumsum([len(x) for x in rows["terms"]])]), rows["terms"].combine_chunks().flatten().to_numpy()
-    return fit([flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], np.array([sample[i] for i in rows["doc_id"].to_pylist()], float))
+    held = rows.mapInPandas(kept, "doc_id bigint, toxic int, present array<smallint>").toArrow().sort_by("doc_id")
+    present = held["present"].combine_chunks()
+    ends = present.offsets.to_numpy()
+    return descended(keep, [present.values.to_numpy()[a:b] for a, b in zip(ends, ends[1:], strict=False)], held["toxic"].to_numpy().astype(float))
 
 
 def scorer(machine: Machine):

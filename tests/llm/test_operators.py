@@ -346,6 +346,20 @@ def test_toxicity(spark, folder):
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_training_sends_kept_terms_alone(spark, monkeypatch):
+    """The driver gets the places of kept terms, not the rows' terms; the machine is that of all terms."""
+    sent, arrow = [], type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda df: sent.append(arrow(df)) or sent[-1])
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(docs, labels)
+    assert m.informed and all(len(r) <= len(m.index) and all(x < len(m.index) for x in r) for t in sent for c in t.columns if str(c.type).startswith("list") for r in c.to_pylist())
+    texts = {r.doc_id: r.text for r in docs.where("doc_id is not null").collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.where("toxic is not null").orderBy("toxic").collect()}
+    ids = sorted(i for i in texts if i in toxic and zlib.crc32(str(i).encode()) % 4 != 2)
+    whole = toxicity.fit([np.array(toxicity.terms(texts[i]), np.int64) for i in ids], np.array([float(toxic[i] > 0) for i in ids]))
+    assert whole.index == m.index and (whole.w == m.w).all() and (whole.v == m.v).all() and whole.w0 == m.w0
+
+
 def test_machine_learns_pairs():
     """Neither of two terms alone counts; both together do."""
     r = random.Random(4)
