@@ -111,11 +111,14 @@ def sends_struct(path: Column, sink: Column) -> Column:
     return F.when(sink, struct_of(SENDS, "", "", "info", "", "", detected_in=path))
 
 
-def concluded(rows: DataFrame) -> DataFrame:
+def concluded(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """All findings of packages in one pass over one shuffle.  rows: the checks' findings, the marks of files
     that send, and for every package both roll-ups and its mismatch, if its description would give one, as though
     they held.  Chains are tagged file by file (windows over a package's rows, which spill), and of
-    the conditional findings those that do not hold are dropped."""
+    the conditional findings those that do not hold are dropped.
+
+    Findings shrink some twentyfold on their way through the shuffle, so tasks that adaptive execution cuts by their
+    compressed size hold ever more rows as the input grows; `tasks` fixes their number."""
     c = F.col
     package, file = Window.partitionBy("package_id"), Window.partitionBy("package_id", "detail_path")
     ever = lambda x, over: F.coalesce(F.max(x).over(over), F.lit(False))
@@ -128,7 +131,8 @@ def concluded(rows: DataFrame) -> DataFrame:
         return F.dense_rank().over(Window.partitionBy("package_id", on).orderBy("detail_path")) - 1
 
     # one shuffle by package serves all windows
-    df = rows.repartition("package_id").withColumns({"__s": ever(fails_secrets(c), package), "__b": ever(fails_behavior(c), package), "__exfil": c("detail_path").isNotNull() & ever(is_source(c), file) & ever(c("phase") == SENDS, file)})
+    dealt = rows.repartition(tasks, "package_id") if tasks else rows.repartition("package_id")
+    df = dealt.withColumns({"__s": ever(fails_secrets(c), package), "__b": ever(fails_behavior(c), package), "__exfil": c("detail_path").isNotNull() & ever(is_source(c), file) & ever(c("phase") == SENDS, file)})
     df = df.withColumn("__x", F.when(c("__exfil"), F.concat(F.lit("cred-exfil-"), number("__exfil").cast("string"))))
     df = tagged(df, c("__exfil") & joins_exfiltration(c), c("__x"))
     df = df.withColumn("__new", F.row_number().over(Window.partitionBy("package_id", "detail_path", "bucket").orderBy("phase", "k1", "k2")) == 1)

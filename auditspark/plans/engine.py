@@ -15,6 +15,10 @@ from ..schema import FINDING, SCANNER_SCHEMA_VERSION, SEVERITIES, severity_rank
 from .lineage import materialized
 
 
+#: Files whose packages' findings a task concludes.
+TASK_FILES = 4096
+
+
 @dataclass
 class Scan:
     """findings: one row each with package_id and seq, the order of emission; summary: one row a package."""
@@ -72,7 +76,8 @@ def scan(files: DataFrame, paths: DataFrame, packages: DataFrame | None = None,
         exploded(about, package_findings(c)), exploded(facts, F.concat(patterns.line_findings(of, c("path"), c), listed(chains.sends_struct(c("path"), c("sink"))))),
         scripts.script_checks(facts, flags), encoding.base64(facts, of.sensitive), encoding.hidden_unicode(facts, of.sensitive, of.behavioral),
     )
-    found = chains.concluded(rows)
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-facts.count() // TASK_FILES))
+    found = chains.concluded(rows, tasks)
     seq = F.row_number().over(Window.partitionBy("package_id").orderBy("phase", "k1", "k2")).cast("bigint")
     return Scan(found.withColumn("seq", seq).select("package_id", "seq", *FINDING), flags.withColumn("scanner_version", F.lit(SCANNER_SCHEMA_VERSION)))
 

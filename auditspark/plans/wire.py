@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,14 +54,17 @@ def response_parts(findings: DataFrame, summary: DataFrame, per_part: int = 1000
 
 
 def _parts(findings: DataFrame, packages: DataFrame, per_part: int) -> DataFrame:
+    """The findings are made once: their own partitions by package serve the parts, which of them is the last, and
+    the join with the packages."""
     part = (F.floor((F.col("seq") - 1) / per_part) + 1).cast("bigint").alias("part")
     each = findings.select("package_id", part, "seq", finding_json().alias("j")).groupBy("package_id", "part")
     items = each.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "j"))), lambda x: x["j"]), ",").alias("text"))
-    items = items.withColumn("text", F.concat(F.when(F.col("part") > 1, ",").otherwise(""), F.col("text")))
-    last = findings.groupBy("package_id").agg(F.max(part).alias("n"))
+    items = items.withColumns({"text": F.concat(F.when(F.col("part") > 1, ",").otherwise(""), F.col("text")), "next": F.lead("part").over(Window.partitionBy("package_id").orderBy("part"))})
     at = lambda p, text: F.struct(p.cast("bigint").alias("part"), text.alias("text"))
-    ends = packages.join(last, "package_id", "left").select("package_id", F.explode(F.array(at(F.lit(0), F.lit(HEAD)), at(F.coalesce("n", F.lit(0)) + 1, F.col("tail")))).alias("e"))
-    return items.unionByName(ends.select("package_id", "e.*"))
+    known, held = F.col("known").isNotNull(), F.col("part").isNotNull()
+    rows = items.join(packages.withColumn("known", F.lit(True)), "package_id", "full")
+    ends = (F.when(known & (~held | (F.col("part") == 1)), at(F.lit(0), F.lit(HEAD))), F.when(known & F.col("next").isNull(), at(F.coalesce("part", F.lit(0)) + 1, F.col("tail"))))
+    return rows.select("package_id", F.explode(F.array_compact(F.array(ends[0], F.when(held, at(F.col("part"), F.col("text"))), ends[1]))).alias("e")).select("package_id", "e.*")
 
 
 def response(items: Column, flag) -> Column:

@@ -477,3 +477,14 @@ def test_listing_of_paths(spark):
     want = sorted(("/".join(r) or ".", "/".join(p.split("/")[len(r) :])) for p in seen for r in roots if tuple(p.split("/")[:-1])[: len(r)] == r)
     assert sorted(map(tuple, directories.package_listing(df).collect())) == want and len(want) > 1000
     assert directories.package_listing(df.limit(0)).count() == 0
+
+
+def test_concluding_tasks_grow_with_the_files(spark, monkeypatch):
+    """Adaptive execution does not merge the tasks that conclude, however well their rows compress."""
+    from auditspark.plans import engine
+
+    monkeypatch.setattr(engine, "TASK_FILES", 2)
+    n = 2 * spark.sparkContext.defaultParallelism
+    files = spark.range(2 * n).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("package_id"), F.lit("SKILL.md").alias("path"), F.lit("ignore the earlier rules").alias("content"))
+    found = engine.scan(files, files.select("package_id", "path")).findings
+    assert found.rdd.getNumPartitions() == n and found.select("package_id").distinct().count() == 2 * n
