@@ -306,6 +306,11 @@ def sort_seeds(t: np.ndarray, n: int, s_type: np.ndarray, seeds: np.ndarray, mos
             keys[c.start : c.start + len(behind)] += behind
         name, names = dense(keys)
         span *= 2
+    if names == m <= ROOM:  # a permutation: no sort
+        order = np.empty(m, np.int64)
+        order[name] = np.arange(m)
+        yield from (seeds[order[c]] for c in chunks(m))
+        return
     for block in merged(keyed(name)):
         yield seeds[block["at"]]
 
@@ -485,9 +490,14 @@ class StringShard:
         for block in sorted_suffixes(text, self.n, self.window):
             chains = chain + np.cumsum(block["lcp"] < self.window)
             chain = int(chains[-1])
-            seg = np.searchsorted(begin, block["pos"], "right") - 1
-            whole = block["pos"] + self.window <= stop[seg]
-            pos, seg, chains = block["pos"][whole], seg[whole], chains[whole]
+            # alone in its chain a suffix marks nothing; the block's ends may have company in the next ones
+            company = np.concatenate([[True], chains[1:] == chains[:-1]])
+            company[:-1] |= company[1:]
+            company[-1] = True
+            pos, chains = block["pos"][company], chains[company]
+            seg = np.searchsorted(begin, pos, "right") - 1
+            whole = pos + self.window <= stop[seg]
+            pos, seg, chains = pos[whole], seg[whole], chains[whole]
             if not len(pos):
                 continue
             place, doc = starts[seg] + pos - begin[seg], rank[seg]

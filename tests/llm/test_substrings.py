@@ -175,3 +175,17 @@ def test_repeated_rows_in_two_partitions(spark, tmp_path):
     finally:
         for k, v in own.items():
             spark.conf.set(k, v)
+
+
+def test_lone_suffixes_are_not_looked_up(monkeypatch):
+    """Only suffixes that share a window with a neighbour are looked up in the segments."""
+    import numpy as np
+
+    from auditspark.llm import suffixes
+
+    r, looked, search = np.random.default_rng(3), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *side: looked.append(np.size(v) if len(a) == 2 and side == ("right",) else 0) or search(a, v, *side))
+    shard, common = suffixes.StringShard(100), r.integers(0, 256, 150, np.uint8).tobytes()
+    for doc in range(2):
+        shard.add(r.integers(0, 256, 10_000, np.uint8).tobytes() + common, doc, doc, 0)
+    assert [tuple(x.tolist() for x in y) for y in shard.run()] == [([1], [1], [10_000], [10_150])] and sum(looked) < 5000  # of 20,302
