@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +153,7 @@ def marked_intervals(docs: DataFrame, units_of, cut, length: int, gram: int, all
     units_of(text) -> (hashed units, handle); cut(handle, first, n) -> the bytes of n units.
     all_copies: every copy is marked, and a row repeated in the table is a copy; else all but the
     earliest are, and rows that agree in id and text are one document.
-    new_shard() makes what compares the segments of some keys: add(text, doc, th, start) a segment
+    new_shard() makes what compares the segments of some keys: add(text, doc, th, start, key) a segment
     that differs from the others of its key, repeated() says that the last one added has copies,
     `size` tells the bytes held, `most` how many it should hold, and run() yields arrays of PLACES.
     """
@@ -269,11 +270,14 @@ def marked_intervals(docs: DataFrame, units_of, cut, length: int, gram: int, all
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, last, at, rows = new_shard(), (None, None), None, []
         for b in batches:
-            for kind, key, seg, doc, th, start, windows, again in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+            copy = pc.equal(b.column("kind"), 1)
+            if (c := b.filter(copy)).num_rows:
+                stop = pc.add(pc.add(c.column("start"), c.column("windows")), length - 1)
+                yield pa.RecordBatch.from_arrays([c.column("doc"), c.column("th"), c.column("start"), stop], names=PLACES)
+            b = b.filter(pc.invert(copy))
+            for key, seg, doc, th, start, windows, again in zip(*(b.column(n).to_pylist() for n in names[1:]), strict=True):
                 whole = (doc, th, start, start + windows + length - 1)
-                if kind:
-                    rows.append(whole)
-                elif last == (key, seg):  # from another task, and not earlier
+                if last == (key, seg):  # from another task, and not earlier
                     if all_copies or at != whole[:3]:
                         again = True
                         rows.append(whole)
@@ -283,7 +287,7 @@ def marked_intervals(docs: DataFrame, units_of, cut, length: int, gram: int, all
                     if key != last[0] and block.size > block.most:
                         yield from compared(block)
                         block = new_shard()
-                    block.add(seg, doc, th, start)
+                    block.add(seg, doc, th, start, key)
                     if again:
                         block.repeated()
                     last, at = (key, seg), whole[:3]

@@ -56,7 +56,7 @@ class PhraseShard:
         self.words: list[np.ndarray] = []
         self.docs, self.ths, self.starts, self.copied = [], [], [], []
 
-    def add(self, seg: bytes, doc: int, th: int, start: int) -> None:
+    def add(self, seg: bytes, doc: int, th: int, start: int, key: int | None = None) -> None:
         numbers, words = self.numbers, seg.split()
         self.words.append(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in words), np.int64, len(words)))
         self.docs.append(doc)

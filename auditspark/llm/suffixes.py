@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, covered, gathered, marked_intervals, runs_of, with_identity
+from .anchors import MIX, NO_ID, _mixed, covered, gathered, gram_hashes, marked_intervals, runs_of, with_identity
 from .common import read
 
 WINDOW, GRAM = 100, 32
 CAP = 255
 #: Rows that an array or a queue may hold in memory; rows that a pass takes at a time.
 ROOM, TAKE_ROWS = 1 << 21, 1 << 16
+#: Bytes of segments that are judged at a time whether their keys' others can hold a window of theirs.
+JUDGED = 1 << 18
 TUPLE = np.dtype([("pos", np.int64), ("lcp", np.uint8)])
 RANKED = np.dtype([("key", np.int64), ("at", np.int64)])
 
@@ -448,31 +450,92 @@ def suffix_array(text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return rows["pos"].copy(), rows["lcp"].copy()
 
 
+def recurs(ids: np.ndarray) -> np.ndarray:
+    _, at, n = np.unique(ids, return_inverse=True, return_counts=True)
+    return n[at] > 1
+
+
+def with_company(text: np.ndarray, begin: np.ndarray, stop: np.ndarray, keys: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Which of the segments, whose keys are all here in whole, may hold a window that recurs in them or in another.
+
+    Windows of a segment hold the gram whose hash is the key.  If no segment of a key holds it twice, equal
+    windows lie about it alike in two segments, and hold at least half of the rest of the window's bytes on one side of
+    it; there the segments agree."""
+    half = -(-(window - gram) // 2)
+    h = gram_hashes(text, gram)
+    at = np.flatnonzero(h == np.repeat(keys, np.diff(np.append(begin, len(text))))[: len(h)])
+    seg = np.searchsorted(begin, at, "right") - 1
+    inside = at + gram <= stop[seg]
+    at, seg = at[inside], seg[inside]
+    _, group = np.unique(keys, return_inverse=True)
+    once = np.bincount(seg, minlength=len(keys)) == 1
+    unsure = np.bincount(group, ~once) > 0  # the key of windows that travel one by one is no gram's hash
+    maybe = unsure[group] & ((np.bincount(group)[group] > 1) | (stop - begin > window))
+    sure = ~unsure[group[seg]]
+    at, seg = at[sure], seg[sure]
+    for there, fits in ((at - half, at - half >= begin[seg]), (at + half, at + half + gram <= stop[seg])):
+        with np.errstate(over="ignore"):
+            ids = _mixed(keys[seg[fits]] * MIX + h[there[fits]])
+        maybe[seg[fits]] |= recurs(ids)
+    return maybe
+
+
 class StringShard:
     """Segments of some keys, sorted together; beyond ROOM bytes their text waits in a file.
 
+    Segments with a key are sorted only if they have company: a segment whose copies alone recur has none.
     Of each segment four numbers stay in memory, where it has WINDOW bytes at least."""
 
     most = 2_000_000
 
-    def __init__(self, window: int):
-        self.window, self.size, self.n = window, 0, 0
+    def __init__(self, window: int, gram: int = GRAM):
+        self.window, self.gram, self.size, self.n = window, gram, 0, 0
         self.text = Queue(np.uint8, ROOM)
         self.begin, self.docs, self.ths, self.starts = array("q"), array("q"), array("q"), array("q")
+        self.waiting: list[tuple] = []
+        self.bytes, self.key, self.whole = 0, None, None
 
-    def add(self, seg: bytes, doc: int, th: int, start: int) -> None:
-        self.text.put(np.frombuffer(seg + b"\x00", np.uint8))  # a window that runs past its segment counts for nothing
-        self.begin.append(self.n)
-        self.docs.append(doc)
-        self.ths.append(th)
-        self.starts.append(start)
-        self.n += len(seg) + 1
-        self.size += len(seg)
+    def add(self, seg: bytes, doc: int, th: int, start: int, key: int | None = None) -> None:
+        if key is None or key == self.whole:
+            self._keep(seg + b"\x00", [0], [(seg, doc, th, start)])
+            return
+        if key != self.key and self.bytes > JUDGED:
+            self._judge()
+        self.key = key
+        self.waiting.append((seg, doc, th, start, key))
+        self.bytes += len(seg)
+        if self.bytes > 4 * JUDGED:  # a key with so many different segments is not judged
+            self.whole = key
+            self._judge()
+
+    def _keep(self, text, begin: list[int], rows: list[tuple]) -> None:
+        text = np.frombuffer(text, np.uint8)
+        self.text.put(text)  # a window that runs past its segment counts for nothing
+        self.begin.extend(self.n + b for b in begin)
+        self.docs.extend(r[1] for r in rows)
+        self.ths.extend(r[2] for r in rows)
+        self.starts.extend(r[3] for r in rows)
+        self.n += len(text)
+        self.size += len(text) - len(rows)
+
+    def _judge(self) -> None:
+        rows, self.waiting, self.bytes = self.waiting, [], 0
+        if not rows:
+            return
+        text = np.frombuffer(b"".join(r[0] + b"\x00" for r in rows), np.uint8)
+        stop = np.cumsum([len(r[0]) + 1 for r in rows]) - 1
+        begin = np.append(0, stop[:-1] + 1)
+        keys = np.array([r[4] for r in rows], np.int64)
+        kept = with_company(text, begin, stop, keys.view(np.uint64), self.window, self.gram) | (keys == (-1 if self.whole is None else self.whole))
+        if kept.any():
+            n = (stop - begin + 1)[kept]
+            self._keep(text[np.repeat(kept, stop - begin + 1)], (np.cumsum(n) - n).tolist(), [rows[i] for i in np.flatnonzero(kept)])
 
     def repeated(self) -> None:
         """The copies have been marked, and the earliest stays."""
 
     def run(self) -> Iterator[tuple[np.ndarray, ...]]:
+        self._judge()
         begin, docs, ths, starts = (np.array(x, np.int64) for x in (self.begin, self.docs, self.ths, self.starts))
         if not len(begin) or len(begin) == 1 and self.n <= self.window + 1:
             return
@@ -530,7 +593,7 @@ def cut_bytes(text: bytes, first: int, n: int) -> bytes:
 def removed_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **more) -> DataFrame:
     """doc, th, text (bytes) and spans: the byte intervals of each document to remove."""
     own = with_identity(docs, F.col("text").cast("binary"))
-    spans = gathered(marked_intervals(own, byte_units, cut_bytes, window, gram, False, lambda: StringShard(window), **more))
+    spans = gathered(marked_intervals(own, byte_units, cut_bytes, window, gram, False, lambda: StringShard(window, gram), **more))
     return own.join(spans, ["doc", "th"], "left")
 
 
