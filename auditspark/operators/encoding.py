@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .patterns import Rules, behavioral_found, entropy_found, first_behavioral,
 
 # Shortest literal, widest gap and shortest group of joined literals; printable share.
 LITERAL, GAP, GROUP, PRINTABLE = 4, 10, 40, 0.75
+#: The characters of either alphabet, one by one, for a class.
+WORD_64 = string.ascii_letters + string.digits + "+/_" + r"\-"
 #: Pieces of a text: what stands outside quotes, closed literals, and an unclosed rest.
 PIECES = r"""[^'"]+|'[^']*'|"[^"]*"|'[^']*\z|"[^"]*\z"""
 #: The assignment of a long quoted value, tried only at the start of a run of name characters.
@@ -54,7 +58,9 @@ def candidates(content: Column) -> Column:
 def decoded(content: Column) -> Column:
     """array<struct<kind, line_no, text>>: the candidates that decode, as text."""
     told = F.transform(candidates(content), lambda c: F.struct(c["kind"].alias("kind"), c["line_no"].alias("line_no"), X.lenient_base64(c["b64"]).alias("text")))
-    some = content.rlike(r"""[A-Za-z0-9+/_-]{32}|["'][A-Za-z0-9+/=_-]{4}|=["'][^"'\r\n]{32}""")
+    # few texts have one; a class of single characters is one look into a table, where ranges are one test each
+    quoted = content.contains('"') | content.contains("'")
+    some = content.rlike(f"[{WORD_64}]{{32}}") | (quoted & content.rlike(rf"""["'][{WORD_64}=]{{4}}|=["'][^"'\r\n]{{32}}"""))
     return F.filter(F.when(some, told), lambda c: c["text"].isNotNull())
 
 
@@ -138,7 +144,8 @@ def base64(files: DataFrame, registry: list[Sensitive] = SENSITIVE) -> DataFrame
 def veiled_lines(content: Column) -> Column:
     """array<struct<line_no, line>>: the lines that have invisible characters, without them."""
     lines = F.transform(X.lines(content), lambda x, i: F.when(x.rlike(X.INVISIBLE), F.struct((i + 1).cast("bigint").alias("line_no"), X.strip_invisible(x).alias("line"))))
-    return F.filter(F.when(content.rlike(X.INVISIBLE), lines), lambda s: s["line_no"].isNotNull())
+    # none of them is ASCII, and few texts are more than ASCII
+    return F.filter(F.when((F.octet_length(content) > F.length(content)) & content.rlike(X.INVISIBLE), lines), lambda s: s["line_no"].isNotNull())
 
 
 def veiled_verdict(of: Rules, lines: Column, mets: Column) -> Column:

@@ -68,12 +68,18 @@ def parsed_definition(content: Column) -> Column:
     Front matter opens with `---` on the first line and closes with the first later line that starts
     with `---`, which must hold nothing else; otherwise the name is `unknown` and all is body.
     """
+    def cut(rest: Column) -> Column:
+        return X.bound(F.instr(rest, "\n---"), lambda at: F.struct(at.alias("at"), F.substring(rest, F.lit(1), at - 1).alias("head"), F.regexp_replace(F.substring(rest, at + 4, F.length(rest)), r"\A[ \t]+", "").alias("after")))
+
+    # each is evaluated once: within a lambda the optimizer finds no common expressions
     rest = F.substring(content, F.lit(5), F.length(content))
-    at = F.instr(rest, "\n---")
-    after = F.regexp_replace(F.substring(rest, at + 4, F.length(rest)), r"\A[ \t]+", "")
+    return X.bound(rest, lambda r: X.bound(cut(r), lambda c: _parsed(content, c["at"], c["head"], c["after"])))
+
+
+def _parsed(content: Column, at: Column, front: Column, after: Column) -> Column:
     framed = content.startswith("---\n") & (at > 0) & ((after == "") | after.startswith("\n") | after.startswith("\r"))
     body = F.when(after.startswith("\n"), F.regexp_replace(after, r"\A\n+", "")).otherwise(F.lit(""))
-    head = F.transform(F.split(F.substring(rest, F.lit(1), at - 1), "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    head = F.transform(F.split(front, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("more"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("got"))
 
     def put(got: Column, key: Column, value: Column) -> Column:

@@ -82,7 +82,7 @@ def _codes(of: Rules, m: Column, markdown: Column | None) -> Column:
     if markdown is None or not any(p.code_only for p in of.sensitive):
         return F.filter(m, lambda i: i < of.ends[0])
     code_only = _table([p.code_only for p in of.sensitive], "boolean")
-    return F.filter(m, lambda i: (i < of.ends[0]) & ~(markdown & F.coalesce(F.get(code_only, i), F.lit(False))))
+    return X.bound(markdown, lambda k: F.filter(m, lambda i: (i < of.ends[0]) & ~(k & F.coalesce(F.get(code_only, i), F.lit(False)))))
 
 
 def sensitive_found(of: Rules, path: Column, content: Column, m: Column) -> Column:

@@ -20,7 +20,7 @@ EXACT_HINTS = ["--help", "if __name__ == '__main__'", 'if __name__ == "__main__"
 
 
 def has_cli_hint(content: Column) -> Column:
-    return X.contains_any(F.lower(content), HINTS) | X.contains_any(content, EXACT_HINTS)
+    return X.bound(F.lower(content), lambda low: X.contains_any(low, HINTS)) | X.contains_any(content, EXACT_HINTS)
 
 
 def is_cli_script(path: Column, content: Column) -> Column:
